@@ -10,11 +10,12 @@ rising counters.  Positions need no scan of the ids: the global start of a
 document is its range's first id plus its ``local_start``, and ranges are added
 up from the two narrow columns.
 
-Encoding: the library encodes every distinct piece once per worker.  A byte-level
-BPE never merges across the pieces of its splitting pattern, so texts of plain
-Latin characters are cut by the same pattern and looked up piece by piece; a
+Encoding: a byte-level BPE never merges across the pieces of its splitting
+pattern, so texts of plain Latin characters are cut by the same pattern and every
+piece goes through the library's model once, then comes from a bounded cache; a
 text with any other character, or with a special token's string, goes to the
-library whole.  Both give the library's ids.
+library whole, as does every text of any other kind of tokenizer.  Both give the
+library's ids.
 
 Defined cases: a null text is empty (the end id alone); documents are ordered by
 doc_id (null first), repeated ids by the text's hash; an empty table writes an
@@ -23,7 +24,9 @@ empty table.
 
 from __future__ import annotations
 
+import json
 import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -50,6 +53,13 @@ _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zªµºÀ-ÖØ-öø-ɏ]+|
 _OTHER = re.compile(r"[^\t\n\r -~¡-ɏ–—‘’“”…€]|\xad")
 
 
+def byte_alphabet() -> dict[int, str]:
+    """The printable character that byte-level vocabularies write for each byte."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 class Encoder:
     """ids of texts as little-endian 32-bit bytes; one per worker process."""
 
@@ -61,15 +71,28 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
+        config = json.loads(self.tokenizer.to_str())
+        splitter = config["pre_tokenizer"] or {}
+        self.by_piece = config["normalizer"] is None and config["model"]["type"] == "BPE" and not config["model"].get("dropout") and splitter.get("type") == "ByteLevel" and splitter["use_regex"] and not splitter["add_prefix_space"]
+        self.model, self.alphabet = self.tokenizer.model, byte_alphabet()
         specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, specials)) or r"(?!)")
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def pieces(self, pieces: list[str]) -> list[bytes]:
+        """The model's ids of single pieces, without the library's bookkeeping for whole texts."""
+        tokenize, alphabet = self.model.tokenize, self.alphabet
+        out = []
+        for piece in pieces:
+            ids = [t.id for t in tokenize(piece.encode().decode("latin-1").translate(alphabet))]
+            out.append(struct.pack(f"<{len(ids)}I", *ids))
+        return out
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        whole = [i for i, t in enumerate(texts) if _OTHER.search(t) or self.special.search(t)]
+        whole = [i for i, t in enumerate(texts) if not self.by_piece or _OTHER.search(t) or self.special.search(t)]
         for i, ids in zip(whole, self.library([texts[i] for i in whole]), strict=True):
             out[i] = ids
         rest = set(range(len(texts))).difference(whole)
@@ -77,8 +100,7 @@ class Encoder:
         if len(self.cache) > CACHE_PIECES:
             self.cache.clear()
         unknown = list({p for pieces in cut.values() for p in pieces}.difference(self.cache))
-        for at in range(0, len(unknown), 20_000):
-            self.cache.update(zip(unknown[at : at + 20_000], self.library(unknown[at : at + 20_000]), strict=True))
+        self.cache.update(zip(unknown, self.pieces(unknown), strict=True))
         get = self.cache.__getitem__
         for i, pieces in cut.items():
             out[i] = b"".join(map(get, pieces))
