@@ -52,15 +52,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def n_words(text: Column) -> Column:
-    """Number of runs without ASCII white space; 0 for null.
-
-    A run ends where a word character meets white space or the end, so after
-    squeezing, the blanks of ``trimmed`` count the words less one.
-    """
-    plain = F.translate(text, "\t\n\x0b\x0c\r", "     ")
-    squeezed = F.trim(F.regexp_replace(plain, " {2,}", " "))
-    blanks = F.length(squeezed) - F.length(F.replace(squeezed, F.lit(" "), F.lit("")))
-    return F.when(F.length(squeezed) > 0, blanks + 1).otherwise(0).cast("long")
+    """Number of runs without ASCII white space; 0 for null."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def _integral(knots: Sequence[tuple[float, float]]) -> list[tuple[float, float, float, float, float]]:
