@@ -35,6 +35,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rasterloom.llm.common import stage
+
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 CAP = 2.0
@@ -122,7 +124,8 @@ def lay_out(documents: DataFrame, weights: Sequence[float] = WEIGHTS, share: flo
             "__bucket": F.conv(F.substring(digest, 1, BUCKET_DIGITS), 16, 10).cast("int"),
         }
     )
-    sums = rows.groupBy("__g", "__bucket").agg(F.first("source").alias("source"), F.sum("__size").alias("__n"))
+    # Read three times below; a row per source and bucket.
+    sums = stage(rows.groupBy("__g", "__bucket").agg(F.first("source").alias("source"), F.sum("__size").alias("__n")), "mixing-sums")
     source = sums.groupBy(F.col("__g").alias("g")).agg(F.first("source").alias("source"), F.sum("__n").alias("source_size"))
     before = Window.partitionBy("__g").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     firsts = sums.select("__g", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
