@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import chat, decontaminate, mixing, sharding, tokens, topk
+from rasterloom.llm import chat, decontaminate, mixing, quality, sharding, tokens, topk, toxicity
 from rasterloom.llm.common import table
 
 SHARDS = 16
@@ -28,10 +28,18 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.annotate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -48,7 +56,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
         "op2_decontamination": op2_decontamination,
+        "op3_toxicity": op3_toxicity,
         "op4_mixing": op4_mixing,
+        "op6_quality": op6_quality,
         "op8_tokens": op8_tokens,
         "op9_topk": op9_topk,
         "op10_chat": op10_chat,
