@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import chat, decontaminate, mixing, quality, sharding, tokens, topk, toxicity
+from rasterloom.llm import chat, decontaminate, language, mixing, quality, sharding, tokens, topk, toxicity
 from rasterloom.llm.common import table
 
 SHARDS = 16
@@ -40,6 +40,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -59,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity": op3_toxicity,
         "op4_mixing": op4_mixing,
         "op6_quality": op6_quality,
+        "op7_language": op7_language,
         "op8_tokens": op8_tokens,
         "op9_topk": op9_topk,
         "op10_chat": op10_chat,
