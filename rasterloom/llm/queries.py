@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import chat, decontaminate, language, mixing, quality, sharding, tokens, topk, toxicity
+from rasterloom.llm import chat, decontaminate, language, mixing, neardup, quality, sharding, tokens, topk, toxicity
 from rasterloom.llm.common import table
 
 SHARDS = 16
@@ -36,6 +36,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.group(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -62,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_decontamination": op2_decontamination,
         "op3_toxicity": op3_toxicity,
         "op4_mixing": op4_mixing,
+        "op5_neardup": op5_neardup,
         "op6_quality": op6_quality,
         "op7_language": op7_language,
         "op8_tokens": op8_tokens,
@@ -144,6 +149,32 @@ FROM docs LEFT JOIN hit USING (r) LEFT JOIN listed USING (r)
 """
 
 
+# Shingles are compared as text; pairs come from an inverted list of all shingles.
+_OP5_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS s
+  FROM docs
+),
+sizes AS (SELECT doc_id, len(s) AS n FROM sets),
+grams AS (SELECT doc_id, unnest(s) AS g FROM sets),
+links AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL) p
+  JOIN sizes sa ON sa.doc_id = a JOIN sizes sb ON sb.doc_id = b WHERE 100 * c >= 75 * (sa.n + sb.n - c)
+),
+reach(doc_id, root) AS (
+  SELECT doc_id, doc_id FROM docs
+  UNION
+  SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.doc_id
+)
+SELECT doc_id, n::bigint AS n_shingles, component_id, doc_id = component_id AS kept
+FROM sizes JOIN (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)
+"""
+
+
 def _position_sql(x: str) -> str:
     out = "CASE slot"
     for i, knots in enumerate(mixing.SCHEDULES):
@@ -232,6 +263,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_sharding": _op1_sql(),
         "op2_decontamination": _OP2_SQL,
         "op4_mixing": _op4_sql(),
+        "op5_neardup": _OP5_SQL,
         "op9_topk": _OP9_SQL,
         "op10_chat": _op10_sql(),
     }
