@@ -165,10 +165,10 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids; a plan that leaves ``ids`` out doesn't read them."""
     files = spark.read.schema(SCHEMA).parquet(path)
     ranges = files.groupBy("part").agg(F.max(F.col("local_start") + F.col("n_tokens")).alias("__n"))
-    # One row per range (file).
+    # One row per range, that is per file of ROW_GROUP_BYTES and more: two numbers each, 16 MB for a million files.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     firsts = ranges.select("part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
-    return files.join(firsts, "part").select("doc_id", (F.col("__first") + F.col("local_start")).alias("start"), "n_tokens", "ids")
+    return files.join(F.broadcast(firsts), "part").select("doc_id", (F.col("__first") + F.col("local_start")).alias("start"), "n_tokens", "ids")
 
 
 def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
