@@ -11,11 +11,11 @@ document is its range's first id plus its ``local_start``, and ranges are added
 up from the two narrow columns.
 
 Encoding: a byte-level BPE never merges across the pieces of its splitting
-pattern, so texts of plain Latin characters are cut by the same pattern and every
-piece goes through the library's model once, then comes from a bounded cache; a
-text with any other character, or with a special token's string, goes to the
-library whole, as does every text of any other kind of tokenizer.  Both give the
-library's ids.
+pattern, so texts of plain Latin-1 characters are cut by that pattern and every
+distinct piece goes through the library's model once, then comes from a bounded
+cache; a text with any other character, with an apostrophe (the pattern's
+contractions) or with a special token's string goes to the library whole, as does
+every text of any other kind of tokenizer.  Both give the library's ids.
 
 Defined cases: a null text is empty (the end id alone); documents are ordered by
 doc_id (null first), repeated ids by the text's hash; an empty table writes an
@@ -42,15 +42,22 @@ END_ID = 0
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2000
-#: Pieces a worker remembers; when full it starts anew, so its memory is bounded.
-CACHE_PIECES = 300_000
+#: Pieces a worker remembers at most (some 200 bytes each).
+CACHE_PIECES = 600_000
+#: Text that is cut and looked up at once.
+BATCH_BYTES = 1 << 20
 #: Texts a worker encodes at once.
-TEXTS_AT_ONCE = 256
+TEXTS_AT_ONCE = 1024
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
-# Fixed value: the splitting pattern of the byte-level vocabulary, for the characters of _PLAIN.
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zªµºÀ-ÖØ-öø-ɏ]+| ?[0-9²³¹¼-¾]+| ?[!-/:-@\[-`{-~¡-©«-±´¶-¸»¿×÷–—‘’“”…€]+|\s+(?!\S)|\s+")
-#: Texts of these characters alone are cut by _PIECES.
-_OTHER = re.compile(r"[^\t\n\r -~¡-ɏ–—‘’“”…€]|\xad")
+# Character classes of the splitting pattern within Latin-1: letters, numbers, signs, white space; 0 ends a text.
+_LETTER, _NUMBER, _SIGN, _SPACE, _END = range(5)
+_KIND = bytes(
+    _END if b == 0 else _SPACE if b in b"\t\n\r " else _LETTER if chr(b).isalpha() else _NUMBER if chr(b).isnumeric() else _SIGN
+    for b in range(256)
+)
+#: Controls, other white space and the soft hyphen aren't in these classes.
+_STRANGE = re.compile(rb"[^\t\n\r -~\xa1-\xac\xae-\xff]")
+_SAFE = re.compile(rb"[^\t\n\r ](?= )")
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -61,7 +68,12 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class Encoder:
-    """ids of texts as little-endian 32-bit bytes; one per worker process."""
+    """ids of texts as little-endian 32-bit bytes; one per worker process.
+
+    Plain texts go through ``_plain``: a batch is one byte array, the pattern's cuts
+    are found from character classes, every piece gets a 64-bit hash from running
+    sums, and only distinct pieces are looked up - or asked of the model.
+    """
 
     def __init__(self, path: str) -> None:
         import os
@@ -70,42 +82,135 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
         config = json.loads(self.tokenizer.to_str())
         splitter = config["pre_tokenizer"] or {}
         self.by_piece = config["normalizer"] is None and config["model"]["type"] == "BPE" and not config["model"].get("dropout") and splitter.get("type") == "ByteLevel" and splitter["use_regex"] and not splitter["add_prefix_space"]
-        self.model, self.alphabet = self.tokenizer.model, byte_alphabet()
+        self.tokenize, self.alphabet = self.tokenizer.model.tokenize, byte_alphabet()
+        self.known: dict[int, bytes] = {}
+        self.older: dict[int, bytes] = {}
         specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, specials)) or r"(?!)")
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def pieces(self, pieces: list[str]) -> list[bytes]:
-        """The model's ids of single pieces, without the library's bookkeeping for whole texts."""
-        tokenize, alphabet = self.model.tokenize, self.alphabet
-        out = []
-        for piece in pieces:
-            ids = [t.id for t in tokenize(piece.encode().decode("latin-1").translate(alphabet))]
-            out.append(struct.pack(f"<{len(ids)}I", *ids))
-        return out
+    def piece(self, piece: bytes) -> bytes:
+        """The model's ids of one piece of Latin-1 characters, without the library's bookkeeping for whole texts."""
+        ids = [t.id for t in self.tokenize(piece.decode("latin-1").encode().decode("latin-1").translate(self.alphabet))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        whole = [i for i, t in enumerate(texts) if not self.by_piece or _OTHER.search(t) or self.special.search(t)]
-        for i, ids in zip(whole, self.library([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        rest = set(range(len(texts))).difference(whole)
-        cut = {i: _PIECES.findall(texts[i]) for i in rest}
-        if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
-        unknown = list({p for pieces in cut.values() for p in pieces}.difference(self.cache))
-        self.cache.update(zip(unknown, self.pieces(unknown), strict=True))
-        get = self.cache.__getitem__
-        for i, pieces in cut.items():
-            out[i] = b"".join(map(get, pieces))
+        held: list[bytes] = []
+        owner: list[int] = []
+        size = 0
+
+        def flush() -> None:
+            nonlocal size
+            for i, ids in zip(owner, self._plain(held), strict=True):
+                out[i] += ids
+            held.clear()
+            owner.clear()
+            size = 0
+
+        for i, text in enumerate(texts):
+            raw = self._latin(text)
+            if raw is None:
+                out[i] = self.library([text])[0]
+                continue
+            for part in _parts(raw):
+                held.append(part)
+                owner.append(i)
+                size += len(part)
+                if size >= BATCH_BYTES:
+                    flush()
+        flush()
         return out
 
+    def _latin(self, text: str) -> bytes | None:
+        """The text as Latin-1 if the class table is the pattern for it, else nothing."""
+        if not self.by_piece or "'" in text or ("<" in text and self.special.search(text)):
+            return None
+        try:
+            raw = text.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        return None if _STRANGE.search(raw) else raw
+
+    def _plain(self, texts: list[bytes]) -> list[bytes]:
+        if not texts:
+            return []
+        data = b"\0".join(texts) + b"\0"
+        chars = np.frombuffer(data, np.uint8)
+        kind = np.frombuffer(data.translate(_KIND), np.uint8)
+        cut = np.empty(len(kind), bool)
+        cut[0] = True
+        np.not_equal(kind[1:], kind[:-1], out=cut[1:])
+        run = np.flatnonzero(cut[1:] & (kind[1:] < _SPACE)) + 1  # words, numbers and signs that follow something else
+        cut[run[chars[run - 1] == 32]] = False  # one blank before them is theirs,
+        cut[run[kind[run - 1] == _SPACE] - 1] = True  # and white space gives up its last character
+        cut |= kind == _END
+        start = np.flatnonzero(cut)
+        length = np.diff(np.append(start, len(kind)))
+        real = kind[start] != _END
+        powers, inverse = _powers(len(kind))
+        sums = np.cumsum((chars.astype(np.uint64) + np.uint64(1)) * powers[: len(kind)])
+        sums = np.concatenate([np.zeros(1, np.uint64), sums])
+        start, length, text = start[real], length[real], np.cumsum(~real)[real]
+        code = (sums[start + length] - sums[start]) * inverse[start]
+        code ^= length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        distinct, which = np.unique(code, return_inverse=True)
+        at = np.empty(len(distinct), np.int64)
+        at[which] = np.arange(len(which))
+        keys = distinct.tolist()
+        ids = list(map(self.known.get, keys))
+        for j, found in enumerate(ids):
+            if found is None:
+                a = int(start[at[j]])
+                ids[j] = self.older.get(keys[j]) or self.piece(data[a : a + int(length[at[j]])])
+                self.known[keys[j]] = ids[j]
+        if len(self.known) > CACHE_PIECES // 2:
+            self.known, self.older = {}, self.known
+        pool = np.frombuffer(b"".join(ids), "<u4")
+        n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        first = np.cumsum(n) - n
+        many = n[which]
+        ends = np.cumsum(many)
+        flat = pool[np.repeat(first[which] - (ends - many), many) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
+        # The last piece of every text gives its end.
+        upto = np.concatenate([np.zeros(1, np.int64), ends])[np.searchsorted(text, np.arange(len(texts) + 1))] * 4
+        return [flat[a:b] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
+
+
+def _parts(raw: bytes) -> Iterator[bytes]:
+    """A long text cut before blanks that follow a visible character: no piece crosses such a place."""
+    at = 0
+    while len(raw) - at > 2 * BATCH_BYTES:
+        m = _SAFE.search(raw, at + BATCH_BYTES)
+        if m is None:
+            break
+        yield raw[at : m.start() + 1]
+        at = m.start() + 1
+    yield raw[at:] if at else raw
+
+
+_POWERS: list[np.ndarray] = []
+# A fixed odd multiplier and its inverse modulo 2 ** 64.
+_BASE = 0x9E3779B97F4A7C15 | 1
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The multiplier's powers 0 .. n - 1, and their inverses."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        grown = []
+        for base in (_BASE, _INVERSE):
+            p = np.full(max(n, 4 * BATCH_BYTES), base, np.uint64)
+            p[0] = 1
+            grown.append(np.multiply.accumulate(p))
+        _POWERS[:] = grown
+    return _POWERS[0], _POWERS[1]
+
 
 _ENCODERS: dict[str, Encoder] = {}
 
