@@ -90,8 +90,8 @@ def linear_to_srgb(c: Column) -> Column:
 
 
 def to_byte(c: Column) -> Column:
-    """floor(255 * clamped + 0.5)."""
-    return F.floor(clamp01(c) * lit(255) + lit(0.5)).cast("int")
+    """floor(255 * clamped + 0.5), with sums' last digits taken off first so that halves always go up."""
+    return F.floor(F.round(clamp01(c) * lit(255), 9) + lit(0.5)).cast("int")
 
 
 def renormalised(rgb: Sequence[Column]) -> list[Column]:

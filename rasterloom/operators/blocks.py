@@ -68,14 +68,14 @@ def pack(r0: Column, r1: Column, sel: Column) -> Column:
     return F.unhex(F.concat(*parts))
 
 
-def unpack(block: Column) -> tuple[Column, Column, Column]:
-    """r0, r1 and the selectors of eight bytes."""
-    byte = lambda i: F.conv(F.hex(F.substring(block, i + 1, 1)), 16, 10).cast("long")
-    bits = byte(2)
-    for i in range(1, 6):
-        bits = bits + F.shiftleft(byte(2 + i), 8 * i)
-    sel = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda t: F.floor(bits / F.pow(lit(8), t.cast("double"))).cast("long").bitwiseAND(F.lit(7)).cast("int"))
-    return byte(0).cast("int"), byte(1).cast("int"), sel
+def unpack(blocks: DataFrame, column: str) -> DataFrame:
+    """``blocks`` with r0, r1 and sel from eight bytes."""
+    number = lambda at: F.conv(F.hex(F.substring(F.col(column), at, 1)), 16, 10).cast("int")
+    # Selectors sit in a low-byte-first 48-bit number: its bytes backwards are its hex digits.
+    bits = F.conv(F.concat(*[F.hex(F.substring(F.col(column), i, 1)) for i in range(8, 2, -1)]), 16, 2)
+    rows = blocks.withColumns({"r0": number(1), "r1": number(2), "__bits": F.lpad(bits, 48, "0")})
+    sel = F.array(*[F.conv(F.substring("__bits", 46 - 3 * t, 3), 2, 10).cast("int") for t in range(16)])
+    return rows.withColumn("sel", sel).drop("__bits")
 
 
 def decode(blocks: DataFrame, w: int, h: int, keys: Sequence[str] = (*KEYS, "ch")) -> DataFrame:

@@ -242,8 +242,7 @@ def q30(spark, d):
 def q31(spark, d):
     texels, w, h = _indices(spark, d, 4)
     packed = B.encode(B.gather(texels, w, h), 4).select("plane", "ch", "bx", "by", B.pack(F.col("r0"), F.col("r1"), F.col("sel")).alias("b"))
-    r0, r1, sel = B.unpack(F.col("b"))
-    return _rounded(B.decode(packed.select("plane", "ch", "bx", "by", r0.alias("r0"), r1.alias("r1"), sel.alias("sel")), w, h).drop("plane"), 4)
+    return _rounded(B.decode(B.unpack(packed, "b"), w, h).drop("plane"), 4)
 
 
 def q32(spark, d):
