@@ -15,11 +15,13 @@
 4. *Rest.*  A region whose members lie in one component has nothing more to give.
    In every other region all pairs across components are candidates: members
    outside the region's largest component meet all members, block by block, with
-   no limit on their number; pairs whose sizes or signatures exclude similarity
-   0.75 (SLACK values of 128 below expectation: more than five standard deviations)
-   are passed over, the others confirmed on their full sets.
-   So all pairs that share a region in any tree are decided, without ever emitting
-   all pairs of a crowded one.
+   no limit on their number.  Sets of up to SMALL shingles are compared in full on
+   the spot, as a product of a block's incidence matrices, so only links leave the
+   task; of larger sets the pairs whose LONG-value signatures don't exclude 0.75
+   (five standard deviations below expectation) are confirmed as in step 3.  The
+   first FIRST_TREES trees go first, which joins the copies around a common original;
+   then all trees, where components are still apart.  So all pairs that share a region
+   in any tree are decided, without ever emitting all pairs of a crowded one.
 5. *Components.*  Links are contracted by large-star and small-star steps, staged
    round by round in the shared folder, until they stay the same.
 
@@ -35,7 +37,7 @@ an empty table.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,18 +51,25 @@ SHINGLE = 5
 VALUES = 128
 DEPTH = 4
 TREES = VALUES // DEPTH
-#: Least agreeing values, of 128, of a pair across components: 96 are expected at 0.75, 4.9 is their deviation.
-AGREE = 70
+#: Sets of up to SMALL shingles are compared in full where members of a region meet; larger ones by signatures of
+#: LONG values, of which a pair must share AGREE (384 are expected at 0.75, 9.8 is their deviation) to be confirmed.
+SMALL, LONG, AGREE = 512, 512, 335
+#: Trees whose regions are searched before those of all trees.
+FIRST_TREES = 4
 #: Members of a region that meet in one task unit.
 MEET = 128
+#: Rows in a Python worker's batch: texts, pairs of whole sets, members with small sets.
+TEXT_ROWS, PAIR_ROWS, MEET_ROWS = 512, 128, 1024
+#: Columns of an incidence matrix that are multiplied at once.
+COLUMNS = 4096
 #: Shingles whose MinHash products are held at once.
 CHUNK = 2048
 #: Up to so many candidate ids are sent to the tasks as a filter (16 MB); beyond, they are joined.
 SENT_IDS = 1_000_000
 
 _RNG = np.random.default_rng(20240229)
-_XOR = _RNG.integers(0, 2**63, VALUES, dtype=np.uint64)
-_MUL = _RNG.integers(0, 2**63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_XOR = _RNG.integers(0, 2**63, LONG, dtype=np.uint64)
+_MUL = _RNG.integers(0, 2**63, LONG, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -89,12 +98,17 @@ def shingles(text: bytes | str | None) -> np.ndarray:
     return np.unique(total)
 
 
-def signature(own: np.ndarray) -> np.ndarray:
-    """TREES packed groups of DEPTH 16-bit MinHash values."""
-    least = np.full(VALUES, np.iinfo(np.uint64).max, np.uint64)
+def minima(own: np.ndarray, values: int) -> np.ndarray:
+    """``values`` 16-bit MinHash values."""
+    least = np.full(values, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(own), CHUNK):
-        np.minimum(least, ((own[at : at + CHUNK, None] ^ _XOR) * _MUL).min(0), out=least)
-    return (_mixed(least, 0) >> np.uint64(48)).astype("<u2").view("<i8")
+        np.minimum(least, ((own[at : at + CHUNK, None] ^ _XOR[:values]) * _MUL[:values]).min(0), out=least)
+    return (_mixed(least, 0) >> np.uint64(48)).astype("<u2")
+
+
+def signature(own: np.ndarray) -> np.ndarray:
+    """TREES packed groups of DEPTH values."""
+    return minima(own, VALUES).view("<i8")
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,15 +184,19 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text").cast(pa.binary())
         for i in range(batch.num_rows):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, 1), pa.array([shingles(texts[i].as_py()).tobytes()], pa.binary())], names=["id", "own"])
+            own = shingles(texts[i].as_py())
+            # A partner of a set beyond SMALL has 0.75 of its size at least.
+            long = minima(own, LONG).tobytes() if 4 * len(own) > 3 * SMALL else None
+            small = own.tobytes() if len(own) <= SMALL else None
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, 1), *(pa.array([x], t) for x, t in ((len(own), pa.int64()), (own.tobytes(), pa.binary()), (small, pa.binary()), (long, pa.binary())))], names=["id", "n", "own", "small", "long"])
 
 
 def full_sets(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, own): the whole shingle sets of the documents in ``ids``."""
+    """The shingle sets of the documents in ``ids``: whole (own), whole if small, and a long signature if not."""
     wanted = ids.select(F.col("rid").alias("doc_id")).distinct()
     few = wanted.limit(SENT_IDS + 1).count() <= SENT_IDS
     rows = documents.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
-    return stage(rows.mapInArrow(_sets, "id long, own binary"), "neardup-sets")
+    return stage(rows.mapInArrow(_sets, "id long, n long, own binary, small binary, long binary"), "neardup-sets", rows=TEXT_ROWS)
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +215,7 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     left = sets.select(F.col("id").alias("a"), F.col("own").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("own").alias("sb"))
-    return stage(pairs.join(left, "a").join(right, "b").mapInArrow(_confirm, "a long, b long"), "neardup-links")
+    return stage(pairs.join(left, "a").join(right, "b").mapInArrow(_confirm, "a long, b long"), "neardup-links", rows=PAIR_ROWS)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -220,28 +238,63 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("id"), F.col("v").alias("root"))
 
 
+def _common(small: list[bytes], other: list[bytes]) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets, as a product of incidence matrices."""
+    sets = [np.frombuffer(x, np.uint64) for x in (*small, *other)]
+    values, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    shared = np.bincount(column, minlength=len(values)) > 1
+    at = np.cumsum(shared) - 1
+    use = shared[column]
+    row, column = row[use], at[column[use]]
+    total = np.zeros((len(small), len(other)), np.float32)
+    for begin in range(0, int(shared.sum()), COLUMNS):  # a slice of the incidence matrix at a time
+        part = (column >= begin) & (column < begin + COLUMNS)
+        incidence = np.zeros((len(sets), COLUMNS), np.float32)
+        incidence[row[part], column[part] - begin] = 1
+        total += incidence[: len(small)] @ incidence[len(small) :].T
+    return total.astype(np.int64)
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by unit: within a unit, every asking row against every other of another component."""
+    """Rows sorted by unit: within a unit, every asking row against every other of another component.
+
+    Gives (a, b, sure): links of small sets, and pairs of larger ones to be confirmed.
+    """
 
-    def pairs(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(rows: pa.Table) -> np.ndarray:
         asks = rows.column("asks").to_numpy()
         rid, comp, n = (rows.column(c).to_numpy() for c in ("rid", "comp", "n"))
-        sig = np.frombuffer(rows.column("sig").combine_chunks().flatten().to_numpy().tobytes(), "<u2").reshape(len(rid), VALUES)
-        q, c = np.flatnonzero(asks), np.flatnonzero(~asks)
-        if not len(q) or not len(c):
-            return rid[:0], rid[:0]
-        good = (comp[q][:, None] != comp[c][None, :]) & (4 * np.minimum(n[q][:, None], n[c][None, :]) >= 3 * np.maximum(n[q][:, None], n[c][None, :]))
-        i, j = np.nonzero(good)
-        kept = np.zeros(len(i), bool)
-        for at in range(0, len(i), 4096):
-            part = slice(at, at + 4096)
-            kept[part] = (sig[q[i[part]]] == sig[c[j[part]]]).sum(1) >= AGREE
-        return rid[q[i[kept]]], rid[c[j[kept]]]
-
-    def out(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        x, y = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-        distinct = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(distinct[:, 0]), pa.array(distinct[:, 1])], names=["a", "b"])
+        small, long = (rows.column(c).to_pylist() for c in ("small", "long"))
+        found = []
+        for sure in (True, False):
+            has = n <= SMALL if sure else 4 * n > 3 * SMALL
+            q, c = np.flatnonzero(asks & has), np.flatnonzero(~asks & has)
+            if not len(q) or not len(c):
+                continue
+            nq, nc = n[q][:, None], n[c][None, :]
+            good = (comp[q][:, None] != comp[c][None, :]) & (4 * np.minimum(nq, nc) >= 3 * np.maximum(nq, nc))
+            if not sure:
+                good &= np.maximum(nq, nc) > SMALL
+            if not good.any():
+                continue
+            if sure:
+                common = _common([small[i] for i in q], [small[i] for i in c])
+                good &= 100 * common >= 75 * (nq + nc - common)
+                i, j = np.nonzero(good)
+            else:
+                values = lambda at: np.frombuffer(b"".join(long[i] for i in at), "<u2").reshape(len(at), LONG)
+                left, right = values(q), values(c)
+                i, j = np.nonzero(good)
+                agree = np.concatenate([(left[i[k : k + 2048]] == right[j[k : k + 2048]]).sum(1) for k in range(0, len(i), 2048)])
+                i, j = i[agree >= AGREE], j[agree >= AGREE]
+            found.append(np.stack([rid[q[i]], rid[c[j]], np.full(len(i), sure)], 1))
+        return np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+
+    def out(found: list[np.ndarray]) -> pa.RecordBatch:
+        x = np.concatenate(found)
+        distinct = np.unique(np.stack([np.minimum(x[:, 0], x[:, 1]), np.maximum(x[:, 0], x[:, 1]), x[:, 2]], 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(distinct[:, 0]), pa.array(distinct[:, 1]), pa.array(distinct[:, 2] > 0)], names=["a", "b", "sure"])
 
     held: pa.Table | None = None
     for batch in batches:
@@ -257,8 +310,8 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out([pairs(held)])
 
 
-def open_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs across the components of a region that sizes and signatures allow."""
+def open_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, sure): links, and pairs still to be confirmed, across the components of a region."""
     region = ["tree", "k1"]
     named = members.select(*region, "rid").distinct().join(labels, F.col("rid") == F.col("id"), "left").select(*region, "rid", F.coalesce("root", "rid").alias("comp"))
     named = stage(named, "neardup-members")
@@ -267,21 +320,32 @@ def open_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame) -> Dat
     whole = parts.groupBy(*region).agg(F.sum("c").alias("total"), F.max(F.struct("c", "comp")).alias("big"), F.count(F.lit(1)).alias("comps")).filter("comps > 1 and total > 2")
     blocks = lambda c: F.ceil(c / F.lit(float(MEET))).cast("int")
     plan = stage(whole.select(*region, F.col("big.comp").alias("big"), blocks(F.col("total")).alias("all_blocks"), blocks(F.col("total") - F.col("big.c")).alias("rest_blocks")), "neardup-plan")
-    rows = named.join(plan, region).join(classes.select("rid", "n", "sig"), "rid")
+    rows = named.join(plan, region).join(sets.select(F.col("id").alias("rid"), "n", "small", "long"), "rid")
     block = lambda salt, n: F.pmod(F.xxhash64("rid", F.lit(salt)), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    carried = [*region, "rid", "comp", "n", "sig"]
+    carried = [*region, "rid", "comp", "n", "small", "long"]
     asking = rows.filter("comp <> big").select(*carried, F.lit(True).alias("asks"), block(1, F.col("rest_blocks")).alias("j"), every(F.col("all_blocks")).alias("i"))
     answering = rows.select(*carried, F.lit(False).alias("asks"), block(2, F.col("all_blocks")).alias("i"), every(F.col("rest_blocks")).alias("j"))
     unit = [*region, "i", "j"]
-    met = asking.unionByName(answering).repartition(*unit).sortWithinPartitions(*unit).mapInArrow(_meet, "a long, b long")
+    met = asking.unionByName(answering).repartition(*unit).sortWithinPartitions(*unit).mapInArrow(_meet, "a long, b long, sure boolean")
     return met.filter("a <> b").distinct()
 
 
+def joined_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, root) after more links: the links are named by their components and contracted among these."""
+    if links.isEmpty():
+        return labels
+    name = lambda df, c: df.join(labels.select(F.col("id").alias(c), F.col("root").alias(f"{c}_root")), c, "left").withColumn(c, F.coalesce(f"{c}_root", c)).drop(f"{c}_root")
+    again = components(name(name(links, "a"), "b"))
+    onward = again.select(F.col("id").alias("root"), F.col("root").alias("top"))
+    moved = labels.join(onward, "root", "left").select("id", F.coalesce("top", "root").alias("root"))
+    return stage(moved.unionByName(again.join(labels.select("id"), "id", "left_anti").select("id", "root")), "neardup-labels")
+
+
 def group(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = stage(rows.mapInArrow(_sign, "doc_id long, n long, f1 long, f2 long, sig array<long>"), "neardup-signed")
+    signed = stage(rows.mapInArrow(_sign, "doc_id long, n long, f1 long, f2 long, sig array<long>"), "neardup-signed", rows=TEXT_ROWS)
     key = ["n", "f1", "f2"]
     known = signed.filter("n > 0 and doc_id is not null")
     classes = stage(known.groupBy(*key).agg(F.min("doc_id").alias("rid"), F.first("sig").alias("sig")), "neardup-classes")
@@ -297,14 +361,12 @@ def group(documents: DataFrame) -> DataFrame:
     repeated = members.groupBy("doc_id").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).filter("lo < hi").select("doc_id")
     ties = members.join(repeated, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rid").alias("b"))
     labels = components(links.unionByName(ties))
-    late = stage(open_pairs(regions, labels, classes).join(near, ["a", "b"], "left_anti"), "neardup-pairs")
-    more = confirm(late, sets)
-    name = lambda df, c: df.join(labels.select(F.col("id").alias(c), F.col("root").alias(f"{c}_root")), c, "left").withColumn(c, F.coalesce(f"{c}_root", c)).drop(f"{c}_root")
-    if not more.isEmpty():
-        again = components(name(name(more, "a"), "b"))
-        onward = again.select(F.col("id").alias("root"), F.col("root").alias("top"))
-        moved = labels.join(onward, "root", "left").select("id", F.coalesce("top", "root").alias("root"))
-        labels = stage(moved.unionByName(again.join(labels.select("id"), "id", "left_anti").select("id", "root")), "neardup-labels")
+    tried = near
+    for trees in (FIRST_TREES, TREES):
+        met = stage(open_pairs(regions.filter(F.col("tree") < trees), labels, sets), "neardup-met", rows=MEET_ROWS)
+        late = stage(met.filter(~F.col("sure")).select("a", "b").join(tried, ["a", "b"], "left_anti"), "neardup-pairs")
+        labels = joined_labels(labels, stage(met.filter("sure").select("a", "b").unionByName(confirm(late, sets)), "neardup-links"))
+        tried = tried.unionByName(late)
     grouped = members.join(labels, F.col("rid") == F.col("id"), "left").select("doc_id", F.coalesce("root", "rid").alias("component_id"))
     own = grouped.groupBy(F.col("doc_id").alias("__id")).agg(F.min("component_id").alias("component_id"))
     return signed.select("doc_id", F.col("n").alias("n_shingles")).join(own, F.col("doc_id") == F.col("__id"), "left").select(
