@@ -8,7 +8,9 @@ folder *and* runs in a single process (tests) is a default used.
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,11 +35,27 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/rasterloom/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the table read back."""
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    """While a job runs inside, Python workers get batches of at most ``rows`` rows: wide rows in bounded memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if rows is None:
+        yield
+        return
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def stage(df: DataFrame, name: str, rows: int | None = None, **options: str) -> DataFrame:
+    """Write ``df`` to the shared folder and return the table read back; ``rows`` as in ``arrow_rows``."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.options(**options).parquet(path)
+    with arrow_rows(spark, rows):
+        df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
     return out

@@ -36,16 +36,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import new_path
+from rasterloom.llm.common import arrow_rows, new_path
 
 END_ID = 0
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2000
 #: Pieces a worker remembers at most (some 200 bytes each).
-CACHE_PIECES = 600_000
+CACHE_PIECES = 500_000
 #: Text that is cut and looked up at once.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 19
 #: Texts a worker encodes at once.
 TEXTS_AT_ONCE = 1024
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
@@ -205,7 +205,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
         grown = []
         for base in (_BASE, _INVERSE):
-            p = np.full(max(n, 4 * BATCH_BYTES), base, np.uint64)
+            p = np.full(max(n, 3 * BATCH_BYTES), base, np.uint64)
             p[0] = 1
             grown.append(np.multiply.accumulate(p))
         _POWERS[:] = grown
@@ -263,7 +263,8 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int =
         "parquet.enable.dictionary#ids.list.element": "true",
         "compression": "zstd",
     }
-    encode_documents(documents, tokenizer, end_id).write.options(**options).parquet(path)
+    with arrow_rows(documents.sparkSession, TEXTS_AT_ONCE):
+        encode_documents(documents, tokenizer, end_id).write.options(**options).parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
