@@ -373,8 +373,150 @@ NAMES = {
 }
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(NAMES)
 
 
 
+
+# ---- solvers: what SQL can't express, tested against dense or brute-force versions
+
+
+def q22(spark, d):
+    from rasterloom.operators.decoder import fit as fit_decoder
+
+    rows, size = _rows(spark, d, LEVELS)
+    weights = A.mip_weights(size)
+    total = weights.join(size, "plane").agg(F.sum(F.col("per_site") * F.col("w0") * F.col("h0") * 5)).first()[0]
+    got = fit_decoder(rows, weights, CW, total)
+    out = [(r, *map(float, w), float(b)) for r, (w, b) in enumerate(zip(got.w, got.b, strict=True))]
+    return _rounded(spark.createDataFrame(out, "output int, w0 double, w1 double, w2 double, w3 double, w4 double, bias double"), 4)
+
+
+def q24(spark, d):
+    from rasterloom.operators.initialise import leading_direction
+
+    source, size, _, _ = _base(spark, d)
+    means = A.block_means(source, size)
+    found = leading_direction(A.covariance(means))
+    projected = means.select("x", "y", A.projection(means, found.direction, found.mean).alias("p"))
+    peak = projected.agg(F.max(F.abs("p")).alias("peak"))
+    return _rounded(projected.crossJoin(peak).select("x", "y", (F.col("p") / F.col("peak")).alias("v")), 6)
+
+
+def _plane_step(spark, d, step, schema: str) -> DataFrame:
+    """``step`` on the events raster's planes, packed as one group."""
+    import pandas as pd
+
+    from rasterloom.plans.fit import to_array
+
+    source, size, w, h = _base(spark, d)
+    l0, l1 = luma_plane(source), mean_plane(source, size)
+    tagged = lambda df, name, n: df.select(F.lit(name).alias("part"), "x", "y", *[F.col(f"c{i}") if i < n else F.lit(0.0).alias(f"c{i}") for i in range(3)])
+    rows = tagged(source, "src", 3).unionByName(tagged(l0, "l0", 1)).unionByName(tagged(l1, "l1", 2))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        from rasterloom.operators import latents as L
+
+        part = lambda name, n: to_array(pdf[pdf["part"] == name], [f"c{i}" for i in range(n)])
+        return step(L, np, L.Plane(part("l0", 1), part("l1", 2), part("src", 3)), np.array(W), np.array(BIAS), np.array(CW))
+
+    return rows.withColumn("plane", F.lit(0)).groupBy("plane").applyInPandas(run, schema)
+
+
+_STEP = "step string, error double, moved long"
+
+
+def q44(spark, d):
+    def step(L, np, p, w, b, cw):  # noqa: N803
+        import pandas as pd
+
+        before = L.plane_error(p, w, b, cw, 4)[0]
+        report = L.solve(p, w, b, cw, 4, 1e-4, False)
+        return pd.DataFrame([("before", before, 0), ("after", L.plane_error(p, w, b, cw, 4)[0], 0), ("converged", float(report.residual < 1e-6), 0)], columns=["step", "error", "moved"])
+
+    return _rounded(_plane_step(spark, d, step, _STEP), 3)
+
+
+def q45(spark, d):
+    def step(L, np, p, w, b, cw):  # noqa: N803
+        import pandas as pd
+
+        lo, hi = np.full(2, -1.0), np.full(2, 1.0)
+        p.k1 = L.grid_index(lo, hi, 6, p.v1)
+        p.v1 = L.grid_value(lo, hi, 6, p.k1)
+        rows = [("snapped", L.plane_error(p, w, b, cw, 4)[0], 0)]
+        for sweep in range(3):
+            moved = L.grid_sweep(p, w, b, cw, 4, 1e-4, False, lo, hi, 6, 1).moved
+            rows.append((f"sweep{sweep}", L.plane_error(p, w, b, cw, 4)[0], moved))
+        return pd.DataFrame(rows, columns=["step", "error", "moved"])
+
+    return _rounded(_plane_step(spark, d, step, _STEP), 3)
+
+
+def q46(spark, d):
+    def step(L, np, p, w, b, cw):  # noqa: N803
+        import pandas as pd
+
+        lo, hi = np.full(1, -1.0), np.full(1, 1.0)
+        p.k0 = L.grid_index(lo, hi, 8, p.v0)
+        p.v0 = L.grid_value(lo, hi, 8, p.k0)
+        rows = [("indices", L.plane_error(p, w, b, cw, 4)[0], 0)]
+        p.blocks = L.seed_blocks(p.k0)
+        p.v0 = L.block_values(p.blocks, *p.size0, lo, hi)
+        rows.append(("packed", L.plane_error(p, w, b, cw, 4)[0], 0))
+        moved = sum(r.improved for r in L.refine_blocks(p, w, b, cw, 4, lo, hi, 4))
+        rows.append(("refined", L.plane_error(p, w, b, cw, 4)[0], moved))
+        return pd.DataFrame(rows, columns=["step", "error", "moved"])
+
+    return _rounded(_plane_step(spark, d, step, _STEP), 3)
+
+
+def q47(spark, d):
+    from rasterloom.functions.config import Options
+    from rasterloom.plans.fit import fit_report, with_material
+
+    source = fixtures.events_raster(spark, d)[0].filter(F.col("y") < 128)
+    orders = fixtures.orders_raster(spark, d)[0].filter(F.col("y") < 128)
+    materials = with_material(source, "events").unionByName(with_material(orders, "orders"))
+    return _rounded(fit_report(materials, Options(c0=1, c1=3, rounds=5)), 6)
+
+
+_DESCRIPTORS = [
+    ("good.json", '{"format":"latent-pair","decode":{"width":8,"height":8,"textures_out":1},"textures":[{"file":"a.dds","mip_count":1,"mip_sizes":[[8,8]],"dxgi_format_id":80,"dxgi_format":"BC4"},{"files":["b.dds","sub/c.dds"],"mip_count":1,"mip_sizes":[[2,2]],"dxgi_format_id":28,"dxgi_format":"RGBA8"}],"decoder":{"C0":1,"C1":1,"nin":3,"nout":3,"layers":[{"rows":3,"cols":3,"weights":[1,2,3,4,5,6,7,8,9],"bias":[0,0,0]}]}}'),
+    ("bad.json", '{"format":"latent-pair","decode":{"width":8,"height":8,"textures_out":1},"textures":[{"file":"d.dds","mip_count":2,"mip_sizes":[[8,8]],"dxgi_format_id":80,"dxgi_format":"BC4"},{"file":"e.dds","mip_count":1,"mip_sizes":[[2,2]],"dxgi_format_id":28,"dxgi_format":"RGBA8"}],"decoder":{"C0":1,"C1":1,"nin":4,"nout":3,"layers":[{"rows":3,"cols":3,"weights":[1,2,3],"bias":[0,0,0]}]}}'),
+    ("other.json", '{"hello": 1}'),
+]
+
+
+def q42(spark, d):
+    from rasterloom.sources import descriptor as X
+
+    found = X.find(spark.createDataFrame(_DESCRIPTORS, "name string, text string"))
+    broken = X.violations(found).select("name", F.lit(None).cast("string").alias("file"), F.col("error").alias("state"))
+    files = spark.createDataFrame([("a.dds",), ("b.dds",), ("e.dds",)], "file string")
+    return broken.unionByName(X.resolve(X.named_files(found), files))
+
+
+def q43(spark, d):
+    from rasterloom.functions.config import merge_settings
+
+    textures = spark.createDataFrame([(0, None, None, None, None, 500.0), (1, "mitchell", True, None, None, None), (2, None, True, None, None, 1e-9), (3, "box", None, "wrap", True, 0.0)], "t int, filter string, srgb boolean, edge string, normal_map boolean, weight double")
+    given = spark.createDataFrame([(0, "catmullrom", None), (1, None, 2.0)], "t int, filter string, weight double")
+    return merge_settings(textures, given)
+
+
+NAMES |= {
+    "q22_decoder_fit": q22,
+    "q24_leading_direction": q24,
+    "q42_descriptor_files": q42,
+    "q43_settings_merge": q43,
+    "q44_level1_solve": q44,
+    "q45_grid_sweep": q45,
+    "q46_block_refine": q46,
+    "q47_material_fit": q47,
+}
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(NAMES)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rasterloom.raster_queries import BIAS, CW, DIRECTION, LEVELS, MEAN, W
+from rasterloom.raster_queries import _DESCRIPTORS, BIAS, CW, DIRECTION, LEVELS, MEAN, W
 
 _EVENTS = """ev AS (
   SELECT 0 AS plane, (event_id % 100)::int AS x, (event_id // 100)::int AS y,
@@ -214,6 +214,42 @@ def _palette(bits: int, block: bool) -> str:
     return f"SELECT {bits} AS bits, {str(block).lower()} AS block, k, (-1 + 2 * ({share}))::float::double AS value FROM (SELECT unnest(range({1 << bits}))::int AS k)"
 
 
+def _descriptors() -> str:
+    rows = ", ".join(f"('{name}', '{text}'::JSON)" for name, text in _DESCRIPTORS)
+    rules = {
+        "(c0 NOT BETWEEN 1 AND 4) OR (c1 NOT BETWEEN 1 AND 4)": "1 to 4 channels per latent",
+        "nin <> c1 + c0 + c0 * c1": "nin is C1 + C0 + C0 * C1",
+        "nout <> 3 * outputs": "three outputs per texture",
+        "json_array_length((layer->'weights')) <> nin * nout": "as many weights as nin times nout",
+        "json_array_length((layer->'bias')) <> nout": "as many biases as outputs",
+        "(t0->>'mip_count')::int <> (t1->>'mip_count')::int": "equal mip counts",
+        "json_array_length((t0->'mip_sizes')) <> ((t0->>'mip_count')::int) OR json_array_length((t1->'mip_sizes')) <> ((t1->>'mip_count')::int)": "a size for every mip",
+    }
+    cases = ", ".join(f"CASE WHEN {bad} THEN '{text}' END" for bad, text in rules.items())
+    return f"""WITH raw(name, j) AS (VALUES {rows}),
+d AS (
+  SELECT name, j, (j->'decoder'->>'C0')::int AS c0, (j->'decoder'->>'C1')::int AS c1, (j->'decoder'->>'nin')::int AS nin, (j->'decoder'->>'nout')::int AS nout,
+    (j->'decode'->>'textures_out')::int AS outputs, j->'decoder'->'layers'->0 AS layer, j->'textures'->0 AS t0, j->'textures'->1 AS t1
+  FROM raw WHERE (j->'decoder') IS NOT NULL AND json_array_length(j->'textures') = 2 AND (j->>'format') IS NOT NULL),
+broken AS (SELECT name, NULL::varchar AS file, unnest([{cases}]) AS state FROM d),
+latent AS (SELECT name, unnest([t0, t1]) AS t FROM d),
+named AS (SELECT name, unnest(CASE WHEN (t->'files') IS NOT NULL THEN (t->'files')::varchar[] ELSE [t->>'file'] END) AS file FROM latent)
+SELECT * FROM broken WHERE state IS NOT NULL
+UNION ALL SELECT name, file, CASE WHEN contains(file, '/') THEN 'unresolvable' WHEN file IN ('a.dds', 'b.dds', 'e.dds') THEN 'have' ELSE 'missing' END FROM named"""
+
+
+_SETTINGS = """WITH textures(t, filter, srgb, edge, normal_map, weight) AS (VALUES
+  (0, NULL, NULL::boolean, NULL, NULL::boolean, 500.0::double), (1, 'mitchell', true, NULL, NULL, NULL), (2, NULL, true, NULL, NULL, 1e-9::double), (3, 'box', NULL, 'wrap', true, 0.0::double)),
+given(t, f, w) AS (VALUES (0, 'catmullrom', NULL::double), (1, NULL, 2.0::double)),
+j AS (SELECT *, coalesce(srgb, false) OR coalesce(edge, 'clamp') = 'wrap' OR coalesce(normal_map, false) AS implied, coalesce(w, weight, 1.0::double) AS raw FROM textures LEFT JOIN given USING (t))
+SELECT t, CASE WHEN f IS NULL AND filter IS NULL AND implied THEN 'box' ELSE coalesce(f, filter, 'default') END AS filter,
+  CASE WHEN f IS NOT NULL THEN 'command line' WHEN filter IS NOT NULL THEN 'file' WHEN implied THEN 'implied' ELSE 'default' END AS filter_from,
+  coalesce(srgb, false) AS srgb, coalesce(edge, 'clamp') AS edge, coalesce(normal_map, false) AS normal_map,
+  CASE WHEN raw <= 0 THEN 0.0::double ELSE greatest(1e-6::double, least(128.0::double, raw)) END AS weight,
+  CASE WHEN w IS NOT NULL THEN 'command line' WHEN weight IS NOT NULL THEN 'file' ELSE 'default' END AS weight_from
+FROM j"""
+
+
 def oracle_sql() -> dict[str, str]:
     bytes3 = ", ".join(f"{_byte(f'c{i}')} AS c{i}" for i in range(3))
     linear = lambda c: f"CASE WHEN {c} <= 0.04045 THEN {c} / 12.92::double ELSE pow(({c} + 0.055::double) / 1.055::double, 2.4::double) END"
@@ -288,6 +324,8 @@ SELECT ch, bx::int AS bx, yb::int AS "by", r0, r1, bits, printf('%02x%02x', r0,
         "q39_frame_diff": f"WITH {_EVENTS}, {_ORDERS}, {_errors('ev', 'od')} SELECT plane, ch, max(abs(d)) AS max_diff, round(avg(abs(d)), 6) AS mean_diff, round(avg((d * d)::double), 6) AS mse, round({_psnr_of('avg((d * d)::double)')}, 6) AS psnr FROM err GROUP BY plane, ch",
         "q40_duplicate_channels": f"WITH {_EVENTS}, c AS (SELECT [c0, c1, c2, c0, c2] AS v FROM ev) SELECT a::int AS a, b::int AS b, bool_and(v[a + 1] = v[b + 1]) AS same FROM c, (SELECT unnest(range(5)) AS a), (SELECT unnest(range(5)) AS b) WHERE a < b GROUP BY a, b",
         "q41_rates": f"WITH RECURSIVE {_EVENTS}, {_geometry(LEVELS)}, b AS (SELECT plane, ceil(w0 / 4.0) * ceil(h0 / 4.0) * 16 + w1 * h1 * 4 AS n, w, h FROM size, dims) SELECT sum(n)::bigint AS bytes, round(sum(CASE WHEN plane = 0 THEN n ELSE 0 END)::double * 8 / max(w::double * h), 9) AS bpp_base, round(sum(n)::double * 8 / max(w::double * h), 9) AS bpp_chain, round(sum(n)::double * 8 / max(w::double * h), 9) AS bpp_texture FROM b",
+        "q42_descriptor_files": _descriptors(),
+        "q43_settings_merge": _SETTINGS,
         "q48_decoder_lean": " UNION ALL ".join(lean),
         "q49_lineitem_raster": "WITH grid AS (SELECT unnest(range(4096)) AS id), cells AS (SELECT (l_partkey % 64)::int AS x, (l_suppkey % 64)::int AS y, (count(*) % 256)::int AS r, (sum(l_quantity)::bigint % 256)::int AS g FROM lineitem GROUP BY ALL) SELECT 0 AS plane, (id % 64)::int AS x, (id // 64)::int AS y, coalesce(r, 0) AS c0, coalesce(g, 0) AS c1 FROM grid LEFT JOIN cells ON cells.x = id % 64 AND cells.y = id // 64",
         "q50_embeddings_box": f"WITH em AS (SELECT unnest(range(64))::int AS x, vec_id::int AS y, greatest(0.0::double, least(1.0::double, 0.5::double + unnest(embedding)::double)) AS c0 FROM embeddings), dims AS (SELECT count(*)::int AS h FROM embeddings), half AS (SELECT x // 2 AS hx, y // 2 AS hy, avg(c0) AS m FROM em, dims WHERE y < h // 2 * 2 GROUP BY ALL), e AS (SELECT x, abs({_byte('c0')} - {_byte('round(m, 9)')}) AS d FROM em JOIN half ON x // 2 = hx AND y // 2 = hy) SELECT (x // 16)::int AS band, max(d) AS max_diff, round(avg((d * d)::double), 6) AS mse, count(*)::bigint AS n FROM e GROUP BY ALL",
