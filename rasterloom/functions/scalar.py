@@ -148,7 +148,7 @@ def bc4_entry(r0: Column, r1: Column, sel: Column) -> Column:
 
 
 def bc4_palette(r0: Column, r1: Column) -> Column:
-    return F.array(*[bc4_entry(r0, r1, F.lit(i)) for i in range(8)])
+    return F.transform(F.sequence(F.lit(0), F.lit(7)), lambda s: bc4_entry(r0, r1, s))
 
 
 def bc4_weight(sel: Column) -> Column:

@@ -60,12 +60,11 @@ def selector_bits(sel: Column) -> Column:
     return F.aggregate(F.transform(sel, lambda s, i: s.cast("long") * F.pow(lit(8), i.cast("double")).cast("long")), F.lit(0).cast("long"), lambda a, s: a + s)
 
 
-def pack(r0: Column, r1: Column, sel: Column) -> Column:
-    """The eight bytes of a block: endpoints, then the selector bits, low byte first."""
-    bits = selector_bits(sel)
-    parts = [F.lpad(F.hex(r0.cast("long")), 2, "0"), F.lpad(F.hex(r1.cast("long")), 2, "0")]
-    parts += [F.lpad(F.hex(F.shiftright(bits, 8 * i).bitwiseAND(F.lit(255))), 2, "0") for i in range(6)]
-    return F.unhex(F.concat(*parts))
+def pack(blocks: DataFrame, name: str) -> DataFrame:
+    """``blocks`` with their eight bytes as ``name``: endpoints, then the selector bits, low byte first."""
+    rows = blocks.withColumn("__hex", F.lpad(F.hex(selector_bits(F.col("sel"))), 12, "0"))
+    ends = [F.lpad(F.hex(F.col(r).cast("long")), 2, "0") for r in ("r0", "r1")]
+    return rows.withColumn(name, F.unhex(F.concat(*ends, *[F.substring("__hex", i, 2) for i in range(11, 0, -2)]))).drop("__hex")
 
 
 def unpack(blocks: DataFrame, column: str) -> DataFrame:

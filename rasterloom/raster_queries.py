@@ -235,13 +235,13 @@ def _indices(spark, d, bits: int) -> tuple[DataFrame, int, int]:
 
 def q30(spark, d):
     texels, w, h = _indices(spark, d, 4)
-    e = B.encode(B.gather(texels, w, h), 4)
-    return _rounded(e.select("ch", "bx", "by", "r0", "r1", B.selector_bits(F.col("sel")).alias("bits"), F.lower(F.hex(B.pack(F.col("r0"), F.col("r1"), F.col("sel")))).alias("bytes"), "se"), 3)
+    e = B.pack(B.encode(B.gather(texels, w, h), 4), "b")
+    return _rounded(e.select("ch", "bx", "by", "r0", "r1", B.selector_bits(F.col("sel")).alias("bits"), F.lower(F.hex("b")).alias("bytes"), "se"), 3)
 
 
 def q31(spark, d):
     texels, w, h = _indices(spark, d, 4)
-    packed = B.encode(B.gather(texels, w, h), 4).select("plane", "ch", "bx", "by", B.pack(F.col("r0"), F.col("r1"), F.col("sel")).alias("b"))
+    packed = B.pack(B.encode(B.gather(texels, w, h), 4), "b").select("plane", "ch", "bx", "by", "b")
     return _rounded(B.decode(B.unpack(packed, "b"), w, h).drop("plane"), 4)
 
 
