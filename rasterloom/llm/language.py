@@ -42,7 +42,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import held_out_remainder
+from rasterloom.llm.common import arrow_rows, held_out_remainder
 
 #: Documents that a model is fitted on, at most.
 SAMPLE = 3000
@@ -287,7 +287,9 @@ def fit(documents: DataFrame, sample: int = SAMPLE) -> Crf:
     chosen = own.select("doc_id").distinct().withColumn("o", F.xxhash64("doc_id")).orderBy("o", "doc_id").limit(sample)
     rows = own.join(F.broadcast(chosen), "doc_id").select("o", "doc_id", "lang", "text")
     # At most ``sample`` documents (once per repeated id): a bounded input for the one task.
-    got = sorted(rows.repartition(1).mapInPandas(_fit, "lang string, slots binary, weights binary, arrive binary, start double").collect(), key=lambda r: r["lang"])
+    with arrow_rows(documents.sparkSession, TEXTS_AT_ONCE):
+        parts = rows.repartition(1).mapInPandas(_fit, "lang string, slots binary, weights binary, arrive binary, start double").collect()
+    got = sorted(parts, key=lambda r: r["lang"])
     k = len(got)
     weights, transition = np.zeros((SLOTS, k)), np.zeros((k, k))
     for i, r in enumerate(got):

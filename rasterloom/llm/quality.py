@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import held_out_remainder
+from rasterloom.llm.common import arrow_rows, held_out_remainder
 
 #: Labelled documents that a model is fitted on, at most.
 SAMPLE = 4096
@@ -168,7 +168,9 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", sample:
     chosen = own.groupBy("doc_id").agg(F.min(label).alias("y")).withColumn("o", F.xxhash64("doc_id")).orderBy("o", "doc_id").limit(sample)
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("o", "doc_id", "y", "text")
     # At most ``sample`` documents (once per repeated id): a bounded input for the one task.
-    got = {r["name"]: np.frombuffer(bytes(r["data"]), "<f4").reshape(-1, r["cols"]) for r in rows.repartition(1).mapInPandas(_fit, "name string, cols int, data binary").collect()}
+    with arrow_rows(documents.sparkSession, BLOCK):
+        parts = rows.repartition(1).mapInPandas(_fit, "name string, cols int, data binary").collect()
+    got = {r["name"]: np.frombuffer(bytes(r["data"]), "<f4").reshape(-1, r["cols"]) for r in parts}
     if not got:
         return Model(np.zeros(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0, np.float32))
     return Model(got["idf"][:, 0], got["directions"], got["vectors"], got["labels"][:, 0])

@@ -30,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import held_out_remainder
+from rasterloom.llm.common import arrow_rows, held_out_remainder
 from rasterloom.llm.decontaminate import words_of
 
 #: Labelled documents that a model is fitted on, at most.
-SAMPLE = 20_000
+SAMPLE = 12_000
 BITS = 20
 HEAD = 5
 EPOCHS = 3
@@ -42,8 +42,8 @@ ALPHA, BETA, L1, L2 = 1.0, 1.0, 5.0, 0.0
 #: Non-zero weights that are sent to the tasks, at most (the largest ones).
 MAX_WEIGHTS = 1 << 18
 FOLDS, HELD_OUT = 5, 0
-#: Rows a task holds at once.
-ROWS_AT_ONCE = 512
+#: Rows whose features are made at once: in scoring, in fitting.
+ROWS_AT_ONCE, FIT_ROWS = 512, 128
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
@@ -100,25 +100,26 @@ def sigmoid(x: float) -> float:
 
 def _fit(bits: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        features, labels, keys = [], [], []
+        # Features of a chunk of rows are one array: 4 bytes each, and all that is held of the texts.
+        chunks: list[np.ndarray] = []
+        rows: list[tuple[int, int, float, int, int, int]] = []  # order, number of features, label, chunk, begin, end
         for pdf in parts:
-            for at in range(0, len(pdf), ROWS_AT_ONCE):
-                piece = pdf.iloc[at : at + ROWS_AT_ONCE]
+            for at in range(0, len(pdf), FIT_ROWS):
+                piece = pdf.iloc[at : at + FIT_ROWS]
                 row, slot = feature_slots(piece["text"].tolist(), bits)
                 code = np.unique(row * (1 << bits) + slot)
-                cuts = np.searchsorted(code, np.arange(1, len(piece)) * (1 << bits))
-                features += [x.astype(np.int32) for x in np.split(code & ((1 << bits) - 1), cuts)]
-                labels += piece["y"].astype(float).tolist()
-                keys += list(zip(piece["o"].tolist(), map(len, features[-len(piece) :]), strict=True))
+                cuts = np.searchsorted(code, np.arange(len(piece) + 1) * (1 << bits)).tolist()
+                rows += [(o, e - b, float(y), len(chunks), b, e) for o, y, b, e in zip(piece["o"].tolist(), piece["y"].tolist(), cuts, cuts[1:], strict=False)]
+                chunks.append((code & ((1 << bits) - 1)).astype(np.int32))
         model = Ftrl(bits)
-        order = sorted(range(len(keys)), key=keys.__getitem__)
+        rows.sort()
         for _ in range(EPOCHS):
-            for i in order:
-                model.learn(features[i], labels[i])
+            for _, _, label, chunk, b, e in rows:
+                model.learn(chunks[chunk][b:e], label)
         w = model.weights()
         kept = np.flatnonzero(w)
         kept = np.sort(kept[np.argsort(-np.abs(w[kept]), kind="stable")[:MAX_WEIGHTS]])
-        yield pd.DataFrame({"slot": np.concatenate([[-1], kept]), "w": np.concatenate([[model.bias if labels else -1e-6], w[kept]])})
+        yield pd.DataFrame({"slot": np.concatenate([[-1], kept]), "w": np.concatenate([[model.bias if rows else -1e-6], w[kept]])})
 
     return run
 
@@ -129,7 +130,8 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", sample: i
     chosen = own.groupBy("doc_id").agg(F.max(label).alias("y")).withColumn("o", F.xxhash64("doc_id")).orderBy("o", "doc_id").limit(sample)
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("o", "y", "text")
     # At most ``sample`` documents (once per repeated id): a bounded input for the one task.
-    got = rows.repartition(1).mapInPandas(_fit(bits), "slot long, w double").toPandas()
+    with arrow_rows(documents.sparkSession, FIT_ROWS):
+        got = rows.repartition(1).mapInPandas(_fit(bits), "slot long, w double").toPandas()
     bias = float(got.loc[got["slot"] < 0, "w"].iloc[0]) if len(got) else -1e-6
     got = got[got["slot"] >= 0].sort_values("slot")
     return bias, got["slot"].to_numpy(np.int64), got["w"].to_numpy(float)
