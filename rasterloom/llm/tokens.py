@@ -26,8 +26,8 @@ from __future__ import annotations
 
 import json
 import re
-import struct
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -42,10 +42,10 @@ END_ID = 0
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2000
-#: Pieces a worker remembers at most (some 200 bytes each).
-CACHE_PIECES = 500_000
+#: Pieces a worker remembers at most (35 bytes each), and those of them that wait to be sorted in (150 bytes each).
+CACHE_PIECES, LATE_PIECES = 2_000_000, 40_000
 #: Text that is cut and looked up at once.
-BATCH_BYTES = 1 << 19
+BATCH_BYTES = 1 << 18
 #: Texts a worker encodes at once.
 TEXTS_AT_ONCE = 1024
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
@@ -67,6 +67,58 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
+class Store:
+    """ids by 64-bit key: sorted arrays of some 35 bytes an entry, and a small dict of what came last."""
+
+    def __init__(self) -> None:
+        self.keys, self.first = np.zeros(0, np.uint64), np.zeros(1, np.int64)
+        self.pool = np.zeros(0, "<u4")
+        self.late: dict[int, bytes] = {}
+
+    def take(self, keys: np.ndarray, ask: Callable[[int], bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of sorted ``keys`` one after another, and their numbers; ``ask`` gives those of a position not known yet."""
+        pos = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        inside = pos < len(self.keys)
+        known[inside] = self.keys[pos[inside]] == keys[inside]
+        n = np.zeros(len(keys), np.int64)
+        begin = self.first[pos[known]]
+        n[known] = self.first[pos[known] + 1] - begin
+        other = np.flatnonzero(~known)
+        found = []
+        for j, key in zip(other.tolist(), keys[other].tolist(), strict=True):
+            ids = self.late.get(key)
+            if ids is None:
+                ids = self.late[key] = ask(j)
+            found.append(ids)
+        n[other] = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ends = np.cumsum(n)
+        out = np.empty(int(ends[-1]) if len(ends) else 0, "<u4")
+        out[_ranges(ends[known] - n[known], n[known])] = self.pool[_ranges(begin, n[known])]
+        out[_ranges(ends[other] - n[other], n[other])] = np.frombuffer(b"".join(found), "<u4")
+        if len(self.late) > LATE_PIECES:
+            self._settle()
+        return out, n
+
+    def _settle(self) -> None:
+        keys = np.fromiter(self.late, np.uint64, len(self.late))
+        n = np.fromiter(map(len, self.late.values()), np.int64, len(keys)) // 4
+        pool = np.frombuffer(b"".join(self.late.values()), "<u4")
+        self.late = {}
+        if len(self.keys) + len(keys) <= CACHE_PIECES:  # else the store starts anew with the late ones
+            keys, n, pool = np.concatenate([self.keys, keys]), np.concatenate([np.diff(self.first), n]), np.concatenate([self.pool, pool])
+        order = np.argsort(keys)
+        begin = (np.cumsum(n) - n)[order]
+        self.keys, self.pool = keys[order], pool[_ranges(begin, n[order])]
+        self.first = np.concatenate([np.zeros(1, np.int64), np.cumsum(n[order])])
+
+
+def _ranges(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ..., then begin[1], ...: n of each."""
+    ends = np.cumsum(n)
+    return np.repeat(begin - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 class Encoder:
     """ids of texts as little-endian 32-bit bytes; one per worker process.
 
@@ -85,9 +137,10 @@ class Encoder:
         config = json.loads(self.tokenizer.to_str())
         splitter = config["pre_tokenizer"] or {}
         self.by_piece = config["normalizer"] is None and config["model"]["type"] == "BPE" and not config["model"].get("dropout") and splitter.get("type") == "ByteLevel" and splitter["use_regex"] and not splitter["add_prefix_space"]
-        self.tokenize, self.alphabet = self.tokenizer.model.tokenize, byte_alphabet()
-        self.known: dict[int, bytes] = {}
-        self.older: dict[int, bytes] = {}
+        letters = byte_alphabet()
+        self.tokenize = self.tokenizer.model.tokenize
+        self.alphabet = {b: "".join(letters[x] for x in chr(b).encode()) for b in range(256)}
+        self.store = Store()
         specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, specials)) or r"(?!)")
 
@@ -96,8 +149,11 @@ class Encoder:
 
     def piece(self, piece: bytes) -> bytes:
         """The model's ids of one piece of Latin-1 characters, without the library's bookkeeping for whole texts."""
-        ids = [t.id for t in self.tokenize(piece.decode("latin-1").encode().decode("latin-1").translate(self.alphabet))]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        if piece.isascii() and piece[-1] > 32:  # at most one blank, in front
+            text = self.alphabet[32] + piece[1:].decode() if piece[0] == 32 else piece.decode()
+        else:
+            text = piece.decode("latin-1").translate(self.alphabet)
+        return array("I", [t.id for t in self.tokenize(text)]).tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
@@ -162,21 +218,16 @@ class Encoder:
         distinct, which = np.unique(code, return_inverse=True)
         at = np.empty(len(distinct), np.int64)
         at[which] = np.arange(len(which))
-        keys = distinct.tolist()
-        ids = list(map(self.known.get, keys))
-        for j, found in enumerate(ids):
-            if found is None:
-                a = int(start[at[j]])
-                ids[j] = self.older.get(keys[j]) or self.piece(data[a : a + int(length[at[j]])])
-                self.known[keys[j]] = ids[j]
-        if len(self.known) > CACHE_PIECES // 2:
-            self.known, self.older = {}, self.known
-        pool = np.frombuffer(b"".join(ids), "<u4")
-        n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+
+        def ask(j: int) -> bytes:
+            a = int(start[at[j]])
+            return self.piece(data[a : a + int(length[at[j]])])
+
+        pool, n = self.store.take(distinct, ask)
         first = np.cumsum(n) - n
         many = n[which]
         ends = np.cumsum(many)
-        flat = pool[np.repeat(first[which] - (ends - many), many) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
+        flat = pool[_ranges(first[which], many)].tobytes()
         # The last piece of every text gives its end.
         upto = np.concatenate([np.zeros(1, np.int64), ends])[np.searchsorted(text, np.arange(len(texts) + 1))] * 4
         return [flat[a:b] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
@@ -280,8 +331,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = batch.column("ids")
-        offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
-        crc = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(offsets, offsets[1:], strict=False)]
+        offsets, values = lists.offsets.to_numpy(), np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False), "<i4")
+        crc = [zlib.crc32(values[a:b]) for a, b in zip(offsets, offsets[1:], strict=False)]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
