@@ -12,6 +12,9 @@ import contextlib
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +53,34 @@ def arrow_rows(spark: SparkSession, rows: int | None) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+#: Rows of a batch that carries whole texts to a Python worker.
+TEXT_ROWS = 1024
+
+
+def text_batches(spark: SparkSession) -> None:
+    """From now on this session's Arrow batches have TEXT_ROWS rows at most.
+
+    For plans that the caller runs later; results don't depend on it, a worker's
+    memory does.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > TEXT_ROWS:
+        spark.conf.set(key, str(TEXT_ROWS))
+
+
+def slices(batch: pa.RecordBatch, rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows`` rows and about ``size`` bytes of text (one row at least)."""
+    lengths = pc.fill_null(pc.binary_length(batch.column("text").cast(pa.binary())), 0).to_numpy(zero_copy_only=False)
+    offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+    at = 0
+    while at < batch.num_rows:
+        end = int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1
+        end = min(batch.num_rows, at + rows, max(at + 1, end))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def stage(df: DataFrame, name: str, rows: int | None = None, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back; ``rows`` as in ``arrow_rows``."""
     spark = df.sparkSession

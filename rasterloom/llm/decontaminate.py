@@ -36,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.llm.common import text_batches
+
 WINDOW = 10
 #: Benchmark text that is sent to the tasks at once.
 BLOCK_BYTES = 32 << 20
@@ -261,6 +263,7 @@ def _annotate(bench: Benchmark, keys: list[str]) -> Callable[[Iterator[pa.Record
 def annotate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, spans (word ranges that are hit) and items of every document."""
     rows = documents.select("doc_id", "text")
+    text_batches(documents.sparkSession)
     parts = blocks(benchmark, window)
     kind = dict(rows.dtypes)["doc_id"]
     if len(parts) == 1:
@@ -324,6 +327,7 @@ def remove(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
 
     One pass per block of the benchmark: a document that any block hits is gone.
     """
+    text_batches(documents.sparkSession)
     out = documents
     for bench in blocks(benchmark, window):
         out = out.mapInArrow(_clean(bench), documents.schema)

@@ -38,11 +38,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import arrow_rows, held_out_remainder
+from rasterloom.llm.common import arrow_rows, held_out_remainder, slices, text_batches
 
 #: Documents that a model is fitted on, at most.
 SAMPLE = 3000
@@ -299,15 +298,9 @@ def fit(documents: DataFrame, sample: int = SAMPLE) -> Crf:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Slices of at most TEXTS_AT_ONCE rows and about WORDS_AT_ONCE words (a word has a byte or more and a gap)."""
+    """A word takes about six bytes."""
     for batch in batches:
-        offsets = np.concatenate([[0], np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column("text").cast(pa.binary())), 0).to_numpy(zero_copy_only=False))])
-        at = 0
-        while at < batch.num_rows:
-            end = int(np.searchsorted(offsets, offsets[at] + 6 * WORDS_AT_ONCE, "right"))
-            end = min(batch.num_rows, at + TEXTS_AT_ONCE, max(at + 1, end - 1))
-            yield batch.slice(at, end - at)
-            at = end
+        yield from slices(batch, TEXTS_AT_ONCE, 6 * WORDS_AT_ONCE)
 
 
 def _predict(model: Crf) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -322,6 +315,7 @@ def _predict(model: Crf) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 def identify(documents: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document."""
     model = fit(documents)
+    text_batches(documents.sparkSession)
     rows = documents.select("doc_id", "text")
     kind = dict(rows.dtypes)["doc_id"]
     done = rows.mapInArrow(_predict(model), f"doc_id {kind}, lang_pred string, score double")
@@ -331,6 +325,7 @@ def identify(documents: DataFrame) -> DataFrame:
 def label_words(documents: DataFrame) -> DataFrame:
     """Every document's words in order, each with its most likely language and posterior."""
     model = fit(documents)
+    text_batches(documents.sparkSession)
     rows = documents.select("doc_id", "text")
     kind = dict(rows.dtypes)["doc_id"]
 

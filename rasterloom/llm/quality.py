@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import arrow_rows, held_out_remainder
+from rasterloom.llm.common import arrow_rows, held_out_remainder, text_batches
 
 #: Labelled documents that a model is fitted on, at most.
 SAMPLE = 4096
@@ -189,6 +189,7 @@ def _score(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     model = fit(documents, labels)
+    text_batches(documents.sparkSession)
     rows = documents.select("doc_id", "text")
     kind = dict(rows.dtypes)["doc_id"]
     scored = rows.mapInArrow(_score(model), f"doc_id {kind}, score double")

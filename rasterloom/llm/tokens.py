@@ -43,7 +43,7 @@ ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2000
 #: Pieces a worker remembers at most (35 bytes each), and those of them that wait to be sorted in (150 bytes each).
-CACHE_PIECES, LATE_PIECES = 2_000_000, 40_000
+CACHE_PIECES, LATE_PIECES = 800_000, 40_000
 #: Text that is cut and looked up at once.
 BATCH_BYTES = 1 << 18
 #: Texts a worker encodes at once.

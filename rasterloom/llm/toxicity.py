@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import arrow_rows, held_out_remainder
+from rasterloom.llm.common import arrow_rows, held_out_remainder, slices, text_batches
 from rasterloom.llm.decontaminate import words_of
 
 #: Labelled documents that a model is fitted on, at most.
@@ -42,8 +42,8 @@ ALPHA, BETA, L1, L2 = 1.0, 1.0, 5.0, 0.0
 #: Non-zero weights that are sent to the tasks, at most (the largest ones).
 MAX_WEIGHTS = 1 << 18
 FOLDS, HELD_OUT = 5, 0
-#: Rows whose features are made at once: in scoring, in fitting.
-ROWS_AT_ONCE, FIT_ROWS = 512, 128
+#: Rows, and bytes of text, whose features are made at once in scoring; rows in fitting.
+ROWS_AT_ONCE, BYTES_AT_ONCE, FIT_ROWS = 256, 1 << 20, 128
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
@@ -151,8 +151,7 @@ def _score(bias: float, slots: np.ndarray, weights: np.ndarray, bits: int, appen
         dense = np.zeros(1 << bits)
         dense[slots] = weights
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                piece = batch.slice(at, ROWS_AT_ONCE)
+            for piece in slices(batch, ROWS_AT_ONCE, BYTES_AT_ONCE):
                 p = scores(piece.column("text").cast(pa.binary()).to_pylist(), bias, dense, bits)
                 if append:
                     yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(p)], names=["doc_id", "score"])
@@ -165,6 +164,7 @@ def _score(bias: float, slots: np.ndarray, weights: np.ndarray, bits: int, appen
 def score(documents: DataFrame, labels: DataFrame, bits: int = BITS) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     bias, slots, weights = fit(documents, labels, bits=bits)
+    text_batches(documents.sparkSession)
     rows = documents.select("doc_id", "text")
     kind = dict(rows.dtypes)["doc_id"]
     scored = rows.mapInArrow(_score(bias, slots, weights, bits, True), f"doc_id {kind}, score double")
@@ -174,4 +174,5 @@ def score(documents: DataFrame, labels: DataFrame, bits: int = BITS) -> DataFram
 def remove(documents: DataFrame, labels: DataFrame, bits: int = BITS) -> DataFrame:
     """The documents that aren't predicted toxic, all columns kept."""
     bias, slots, weights = fit(documents, labels, bits=bits)
+    text_batches(documents.sparkSession)
     return documents.mapInArrow(_score(bias, slots, weights, bits, False), documents.schema)
