@@ -58,6 +58,8 @@ SMALL, LONG, AGREE = 512, 512, 335
 FIRST_TREES = 4
 #: Members of a region that meet in one task unit.
 MEET = 128
+#: Edges that one task contracts, at most.
+EDGES = 100_000
 #: Rows in a Python worker's batch: texts, pairs of whole sets, members with small sets.
 TEXT_ROWS, PAIR_ROWS, MEET_ROWS = 512, 128, 1024
 #: Columns of an incidence matrix that are multiplied at once.
@@ -224,12 +226,14 @@ def components(edges: DataFrame) -> DataFrame:
     state = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     seen = state(now)
     while seen[0]:
+        # Stars have no more edges than there were: tasks and files by that number, not by the session's partitions.
+        few = lambda df: df.coalesce(seen[0] // EDGES + 2)  # noqa: B023, E731
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = stage(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "neardup-stars")
+        large = stage(few(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()), "neardup-stars")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = stage(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "neardup-stars")
+        new = stage(few(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()), "neardup-stars")
         drop(now)
         drop(large)
         now, before, seen = new, seen, state(new)
