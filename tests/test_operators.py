@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rasterloom import fixtures
+from conftest import DATA
+from rasterloom import fixtures, raster_queries
 from rasterloom.functions.config import Options
 from rasterloom.operators import aggregate as A
 from rasterloom.operators import blocks as B
@@ -158,3 +159,20 @@ def test_keys_of_several_materials(spark):
     assert got.groupBy("material_id").count().count() == 2
     alone = as_array(R.box(fixtures.pattern(spark, "noise", 8, 8), 8, 8), 3)
     assert as_array(got.filter("material_id = 'noise'"), 3) == pytest.approx(alone)
+
+
+@pytest.mark.skipif(not (DATA / "sf0.1").exists(), reason="test tables are missing")
+def test_material_fit_takes_whole_rasters(spark, monkeypatch):
+    seen = {}
+
+    def report(materials, options=None):
+        seen.update(materials=materials, options=options)
+        return spark.createDataFrame([("events", 0, "a", 0.0, 0)], P.REPORT)
+
+    monkeypatch.setattr(P, "fit_report", report)
+    raster_queries.queries()["q47_material_fit"](spark, str(DATA / "sf0.1"))
+    _, w, h = fixtures.events_raster(spark, str(DATA / "sf0.1"))
+    counts = {r["material_id"]: r["count"] for r in seen["materials"].groupBy("material_id").count().collect()}
+    assert counts["events"] == w * h > 128 * w
+    assert counts["orders"] == fixtures.orders_raster(spark, str(DATA / "sf0.1"))[0].count() > 128 * w
+    assert seen["options"].rounds == Options().rounds
