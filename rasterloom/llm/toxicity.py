@@ -34,7 +34,7 @@ from rasterloom.llm.common import arrow_rows, held_out_remainder, slices, text_b
 from rasterloom.llm.decontaminate import words_of
 
 #: Labelled documents that a model is fitted on, at most.
-SAMPLE = 12_000
+SAMPLE = 20_000
 BITS = 20
 HEAD = 5
 EPOCHS = 3

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from conftest import DATA
 from rasterloom.llm import language, quality, toxicity
-from rasterloom.llm.common import table
+from rasterloom.llm.common import held_out_remainder, table
 
 SF = DATA / "sf0.1"
 needs_data = pytest.mark.skipif(not SF.exists(), reason="test tables are missing")
@@ -40,6 +40,16 @@ def test_toxicity_on_held_out_rows(labelled, labels):
     assert scored.filter("score < 0 or score > 1 or score is null").count() == 0
 
 
+def test_toxicity_learns_from_labels_past_twelve_thousand(spark):
+    own = spark.range(22_000).select(F.col("id").alias("doc_id")).withColumn("held", held_out_remainder(toxicity.FOLDS) == toxicity.HELD_OUT)
+    ids = [r["doc_id"] for r in own.filter("not held").orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    assert 15_000 < len(ids) <= toxicity.SAMPLE
+    rows = [(i, "plain words", 0) for i in ids[:12_000]] + [(i, "late words", 1) for i in ids[12_000:]]
+    table_ = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = {r["text"]: r["predicted"] for r in toxicity.score(table_, table_).join(table_, "doc_id").select("text", "predicted").distinct().collect()}
+    assert got == {"plain words": 0, "late words": 1}
+
+
 @needs_data
 def test_quality_on_held_out_rows(labelled, labels):
     c = confusion(quality.score(labelled, labels), labels, "quality")
