@@ -153,13 +153,15 @@ def read(spark: SparkSession, path: str, pattern: str = "*.{png,bmp}") -> DataFr
 
 
 def read_any(spark: SparkSession, path: str) -> DataFrame:
-    """The same rows through Spark's image source (JPEG, GIF and more), whose bytes are BGR and bottom-free."""
-    rows = spark.read.format("image").option("dropInvalid", "true").load(path).select("image.*")
+    """The same rows through Spark's image source (JPEG, GIF and more), whose bytes are BGR and bottom-free. Fails on a file that it can't decode."""
+    rows = spark.read.format("image").option("dropInvalid", "false").load(path).select("image.*")
     n, w = F.col("nChannels"), F.col("width")
 
     def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             for name, h, wd, c, data in zip(pdf["origin"], pdf["height"], pdf["width"], pdf["nChannels"], pdf["data"], strict=True):
+                if h < 0:
+                    raise ValueError(f"{name} can't be decoded")
                 a = np.frombuffer(bytes(data), np.uint8).reshape(int(h), int(wd), int(c))
                 a = a if c == 1 else np.concatenate([a[..., 2::-1], a[..., 3:]], 2)
                 rgb, alpha = to_rgb(a)

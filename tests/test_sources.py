@@ -43,6 +43,12 @@ def test_image_round_trip(spark, tmp_path, kind):
     assert bytes(images.encode(planes, kind).first()["content"]) == data
 
 
+def test_undecodable_images_fail(spark, tmp_path):
+    (tmp_path / "a.tga").write_bytes(b"not a picture")
+    with pytest.raises(Exception, match="can't be decoded"):
+        images.read_any(spark, str(tmp_path)).collect()
+
+
 def test_materials_are_strict(spark, tmp_path):
     assert material.parse_text('[{"file": "a.png", "srgb": true}]')[1] is None
     for text in ('[{"file": "a", "file": "b"}]', '[{"file": "a", "colour": 1}]', "[]", "{", '[{"file": "a", "srgb": 1}]', '[{"srgb": true}]', '[{"file": "a", "normal_map": true, "srgb": true}]', '[{"file": "a", "filter": "cubic"}]'):
