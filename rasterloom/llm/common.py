@@ -9,8 +9,10 @@ folder *and* runs in a single process (tests) is a default used.
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,8 +62,8 @@ TEXT_ROWS = 1024
 def text_batches(spark: SparkSession) -> None:
     """From now on this session's Arrow batches have TEXT_ROWS rows at most.
 
-    For plans that the caller runs later; results don't depend on it, a worker's
-    memory does.
+    Only for filters of whole documents, whose plans the caller runs later and which must not be
+    written twice; results don't depend on it, a worker's memory does.  Digests are staged instead.
     """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key))
@@ -81,20 +83,45 @@ def slices(batch: pa.RecordBatch, rows: int, size: int) -> Iterator[pa.RecordBat
         at = end
 
 
-def stage(df: DataFrame, name: str, rows: int | None = None, **options: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the table read back; ``rows`` as in ``arrow_rows``."""
+def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``work`` for a Python worker that gives freed memory back to the system when its task ends.
+
+    Workers are used again by later tasks; without this each keeps the largest footprint it ever had.
+    """
+
+    def run(parts: Iterator) -> Iterator:
+        try:
+            yield from work(parts)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # glibc only
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
+def stage(df: DataFrame, name: str, rows: int | None = None, tasks: int | None = None, **options: str) -> DataFrame:
+    """Write ``df`` to the shared folder and return the table read back; ``rows`` as in ``arrow_rows``.
+
+    ``tasks`` is the most tasks, and so files, of the last step: for results that are small beside the number of partitions.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
     with arrow_rows(spark, rows):
-        df.write.options(**options).parquet(path)
+        (df if tasks is None else df.coalesce(tasks)).write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
     return out
 
 
+def staged_path(df: DataFrame) -> str | None:
+    return getattr(df, "_staged_path", None)
+
+
 def drop(df: DataFrame) -> None:
     """Delete a staged table that no later plan reads."""
-    path = getattr(df, "_staged_path", None)
+    path = staged_path(df)
     if path is None:
         return
     spark = df.sparkSession
@@ -114,3 +141,14 @@ def bucket_of(key: Column, salt: str, digits: int) -> Column:
 def held_out_remainder(modulus: int) -> Column:
     """crc32 of doc_id's decimal text, modulo; null for a null doc_id."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % F.lit(modulus)
+
+
+def sampled(documents: DataFrame, chosen: DataFrame, columns: list[str]) -> DataFrame:
+    """The texts of the ``chosen`` documents (doc_id, o, ...) as one partition, in the order of o, doc_id, the other ``columns`` and the text's hash.
+
+    Equal rows count once, so copies of a row neither weigh more nor meet in the one task.  Spark
+    sorts (and spills) there; whoever reads the rows takes as many as it has bounds for, in that order.
+    """
+    rows = documents.join(F.broadcast(chosen), "doc_id").select("o", "doc_id", *columns, "text", F.xxhash64("text").alias("h"))
+    once = rows.groupBy("o", "doc_id", *columns, "h").agg(F.first("text").alias("text"))
+    return once.repartition(1).sortWithinPartitions("o", "doc_id", *columns, "h")

@@ -36,14 +36,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import arrow_rows, new_path
+from rasterloom.llm.common import arrow_rows, new_path, tidy
 
 END_ID = 0
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2000
-#: Pieces a worker remembers at most (35 bytes each), and those of them that wait to be sorted in (150 bytes each).
-CACHE_PIECES, LATE_PIECES = 800_000, 40_000
+#: Bytes of a piece that the sorted store holds.
+WIDE = 16
+#: Pieces a worker remembers at most (50 bytes each), and those of them that wait to be sorted in (350 bytes each).
+CACHE_PIECES, LATE_PIECES = 600_000, 20_000
+#: Pieces beyond WIDE bytes that a worker remembers at most, and the longest of them.
+LONG_PIECES, LONG_BYTES = 20_000, 256
 #: Text that is cut and looked up at once.
 BATCH_BYTES = 1 << 18
 #: Texts a worker encodes at once.
@@ -68,29 +72,36 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class Store:
-    """ids by 64-bit key: sorted arrays of some 35 bytes an entry, and a small dict of what came last."""
+    """ids by piece of up to WIDE bytes: sorted arrays of some 50 bytes an entry, and a small dict of what came last.
+
+    An entry is found by a mixed 64-bit key and holds the piece's bytes themselves (two words): a piece
+    that shares its key with another is told apart, and one that is hidden behind another is asked for again.
+    """
 
     def __init__(self) -> None:
-        self.keys, self.first = np.zeros(0, np.uint64), np.zeros(1, np.int64)
+        self.keys, self.a, self.b = (np.zeros(0, np.uint64) for _ in range(3))
+        self.first = np.zeros(1, np.int64)
         self.pool = np.zeros(0, "<u4")
-        self.late: dict[int, bytes] = {}
+        self.late: dict[bytes, tuple[int, int, int, bytes]] = {}
 
-    def take(self, keys: np.ndarray, ask: Callable[[int], bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of sorted ``keys`` one after another, and their numbers; ``ask`` gives those of a position not known yet."""
+    def take(self, keys: np.ndarray, a: np.ndarray, b: np.ndarray, piece: Callable[[int], bytes], ask: Callable[[bytes], bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct pieces one after another, and their numbers; ``piece`` gives the bytes of a position, ``ask`` the ids of new bytes."""
         pos = np.searchsorted(self.keys, keys)
         known = np.zeros(len(keys), bool)
-        inside = pos < len(self.keys)
-        known[inside] = self.keys[pos[inside]] == keys[inside]
+        inside = np.flatnonzero(pos < len(self.keys))
+        at = pos[inside]
+        known[inside] = (self.keys[at] == keys[inside]) & (self.a[at] == a[inside]) & (self.b[at] == b[inside])
         n = np.zeros(len(keys), np.int64)
         begin = self.first[pos[known]]
         n[known] = self.first[pos[known] + 1] - begin
         other = np.flatnonzero(~known)
         found = []
-        for j, key in zip(other.tolist(), keys[other].tolist(), strict=True):
-            ids = self.late.get(key)
-            if ids is None:
-                ids = self.late[key] = ask(j)
-            found.append(ids)
+        for j in other.tolist():
+            text = piece(j)
+            entry = self.late.get(text)
+            if entry is None:
+                entry = self.late[text] = (int(keys[j]), int(a[j]), int(b[j]), ask(text))
+            found.append(entry[3])
         n[other] = np.fromiter(map(len, found), np.int64, len(found)) // 4
         ends = np.cumsum(n)
         out = np.empty(int(ends[-1]) if len(ends) else 0, "<u4")
@@ -101,15 +112,17 @@ class Store:
         return out, n
 
     def _settle(self) -> None:
-        keys = np.fromiter(self.late, np.uint64, len(self.late))
-        n = np.fromiter(map(len, self.late.values()), np.int64, len(keys)) // 4
-        pool = np.frombuffer(b"".join(self.late.values()), "<u4")
+        late = list(self.late.values())
         self.late = {}
+        keys, a, b = (np.fromiter((x[i] for x in late), np.uint64, len(late)) for i in range(3))
+        n = np.fromiter((len(x[3]) for x in late), np.int64, len(late)) // 4
+        pool = np.frombuffer(b"".join(x[3] for x in late), "<u4")
         if len(self.keys) + len(keys) <= CACHE_PIECES:  # else the store starts anew with the late ones
-            keys, n, pool = np.concatenate([self.keys, keys]), np.concatenate([np.diff(self.first), n]), np.concatenate([self.pool, pool])
+            keys, a, b = np.concatenate([self.keys, keys]), np.concatenate([self.a, a]), np.concatenate([self.b, b])
+            n, pool = np.concatenate([np.diff(self.first), n]), np.concatenate([self.pool, pool])
         order = np.argsort(keys)
         begin = (np.cumsum(n) - n)[order]
-        self.keys, self.pool = keys[order], pool[_ranges(begin, n[order])]
+        self.keys, self.a, self.b, self.pool = keys[order], a[order], b[order], pool[_ranges(begin, n[order])]
         self.first = np.concatenate([np.zeros(1, np.int64), np.cumsum(n[order])])
 
 
@@ -123,8 +136,8 @@ class Encoder:
     """ids of texts as little-endian 32-bit bytes; one per worker process.
 
     Plain texts go through ``_plain``: a batch is one byte array, the pattern's cuts
-    are found from character classes, every piece gets a 64-bit hash from running
-    sums, and only distinct pieces are looked up - or asked of the model.
+    are found from character classes, pieces are told apart by their bytes (two words
+    of 8 for most), and only distinct pieces are looked up - or asked of the model.
     """
 
     def __init__(self, path: str) -> None:
@@ -141,6 +154,7 @@ class Encoder:
         self.tokenize = self.tokenizer.model.tokenize
         self.alphabet = {b: "".join(letters[x] for x in chr(b).encode()) for b in range(256)}
         self.store = Store()
+        self.long: dict[bytes, bytes] = {}
         specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, specials)) or r"(?!)")
 
@@ -209,29 +223,67 @@ class Encoder:
         start = np.flatnonzero(cut)
         length = np.diff(np.append(start, len(kind)))
         real = kind[start] != _END
-        powers, inverse = _powers(len(kind))
-        sums = np.cumsum((chars.astype(np.uint64) + np.uint64(1)) * powers[: len(kind)])
-        sums = np.concatenate([np.zeros(1, np.uint64), sums])
         start, length, text = start[real], length[real], np.cumsum(~real)[real]
-        code = (sums[start + length] - sums[start]) * inverse[start]
-        code ^= length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        distinct, which = np.unique(code, return_inverse=True)
-        at = np.empty(len(distinct), np.int64)
-        at[which] = np.arange(len(which))
-
-        def ask(j: int) -> bytes:
-            a = int(start[at[j]])
-            return self.piece(data[a : a + int(length[at[j]])])
-
-        pool, n = self.store.take(distinct, ask)
-        first = np.cumsum(n) - n
+        first, second = _words_at(data, start, length)
+        code = _mixed(first, second)
+        short = length <= WIDE
+        distinct, at, inverse = np.unique(code[short], return_index=True, return_inverse=True)
+        at = np.flatnonzero(short)[at]
+        which = np.zeros(len(start), np.int64)
+        which[short] = inverse
+        # A piece that isn't its key's first one, byte by byte, goes the way of long ones: by its own bytes.
+        if len(at):
+            short &= (first == first[at][which]) & (second == second[at][which])
+        rest: dict[bytes, int] = {}
+        for j in np.flatnonzero(~short).tolist():
+            begin = int(start[j])
+            which[j] = len(at) + rest.setdefault(data[begin : begin + int(length[j])], len(rest))
+
+        def piece(j: int) -> bytes:
+            begin = int(start[at[j]])
+            return data[begin : begin + int(length[at[j]])]
+
+        pool, n = self.store.take(distinct, first[at], second[at], piece, self.piece)
+        if rest:
+            others = [self._long(x) for x in rest]
+            pool, n = np.concatenate([pool, np.frombuffer(b"".join(others), "<u4")]), np.concatenate([n, np.fromiter(map(len, others), np.int64, len(others)) // 4])
+        opens = np.cumsum(n) - n
         many = n[which]
         ends = np.cumsum(many)
-        flat = pool[_ranges(first[which], many)].tobytes()
+        flat = pool[_ranges(opens[which], many)].tobytes()
         # The last piece of every text gives its end.
         upto = np.concatenate([np.zeros(1, np.int64), ends])[np.searchsorted(text, np.arange(len(texts) + 1))] * 4
         return [flat[a:b] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
 
+    def _long(self, piece: bytes) -> bytes:
+        """The ids of a piece beyond WIDE bytes, kept by its bytes; very long ones aren't kept."""
+        ids = self.long.get(piece)
+        if ids is None:
+            ids = self.piece(piece)
+            if len(piece) <= LONG_BYTES:
+                if len(self.long) >= LONG_PIECES:
+                    self.long.clear()
+                self.long[piece] = ids
+        return ids
+
+
+# The lowest 0 .. 8 bytes of a word.
+_LOW = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+# Fixed odd multipliers.
+_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+
+
+def _words_at(data: bytes, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first 8 and the next 8 bytes of every piece; no piece holds a 0, so its own end shows."""
+    padded = data + bytes(WIDE)
+    words = np.ndarray(len(data) + 8, "<u8", padded, strides=(1,))  # a word at every byte
+    return words[start] & _LOW[np.minimum(length, 8)], words[start + 8] & _LOW[np.clip(length - 8, 0, 8)]
+
+
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    h = (a ^ (a >> np.uint64(29))) * _MIX[0] + (b ^ (b >> np.uint64(31))) * _MIX[1]
+    return (h ^ (h >> np.uint64(32))) * _MIX[2]
+
 
 def _parts(raw: bytes) -> Iterator[bytes]:
     """A long text cut before blanks that follow a visible character: no piece crosses such a place."""
@@ -245,24 +297,6 @@ def _parts(raw: bytes) -> Iterator[bytes]:
     yield raw[at:] if at else raw
 
 
-_POWERS: list[np.ndarray] = []
-# A fixed odd multiplier and its inverse modulo 2 ** 64.
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The multiplier's powers 0 .. n - 1, and their inverses."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        grown = []
-        for base in (_BASE, _INVERSE):
-            p = np.full(max(n, 3 * BATCH_BYTES), base, np.uint64)
-            p[0] = 1
-            grown.append(np.multiply.accumulate(p))
-        _POWERS[:] = grown
-    return _POWERS[0], _POWERS[1]
-
-
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -298,7 +332,7 @@ def encode_documents(documents: DataFrame, tokenizer: str, end_id: int = END_ID)
     """The rows of the token files, in doc_id order."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return ordered.mapInArrow(_encode(tokenizer, end_id), SCHEMA)
+    return ordered.mapInArrow(tidy(_encode(tokenizer, end_id)), SCHEMA)
 
 
 def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
@@ -337,7 +371,7 @@ def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def token_digest(tokens: DataFrame) -> DataFrame:
-    return tokens.mapInArrow(_crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return tokens.mapInArrow(tidy(_crc), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(documents: DataFrame, tokenizer: str) -> DataFrame:
