@@ -5,16 +5,17 @@ and the next but one) and word heads (the first HEAD letters, for inflected
 forms), hashed into ``2 ** bits`` slots.  FTRL-proximal keeps a gradient sum and a
 squared-gradient sum per slot, so every coordinate has its own learning rate, and
 its L1 term leaves only the slots with steady evidence: the weights that are
-broadcast are a few thousand (slot, weight) pairs, at most ``MAX_WEIGHTS``.
+broadcast are a few thousand (slot, weight) pairs, and never more than there are slots.
 
 Fitting takes a bounded sample: the ``SAMPLE`` labelled documents outside the
 held-out fold whose hashed ids are smallest, read whole.  It runs in one task on
 an executor (bounded input, repeated if the executor is lost), in the order of the
-hash, so reruns agree.  Scoring is one pass over all documents without a shuffle.
+hash, then of the text's hash, so reruns agree however the tables are cut.  Scoring is one pass over all documents without a shuffle.
 
 Defined cases: a null or wordless text has no features and scores the bias;
 several labels of one document: toxic if any says so; null labels are left out;
-repeated documents are scored one by one; with no labels at all every score is
+repeated documents are scored one by one; a doc_id with several texts teaches each of
+them, equal rows once, and ``SAMPLE`` bounds the texts too; with no labels at all every score is
 the prior 0.5 less a hair, so nothing is called toxic; a null doc_id is in no
 sample and not held out (its fold is unknown), and is scored like any other.
 """
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import arrow_rows, held_out_remainder, slices, text_batches
+from rasterloom.llm.common import TEXT_ROWS, arrow_rows, held_out_remainder, sampled, slices, stage, text_batches, tidy
 from rasterloom.llm.decontaminate import words_of
 
 #: Labelled documents that a model is fitted on, at most.
@@ -39,8 +40,6 @@ BITS = 20
 HEAD = 5
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 5.0, 0.0
-#: Non-zero weights that are sent to the tasks, at most (the largest ones).
-MAX_WEIGHTS = 1 << 18
 FOLDS, HELD_OUT = 5, 0
 #: Rows, and bytes of text, whose features are made at once in scoring; rows in fitting.
 ROWS_AT_ONCE, BYTES_AT_ONCE, FIT_ROWS = 256, 1 << 20, 128
@@ -98,28 +97,27 @@ def sigmoid(x: float) -> float:
     return float(1.0 / (1.0 + np.exp(-np.clip(x, -40.0, 40.0))))
 
 
-def _fit(bits: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _fit(bits: int, sample: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # Features of a chunk of rows are one array: 4 bytes each, and all that is held of the texts.
-        chunks: list[np.ndarray] = []
-        rows: list[tuple[int, int, float, int, int, int]] = []  # order, number of features, label, chunk, begin, end
+        learnt: list[tuple[np.ndarray, np.ndarray, list[float]]] = []  # features, first feature of each row, labels
+        left = sample
         for pdf in parts:
-            for at in range(0, len(pdf), FIT_ROWS):
-                piece = pdf.iloc[at : at + FIT_ROWS]
+            for at in range(0, min(len(pdf), left), FIT_ROWS):
+                piece = pdf.iloc[at : min(at + FIT_ROWS, left)]
                 row, slot = feature_slots(piece["text"].tolist(), bits)
                 code = np.unique(row * (1 << bits) + slot)
-                cuts = np.searchsorted(code, np.arange(len(piece) + 1) * (1 << bits)).tolist()
-                rows += [(o, e - b, float(y), len(chunks), b, e) for o, y, b, e in zip(piece["o"].tolist(), piece["y"].tolist(), cuts, cuts[1:], strict=False)]
-                chunks.append((code & ((1 << bits) - 1)).astype(np.int32))
+                cuts = np.searchsorted(code, np.arange(len(piece) + 1) * (1 << bits))
+                learnt.append(((code & ((1 << bits) - 1)).astype(np.int32), cuts, piece["y"].astype(float).tolist()))
+            left = max(0, left - len(pdf))
         model = Ftrl(bits)
-        rows.sort()
         for _ in range(EPOCHS):
-            for _, _, label, chunk, b, e in rows:
-                model.learn(chunks[chunk][b:e], label)
+            for features, cuts, labels in learnt:
+                for b, e, label in zip(cuts.tolist(), cuts[1:].tolist(), labels, strict=False):
+                    model.learn(features[b:e], label)
         w = model.weights()
         kept = np.flatnonzero(w)
-        kept = np.sort(kept[np.argsort(-np.abs(w[kept]), kind="stable")[:MAX_WEIGHTS]])
-        yield pd.DataFrame({"slot": np.concatenate([[-1], kept]), "w": np.concatenate([[model.bias if rows else -1e-6], w[kept]])})
+        yield pd.DataFrame({"slot": np.concatenate([[-1], kept]), "w": np.concatenate([[model.bias if learnt else -1e-6], w[kept]])})
 
     return run
 
@@ -128,10 +126,8 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", sample: i
     """Bias, slots and weights, from labelled documents outside the held-out fold."""
     own = labels.select("doc_id", label).filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (held_out_remainder(FOLDS) != HELD_OUT))
     chosen = own.groupBy("doc_id").agg(F.max(label).alias("y")).withColumn("o", F.xxhash64("doc_id")).orderBy("o", "doc_id").limit(sample)
-    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("o", "y", "text")
-    # At most ``sample`` documents (once per repeated id): a bounded input for the one task.
     with arrow_rows(documents.sparkSession, FIT_ROWS):
-        got = rows.repartition(1).mapInPandas(_fit(bits), "slot long, w double").toPandas()
+        got = sampled(documents.select("doc_id", "text"), chosen, ["y"]).mapInPandas(tidy(_fit(bits, sample)), "slot long, w double").toPandas()
     bias = float(got.loc[got["slot"] < 0, "w"].iloc[0]) if len(got) else -1e-6
     got = got[got["slot"] >= 0].sort_values("slot")
     return bias, got["slot"].to_numpy(np.int64), got["w"].to_numpy(float)
@@ -164,10 +160,9 @@ def _score(bias: float, slots: np.ndarray, weights: np.ndarray, bits: int, appen
 def score(documents: DataFrame, labels: DataFrame, bits: int = BITS) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     bias, slots, weights = fit(documents, labels, bits=bits)
-    text_batches(documents.sparkSession)
     rows = documents.select("doc_id", "text")
     kind = dict(rows.dtypes)["doc_id"]
-    scored = rows.mapInArrow(_score(bias, slots, weights, bits, True), f"doc_id {kind}, score double")
+    scored = stage(rows.mapInArrow(tidy(_score(bias, slots, weights, bits, True)), f"doc_id {kind}, score double"), "toxicity-scores", rows=TEXT_ROWS)
     return scored.select("doc_id", F.coalesce(held_out_remainder(FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -175,4 +170,4 @@ def remove(documents: DataFrame, labels: DataFrame, bits: int = BITS) -> DataFra
     """The documents that aren't predicted toxic, all columns kept."""
     bias, slots, weights = fit(documents, labels, bits=bits)
     text_batches(documents.sparkSession)
-    return documents.mapInArrow(_score(bias, slots, weights, bits, False), documents.schema)
+    return documents.mapInArrow(tidy(_score(bias, slots, weights, bits, False)), documents.schema)
