@@ -1,7 +1,7 @@
 """Language ID by a linear-chain conditional random field over words.
 
 Every word of a text gets a language: its features are the word itself (the
-lexicon), its first and last 1 to 3 bytes (affixes) and its byte trigrams, hashed
+lexicon), its first and last 1 to 3 bytes (affixes) and all its byte trigrams, hashed
 into SLOTS rows of one weight per language; neighbouring words are tied by learned
 transition weights.  Forward-backward gives each word's exact posterior, so text
 that switches languages is labelled piece by piece, and the document's language is
@@ -22,9 +22,11 @@ smallest among those with a language, read whole; fitting runs in one executor
 task.  What is broadcast is SLOTS * languages weights.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; a
-null lang teaches nothing; words longer than WIDTH bytes show their first and
-last WIDTH / 2 bytes to the trigrams, and all bytes to the lexicon; with a single
-learned language everything with letters is that language; with none everything
+null lang teaches nothing; runs of letters longer than WIDTH bytes, as scripts without
+blanks have them, are labelled in pieces of that length, so a switch inside is seen;
+letters are those of Unicode (not figures such as superscripts, fractions or circled
+numbers); a doc_id with several texts teaches each of them, equal rows once, and
+``SAMPLE`` bounds the texts too; with a single learned language everything with letters is that language; with none everything
 is ``und``; ties go to the first language in code-point order; repeated
 documents are labelled one by one; a null doc_id is in no sample and not held out.
 """
@@ -41,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import arrow_rows, held_out_remainder, slices, text_batches
+from rasterloom.llm.common import TEXT_ROWS, arrow_rows, held_out_remainder, sampled, slices, stage, text_batches, tidy
 
 #: Documents that a model is fitted on, at most.
 SAMPLE = 3000
@@ -60,7 +62,9 @@ CACHE_WORDS = 300_000
 #: Documents that are labelled at once, and the words at which a batch closes earlier.
 TEXTS_AT_ONCE, WORDS_AT_ONCE = 256, 200_000
 
-_WORD = re.compile(r"[^\W\d_]+")
+# Word characters that are neither letters nor decimal digits: letter-like numbers, superscripts, fractions.
+_FIGURES = "".join(c for c in map(chr, range(128, 0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_WORD = re.compile(rf"[^\W\d_{re.escape(_FIGURES)}]+")
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -69,17 +73,22 @@ def letters(text: str | bytes | None) -> list[str]:
         return []
     if isinstance(text, bytes):
         text = text.decode("utf-8", "replace")
-    return _WORD.findall(text.lower())
+    out = []
+    for word in _WORD.findall(text.lower()):
+        if len(word) <= WIDTH // 4 or len(word) <= WIDTH and word.isascii():
+            out.append(word)
+        else:
+            most = WIDTH // max(len(c.encode("utf-8", "surrogatepass")) for c in word)
+            out += [word[at : at + most] for at in range(0, len(word), most)]
+    return out
 
 
 def word_features(words: list[str]) -> np.ndarray:
-    """Slots of each word's features, a row per word; 0 is no feature."""
+    """Slots of each word's features, a row per word of up to WIDTH bytes; 0 is no feature."""
     raw = [w.encode("utf-8", "surrogatepass") for w in words]
     lexicon = np.fromiter(map(zlib.crc32, raw), np.uint64, len(raw))
-    half = WIDTH // 2
-    short = [w if len(w) <= WIDTH else w[:half] + w[-half:] for w in raw]
-    size = np.array([len(w) for w in short], np.int64)
-    grid = np.frombuffer(b"".join(w.ljust(WIDTH, b"\0") for w in short), np.uint8).reshape(len(raw), WIDTH).astype(np.uint64)
+    size = np.array([len(w) for w in raw], np.int64)
+    grid = np.frombuffer(b"".join(w.ljust(WIDTH, b"\0") for w in raw), np.uint8).reshape(len(raw), WIDTH).astype(np.uint64)
 
     def slot(kind: int, value: np.ndarray, there: np.ndarray) -> np.ndarray:
         h = (value + np.uint64(kind)) * _M[0]
@@ -273,21 +282,27 @@ class Crf:
         return [self.languages[b] if t > 0 else "und" for b, t in zip(best, total, strict=True)], np.clip(share, 0.0, 1.0)
 
 
-def _fit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    rows = sorted((o, d, lang, text) for pdf in parts for o, d, lang, text in zip(pdf["o"], pdf["doc_id"], pdf["lang"], pdf["text"], strict=True))
-    m = Crf.fit([r[3] for r in rows], [r[2] for r in rows])
-    for i, lang in enumerate(m.languages):
-        kept = np.flatnonzero(m.weights[:, i]).astype("<i4")
-        yield pd.DataFrame({"lang": lang, "slots": [kept.tobytes()], "weights": [m.weights[kept, i].astype("<f8").tobytes()], "arrive": [m.transition[:, i].astype("<f8").tobytes()], "start": m.start[i]})
+def _fit(sample: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        texts: list[str] = []
+        langs: list[str] = []
+        for pdf in parts:
+            pdf = pdf.iloc[: sample - len(texts)]
+            texts += pdf["text"].tolist()
+            langs += pdf["lang"].tolist()
+        m = Crf.fit(texts, langs)
+        for i, lang in enumerate(m.languages):
+            kept = np.flatnonzero(m.weights[:, i]).astype("<i4")
+            yield pd.DataFrame({"lang": lang, "slots": [kept.tobytes()], "weights": [m.weights[kept, i].astype("<f8").tobytes()], "arrive": [m.transition[:, i].astype("<f8").tobytes()], "start": m.start[i]})
+
+    return run
 
 
 def fit(documents: DataFrame, sample: int = SAMPLE) -> Crf:
     own = documents.select("doc_id", "text", "lang").filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & (held_out_remainder(FOLDS) != HELD_OUT))
     chosen = own.select("doc_id").distinct().withColumn("o", F.xxhash64("doc_id")).orderBy("o", "doc_id").limit(sample)
-    rows = own.join(F.broadcast(chosen), "doc_id").select("o", "doc_id", "lang", "text")
-    # At most ``sample`` documents (once per repeated id): a bounded input for the one task.
     with arrow_rows(documents.sparkSession, TEXTS_AT_ONCE):
-        parts = rows.repartition(1).mapInPandas(_fit, "lang string, slots binary, weights binary, arrive binary, start double").collect()
+        parts = sampled(own, chosen, ["lang"]).mapInPandas(tidy(_fit(sample)), "lang string, slots binary, weights binary, arrive binary, start double").collect()
     got = sorted(parts, key=lambda r: r["lang"])
     k = len(got)
     weights, transition = np.zeros((SLOTS, k)), np.zeros((k, k))
@@ -315,10 +330,9 @@ def _predict(model: Crf) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 def identify(documents: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document."""
     model = fit(documents)
-    text_batches(documents.sparkSession)
     rows = documents.select("doc_id", "text")
     kind = dict(rows.dtypes)["doc_id"]
-    done = rows.mapInArrow(_predict(model), f"doc_id {kind}, lang_pred string, score double")
+    done = stage(rows.mapInArrow(tidy(_predict(model)), f"doc_id {kind}, lang_pred string, score double"), "language", rows=TEXT_ROWS)
     return done.select("doc_id", F.coalesce(held_out_remainder(FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
