@@ -302,19 +302,44 @@ def test_encoder_equals_the_library(text):
 
 def test_long_texts_are_cut_safely(monkeypatch):
     monkeypatch.setattr(tokens, "BATCH_BYTES", 64)
-    tokens._POWERS.clear()
     encoder = tokens.encoder(tokenizer_path())
     rnd = random.Random(2)
     texts = ["".join(rnd.choice("ab, .\n\t  éX9") for _ in range(2000)) for _ in range(20)]
     assert encoder(texts) == encoder.library(texts)
-    tokens._POWERS.clear()
+
+
+def thue_morse(k: int) -> str:
+    word = "a"
+    for _ in range(k):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word
+
+
+@pytest.mark.parametrize("k", [4, 10, 11, 12])
+def test_pieces_that_polynomial_hashes_mix_up(k):
+    word = thue_morse(k)
+    other = word.translate(str.maketrans("ab", "ba"))
+    for texts in ([word, other], [other, word], [f"{word} {other} x", other]):
+        encoder = tokens.Encoder(tokenizer_path())
+        for _ in range(2):  # the second time from the store
+            assert encoder(texts) == encoder.library(texts)
+
+
+def test_colliding_keys_are_told_apart(monkeypatch):
+    monkeypatch.setattr(tokens, "_mixed", lambda a, b: (a ^ b) % np.uint64(3))
+    monkeypatch.setattr(tokens, "LATE_PIECES", 4)
+    monkeypatch.setattr(tokens, "LONG_PIECES", 2)
+    encoder = tokens.Encoder(tokenizer_path())
+    texts = [" ".join(f"{'w' * (i % 40)}{(i * k) % 97}" for i in range(50)) for k in range(1, 9)]
+    for _ in range(2):
+        assert encoder(texts) == encoder.library(texts)
 
 
 # ---- search
 
 
 def brute_top(vectors, k=5):
-    usable = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in vectors if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    usable = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in vectors if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
     for q, x in {i: v for i, v in sorted(usable, key=lambda r: r[1], reverse=True) if i % 50 == 0}.items():
         found = sorted((-sum(a * b for a, b in zip(x, v, strict=True)), i) for i, v in usable if i != q and len(v) == len(x))[:k]
@@ -329,12 +354,40 @@ def test_search(spark, monkeypatch, block):
     vectors = [(i, rng.normal(size=6).round(2).tolist()) for i in range(230)]
     vectors += [(300, None), (350, [1.0, float("nan"), 0.0, 0.0, 0.0, 0.0]), (400, [None, 1.0, 0.0, 0.0, 0.0, 0.0]), (450, [float("inf")] * 6), (500, [1.0, 2.0])]
     vectors += [(i, vectors[7][1]) for i in range(600, 640)] + [(7, vectors[7][1])]  # ties and a repeated row
+    vectors += [(None, vectors[0][1]), (None, None), (2**60 + 1, vectors[0][1]), (2**60 + 3, vectors[0][1])]  # no id; ids that doubles mix up
     df = spark.createDataFrame([(i, v, 0, "x") for i, v in vectors], "vec_id long, embedding array<float>, label int, score string").repartition(5)
     got = topk.search(df, F.col("vec_id") % 50 == 0)
     assert table(got, "query_id", "rank", "vec_id", "score") == brute_top(vectors)
     assert topk.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_the_cutoff_leaves_entries_unscored():
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(20, 64))
+    x = np.floor(256 * (centres[rng.integers(0, 20, 2000)] + 0.2 * rng.normal(size=(2000, 64))))
+    q, cuts = x[:40], np.linspace(0, 64, 5).astype(int)
+    own = np.arange(40)[:, None] == np.arange(2000)[None, :]
+    full = np.where(own, -np.inf, q @ x.T)
+    cutoffs = np.sort(full, axis=1)[:, -5]
+    a, b, scores, scored = topk.collect(q, x, cuts, cutoffs, own)
+    assert sorted(zip(a, b, scores, strict=True)) == sorted(zip(*np.nonzero(full >= cutoffs[:, None]), full[full >= cutoffs[:, None]], strict=True))
+    assert scored < 0.6 * own.size * 4
+    # With no cutoff nothing may be left out.
+    assert len(topk.collect(q, x, cuts, np.full(40, -np.inf), own)[0]) == own.size - 40
+
+
+def test_first_entries_of_every_list_are_gathered():
+    rng = np.random.default_rng(2)
+    partial = [rng.integers(-9, 9, (3, 30)).astype(float) for _ in range(4)]
+    own = np.arange(3)[:, None] == np.arange(30)[None, :]
+    taken = topk.gather(partial, own, 5)
+    for i in range(3):
+        for p in partial:
+            others = np.delete(p[i], i)
+            assert (p[i][taken[i]] >= np.sort(others)[-5]).sum() >= 5
+    assert taken.sum() <= 3 * 4 * 5 and not (taken & own).any()
+
+
 # ---- chat
 
 

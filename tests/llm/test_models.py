@@ -77,6 +77,46 @@ def test_awkward_rows(spark, documents, nothing, score):
     assert score(documents, labels.limit(0)).count() == documents.count()
 
 
+@pytest.mark.parametrize("operator", ["toxicity", "quality", "language"])
+def test_texts_that_share_a_doc_id_are_learnt_in_a_fixed_order(spark, documents, operator):
+    """Reruns agree however the table is cut, with hundreds of texts under one id and with equal rows."""
+    extra = [(7, " ".join(f"{w}{(i * k) % 11}" for k, w in enumerate(("good", "bad", "fine", "poor", "worse")))) for i in range(300)] + [(7, "again and again")] * 50
+    many = documents.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(extra, "doc_id long, text string").withColumn("lang", F.lit("en")))
+    labels = spark.createDataFrame([(7, 1, 0)] + [(i, i % 2, (i + 1) % 2) for i in range(20, 50)], "doc_id long, quality int, toxic int")
+    run = (lambda df: language.identify(df)) if operator == "language" else (lambda df: {"toxicity": toxicity, "quality": quality}[operator].score(df, labels))
+    assert sorted(map(str, run(many.repartition(7)).collect())) == sorted(map(str, run(many.coalesce(1)).collect()))
+
+
+def test_quality_of_a_text_does_not_depend_on_its_block():
+    texts = [f"clean text number {i} about {'many ' * (i % 7)}things" for i in range(60)] + [f"BAD!! {i}!! SHOUTING!! " * (1 + i % 5) for i in range(60)] + [""]
+    y = np.array([1.0] * 60 + [0.0] * 61)
+    model = quality.Model.fit(quality.counts(texts), y)
+    together = model.scores(texts)
+    assert [model.scores([t])[0] for t in texts] == together.tolist()
+    assert model.scores(texts[::-1]).tolist() == together.tolist()[::-1]
+
+
+def test_sample_bounds_texts(spark):
+    rows = spark.createDataFrame([(1, f"text number {i}", i % 2) for i in range(40)], "doc_id long, text string, toxic int")
+    seen = []
+    fit = toxicity._fit(10, 16)
+    parts = [rows.select(F.lit(0).alias("o"), F.col("toxic").alias("y"), "text").toPandas()] * 2
+    monkey = toxicity.feature_slots
+    try:
+        toxicity.feature_slots = lambda texts, bits: (seen.extend(texts), monkey(texts, bits))[1]
+        list(fit(iter(parts)))
+    finally:
+        toxicity.feature_slots = monkey
+    assert len(seen) == 16
+
+
+def test_letters_are_letters():
+    assert language.letters("\u00b2 \u00bd \u2460 \u2163 12 _ \u0663") == []
+    assert language.letters("ab\u00b2cd \u02b0 \u4e00") == ["ab", "cd", "\u02b0", "\u4e00"]
+    long = "\u65e5\u672c\u8a9e" * 9 + "donaudampfschifffahrtsgesellschaftskapit\u00e4n"
+    assert "".join(language.letters(long)) == long and all(len(w.encode()) <= language.WIDTH for w in language.letters(long))
+
+
 def test_scores_do_not_read_other_columns(spark, documents):
     labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(20, 50)], "doc_id long, quality int, toxic int")
     changed = documents.withColumns({"lang": F.lit("zz"), "source": F.lit("zz")})
@@ -148,7 +188,7 @@ def test_neighbours_are_exact():
     latent = model.latent(quality.counts(["another clean text of words", "LOUD!! BAD!! WORDS!!", ""]))
     got = model.vote(latent)
     assert got[0] > 0.9 and got[1] < 0.1 and got[2] == model.prior
-    cosine = np.round(latent[:2] @ model.vectors.T * np.float32(1 << 20)).astype(np.int64) / float(1 << 20)
+    cosine = np.rint(latent[:2] @ model.vectors.T / quality.UNIT) / quality.UNIT
     for row, score in zip(cosine, got[:2], strict=True):
         near = sorted(range(40), key=lambda i: (-row[i], i))[: quality.NEIGHBOURS]
         weight = np.maximum(0, row[near]) ** quality.POWER
