@@ -129,6 +129,17 @@ def drop(df: DataFrame) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], hot: Column) -> DataFrame:
+    """Inner join with a row per key, where keys that hold many of the ``rows`` may not meet in one task.
+
+    ``hot`` tells these from the table's columns, by their share of all rows, so that there are few:
+    their rows stay where they are and the table's are broadcast.  All other keys are shuffled.
+    """
+    few = F.broadcast(table.filter(hot))
+    rest = rows.join(F.broadcast(table.filter(hot).select(*keys)), keys, "left_anti")
+    return rows.join(few, keys).unionByName(rest.join(table.filter(~hot), keys))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,11 +5,14 @@
    of 16 bits.  Documents with equal fingerprints have equal sets; they become one
    class, represented by its smallest doc_id, before anything is compared.
 2. *Forest.*  TREES sorted orders of the classes: tree t sorts by the signature
-   rotated to start at its own values.  Rows that share the first DEPTH values with a
-   neighbour form a region; within a region the order goes on by deeper values, so
-   the neighbours in it are those with the longest common prefix, however crowded
-   it is.  The order is a range partitioning of all trees at once: a crowded region
-   is cut over many tasks, and the cuts are closed by the partitions' border rows.
+   rotated to start at its own values, so neighbours are those with the longest
+   common prefix.  Rows that share a prefix form a region, and each region has its own
+   depth: it is cut at MIN_DEPTH values where that leaves at most CROWD members, at the
+   next value where it doesn't, and so on to DEPTH values, which always hold.  Sparse
+   places thus get more candidates than DEPTH alone gives and crowded ones no more,
+   whatever the size of the table.  The order is a range partitioning of all trees at
+   once: a crowded region is cut over many tasks, and the cuts (also those between the
+   pieces that a task looks at) are closed at depth DEPTH by their border rows.
 3. *Links.*  Neighbours are confirmed on their full sets (100 * common >= 75 *
    union), and confirmed links are contracted to components.
 4. *Rest.*  A region whose members lie in one component has nothing more to give.
@@ -17,16 +20,20 @@
    outside the region's largest component meet all members, block by block, with
    no limit on their number.  Sets of up to SMALL shingles are compared in full on
    the spot, as a product of a block's incidence matrices, so only links leave the
-   task; of larger sets the pairs whose LONG-value signatures don't exclude 0.75
-   (five standard deviations below expectation) are confirmed as in step 3.  The
-   first FIRST_TREES trees go first, which joins the copies around a common original;
-   then all trees, where components are still apart.  So all pairs that share a region
-   in any tree are decided, without ever emitting all pairs of a crowded one.
+   task; of larger sets come counts of shingles by hash bucket, whose common minima are
+   an upper bound of the intersection: pairs that the bound excludes are no links, all
+   others are confirmed as in step 3.  The first FIRST_TREES trees go first, which joins
+   the copies around a common original; then all trees, where components are still
+   apart.  So all pairs that share a region in any tree are decided exactly, without
+   ever emitting all pairs of a crowded one.
 5. *Components.*  Links are contracted by large-star and small-star steps, staged
    round by round in the shared folder, until they stay the same.
 
-A pair of similarity s shares a region with probability 1 - (1 - s**4)**32: 0.999995
-at 0.75.
+A fingerprint that holds a large share of all rows is joined by broadcast (there are
+at most HOT_KEYS of these), all others by a shuffle; regions likewise.
+
+A pair of similarity s shares a region with probability 1 - (1 - s**4)**32 at least:
+0.999995 at 0.75.
 
 Defined cases: a text with fewer than five words is one shingle, its whole
 sequence; a null or wordless text has an empty set and is linked with nothing (its
@@ -45,15 +52,21 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import drop, stage
+from rasterloom.llm.common import drop, join_hot, stage, tidy
 
 SHINGLE = 5
 VALUES = 128
-DEPTH = 4
+#: A region's common prefix: at most DEPTH values, at least MIN_DEPTH, as many as leave CROWD members.
+MIN_DEPTH, DEPTH, CROWD = 2, 4, 8
 TREES = VALUES // DEPTH
-#: Sets of up to SMALL shingles are compared in full where members of a region meet; larger ones by signatures of
-#: LONG values, of which a pair must share AGREE (384 are expected at 0.75, 9.8 is their deviation) to be confirmed.
-SMALL, LONG, AGREE = 512, 512, 335
+#: Rows of a sorted partition that are looked at together.
+RUN_ROWS = 1 << 18
+#: Sets of up to SMALL shingles are compared in full where members of a region meet; of larger ones the BUCKETS counts.
+SMALL, BUCKETS = 512, 2048
+#: A key that holds more than this part of all rows is joined by broadcast: fewer keys than that.
+HOT_KEYS = 4096
+#: Rows that one task writes, at least, where there are more partitions.
+TASK_ROWS = 5000
 #: Trees whose regions are searched before those of all trees.
 FIRST_TREES = 4
 #: Members of a region that meet in one task unit.
@@ -70,8 +83,8 @@ CHUNK = 2048
 SENT_IDS = 1_000_000
 
 _RNG = np.random.default_rng(20240229)
-_XOR = _RNG.integers(0, 2**63, LONG, dtype=np.uint64)
-_MUL = _RNG.integers(0, 2**63, LONG, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_XOR = _RNG.integers(0, 2**63, VALUES, dtype=np.uint64)
+_MUL = _RNG.integers(0, 2**63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -100,17 +113,12 @@ def shingles(text: bytes | str | None) -> np.ndarray:
     return np.unique(total)
 
 
-def minima(own: np.ndarray, values: int) -> np.ndarray:
-    """``values`` 16-bit MinHash values."""
-    least = np.full(values, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(own), CHUNK):
-        np.minimum(least, ((own[at : at + CHUNK, None] ^ _XOR[:values]) * _MUL[:values]).min(0), out=least)
-    return (_mixed(least, 0) >> np.uint64(48)).astype("<u2")
-
-
 def signature(own: np.ndarray) -> np.ndarray:
-    """TREES packed groups of DEPTH values."""
-    return minima(own, VALUES).view("<i8")
+    """VALUES 16-bit MinHash values as TREES packed groups of DEPTH."""
+    least = np.full(VALUES, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(own), CHUNK):
+        np.minimum(least, ((own[at : at + CHUNK, None] ^ _XOR) * _MUL).min(0), out=least)
+    return (_mixed(least, 0) >> np.uint64(48)).astype("<u2").view("<i8")
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,77 +136,117 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(f1), pa.array(f2), lists], names=["doc_id", "n", "f1", "f2", "sig"])
 
 
-_RUN = "kind int, part int, tree int, k1 long, rid long, prev long"
+_RUN = "kind int, part int, tree int, depth int, prefix long, rid long, prev long"
+
+
+def depths(tree: np.ndarray, k1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted rows: each one's depth, and whether it shares that many values with the row before.
+
+    ``k1`` packs the first DEPTH values, the leading one in its highest bits.  Runs at either end may
+    go on elsewhere, so their size isn't known: they are cut at DEPTH.
+    """
+    n = len(tree)
+    depth, joins = np.full(n, DEPTH, np.int32), np.zeros(n, bool)
+    undecided = np.ones(n, bool)
+    for d in range(MIN_DEPTH, DEPTH + 1):
+        prefix = k1 >> (16 * (DEPTH - d))
+        same = np.concatenate([[False], (tree[1:] == tree[:-1]) & (prefix[1:] == prefix[:-1])])
+        starts = np.flatnonzero(~same)
+        sizes = np.diff(np.append(starts, n))
+        small = sizes <= CROWD
+        small[[0, -1]] = False
+        here = undecided & (np.repeat(small, sizes) if d < DEPTH else True)
+        depth[here], joins[here] = d, same[here]
+        undecided &= ~here
+    return depth, joins
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (tree, k1, ..., rid): members of regions with their neighbour before, and the partition's border rows."""
+    """Sorted (tree, k1, rid): members of regions with their neighbour before, and the partition's border rows."""
     part = TaskContext.get().partitionId()
 
-    def out(kind: int, tree: np.ndarray, k1: np.ndarray, rid: np.ndarray, prev: np.ndarray | None) -> pa.RecordBatch:
+    def out(kind: int, tree: np.ndarray, depth: np.ndarray, k1: np.ndarray, rid: np.ndarray, prev: np.ndarray | None) -> pa.RecordBatch:
         n = len(rid)
         before = pa.nulls(n, pa.int64()) if prev is None else pa.array(prev[0], mask=prev[1])
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, part, np.int32)), pa.array(tree.astype(np.int32)), pa.array(k1), pa.array(rid), before], names=["kind", "part", "tree", "k1", "rid", "prev"])
-
+        prefix = k1 >> (16 * (DEPTH - depth.astype(np.int64)))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, part, np.int32)), pa.array(tree.astype(np.int32)), pa.array(depth.astype(np.int32)), pa.array(prefix), pa.array(rid), before], names=["kind", "part", "tree", "depth", "prefix", "rid", "prev"])
+
+    def runs() -> Iterator[tuple[np.ndarray, ...]]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= RUN_ROWS:
+                yield tuple(np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("tree", "k1", "rid"))
+                held = []
+        if sum(b.num_rows for b in held):
+            yield tuple(np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("tree", "k1", "rid"))
+
+    full = np.array([DEPTH])
     last: tuple[int, int, int, bool] | None = None  # tree, k1, rid of the row before, and whether it was sent
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        tree, k1, rid = (batch.column(c).to_numpy() for c in ("tree", "k1", "rid"))
+    for tree, k1, rid in runs():
+        depth, joins = depths(tree, k1)
         if last is None:
-            yield out(1, tree[:1], k1[:1], rid[:1], None)
-            joins = np.concatenate([[False], (tree[1:] == tree[:-1]) & (k1[1:] == k1[:-1])])
+            yield out(1, tree[:1], full, k1[:1], rid[:1], None)
         else:
-            joins = np.concatenate([[tree[0] == last[0] and k1[0] == last[1]], (tree[1:] == tree[:-1]) & (k1[1:] == k1[:-1])])
+            joins[0] = tree[0] == last[0] and k1[0] == last[1]  # both rows are at an end, so at DEPTH
             if joins[0] and not last[3]:
-                yield out(0, np.array([last[0]]), np.array([last[1]]), np.array([last[2]]), None)
+                yield out(0, np.array([last[0]]), full, np.array([last[1]]), np.array([last[2]]), None)
         followed = np.concatenate([joins[1:], [False]])
         use = np.flatnonzero(joins | followed)
         if len(use):
             before = np.concatenate([[last[2] if last else 0], rid[:-1]])
-            yield out(0, tree[use], k1[use], rid[use], (before[use], ~joins[use]))
+            yield out(0, tree[use], depth[use], k1[use], rid[use], (before[use], ~joins[use]))
         last = (int(tree[-1]), int(k1[-1]), int(rid[-1]), bool(joins[-1]))
     if last is not None:
-        yield out(2, np.array([last[0]]), np.array([last[1]]), np.array([last[2]]), None)
+        yield out(2, np.array([last[0]]), full, np.array([last[1]]), np.array([last[2]]), None)
+
+
+REGION = ["tree", "depth", "prefix"]
 
 
 def forest(classes: DataFrame) -> DataFrame:
-    """(tree, k1, rid, prev) of all members of regions; ``prev`` is the neighbour before, if any."""
+    """(tree, depth, prefix, rid, prev) of all members of regions; ``prev`` is the neighbour before, if any."""
     at = lambda j: F.element_at("sig", (F.col("tree") + j) % TREES + 1)
     rows = classes.select("rid", "sig", F.posexplode("sig").alias("tree", "k1")).select("tree", "k1", at(1).alias("k2"), at(2).alias("k3"), "rid")
     ordered = rows.repartitionByRange("tree", "k1", "k2", "k3", "rid").sortWithinPartitions("tree", "k1", "k2", "k3", "rid")
-    found = stage(ordered.select("tree", "k1", "rid").mapInArrow(_scan, _RUN), "neardup-regions")
-    inner = found.filter("kind = 0").select("tree", "k1", "rid", "prev")
+    found = stage(ordered.select("tree", "k1", "rid").mapInArrow(tidy(_scan), _RUN), "neardup-regions")
+    inner = found.filter("kind = 0").select(*REGION, "rid", "prev")
     # Two rows per partition: a region cut between partitions goes on from the last row before to the first row after.
     border = Window.orderBy("part", "kind")
     edges = found.filter("kind > 0").select(
-        "kind", "tree", "k1", "rid", F.lag("kind").over(border).alias("bk"), F.lag("tree").over(border).alias("bt"), F.lag("k1").over(border).alias("b1"), F.lag("rid").over(border).alias("br")
+        "kind", *REGION, "rid", F.lag("kind").over(border).alias("bk"), F.lag("tree").over(border).alias("bt"), F.lag("prefix").over(border).alias("bp"), F.lag("rid").over(border).alias("br")
     )
-    cut = edges.filter((F.col("kind") == 1) & (F.col("bk") == 2) & (F.col("tree") == F.col("bt")) & (F.col("k1") == F.col("b1")))
-    return inner.unionByName(cut.select("tree", "k1", "rid", F.col("br").alias("prev"))).unionByName(cut.select("tree", "k1", F.col("br").alias("rid"), F.lit(None).cast("long").alias("prev")))
+    cut = edges.filter((F.col("kind") == 1) & (F.col("bk") == 2) & (F.col("tree") == F.col("bt")) & (F.col("prefix") == F.col("bp")))
+    return inner.unionByName(cut.select(*REGION, "rid", F.col("br").alias("prev"))).unionByName(cut.select(*REGION, F.col("br").alias("rid"), F.lit(None).cast("long").alias("prev")))
 
 
 def _pair(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def bucket_counts(own: np.ndarray) -> bytes | None:
+    """Shingles in each hash bucket, a byte each; None if a bucket holds more than a byte can say."""
+    counts = np.bincount((own >> np.uint64(53)).astype(np.int64), minlength=BUCKETS)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text").cast(pa.binary())
         for i in range(batch.num_rows):
             own = shingles(texts[i].as_py())
             # A partner of a set beyond SMALL has 0.75 of its size at least.
-            long = minima(own, LONG).tobytes() if 4 * len(own) > 3 * SMALL else None
+            counts = bucket_counts(own) if 4 * len(own) > 3 * SMALL else None
             small = own.tobytes() if len(own) <= SMALL else None
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, 1), *(pa.array([x], t) for x, t in ((len(own), pa.int64()), (own.tobytes(), pa.binary()), (small, pa.binary()), (long, pa.binary())))], names=["id", "n", "own", "small", "long"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, 1), *(pa.array([x], t) for x, t in ((len(own), pa.int64()), (own.tobytes(), pa.binary()), (small, pa.binary()), (counts, pa.binary())))], names=["id", "n", "own", "small", "counts"])
 
 
-def full_sets(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """The shingle sets of the documents in ``ids``: whole (own), whole if small, and a long signature if not."""
+def full_sets(documents: DataFrame, ids: DataFrame, tasks: int) -> DataFrame:
+    """The shingle sets of the documents in ``ids``: whole (own), whole if small, and counts by bucket if not."""
     wanted = ids.select(F.col("rid").alias("doc_id")).distinct()
     few = wanted.limit(SENT_IDS + 1).count() <= SENT_IDS
     rows = documents.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
-    return stage(rows.mapInArrow(_sets, "id long, n long, own binary, small binary, long binary"), "neardup-sets", rows=TEXT_ROWS)
+    return stage(rows.mapInArrow(tidy(_sets), "id long, n long, own binary, small binary, counts binary"), "neardup-sets", rows=TEXT_ROWS, tasks=tasks)
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,16 +261,17 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good)) for c in ("a", "b")], names=["a", "b"])
 
 
-def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirm(pairs: DataFrame, sets: DataFrame, tasks: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     left = sets.select(F.col("id").alias("a"), F.col("own").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("own").alias("sb"))
-    return stage(pairs.join(left, "a").join(right, "b").mapInArrow(_confirm, "a long, b long"), "neardup-links", rows=PAIR_ROWS)
+    return stage(pairs.join(left, "a").join(right, "b").mapInArrow(tidy(_confirm), "a long, b long"), "neardup-links", rows=PAIR_ROWS, tasks=tasks)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) of every node of ``edges`` (a, b) but the roots themselves."""
-    now = stage(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "neardup-stars")
+    tasks = 2 * edges.sparkSession.sparkContext.defaultParallelism
+    now = stage(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "neardup-stars", tasks=max(tasks, edges.count() // EDGES))
     state = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     seen = state(now)
     while seen[0]:
@@ -260,6 +309,17 @@ def _common(small: list[bytes], other: list[bytes]) -> np.ndarray:
     return total.astype(np.int64)
 
 
+def _most_common(left: list[bytes | None], right: list[bytes | None], nl: np.ndarray, nr: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Upper bounds of the intersections of pairs (i, j): common minima of the counts; without counts, of the sizes."""
+    blank = bytes(BUCKETS)
+    a, b = (np.frombuffer(b"".join(x or blank for x in side), np.uint8).reshape(len(side), BUCKETS) for side in (left, right))
+    known = np.array([x is not None for x in left])[i] & np.array([x is not None for x in right])[j]
+    out = np.minimum(nl[i], nr[j])
+    for at in np.array_split(np.flatnonzero(known), max(1, len(i) // 512)):
+        out[at] = np.minimum(a[i[at]], b[j[at]]).sum(1, dtype=np.uint32)
+    return out
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by unit: within a unit, every asking row against every other of another component.
 
@@ -269,7 +329,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def pairs(rows: pa.Table) -> np.ndarray:
         asks = rows.column("asks").to_numpy()
         rid, comp, n = (rows.column(c).to_numpy() for c in ("rid", "comp", "n"))
-        small, long = (rows.column(c).to_pylist() for c in ("small", "long"))
+        small, counts = (rows.column(c).to_pylist() for c in ("small", "counts"))
         found = []
         for sure in (True, False):
             has = n <= SMALL if sure else 4 * n > 3 * SMALL
@@ -287,11 +347,10 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 good &= 100 * common >= 75 * (nq + nc - common)
                 i, j = np.nonzero(good)
             else:
-                values = lambda at: np.frombuffer(b"".join(long[i] for i in at), "<u2").reshape(len(at), LONG)
-                left, right = values(q), values(c)
                 i, j = np.nonzero(good)
-                agree = np.concatenate([(left[i[k : k + 2048]] == right[j[k : k + 2048]]).sum(1) for k in range(0, len(i), 2048)])
-                i, j = i[agree >= AGREE], j[agree >= AGREE]
+                most = _most_common([counts[x] for x in q], [counts[x] for x in c], n[q], n[c], i, j)
+                possible = 100 * most >= 75 * (n[q[i]] + n[c[j]] - most)
+                i, j = i[possible], j[possible]
             found.append(np.stack([rid[q[i]], rid[c[j]], np.full(len(i), sure)], 1))
         return np.concatenate(found) if found else np.zeros((0, 3), np.int64)
 
@@ -304,8 +363,8 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         table = pa.Table.from_batches([batch])
         table = table if held is None else pa.concat_tables([held, table])
-        tree, k1, i, j = (table.column(c).to_numpy() for c in ("tree", "k1", "i", "j"))
-        cuts = np.flatnonzero((tree[1:] != tree[:-1]) | (k1[1:] != k1[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+        units = [table.column(c).to_numpy() for c in (*REGION, "i", "j")]
+        cuts = np.flatnonzero(np.any([u[1:] != u[:-1] for u in units], axis=0)) + 1
         found = [pairs(table.slice(a, b - a)) for a, b in zip([0, *cuts.tolist()], cuts.tolist(), strict=False)]
         held = table.slice(int(cuts[-1]) if len(cuts) else 0)
         if found:
@@ -314,28 +373,27 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out([pairs(held)])
 
 
-def open_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+def open_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, tasks: int) -> DataFrame:
     """(a, b, sure): links, and pairs still to be confirmed, across the components of a region."""
-    region = ["tree", "k1"]
-    named = members.select(*region, "rid").distinct().join(labels, F.col("rid") == F.col("id"), "left").select(*region, "rid", F.coalesce("root", "rid").alias("comp"))
-    named = stage(named, "neardup-members")
-    parts = named.groupBy(*region, "comp").agg(F.count(F.lit(1)).alias("c"))
+    named = members.select(*REGION, "rid").distinct().join(labels, F.col("rid") == F.col("id"), "left").select(*REGION, "rid", F.coalesce("root", "rid").alias("comp"))
+    named = stage(named, "neardup-members", tasks=tasks)
+    parts = named.groupBy(*REGION, "comp").agg(F.count(F.lit(1)).alias("c"))
     # Regions of two were decided by their neighbours.
-    whole = parts.groupBy(*region).agg(F.sum("c").alias("total"), F.max(F.struct("c", "comp")).alias("big"), F.count(F.lit(1)).alias("comps")).filter("comps > 1 and total > 2")
+    whole = parts.groupBy(*REGION).agg(F.sum("c").alias("total"), F.max(F.struct("c", "comp")).alias("big"), F.count(F.lit(1)).alias("comps")).filter("comps > 1 and total > 2")
     blocks = lambda c: F.ceil(c / F.lit(float(MEET))).cast("int")
-    plan = stage(whole.select(*region, F.col("big.comp").alias("big"), blocks(F.col("total")).alias("all_blocks"), blocks(F.col("total") - F.col("big.c")).alias("rest_blocks")), "neardup-plan")
-    rows = named.join(plan, region).join(sets.select(F.col("id").alias("rid"), "n", "small", "long"), "rid")
+    plan = stage(whole.select(*REGION, "total", F.col("big.comp").alias("big"), blocks(F.col("total")).alias("all_blocks"), blocks(F.col("total") - F.col("big.c")).alias("rest_blocks")), "neardup-plan", tasks=tasks)
+    rows = join_hot(named, plan, REGION, F.col("total") > named.count() / HOT_KEYS).join(sets.select(F.col("id").alias("rid"), "n", "small", "counts"), "rid")
     block = lambda salt, n: F.pmod(F.xxhash64("rid", F.lit(salt)), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    carried = [*region, "rid", "comp", "n", "small", "long"]
+    carried = [*REGION, "rid", "comp", "n", "small", "counts"]
     asking = rows.filter("comp <> big").select(*carried, F.lit(True).alias("asks"), block(1, F.col("rest_blocks")).alias("j"), every(F.col("all_blocks")).alias("i"))
     answering = rows.select(*carried, F.lit(False).alias("asks"), block(2, F.col("all_blocks")).alias("i"), every(F.col("rest_blocks")).alias("j"))
-    unit = [*region, "i", "j"]
-    met = asking.unionByName(answering).repartition(*unit).sortWithinPartitions(*unit).mapInArrow(_meet, "a long, b long, sure boolean")
+    unit = [*REGION, "i", "j"]
+    met = asking.unionByName(answering).repartition(*unit).sortWithinPartitions(*unit).mapInArrow(tidy(_meet), "a long, b long, sure boolean")
     return met.filter("a <> b").distinct()
 
 
-def joined_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
+def joined_labels(labels: DataFrame, links: DataFrame, tasks: int) -> DataFrame:
     """(id, root) after more links: the links are named by their components and contracted among these."""
     if links.isEmpty():
         return labels
@@ -343,37 +401,45 @@ def joined_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
     again = components(name(name(links, "a"), "b"))
     onward = again.select(F.col("id").alias("root"), F.col("root").alias("top"))
     moved = labels.join(onward, "root", "left").select("id", F.coalesce("top", "root").alias("root"))
-    return stage(moved.unionByName(again.join(labels.select("id"), "id", "left_anti").select("id", "root")), "neardup-labels")
+    return stage(moved.unionByName(again.join(labels.select("id"), "id", "left_anti").select("id", "root")), "neardup-labels", tasks=tasks)
 
 
 def group(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = stage(rows.mapInArrow(_sign, "doc_id long, n long, f1 long, f2 long, sig array<long>"), "neardup-signed", rows=TEXT_ROWS)
+    total = rows.count()
+    tasks = max(2 * documents.sparkSession.sparkContext.defaultParallelism, total // TASK_ROWS)
+    signed = stage(rows.mapInArrow(tidy(_sign), "doc_id long, n long, f1 long, f2 long, sig array<long>"), "neardup-signed", rows=TEXT_ROWS, tasks=tasks)
     key = ["n", "f1", "f2"]
     known = signed.filter("n > 0 and doc_id is not null")
-    classes = stage(known.groupBy(*key).agg(F.min("doc_id").alias("rid"), F.first("sig").alias("sig")), "neardup-classes")
-    members = stage(known.select("doc_id", *key).join(classes.select(*key, "rid"), key).select("doc_id", "rid"), "neardup-rows")
-    regions = stage(forest(classes), "neardup-forest")
+    classes = stage(known.groupBy(*key).agg(F.min("doc_id").alias("rid"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("c")), "neardup-classes", tasks=tasks)
+    named = classes.select(*key, "rid", (F.col("c") > total / HOT_KEYS).alias("hot"))
+    members = stage(join_hot(known.select("doc_id", *key), named, key, F.col("hot")).select("doc_id", "rid", "hot"), "neardup-rows", tasks=tasks)
+    regions = stage(forest(classes), "neardup-forest", tasks=tasks)
     size = classes.select("rid", "n")
     near = regions.filter("prev is not null and prev <> rid").select(*_pair(F.col("rid"), F.col("prev"))).distinct()
     near = near.join(size.select(F.col("rid").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("rid").alias("b"), F.col("n").alias("nb")), "b")
-    near = stage(near.filter("4 * least(na, nb) >= 3 * greatest(na, nb)").select("a", "b").distinct(), "neardup-pairs")
-    sets = full_sets(rows, regions.select("rid"))
-    links = confirm(near, sets)
+    near = stage(near.filter("4 * least(na, nb) >= 3 * greatest(na, nb)").select("a", "b").distinct(), "neardup-pairs", tasks=tasks)
+    sets = full_sets(rows, regions.select("rid"), tasks)
+    links = confirm(near, sets, tasks)
     # Rows with one doc_id in several classes tie these together.
     repeated = members.groupBy("doc_id").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).filter("lo < hi").select("doc_id")
-    ties = members.join(repeated, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rid").alias("b"))
+    ties = members.join(repeated, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rid").alias("b")).distinct()
     labels = components(links.unionByName(ties))
     tried = near
     for trees in (FIRST_TREES, TREES):
-        met = stage(open_pairs(regions.filter(F.col("tree") < trees), labels, sets), "neardup-met", rows=MEET_ROWS)
-        late = stage(met.filter(~F.col("sure")).select("a", "b").join(tried, ["a", "b"], "left_anti"), "neardup-pairs")
-        labels = joined_labels(labels, stage(met.filter("sure").select("a", "b").unionByName(confirm(late, sets)), "neardup-links"))
+        met = stage(open_pairs(regions.filter(F.col("tree") < trees), labels, sets, tasks), "neardup-met", rows=MEET_ROWS, tasks=tasks)
+        late = stage(met.filter(~F.col("sure")).select("a", "b").join(tried, ["a", "b"], "left_anti"), "neardup-pairs", tasks=tasks)
+        labels = joined_labels(labels, stage(met.filter("sure").select("a", "b").unionByName(confirm(late, sets, tasks)), "neardup-links", tasks=tasks), tasks)
         tried = tried.unionByName(late)
-    grouped = members.join(labels, F.col("rid") == F.col("id"), "left").select("doc_id", F.coalesce("root", "rid").alias("component_id"))
+    roots = labels.select(F.col("id").alias("rid"), "root")
+    few = roots.join(F.broadcast(classes.filter(F.col("c") > total / HOT_KEYS).select("rid")), "rid", "left_semi")
+    grouped = members.filter("hot").join(F.broadcast(few), "rid", "left").unionByName(members.filter("not hot").join(roots, "rid", "left")).select("doc_id", F.coalesce("root", "rid").alias("component_id"))
     own = grouped.groupBy(F.col("doc_id").alias("__id")).agg(F.min("component_id").alias("component_id"))
-    return signed.select("doc_id", F.col("n").alias("n_shingles")).join(own, F.col("doc_id") == F.col("__id"), "left").select(
+    found = signed.select("doc_id", F.col("n").alias("n_shingles"))
+    # Rows without an id have no partner and stay where they are.
+    joined = found.filter("doc_id is not null").join(own, F.col("doc_id") == F.col("__id"), "left").unionByName(found.filter("doc_id is null").withColumns({"__id": F.col("doc_id"), "component_id": F.col("doc_id")}))
+    return joined.select(
         "doc_id",
         "n_shingles",
         F.coalesce("component_id", "doc_id").alias("component_id"),
