@@ -11,6 +11,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -252,6 +253,59 @@ def test_crowded_regions(spark, monkeypatch):
     assert table(neardup.group(df), *COLUMNS5) == brute_groups(items)
 
 
+def packed(*values):
+    """Sorted rows of the leading signature values, as the forest packs them."""
+    out = 0
+    for v in (*values, 0, 0, 0, 0)[: neardup.DEPTH]:
+        out = out << 16 | v
+    return out
+
+
+def test_depth_of_regions_adapts_to_their_crowd():
+    crowd = neardup.CROWD
+    rows = [(1, packed(1, 1, 1, 1))]  # an end
+    rows += [(1, packed(2, 2, 10 + i, i)) for i in range(crowd)]  # as many as fit: one region of two values
+    rows += [(1, packed(3, 3, 3, 10 + i)) for i in range(crowd)] + [(1, packed(3, 3, 4, 9))] * 2  # too many: two of three values
+    rows += [(1, packed(4, 4, 4, 4))] * (crowd + 1) + [(1, packed(4, 4, 4, 5))]  # too many there too: four values
+    rows += [(2, packed(4, 4, 4, 5)), (2, packed(5, 5, 5, 5))]
+    tree, k1 = (np.array(x) for x in zip(*rows, strict=True))
+    depth, joins = neardup.depths(tree, k1)
+    assert depth.tolist() == [4] + [2] * crowd + [3] * (crowd + 2) + [4] * (crowd + 2) + [2, 4]
+    starts = np.flatnonzero(~joins).tolist()
+    assert np.diff([*starts, len(rows)]).tolist() == [1, crowd, crowd, 2, crowd + 1, 1, 1, 1]
+
+
+@pytest.mark.parametrize("cut", [1, 3, 50])
+def test_no_pair_of_full_depth_is_lost_where_a_task_cuts(spark, monkeypatch, cut):
+    """Rows that share DEPTH values in a tree are in one region of it, however the sorted rows are cut."""
+    monkeypatch.setattr(neardup, "RUN_ROWS", cut)
+    rng = np.random.default_rng(cut)
+    rows = sorted((int(t), packed(*rng.integers(0, 2, 4).tolist()), i) for i, t in enumerate(rng.integers(0, 2, 120)))
+    batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows[at : at + 7], strict=True)], names=["tree", "k1", "rid"]) for at in range(0, len(rows), 7)]
+    monkeypatch.setattr(neardup, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("P", (), {"partitionId": staticmethod(lambda: 0)})())}))
+    found = [r for b in neardup._scan(iter(batches)) for r in b.to_pylist() if r["kind"] == 0]
+    regions = defaultdict(set)
+    for r in found:
+        regions[r["tree"], r["depth"], r["prefix"]].add(r["rid"])
+    for a, b in itertools.combinations(rows, 2):
+        if a[:2] == b[:2]:
+            assert any(a[2] in x and b[2] in x for x in regions.values())
+
+
+def test_bucket_counts_bound_the_intersection():
+    rng = np.random.default_rng(5)
+    pool = np.unique(rng.integers(0, 2**63, 6000, dtype=np.uint64) * np.uint64(2))
+    sets = [np.sort(rng.choice(pool, n, replace=False)) for n in (400, 900, 3000, 5000)]
+    counts = [neardup.bucket_counts(x) for x in sets]
+    assert neardup.bucket_counts(np.arange(300, dtype=np.uint64)) is None
+    i, j = (x.ravel() for x in np.indices((4, 4)))
+    n = np.array([len(x) for x in sets])
+    bound = neardup._most_common(counts, [*counts[:3], None], n, n, i, j)
+    for a, b, most in zip(i, j, bound, strict=True):
+        assert len(np.intersect1d(sets[a], sets[b])) <= most <= min(n[a], n[b])
+        assert a != b or most == n[a]
+
+
 def test_chains_contract(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (300, 200), (7, 100)]
     got = {r["id"]: r["root"] for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
