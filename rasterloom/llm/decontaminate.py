@@ -4,9 +4,10 @@ Every task builds suffix arrays over the words of its shard of documents, a few
 million words at a time, and binary-searches every suffix of every benchmark item
 in them: first for the window that counts as contamination (ten words, or the
 whole of a shorter item), then word by word further while anything matches, which
-gives the longest verbatim match and its place.  Matches of all shards meet in one
-aggregation per item suffix; documents that are hit are removed where they are
-read, without a shuffle.
+gives the longest verbatim match and its place: for every document (the longest run of
+an item's words in it that holds a window) and, by one aggregation of all shards, for
+every item suffix.  Documents that are hit are removed where they are read, without a
+shuffle.
 
 The array holds only suffixes whose first word occurs in the benchmark: no other
 can match.  Words are numbered by the benchmark's vocabulary (0: any other word),
@@ -20,8 +21,9 @@ block the hit ranges of a document are united by a join on (doc_id, text hash).
 
 Defined cases: words are runs of ASCII letters (lower-cased), digits and all
 non-ASCII characters; a null or wordless text has no words and is never hit; an
-item without words matches nothing; equal items are hit together; repeated
-documents are judged one by one; an empty benchmark hits nothing.
+item without words matches nothing; a null item_id is the empty string; equal items are
+hit together; without a hit ``longest`` is 0 and ``longest_at`` -1, of several longest
+matches the first place counts; repeated documents are judged one by one; an empty benchmark hits nothing.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import text_batches
+from rasterloom.llm.common import TEXT_ROWS, stage, text_batches, tidy
 
 WINDOW = 10
 #: Benchmark text that is sent to the tasks at once.
@@ -141,12 +143,16 @@ def _bound(ids: np.ndarray, array: np.ndarray, lo: np.ndarray, hi: np.ndarray, k
         hi = np.where(open_ & ~right, mid, hi)
 
 
-def search(ids: np.ndarray, array: np.ndarray, bench: Benchmark) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For every item suffix: [lo, hi) of its window's occurrences, longest match in words, a place of it."""
+def search(ids: np.ndarray, array: np.ndarray, bench: Benchmark) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For every item suffix: [lo, hi) of its window's occurrences, longest match in words, a place of it.
+
+    And for every word of the text the most words of an item that match from there, if they hold a window.
+    """
     n = len(bench.starts)
     lo, hi = np.zeros(n, np.int64), np.full(n, len(array), np.int64)
     found_lo, found_hi = np.zeros(n, np.int64), np.zeros(n, np.int64)
     longest, place = np.zeros(n, np.int64), np.full(n, -1, np.int64)
+    reach = np.zeros(len(ids), np.int64)
     active = np.arange(n) if len(array) else np.zeros(0, np.int64)
     k = 0
     while len(active):
@@ -160,8 +166,11 @@ def search(ids: np.ndarray, array: np.ndarray, bench: Benchmark) -> tuple[np.nda
         longest[active], place[active] = k, array[a]
         whole = active[bench.window[active] == k]
         found_lo[whole], found_hi[whole] = lo[whole], hi[whole]
+        counts = active[(bench.window[active] > 0) & (bench.window[active] <= k)]
+        for a, b in set(zip(lo[counts].tolist(), hi[counts].tolist(), strict=True)):
+            reach[array[a:b]] = k  # k rises, so this is the most
         active = active[bench.length[active] > k]
-    return found_lo, found_hi, longest, place
+    return found_lo, found_hi, longest, place, reach
 
 
 @dataclass
@@ -174,6 +183,7 @@ class Shard:
     pairs: np.ndarray  # distinct (document, item) rows
     longest: np.ndarray
     place: np.ndarray
+    reach: np.ndarray  # per word: the most words of an item that match from there
 
     @staticmethod
     def of(documents: list[list[bytes]], bench: Benchmark) -> Shard:
@@ -185,7 +195,7 @@ class Shard:
             if words:
                 ids[at : at + len(words)] = np.fromiter(map(get, words, repeat(0)), np.int32, len(words))
         array = suffix_array(ids, bench.depth)
-        lo, hi, longest, place = search(ids, array, bench)
+        lo, hi, longest, place, reach = search(ids, array, bench)
         hit = np.flatnonzero(hi > lo)
         edges = np.zeros(len(ids) + 1, np.int64)
         pairs = []
@@ -201,12 +211,18 @@ class Shard:
             pairs.append(np.stack([docs, np.full(len(docs), bench.item[s])], 1))
         covered = np.cumsum(edges)[: len(ids)] > 0
         distinct = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
-        return Shard(n_words, first, covered, distinct, longest, place)
+        return Shard(n_words, first, covered, distinct, longest, place, reach)
 
     def hits(self) -> np.ndarray:
         total = np.concatenate([[0], np.cumsum(self.covered)])
         return total[self.first + self.n_words] - total[self.first]
 
+    def run(self, d: int) -> tuple[int, int]:
+        """The most words of an item that a document has in a row, and the first place of that."""
+        own = self.reach[self.first[d] : self.first[d] + self.n_words[d]]
+        at = int(own.argmax())
+        return int(own[at]), at
+
     def spans(self, d: int) -> list[list[int]]:
         own = np.concatenate([[0], self.covered[self.first[d] : self.first[d] + self.n_words[d]].astype(np.int8), [0]])
         edge = np.flatnonzero(np.diff(own))
@@ -241,7 +257,7 @@ def blocks(benchmark: DataFrame, window: int = WINDOW) -> list[Benchmark]:
     return [*out, Benchmark.of(held, window)] if held or not out else out
 
 
-_MATCHES = "n_words long, n_hit long, spans array<array<long>>, items array<string>"
+_MATCHES = "n_words long, n_hit long, longest long, longest_at long, spans array<array<long>>, items array<string>"
 
 
 def _annotate(bench: Benchmark, keys: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -252,41 +268,45 @@ def _annotate(bench: Benchmark, keys: list[str]) -> Callable[[Iterator[pa.Record
             for d, i in shard.pairs.tolist():
                 items[d].append(bench.items[i])
             spans = [shard.spans(d) if hits[d] else [] for d in range(len(hits))]
+            runs = [shard.run(d) if hits[d] else (0, -1) for d in range(len(hits))]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in keys), pa.array(shard.n_words), pa.array(hits), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array([sorted(set(x)) for x in items], pa.list_(pa.string()))],
-                names=[*keys, "n_words", "n_hit", "spans", "items"],
+                [*(batch.column(c) for c in keys), pa.array(shard.n_words), pa.array(hits), *(pa.array([r[i] for r in runs], pa.int64()) for i in (0, 1)), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array([sorted(set(x)) for x in items], pa.list_(pa.string()))],
+                names=[*keys, "n_words", "n_hit", "longest", "longest_at", "spans", "items"],
             )
 
     return run
 
 
 def annotate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, spans (word ranges that are hit) and items of every document."""
+    """doc_id, n_words, n_hit, longest and longest_at (the longest verbatim match with a window, and its first word), spans (word ranges that are hit) and items of every document."""
     rows = documents.select("doc_id", "text")
-    text_batches(documents.sparkSession)
     parts = blocks(benchmark, window)
     kind = dict(rows.dtypes)["doc_id"]
     if len(parts) == 1:
-        return rows.mapInArrow(_annotate(parts[0], ["doc_id"]), f"doc_id {kind}, {_MATCHES}")
+        return stage(rows.mapInArrow(tidy(_annotate(parts[0], ["doc_id"])), f"doc_id {kind}, {_MATCHES}"), "decontaminate", rows=TEXT_ROWS)
     keyed = rows.withColumn("h", F.xxhash64("text"))
-    each = [keyed.mapInArrow(_annotate(b, ["doc_id", "h"]), f"doc_id {kind}, h long, {_MATCHES}").filter("n_hit > 0").drop("n_words") for b in parts]
-    hit = each[0]
-    for x in each[1:]:
-        hit = hit.unionByName(x)
-    united = hit.groupBy(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    hit = None
+    for b in parts:  # one pass each, staged, so the plan doesn't grow with the benchmark
+        found = stage(keyed.mapInArrow(tidy(_annotate(b, ["doc_id", "h"])), f"doc_id {kind}, h long, {_MATCHES}").filter("n_hit > 0").drop("n_words"), "decontaminate-block", rows=TEXT_ROWS)
+        hit = found if hit is None else hit.unionByName(found)
+    # Equal rows are found once for each copy in each block; a copy is enough.
+    hit = hit.withColumn("first", F.struct("longest", (-F.col("longest_at")).alias("at")))
+    united = hit.groupBy(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("spans")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.max("first").alias("first")
+    )
     join = lambda lists, s: F.when((F.size(lists) > 0) & (F.element_at(lists, -1)[1] >= s[0]), F.concat(F.slice(lists, 1, F.size(lists) - 1), F.array(F.array(F.element_at(lists, -1)[0], F.greatest(F.element_at(lists, -1)[1], s[1]))))).otherwise(F.concat(lists, F.array(s)))
     united = united.withColumn("spans", F.aggregate("spans", F.array().cast("array<array<long>>"), join))
     united = united.withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0]))
     empty = Benchmark.of([], window)
-    base = keyed.mapInArrow(_annotate(empty, ["doc_id", "h"]), f"doc_id {kind}, h long, {_MATCHES}").select("doc_id", "h", "n_words")
+    base = stage(keyed.mapInArrow(tidy(_annotate(empty, ["doc_id", "h"])), f"doc_id {kind}, h long, {_MATCHES}").select("doc_id", "h", "n_words"), "decontaminate-words", rows=TEXT_ROWS)
     return base.join(united, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("h") == F.col("__h")), "left").select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("spans", F.array().cast("array<array<long>>")).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items")
+        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("first.longest", F.lit(0).cast("long")).alias("longest"), F.coalesce(-F.col("first.at"), F.lit(-1).cast("long")).alias("longest_at"), F.coalesce("spans", F.array().cast("array<array<long>>")).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items")
     )
 
 
 def digest(annotated: DataFrame) -> DataFrame:
     return annotated.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "longest", "longest_at"
     )
 
 
@@ -308,7 +328,7 @@ def longest_matches(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
     for bench in blocks(benchmark):
-        part = rows.mapInArrow(_longest(bench), "item_id string, item_word long, words long, doc_id long, doc_word long")
+        part = rows.mapInArrow(tidy(_longest(bench)), "item_id string, item_word long, words long, doc_id long, doc_word long")
         out = part if out is None else out.unionByName(part)
     best = out.groupBy("item_id", "item_word").agg(F.max(F.struct("words", (-F.col("doc_id")).alias("d"), (-F.col("doc_word")).alias("w"))).alias("b"))
     return best.select("item_id", "item_word", F.col("b.words").alias("words"), (-F.col("b.d")).alias("doc_id"), (-F.col("b.w")).alias("doc_word"))
@@ -330,7 +350,7 @@ def remove(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     text_batches(documents.sparkSession)
     out = documents
     for bench in blocks(benchmark, window):
-        out = out.mapInArrow(_clean(bench), documents.schema)
+        out = out.mapInArrow(tidy(_clean(bench)), documents.schema)
     return out
 
 

@@ -131,21 +131,26 @@ WITH docs AS (
   FROM documents
 ),
 items AS (
-  SELECT item_id::varchar AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  SELECT row_number() OVER () AS item, coalesce(item_id::varchar, '') AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM benchmark
 ),
 windows AS (
-  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS g
+  SELECT item, item_id, i AS j, least(len(w), 10) AS n, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS g
   FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0)
 ),
 spots AS (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM windows)),
 grams AS (SELECT r, n, i, array_to_string(w[i : i + n - 1], ' ') AS g FROM spots),
-found AS (SELECT r, item_id, i, n FROM grams JOIN windows USING (n, g)),
+found AS (SELECT r, item, item_id, i, j, n FROM grams JOIN windows USING (n, g)),
+-- Windows that follow each other in an item and in a document are one match.
+steps AS (SELECT r, i, n, i - row_number() OVER (PARTITION BY r, item, n, i - j ORDER BY i) AS island, item, i - j AS diagonal FROM found),
+matches AS (SELECT r, min(i) AS i, max(i) - min(i) + any_value(n) AS words FROM steps GROUP BY r, item, n, diagonal, island),
+longest AS (SELECT r, max(words) AS words, first(i ORDER BY words DESC, i) AS i FROM matches GROUP BY r),
 hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT r, unnest(range(i, i + n)) AS p FROM found) GROUP BY r),
 listed AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id FROM found) GROUP BY r)
 SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit, coalesce(n_items, 0)::bigint AS n_items,
-  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM docs LEFT JOIN hit USING (r) LEFT JOIN listed USING (r)
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  coalesce(words, 0)::bigint AS longest, coalesce(longest.i - 1, -1)::bigint AS longest_at
+FROM docs LEFT JOIN hit USING (r) LEFT JOIN listed USING (r) LEFT JOIN longest USING (r)
 """
 
 

@@ -78,7 +78,7 @@ def test_changed_weights_move_only_their_subtree(spark):
 
 def brute_hits(text):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    hit, items = set(), set()
+    hit, items, runs = set(), set(), [(0, 1)]
     for item, body in BENCH:
         own = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), body or ""))
         n = min(10, len(own))
@@ -87,12 +87,17 @@ def brute_hits(text):
                 if words[j : j + n] == own[i : i + n]:
                     hit |= set(range(j, j + n))
                     items.add(str(item))
-    return len(words), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit)
+                    k = n
+                    while words[j : j + k + 1] == own[i : i + k + 1] and i + k < len(own):
+                        k += 1
+                    runs.append((k, -j))
+    best = max(runs)
+    return len(words), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit), best[0], -best[1]
 
 
 def test_decontamination(spark, documents, benchmark, nothing, monkeypatch):
     want = Counter((d, *brute_hits(t)) for d, t, *_ in ROWS)
-    columns = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    columns = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest", "longest_at")
     assert table(decontaminate.digest(decontaminate.annotate(documents, benchmark)), *columns) == want
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 40)
     assert len(decontaminate.blocks(benchmark)) > 1
@@ -100,16 +105,32 @@ def test_decontamination(spark, documents, benchmark, nothing, monkeypatch):
     clean = decontaminate.remove(documents, benchmark)
     assert clean.columns == documents.columns
     assert Counter(r["doc_id"] for r in clean.collect()) == Counter(d for d, t, *_ in ROWS if not brute_hits(t)[1])
+    nameless = benchmark.select(F.lit(None).cast("string").alias("item_id"), "text")
+    assert {r["items"][0] for r in decontaminate.annotate(documents, nameless).filter("n_hit > 0").collect()} == {""}
     empty = benchmark.limit(0)
     assert decontaminate.annotate(documents, empty).filter("n_hit > 0").count() == 0
     assert decontaminate.annotate(nothing, benchmark).count() == 0
 
 
 def test_longest_match(spark, documents, benchmark):
-    got = {(r["item_id"], r["item_word"]): r for r in decontaminate.longest_matches(documents, benchmark).collect()}
-    best = got["1", 0]
-    assert (best["words"], best["doc_id"], best["doc_word"]) == (12, 11, 2)
-    assert got["1", 13 - 3]["words"] >= 1 if ("1", 10) in got else True
+    split = lambda text: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    texts = [(d, split(t)) for d, t, *_ in ROWS if d is not None]
+    want = {}
+    for item, body in BENCH:
+        own = split(body)
+        for at in range(len(own)):
+            best = (0, 0, 0)
+            for d, words in texts:
+                for j in range(len(words)):
+                    k = 0
+                    while at + k < len(own) and j + k < len(words) and own[at + k] == words[j + k]:
+                        k += 1
+                    best = max(best, (k, -d, -j))
+            if best[0]:
+                want[str(item), at] = (best[0], -best[1], -best[2])
+    got = {(r["item_id"], r["item_word"]): (r["words"], r["doc_id"], r["doc_word"]) for r in decontaminate.longest_matches(documents.filter("doc_id is not null"), benchmark).collect()}
+    assert got["1", 0] == (12, 11, 2) and got.keys() == want.keys()
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
 
 
 @settings(max_examples=60, deadline=None)
