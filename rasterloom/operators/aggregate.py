@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.functions.scalar import affine, features, level_bytes, lit, mse_to_db, to_byte
-from rasterloom.operators.resample import footprint_cell, rank_pick
+from rasterloom.operators.resample import footprint_cell, rank_pick, with_extent
 from rasterloom.schema import KEYS, channels
 
 
@@ -65,8 +65,8 @@ def plane_objective(sums: DataFrame, size: DataFrame, cw: Sequence[float], k: in
 
 def block_means(plane: DataFrame, size: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Means over each level-1 texel's footprint."""
-    sized = plane.join(size, list(keys))
-    x, y = footprint_cell(F.col("x"), F.col("y"), F.col("w0"), F.col("h0"), F.col("w1"), F.col("h1"))
+    sized = with_extent(plane, size, {f"__{n}": n for n in ("w0", "h0", "w1", "h1")}, keys)
+    x, y = footprint_cell(F.col("x"), F.col("y"), F.col("__w0"), F.col("__h0"), F.col("__w1"), F.col("__h1"))
     return sized.groupBy(*keys, x.alias("x"), y.alias("y")).agg(*[F.avg(c).alias(c) for c in channels(plane)])
 
 

@@ -24,6 +24,8 @@ from rasterloom.operators.resample import OFFSETS, STENCIL
 TOLERANCE, MAX_ITERATIONS, PROBE = 1e-10, 200, 4
 #: Blocks whose dense systems are held at once.
 BLOCKS_AT_ONCE = 4096
+#: Pixels of a plane up to which its sites are kept between steps (some 800 bytes each); beyond, they are made anew.
+KEPT_PIXELS = 1 << 18
 
 
 @dataclass
@@ -36,6 +38,7 @@ class Plane:
     k0: np.ndarray | None = None
     k1: np.ndarray | None = None
     blocks: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None  # r0, r1 (by, bx, c) and selectors (by, bx, c, 16)
+    kept: dict[int, list] = field(default_factory=dict, repr=False)  # sites by k: they depend on the extents and the source alone
 
     @property
     def size0(self) -> tuple[int, int]:
@@ -53,15 +56,14 @@ class Taps:
     x: np.ndarray
     y: np.ndarray
     w: np.ndarray
-    width: int
-
-    @property
-    def at(self) -> np.ndarray:
-        return self.y * self.width + self.x
+    at: np.ndarray  # position in the plane's rows one after another
 
     def read(self, plane: np.ndarray) -> np.ndarray:
         flat = plane.reshape(-1, plane.shape[2])
-        return np.einsum("an,anc->nc", self.w, flat[self.at])
+        out = self.w[0][:, None] * flat[self.at[0]]
+        for a in range(1, 4):
+            out += self.w[a][:, None] * flat[self.at[a]]
+        return out
 
 
 def site_offsets(h: int, w: int, k: int, j: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,11 +87,11 @@ def taps(h0: int, w0: int, dx: np.ndarray, dy: np.ndarray, h: int, w: int) -> Ta
     fx, fy = x - x0, y - y0
     xs, ys = np.stack([x0, x0 + 1, x0, x0 + 1]), np.stack([y0, y0, y0 + 1, y0 + 1])
     weights = np.stack([(1 - fx) * (1 - fy), fx * (1 - fy), (1 - fx) * fy, fx * fy])
-    return Taps(np.clip(xs, 0, w - 1), np.clip(ys, 0, h - 1), weights, w)
+    xs, ys = np.clip(xs, 0, w - 1).astype(np.int32), np.clip(ys, 0, h - 1).astype(np.int32)
+    return Taps(xs, ys, weights, ys * np.int32(w) + xs)
 
 
-def sites(p: Plane, k: int) -> Iterator[tuple[int, Taps, Taps, np.ndarray]]:
-    """(j, level-0 taps, level-1 taps, targets) of every kind of site."""
+def _made_sites(p: Plane, k: int) -> Iterator[tuple[int, Taps, Taps, np.ndarray]]:
     (h0, w0), (h1, w1) = p.size0, p.size1
     for j in range(k + 1):
         dx, dy = site_offsets(h0, w0, k, j)
@@ -97,6 +99,22 @@ def sites(p: Plane, k: int) -> Iterator[tuple[int, Taps, Taps, np.ndarray]]:
         yield j, t0, taps(h0, w0, dx, dy, h1, w1), t0.read(p.src)
 
 
+def sites(p: Plane, k: int) -> Iterator[tuple[int, Taps, Taps, np.ndarray]]:
+    """(j, level-0 taps, level-1 taps, targets) of every kind of site."""
+    if p.size0[0] * p.size0[1] > KEPT_PIXELS:
+        return _made_sites(p, k)
+    if k not in p.kept:
+        p.kept[k] = list(_made_sites(p, k))
+    return iter(p.kept[k])
+
+
+# Pairs of corners, each once, and what becomes of their step (dx, dy), at place 3 * dy + dx + 1: the slot that
+# owns it, how often it counts there, and whether the second corner owns it.
+_PAIRS = [(a, e) for a in range(4) for e in range(a, 4)]
+_SLOT = np.array([STENCIL.index(d) for d in ((1, 0), (0, 0), (1, 0), (-1, 1), (0, 1), (1, 1))])
+_TIMES = np.array([1.0, 2.0, 1.0, 1.0, 1.0, 1.0])
+
+
 @dataclass
 class Form:
     """The decoder seen from one level: out = m + sum_q (base + sum_j other_j * cross_j)[:, q] * own_q."""
@@ -163,26 +181,31 @@ def assemble(p: Plane, w: np.ndarray, b: np.ndarray, cw: np.ndarray, k: int, lev
     own_plane, c = (p.v0, c0) if level0 else (p.v1, c1)
     h, wd = own_plane.shape[:2]
     matrices = form.matrices(cw)
-    sums = np.zeros((len(STENCIL), h * wd, len(matrices)))
+    sums = np.zeros((len(matrices), len(STENCIL) * h * wd))
     gradient = np.zeros((h * wd, c))
     for j, t0, t1, target in sites(p, k):
         own, other = (t0, t1.read(p.v1)) if level0 else (t1, t0.read(p.v0))
         slope = form.slope(other)
         residual = form.constant(other) + np.einsum("nrq,nq->nr", slope, own.read(own_plane)) - target
-        pull = np.einsum("nrq,r,nr->nq", slope, cw, residual)
+        pull = np.einsum("nrq,nr->nq", slope, cw * residual)
         mono = form.monomials(other)
         corners = range(1) if level0 and j == 0 else range(4)  # the centre site is one texel
         for a in corners:
             for q in range(c):
                 gradient[:, q] += np.bincount(own.at[a], own.w[a] * pull[:, q], h * wd)
-            for e in corners:
-                dx, dy, scale = own.x[e] - own.x[a], own.y[e] - own.y[a], own.w[a] * own.w[e]
-                for slot, (ox, oy) in enumerate(STENCIL):
-                    use = np.flatnonzero((dx == ox) & (dy == oy) & (scale != 0))
-                    if len(use):
-                        for i in range(mono.shape[1]):
-                            sums[slot, :, i] += np.bincount(own.at[a][use], scale[use] * mono[use, i], h * wd)
-    blocks = np.einsum("sti,ipq->stpq", sums, matrices).reshape(len(STENCIL), h, wd, c, c)
+        for a, e in _PAIRS if len(corners) == 4 else _PAIRS[:1]:
+            scale = own.w[a] * own.w[e]
+            if a == e:
+                index = own.at[a]
+                size = h * wd
+            else:
+                step = 3 * (own.y[e] - own.y[a]) + own.x[e] - own.x[a] + 1
+                scale = scale * _TIMES[step]  # at an edge both corners may be one texel, and count either way
+                index = _SLOT[step] * (h * wd) + np.where(step == 0, own.at[e], own.at[a])
+                size = len(STENCIL) * h * wd
+            for i in range(mono.shape[1]):
+                sums[i, :size] += np.bincount(index, scale * mono[:, i], size)
+    blocks = np.tensordot(sums, matrices, (0, 0)).reshape(len(STENCIL), h, wd, c, c)
     return Stencil(blocks, gradient.reshape(h, wd, c))
 
 

@@ -1,12 +1,17 @@
 """Reshaping and resampling of planes.
 
-Positional access is the engine's join.  Bilinear reads go through *cells*: a cell
-is the square between four neighbouring texels, with its four clamped corners as
-columns.  Cells are built by one aggregation over the plane that is read (each
-texel feeds the cells it borders), and a read point then needs a single equi-join
-on (keys, cell) instead of one per tap.  Level-1 planes hold a sixteenth of the
-pixels, so the aggregation is small and Catalyst can broadcast it when its size
-allows; no broadcast is forced here.
+Positional access is the engine's join, and most of it can be had without one.
+Extents come from a table of a row per plane, 13 for a chain, and are put into the
+plan as an expression.  Sites lie within half a texel of their pixel, so all that
+they read is in the pixel's own 3 x 3 neighbourhood: two window passes bring it into
+the pixel's row (``neighbourhood``), level 1 joins once per pixel, and the sites are
+made inside the row.  Points anywhere are read through *cells*: a cell is the square
+between four neighbouring texels, with its four clamped corners as columns, built by
+one aggregation of the plane that is read, and a point then needs a single equi-join
+on (keys, cell) instead of one per tap.  No broadcast is forced here but of extents
+that are counted first.
+
+Planes are dense: a row for every texel.
 """
 
 from __future__ import annotations
@@ -21,8 +26,10 @@ from rasterloom.schema import BLOCK, GEOMETRY, KEYS, channels
 
 # The sub-texel offsets of a pixel, before rotation.
 OFFSETS = {0: (), 1: ((0.25, 0.25),), 2: ((-0.25, 0.25), (0.25, -0.25)), 4: ((-0.375, -0.125), (-0.125, 0.375), (0.125, -0.375), (0.375, 0.125))}
-#: The directions of the nine-point stencil that a texel owns; the others are transposes.
+# The directions of the nine-point stencil that a texel owns; the others are transposes.
 STENCIL = ((0, 0), (1, 0), (-1, 1), (0, 1), (1, 1))
+#: Planes whose extents are written into a plan; up to SENT rows of them are broadcast, more are joined by a shuffle.
+CASES, SENT = 64, 100_000
 
 
 def geometry(w: int, h: int, levels: int | None = None, least: int = 8) -> list[tuple[int, int, int, int, int]]:
@@ -35,7 +42,57 @@ def geometry(w: int, h: int, levels: int | None = None, least: int = 8) -> list[
 
 
 def geometry_table(spark: SparkSession, sizes: list[tuple[int, int, int, int, int]]) -> DataFrame:
-    return spark.createDataFrame(sizes, GEOMETRY)
+    """The levels as a table; few of them are remembered with it, so that nothing is read to plan with them."""
+    out = spark.createDataFrame(sizes, GEOMETRY)
+    names = [field.split()[0] for field in GEOMETRY.split(", ")]
+    out._few = [dict(zip(names, row, strict=True)) for row in sizes] if len(sizes) <= CASES else None
+    return out
+
+
+def _few_rows(size: DataFrame) -> list[dict] | None:
+    """The rows of a table of extents if there are CASES at most."""
+    if not hasattr(size, "_few"):
+        rows = size.limit(CASES + 1).collect()
+        size._few = [r.asDict() for r in rows] if len(rows) <= CASES else None
+    return size._few
+
+
+def with_extent(df: DataFrame, size: DataFrame, names: dict[str, str], keys: Sequence[str] = KEYS) -> DataFrame:
+    """``df`` with its plane's columns of ``size``, as new: old name in ``names``; rows of planes that it lacks go.
+
+    ``size`` has a row per plane: one expression if they are few, else a join (of a counted broadcast up to SENT rows).
+    """
+    rows = _few_rows(size)
+    if rows is None:
+        own = size.select(*keys, *[F.col(old).alias(new) for new, old in names.items()])
+        return df.join(F.broadcast(own) if own.count() <= SENT else own, list(keys))
+
+    def pick(old: str) -> Column:
+        out = F.lit(None).cast("int")
+        for row in reversed(rows):
+            here = F.lit(True)
+            for key in keys:
+                here = here & (F.col(key) == F.lit(row[key]))
+            out = F.when(here, F.lit(row[old])).otherwise(out)
+        return out
+
+    out = df.withColumns({new: pick(old) for new, old in names.items()})
+    return out.filter(F.col(next(iter(names))).isNotNull())
+
+
+def deepest(size: DataFrame) -> int:
+    """The last plane of a chain."""
+    rows = _few_rows(size)
+    found = size.agg(F.max("plane")).first()[0] if rows is None else max((r["plane"] for r in rows), default=None)
+    return -1 if found is None else found
+
+
+def level1_extents(size: DataFrame) -> DataFrame:
+    """The extents of level 1 in the place of level 0's."""
+    out = size.select("plane", F.col("w1").alias("w0"), F.col("h1").alias("h0"), "w1", "h1")
+    rows = _few_rows(size)
+    out._few = None if rows is None else [r | {"w0": r["w1"], "h0": r["h1"]} for r in rows]
+    return out
 
 
 # ---- textures and channels
@@ -247,7 +304,7 @@ def cells(plane: DataFrame, size: DataFrame, w: str, h: str, keys: Sequence[str]
     ``size`` has the keys and the plane's extent in columns ``w`` and ``h``.
     """
     own = channels(plane)
-    sized = plane.join(size.select(*keys, F.col(w).alias("__w"), F.col(h).alias("__h")), list(keys))
+    sized = with_extent(plane, size, {"__w": w, "__h": h}, keys)
 
     def sides(p: str, n: str) -> Column:
         # (cell, corner) pairs of one axis; the first texel is both corners of cell -1, the last of cell n - 1.
@@ -271,8 +328,7 @@ def read_bilinear(points: DataFrame, plane: DataFrame, size: DataFrame, px: Colu
     """``points`` with the plane read at texel positions (px, py), clamped to the edge, as ``names``."""
     own = channels(plane)
     corners = cells(plane, size, w, h, keys)
-    extent = size.select(*keys, F.col(w).alias("__w"), F.col(h).alias("__h"))
-    at = points.join(extent, list(keys)).withColumns({"__px": px, "__py": py})
+    at = with_extent(points, size, {"__w": w, "__h": h}, keys).withColumns({"__px": px, "__py": py})
     # Beyond the outermost cells both corners are the edge texel.
     at = at.withColumns({"qx": F.greatest(F.lit(-1), F.least(F.floor("__px").cast("int"), F.col("__w") - 1)), "qy": F.greatest(F.lit(-1), F.least(F.floor("__py").cast("int"), F.col("__h") - 1))})
     at = at.withColumns({"__fx": F.col("__px") - F.floor("__px"), "__fy": F.col("__py") - F.floor("__py")})
@@ -280,31 +336,65 @@ def read_bilinear(points: DataFrame, plane: DataFrame, size: DataFrame, px: Colu
     return read.select(*points.columns, *[blend(c, F.col("__fx"), F.col("__fy")).alias(n) for c, n in zip(own, names, strict=True)])
 
 
-def read_level1(pixels: DataFrame, level1: DataFrame, size: DataFrame, names: Sequence[str], keys: Sequence[str] = KEYS) -> DataFrame:
-    """Level 1 at the sites of ``pixels`` (columns x, y and optionally dx, dy)."""
-    dx, dy = (F.col("dx"), F.col("dy")) if "dx" in pixels.columns else (lit(0), lit(0))
-    sized = pixels.join(size.select(*keys, F.col("w0").alias("__w0"), F.col("h0").alias("__h0"), F.col("w1").alias("__w1"), F.col("h1").alias("__h1")), list(keys))
-    read = read_bilinear(sized, level1, size, tap_position(F.col("x"), dx, F.col("__w0"), F.col("__w1")), tap_position(F.col("y"), dy, F.col("__h0"), F.col("__h1")), names, keys=keys)
-    return read.select(*pixels.columns, *names)
+def neighbourhood(plane: DataFrame, keys: Sequence[str] = KEYS, prefix: str = "") -> DataFrame:
+    """Every texel with its neighbours, clamped to the edge: ``<prefix><c>_<a><b>`` is a steps right and b down of the first of 3 x 3."""
+
+    def beside(rows: DataFrame, names: Sequence[str], line: str, along: str) -> DataFrame:
+        order = Window.partitionBy(*keys, line).orderBy(along)
+        three = lambda c: ((0, F.coalesce(F.lag(c).over(order), F.col(c))), (1, F.col(c)), (2, F.coalesce(F.lead(c).over(order), F.col(c))))
+        return rows.select(*keys, "x", "y", *[value.alias(f"{c}{i}") for c in names for i, value in three(c)])
+
+    own = channels(plane)
+    rows = plane.select(*keys, "x", "y", *[F.col(c).alias(f"{prefix}{c}_") for c in own])
+    return beside(beside(rows, [f"{prefix}{c}_" for c in own], "y", "x"), [f"{prefix}{c}_{a}" for c in own for a in range(3)], "x", "y")
+
+
+def _within(name: str, left: Column, up: Column, fx: Column, fy: Column) -> Column:
+    """A bilinear read in a neighbourhood: the cell left of (or right of) its middle texel, and above (or below) it."""
+    corner = lambda a, b: F.when(left & up, F.col(f"{name}_{a}{b}")).when(left, F.col(f"{name}_{a}{b + 1}")).when(up, F.col(f"{name}_{a + 1}{b}")).otherwise(F.col(f"{name}_{a + 1}{b + 1}"))
+    one = lit(1)
+    return (one - fx) * (one - fy) * corner(0, 0) + fx * (one - fy) * corner(1, 0) + (one - fx) * fy * corner(0, 1) + fx * fy * corner(1, 1)
+
+
+_EXTENTS = {"__w0": "w0", "__h0": "h0", "__w1": "w1", "__h1": "h1"}
 
 
-def read_full(points: DataFrame, plane: DataFrame, size: DataFrame, names: Sequence[str], keys: Sequence[str] = KEYS) -> DataFrame:
-    """A full-resolution plane at fractional sites: texel positions are x + dx, y + dy."""
-    return read_bilinear(points, plane, size, F.col("x") + F.col("dx"), F.col("y") + F.col("dy"), names, "w0", "h0", keys)
+def _beside_level1(pixels: DataFrame, level1: DataFrame, size: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``pixels`` with the extents, the level-1 texel (__bx, __by) they lie over and its neighbourhood, columns ``__z<c>_<a><b>``."""
+    over = lambda p, n0, n1: F.floor(((F.col(p) * 2 + 1).cast("long") * F.col(n1)) / (F.col(n0) * 2)).cast("int")
+    at = with_extent(pixels, size, _EXTENTS, keys).withColumns({"__bx": over("x", "__w0", "__w1"), "__by": over("y", "__h0", "__h1")})
+    near = neighbourhood(level1, keys, "__z").withColumnsRenamed({"x": "__bx", "y": "__by"})
+    return at.join(near, [*keys, "__bx", "__by"])
+
+
+def _level1_values(level1: DataFrame, names: Sequence[str], dx: Column, dy: Column) -> list[Column]:
+    """Level 1 at (x + dx, y + dy), at most half a pixel away: within the neighbourhood that ``_beside_level1`` gave."""
+    px, py = tap_position(F.col("x"), dx, F.col("__w0"), F.col("__w1")), tap_position(F.col("y"), dy, F.col("__h0"), F.col("__h1"))
+    left, up = F.floor(px) < F.col("__bx"), F.floor(py) < F.col("__by")
+    return [_within(f"__z{c}", left, up, px - F.floor(px), py - F.floor(py)).alias(n) for c, n in zip(channels(level1), names, strict=True)]
+
+
+def read_level1(pixels: DataFrame, level1: DataFrame, size: DataFrame, names: Sequence[str], keys: Sequence[str] = KEYS) -> DataFrame:
+    """Level 1, no larger than level 0, at the pixels (x, y) or at sites (dx, dy) half a pixel away at most."""
+    dx, dy = (F.col("dx"), F.col("dy")) if "dx" in pixels.columns else (lit(0), lit(0))
+    return _beside_level1(pixels, level1, size, keys).select(*pixels.columns, *_level1_values(level1, names, dx, dy))
 
 
 def site_rows(level0: DataFrame, level1: DataFrame, source: DataFrame, size: DataFrame, k: int, keys: Sequence[str] = KEYS) -> DataFrame:
     """keys, x, y, j and every site's level-0 sample s*, level-1 sample z* and target t*.
 
-    Level 0 and the source share one cell table, and the centre site reads it at
+    All that a pixel's sites read is in its row: its neighbourhood in level 0 and the
+    source, and that of the level-1 texel it lies over.  The centre site reads at
     offset 0, which is the texel itself.
     """
     n0, n1, nt = len(channels(level0)), len(channels(level1)), len(channels(source))
     both = level0.join(source.select(*keys, "x", "y", *[F.col(c).alias(f"c{n0 + i}") for i, c in enumerate(channels(source))]), [*keys, "x", "y"])
-    points = sites(level0.select(*keys, "x", "y"), k)
-    names = [f"s{i}" for i in range(n0)] + [f"t{i}" for i in range(nt)]
-    full = read_full(points, both, size, names, keys)
-    return read_level1(full, level1, size, [f"z{i}" for i in range(n1)], keys).drop("dx", "dy")
+    near = _beside_level1(neighbourhood(both, keys, "__f"), level1, size, keys)
+    at = sites(near, k)
+    left, up = F.col("dx") < 0, F.col("dy") < 0
+    fx, fy = F.when(left, F.col("dx") + lit(1)).otherwise(F.col("dx")), F.when(up, F.col("dy") + lit(1)).otherwise(F.col("dy"))
+    full = [_within(f"__fc{i}", left, up, fx, fy).alias(n) for i, n in enumerate([f"s{i}" for i in range(n0)] + [f"t{i}" for i in range(nt)])]
+    return at.select(*keys, "x", "y", "j", *full, *_level1_values(level1, [f"z{i}" for i in range(n1)], F.col("dx"), F.col("dy")))
 
 
 def nearest(points: DataFrame, plane: DataFrame, u: Column, v: Column, w: int, h: int, names: Sequence[str], keys: Sequence[str] = KEYS) -> DataFrame:
@@ -316,18 +406,20 @@ def nearest(points: DataFrame, plane: DataFrame, u: Column, v: Column, w: int, h
 
 
 def trilinear(points: DataFrame, chain: DataFrame, size: DataFrame, names: Sequence[str]) -> DataFrame:
-    """``points`` (u, v, lod and any id columns) read from a chain: two levels, four taps each.
+    """``points`` (u, v, lod and any id columns, repeated or not) read from a chain: two levels, four taps each.
 
-    The two levels are two rows of a point, read by one join and added up again.
+    The two levels are read one after the other from one table of cells, so every row stays itself.
     """
-    top = size.agg(F.max("plane").alias("__top"))
-    rows = points.withColumn("__pid", F.xxhash64(*points.columns)).crossJoin(top)  # one row: the deepest plane
-    lod = F.greatest(lit(0), F.least(F.col("lod"), F.col("__top").cast("double")))
-    rows = rows.withColumn("__lod", lod).withColumn("__two", F.array(F.struct(F.floor("__lod").cast("int").alias("p"), (lit(1) - (F.col("__lod") - F.floor("__lod"))).alias("f")), F.struct(F.least(F.floor("__lod") + 1, F.col("__top").cast("long")).cast("int").alias("p"), (F.col("__lod") - F.floor("__lod")).alias("f"))))
-    rows = rows.withColumn("__one", F.explode("__two")).withColumn("plane", F.col("__one.p")).withColumn("__f", F.col("__one.f")).drop("__one", "__two", "__top", "__lod")
-    sized = rows.join(size.select("plane", F.col("w0").alias("__w0"), F.col("h0").alias("__h0")), "plane")
-    read = read_bilinear(sized, chain, size, F.col("u") * F.col("__w0") - lit(0.5), F.col("v") * F.col("__h0") - lit(0.5), [f"__r{i}" for i in range(len(names))], "w0", "h0")
-    return read.groupBy(*points.columns).agg(*[F.sum(F.col(f"__r{i}") * F.col("__f")).alias(n) for i, n in enumerate(names)])
+    top = deepest(size)
+    lod = F.greatest(lit(0), F.least(F.col("lod"), F.lit(float(top))))
+    rows = points.withColumn("__lod", lod).withColumn("__floor", F.floor("__lod").cast("int"))
+    rows = rows.withColumns({"__part": F.col("__lod") - F.col("__floor"), "__next": F.least(F.col("__floor") + 1, F.lit(top))})
+    low, high = [f"__a{i}" for i in range(len(names))], [f"__b{i}" for i in range(len(names))]
+    for level, read in (("__floor", low), ("__next", high)):
+        at = with_extent(rows.withColumn("plane", F.col(level)), size, {"__w0": "w0", "__h0": "h0"})
+        rows = read_bilinear(at, chain, size, F.col("u") * F.col("__w0") - lit(0.5), F.col("v") * F.col("__h0") - lit(0.5), read, "w0", "h0").drop("plane", "__w0", "__h0")
+    part = F.col("__part")
+    return rows.select(*points.columns, *[(F.col(a) * (lit(1) - part) + F.col(b) * part).alias(n) for a, b, n in zip(low, high, names, strict=True)])
 
 
 # ---- footprints

@@ -39,8 +39,8 @@ def sample(points: DataFrame, level0: DataFrame, level1: DataFrame, size: DataFr
     points = points if mode == "trilinear" else points.withColumn("lod", F.floor(F.col("lod") + F.lit(0.5)).cast("double"))
     names0, names1 = [f"s{i}" for i in range(len(channels(level0)))], [f"z{i}" for i in range(len(channels(level1)))]
     if mode == "point":
-        top = size.agg(F.max("plane").alias("__top"))
-        at = points.crossJoin(top).withColumn("plane", F.least(F.greatest(F.lit(0), F.col("lod").cast("int")), F.col("__top"))).drop("__top").join(size, "plane")
+        level = F.least(F.greatest(F.lit(0), F.col("lod").cast("int")), F.lit(R.deepest(size)))
+        at = R.with_extent(points.withColumn("plane", level), size, {n: n for n in ("w0", "h0", "w1", "h1")})
         read = at
         for plane, names, w, h in ((level0, names0, "w0", "h0"), (level1, names1, "w1", "h1")):
             cell = lambda p, n: F.greatest(F.lit(0), F.least(F.floor(p * F.col(n)).cast("int"), F.col(n) - 1))
@@ -48,8 +48,7 @@ def sample(points: DataFrame, level0: DataFrame, level1: DataFrame, size: DataFr
             read = read.withColumns({"__x": cell(F.col("u"), w), "__y": cell(F.col("v"), h)}).join(texels, ["plane", "__x", "__y"]).drop("__x", "__y")
         read = read.select(*points.columns, *names0, *names1)
     else:
-        level1_size = size.select("plane", F.col("w1").alias("w0"), F.col("h1").alias("h0"), F.col("w1"), F.col("h1"))
-        read = R.trilinear(R.trilinear(points, level0, size, names0), level1, level1_size, names1)
+        read = R.trilinear(R.trilinear(points, level0, size, names0), level1, R.level1_extents(size), names1)
     if raw is not None:
         return read.select(*points.columns, *(names1 if raw else names0))
     out: list[Column] = [clamp01(o) for o in affine(weights, bias, features([F.col(c) for c in names0], [F.col(c) for c in names1]))]

@@ -128,7 +128,7 @@ def q14(spark, d):
 
 def q15(spark, d):
     source, _, _, _ = _base(spark, d)
-    pixels = source.filter("x < 16 and y < 8").select("x", "y")
+    pixels = source.select("x", "y")
     parts = [R.sites(pixels, k).withColumn("k", F.lit(k)) for k in (1, 2, 4)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -139,6 +139,14 @@ def q16(spark, d):
     return _rounded(R.trilinear(points, chain, size, ["r", "g", "b"]).select("id", "r", "g", "b"))
 
 
+def q51(spark, d):
+    """Four rows of every point and no column that tells them apart: each is read on its own."""
+    chain, size, _, _ = _base(spark, d, LEVELS)
+    n = F.col("id") % 500
+    points = spark.range(2000).select(((n * 37 % 100).cast("double") / 100).alias("u"), ((n * 91 % 97).cast("double") / 97).alias("v"), ((n % 7).cast("double") / 2).alias("lod"))
+    return _rounded(R.trilinear(points, chain, size, ["r", "g", "b"]))
+
+
 def _rows(spark, d, levels: int, k: int = 4) -> tuple[DataFrame, DataFrame]:
     source, size, _, _ = _base(spark, d, levels)
     return R.site_rows(luma_plane(source), mean_plane(source, size), source, size, k), size
@@ -370,6 +378,7 @@ NAMES = {
     "q48_decoder_lean": q48,
     "q49_lineitem_raster": q49,
     "q50_embeddings_box": q50,
+    "q51_repeated_points": q51,
 }
 
 

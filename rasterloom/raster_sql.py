@@ -287,13 +287,19 @@ def oracle_sql() -> dict[str, str]:
         "q12_fit": f"WITH {_EVENTS}, plan AS (SELECT CASE WHEN w <= 64 THEN 0 ELSE greatest(0, least(w - 64, (w - 64) // 2 + 3)) END AS x0, least(w, 64) AS nw, CASE WHEN h <= 128 THEN 0 ELSE greatest(0, least(h - 128, (h - 128) // 2)) END AS y0, least(h, 128) AS nh FROM dims), grid AS (SELECT px, py, x0 + least(px, nw - 1) AS x, y0 + least(py, nh - 1) AS y FROM plan, (SELECT unnest(range(64))::int AS px), (SELECT unnest(range(128))::int AS py)) SELECT plane, px AS x, py AS y, {bytes3} FROM grid JOIN ev USING (x, y)",
         "q13_block_means": f"{_head()} SELECT plane, x, y, round(c0, 9) AS c0, round(c1, 9) AS c1, round(c2, 9) AS c2 FROM means",
         "q14_bilinear_gather": f"{_head(0, ',' + _level1('l0'))} SELECT plane, x, y, round(z0, 9) AS z0, round(z1, 9) AS z1 FROM z",
-        "q15_sites": f"WITH {_EVENTS}, px AS (SELECT x, y FROM ev WHERE x < 16 AND y < 8) {site_offsets(1, '(1, 0.25::double, 0.25::double)')} UNION ALL {site_offsets(2, '(1, -0.25::double, 0.25::double), (2, 0.25::double, -0.25::double)')} UNION ALL {site_offsets(4, '(1, -0.375::double, -0.125::double), (2, -0.125::double, 0.375::double), (3, 0.125::double, -0.375::double), (4, 0.375::double, 0.125::double)')}",
+        "q15_sites": f"WITH {_EVENTS}, px AS (SELECT x, y FROM ev) {site_offsets(1, '(1, 0.25::double, 0.25::double)')} UNION ALL {site_offsets(2, '(1, -0.25::double, 0.25::double), (2, 0.25::double, -0.25::double)')} UNION ALL {site_offsets(4, '(1, -0.375::double, -0.125::double), (2, -0.125::double, 0.375::double), (3, 0.125::double, -0.375::double), (4, 0.375::double, 0.125::double)')}",
         "q16_trilinear": f"""{_head(LEVELS)},
 pts AS (SELECT id, (id * 37 % 1000)::double / 1000 AS u, (id * 91 % 997)::double / 997 AS v, (id % 31)::double / 10 AS lod FROM (SELECT unnest(range(2000)) AS id)),
 two AS (SELECT id, u, v, floor({lod})::int AS plane, 1 - ({lod} - floor({lod})) AS f FROM pts UNION ALL SELECT id, u, v, least(floor({lod})::int + 1, {LEVELS}), {lod} - floor({lod}) FROM pts),
 {_gather('r', 'two', 'src', {'r0': 'c0', 'r1': 'c1', 'r2': 'c2'}, 'u * w0 - 0.5::double', 'v * h0 - 0.5::double', 'w0', 'h0', 'id, plane, f')},
 s AS (SELECT id, {own_lod} FROM r GROUP BY id)
 SELECT id, round(r, 9) AS r, round(g, 9) AS g, round(b, 9) AS b FROM s""",
+        "q51_repeated_points": f"""{_head(LEVELS)},
+pts AS (SELECT id, (id % 500 * 37 % 100)::double / 100 AS u, (id % 500 * 91 % 97)::double / 97 AS v, (id % 500 % 7)::double / 2 AS lod FROM (SELECT unnest(range(2000)) AS id)),
+two AS (SELECT id, u, v, floor({lod})::int AS plane, 1 - ({lod} - floor({lod})) AS f FROM pts UNION ALL SELECT id, u, v, least(floor({lod})::int + 1, {LEVELS}), {lod} - floor({lod}) FROM pts),
+{_gather('r', 'two', 'src', {'r0': 'c0', 'r1': 'c1', 'r2': 'c2'}, 'u * w0 - 0.5::double', 'v * h0 - 0.5::double', 'w0', 'h0', 'id, plane, f')},
+s AS (SELECT id, {own_lod} FROM r GROUP BY id)
+SELECT round(u, 9) AS u, round(v, 9) AS v, round(lod, 9) AS lod, round(r, 9) AS r, round(g, 9) AS g, round(b, 9) AS b FROM s JOIN pts USING (id)""",
         "q17_objective_sums": f"{_head(0, ',' + _sites())} SELECT j, count(*)::bigint AS n, round(sum(s0), 6) AS sum_s, round(sum(s0 * z0), 6) AS sum_sz, round(sum(z0 * t0), 6) AS sum_zt, round(sum({_error()}), 6) AS se FROM rows_ GROUP BY j",
         "q18_mip_weights": f"WITH RECURSIVE {_EVENTS}, {_geometry(LEVELS)}, m AS ({' UNION ALL '.join(mips(k) for k in kinds)}) SELECT plane, round(share, 12) AS share, round(share / (px::double * 5), 12) AS per_site, kind FROM m",
         "q19_objective": f"""{_head(LEVELS, ',' + _sites())},

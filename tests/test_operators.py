@@ -71,6 +71,39 @@ def test_decode_and_sampling_modes(spark, planes):
     assert np.clip(residual + as_array(source, 3), 0, 1) == pytest.approx(decoded)
 
 
+def test_repeated_points_stay_apart(spark, planes):
+    _, size, level0, level1 = planes
+    flat = level0.select("plane", "x", "y", F.lit(0.5).alias("c0"))
+    points = spark.createDataFrame([(0.3, 0.3, 0.0)] * 3 + [(0.9, 0.1, 0.0)], "u double, v double, lod double")
+    assert [r["c"] for r in R.trilinear(points, flat, size, ["c"]).collect()] == [0.5] * 4
+    assert S.sample(points, level0, level1, size, W, BIAS, "trilinear").count() == 4
+
+
+@pytest.mark.parametrize("levels", [0, 2])
+def test_reads_plan_no_products(spark, levels):
+    """Extents never become a join without keys, whichever planes are literals."""
+    source = fixtures.pattern(spark, "noise", WD, H)
+    size = R.geometry_table(spark, R.geometry(WD, H, levels))
+    chain = R.box_chain(source, WD, H, levels) if levels else source
+    level0, level1 = I.luma(chain), A.block_means(chain.select("plane", "x", "y", "c0", "c1"), size)
+    points = spark.range(5).select((F.col("id") / 5).alias("u"), (F.col("id") / 5).alias("v"), F.lit(0.5).alias("lod"))
+    for df in (R.site_rows(level0, level1, chain, size, 4), R.read_level1(level0, level1, size, ["z0", "z1"]), R.trilinear(points, chain, size, ["r", "g", "b"]), S.decode(level0, level1, size, W, BIAS), S.sample(points, level0, level1, size, W, BIAS, "point")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+
+
+def test_extents_of_many_planes_are_joined(spark, monkeypatch):
+    size = R.geometry_table(spark, R.geometry(64, 64, 3))
+    rows = spark.range(6).select(F.col("id").cast("int").alias("plane"))
+    want = [(0, 64, 16), (1, 32, 8), (2, 16, 4), (3, 8, 2)]
+    got = lambda: sorted(map(tuple, R.with_extent(rows, size, {"a": "w0", "b": "h1"}).collect()))
+    assert got() == want
+    for sent in (100, 1):
+        size._few = None
+        monkeypatch.setattr(R, "SENT", sent)
+        assert got() == want
+
+
 def test_source_chain_settings(spark):
     source = fixtures.pattern(spark, "gradient", 16, 8)
     both = R.pack([source, source])
