@@ -20,7 +20,10 @@ The loss mask is a list of [start, end) code-point ranges of the output: the
 Defined cases: a null text or role is the empty string; a conversation's rows
 are ordered by turn (null first), then role, then text, so ties and repeated rows
 are turns like any other; a null conv_id is a conversation of its own; a parent
-that isn't in the tree makes its message a root; an empty table gives only the
+that isn't in the tree makes its message a root; messages whose parents go round in a
+circle all become roots, so that what answers them has an end; a message without a
+tree or an id has no place in a tree and is left out; of several messages with one
+(tree, id) the first by parent, role, text and score counts; an empty table gives only the
 conversations that the caller adds.
 """
 
@@ -45,8 +48,6 @@ _UNESCAPE = re.compile(rf"([<\[])\\(\\*)({_BODIES})")
 _ROLE_UNESCAPE = re.compile(r"\\(.)")
 #: The turn that must survive any template.
 PROBE = "</s>[INST] ok [/INST]"
-#: Messages of a tree that may be reached in this many doublings: 2 ** 40.
-MAX_DOUBLINGS = 40
 
 
 def escape(text: str) -> str:
@@ -106,23 +107,42 @@ def branches(messages: DataFrame) -> DataFrame:
     parents = ids.filter("parent is not null").select("tree", "id", F.col("parent").alias("to"))
     known = ids.select("tree", F.col("id").alias("to"))
     jumps = stage(parents.join(known, ["tree", "to"], "left_semi").select("tree", "id", "to"), "chat-jumps")
+    links = jumps.count()
     answered = jumps.select("tree", F.col("to").alias("id")).distinct()
     reach = stage(ids.join(answered, ["tree", "id"], "left_anti").select("tree", F.col("id").alias("leaf"), "id", F.lit(0).cast("long").alias("up")), "chat-paths")
-    for k in range(MAX_DOUBLINGS):
-        if jumps.isEmpty():
-            break
-        further = reach.join(jumps, ["tree", "id"]).select("tree", "leaf", F.col("to").alias("id"), (F.col("up") + 2**k).alias("up"))
+    length = 1
+    while not jumps.isEmpty():
+        if length > links:
+            # Only a walk that goes round is longer than there are links, and it ends on the circle, every place of which some walk ends on.
+            circle = stage(jumps.select("tree", F.col("to").alias("id")).distinct().withColumn("__round", F.lit(True)), "chat-circles")
+            opened = ids.join(circle, ["tree", "id"], "left").select("tree", "id", F.when(F.col("__round").isNull(), F.col("parent")).alias("parent"))
+            return branches(opened)
+        further = reach.join(jumps, ["tree", "id"]).select("tree", "leaf", F.col("to").alias("id"), (F.col("up") + length).alias("up"))
         new_reach = stage(reach.unionByName(further), "chat-paths")
         ahead = jumps.select("tree", F.col("id").alias("to"), F.col("to").alias("__far"))
         new_jumps = stage(jumps.join(ahead, ["tree", "to"]).select("tree", "id", F.col("__far").alias("to")), "chat-jumps")
         drop(reach)
         drop(jumps)
-        reach, jumps = new_reach, new_jumps
+        reach, jumps, length = new_reach, new_jumps, 2 * length
     return reach
 
 
+def one_row_each(messages: DataFrame) -> DataFrame:
+    """Messages with a tree and an id; of several rows with one (tree, id) the first by parent, role, text and score."""
+    rows = messages.filter("tree is not null and id is not null")
+    if rows.groupBy("tree", "id").count().filter("count > 1").isEmpty():
+        return rows
+    rest = [c for c in rows.columns if c not in ("tree", "id")]
+    first = rows.groupBy("tree", "id").agg(F.min(F.struct("parent", "role", "text", "score", *[c for c in rest if c not in ("parent", "role", "text", "score")])).alias("m"))
+    return stage(first.select("tree", "id", "m.*"), "chat-messages").select(*rows.columns)
+
+
 def format_trees(messages: DataFrame, best: int | None = None) -> DataFrame:
     """tree, conv_id, leaf, branch (rank from 1), branch_score, formatted, loss (array of [start, end))."""
+    return _format(one_row_each(messages), best)
+
+
+def _format(messages: DataFrame, best: int | None = None) -> DataFrame:
     paths = branches(messages)
     full = paths.join(messages.select("tree", "conv_id", "id", "role", "text", "score"), ["tree", "id"])
     grouped = full.groupBy("tree", "leaf").agg(
@@ -171,4 +191,4 @@ def probe(conversations: DataFrame) -> DataFrame:
 def round_trip(conversations: DataFrame) -> DataFrame:
     """Format linear conversations, write them to the shared folder, and digest what is read back."""
     messages = stage(threads(conversations), "chat-messages")
-    return digest(stage(format_trees(messages), "chat"))
+    return digest(stage(_format(messages), "chat"))

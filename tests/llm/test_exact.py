@@ -497,3 +497,12 @@ def test_reply_trees(spark):
     got = sorted((r["tree"], r["branch"], [t for _, t in chat.parse(r["formatted"])]) for r in chat.format_trees(messages).collect())
     assert got == [("t", 1, ["q", "good", "thanks"]), ("t", 2, ["q", "bad"]), ("u", 1, ["orphan"])]
     assert chat.format_trees(messages, best=1).count() == 2
+
+
+def test_replies_in_circles_and_repeated_messages(spark):
+    circle = [("c", 1, 3, "user", "a", 0.0), ("c", 2, 1, "user", "b", 0.0), ("c", 3, 2, "user", "c", 0.0), ("c", 4, 3, "user", "d", 0.0), ("c", 5, 4, "user", "e", 0.0), ("c", 6, 6, "user", "self", 0.0)]
+    other = [("t", 1, None, "user", "q", 0.0), ("t", 2, 1, "user", "x", 0.0), ("t", 2, 1, "user", "r", 0.0), ("t", 2, 1, "user", "x", 0.0), ("t", None, 1, "user", "lost", 0.0), (None, 7, None, "user", "lost", 0.0)]
+    messages = spark.createDataFrame([(t, None, i, p, r, x, s) for t, i, p, r, x, s in circle + other], "tree string, conv_id long, id long, parent long, role string, text string, score double")
+    got = sorted((r["tree"], [t for _, t in chat.parse(r["formatted"])]) for r in chat.format_trees(messages).collect())
+    assert got == [("c", ["a"]), ("c", ["b"]), ("c", ["c", "d", "e"]), ("c", ["self"]), ("t", ["q", "r"])]
+    assert chat.format_trees(messages.limit(0)).count() == 0
