@@ -3,6 +3,17 @@
 Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor
 kept; all but the last return the columns of ``documents``.  The result is the
 token files' digest, a row for every training copy of a document.
+
+The token files are in ascending doc_id order, so the curriculum's order ends with
+the mixing stage's own table: here it decides how many copies a document gets.
+
+Defined cases: a null or wordless text is scored by the toxicity model's bias, is
+alike to nothing and hits nothing, and goes in the mix, which takes no document
+without words; a row without a doc_id is judged by its text like any other and is
+its own group; rows that share a doc_id are one document of which one row stays (the
+smallest hash of a text among equals); ties and repeated rows are as in the stages'
+own modules; a stage without rows gives none, and an empty table an empty result;
+further columns of ``documents``, whatever their names, are carried to the last stage.
 """
 
 from __future__ import annotations
