@@ -62,9 +62,9 @@ CACHE_WORDS = 300_000
 #: Documents that are labelled at once, and the words at which a batch closes earlier.
 TEXTS_AT_ONCE, WORDS_AT_ONCE = 256, 200_000
 
-# Word characters that are neither letters nor decimal digits: letter-like numbers, superscripts, fractions.
-_FIGURES = "".join(c for c in map(chr, range(128, 0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_WORD = re.compile(rf"[^\W\d_{re.escape(_FIGURES)}]+")
+# Letters, and letter-like numbers, superscripts and fractions, which are taken out of the few words that have any.
+_WORD = re.compile(r"[^\W\d_]+")
+_FIGURE = re.compile("[" + re.escape("".join(c for c in map(chr, range(128, 0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())) + "]")
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -73,14 +73,26 @@ def letters(text: str | bytes | None) -> list[str]:
         return []
     if isinstance(text, bytes):
         text = text.decode("utf-8", "replace")
-    out = []
-    for word in _WORD.findall(text.lower()):
-        if len(word) <= WIDTH // 4 or len(word) <= WIDTH and word.isascii():
-            out.append(word)
-        else:
-            most = WIDTH // max(len(c.encode("utf-8", "surrogatepass")) for c in word)
-            out += [word[at : at + most] for at in range(0, len(word), most)]
-    return out
+    words = _WORD.findall(text.lower())
+    joined = "".join(words)
+    if not joined:
+        return []
+    if not joined.isalpha():
+        words = [part for word in words for part in ([word] if word.isalpha() else _FIGURE.sub(" ", word).split())]
+        joined = "".join(words)
+    if not words or max(map(len, words)) <= WIDTH // _bytes_each(joined):
+        return words
+    return [part for word in words for part in ([word] if len(word) <= WIDTH // 4 else _cut(word))]
+
+
+def _bytes_each(word: str) -> int:
+    """The most UTF-8 bytes of a character."""
+    return 1 if word.isascii() else len(max(word).encode("utf-8", "surrogatepass"))
+
+
+def _cut(word: str) -> list[str]:
+    most = WIDTH // _bytes_each(word)
+    return [word[at : at + most] for at in range(0, len(word), most)]
 
 
 def word_features(words: list[str]) -> np.ndarray:
