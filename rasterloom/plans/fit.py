@@ -346,6 +346,17 @@ def _chain_of(pdf: pd.DataFrame, names: Sequence[str], o: Options) -> list[np.nd
     return box_chain(base, mip_count(base.shape[1], base.shape[0], o.mip_min) if o.mips else 0)
 
 
+def _checked(materials: DataFrame, o: Options) -> tuple[list[str], list[float]]:
+    """The channels and their weights; ValueError if the options break a rule. One triple of weights is every texture's."""
+    names = channels(materials)
+    textures = len(names) // 3
+    bad = violations(o, textures)
+    if bad:
+        raise ValueError("; ".join(bad))
+    triples = o.rgb_weights * textures if len(o.rgb_weights) == 1 else o.rgb_weights
+    return names, output_weights(o.weights or (1.0,) * textures, triples or ((1.0, 1.0, 1.0),) * textures)
+
+
 REPORT = "material_id string, round int, block string, error double, moved long"
 
 
@@ -355,11 +366,7 @@ def fit_report(materials: DataFrame, options: Options | None = None) -> DataFram
     ``materials`` has material_id, plane, x, y and channels c0 .. c(3T - 1).
     """
     o = options or Options()
-    names = channels(materials)
-    bad = violations(o, len(names) // 3)
-    if bad:
-        raise ValueError("; ".join(bad))
-    cw = output_weights(o.weights or (1.0,) * (len(names) // 3), (o.rgb_weights * (len(names) // 3) if len(o.rgb_weights) == 1 else o.rgb_weights) or ((1.0, 1.0, 1.0),) * (len(names) // 3))
+    names, cw = _checked(materials, o)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         _, report = fit_planes(_chain_of(pdf, names, o), o, cw)
@@ -374,8 +381,7 @@ FITTED = "material_id string, part string, plane int, height int, width int, cha
 def fit(materials: DataFrame, options: Options | None = None) -> DataFrame:
     """Fitted materials, a row per stored part: level indices or blocks per plane, grids, decoder (float64 or int64 bytes)."""
     o = options or Options()
-    names = channels(materials)
-    cw = output_weights(o.weights or (1.0,) * (len(names) // 3), o.rgb_weights or ((1.0, 1.0, 1.0),) * (len(names) // 3))
+    names, cw = _checked(materials, o)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         m, _ = fit_planes(_chain_of(pdf, names, o), o, cw)

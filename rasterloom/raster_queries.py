@@ -515,7 +515,58 @@ def q43(spark, d):
     return merge_settings(textures, given)
 
 
+def _indexed(plane: DataFrame) -> DataFrame:
+    """8-bit indices of a plane on GRID."""
+    lo, hi = (S.lit(x) for x in GRID)
+    return plane.select("plane", "x", "y", *[S.grid_index(lo, hi, 8, F.round(F.col(c), 9)).alias(c) for c in channels(plane)])
+
+
+def q52(spark, d):
+    """Planes to files (blocks, bytes, descriptor), files to planes, planes to decibels."""
+    from rasterloom.session import shared_path
+    from rasterloom.sources import asset
+
+    source, size, _, _ = _base(spark, d, LEVELS)
+    root = shared_path(spark, "asset")
+    asset.write(_indexed(luma_plane(source)), _indexed(mean_plane(source, size)), size, W, BIAS, ([GRID[0]], [GRID[1]]), ([GRID[0]] * 2, [GRID[1]] * 2), root, "events")
+    return _rounded(asset.quality(asset.load(spark, root, "events"), source), 6)
+
+
+def q53(spark, d):
+    """What the files of q52 hold: level 1's closure on its grid, read back from them."""
+    from rasterloom.session import shared_path
+    from rasterloom.sources import asset
+
+    source, size, _, _ = _base(spark, d, LEVELS)
+    root = shared_path(spark, "asset")
+    asset.write(_indexed(luma_plane(source)), _indexed(mean_plane(source, size)), size, W, BIAS, ([GRID[0]], [GRID[1]]), ([GRID[0]] * 2, [GRID[1]] * 2), root, "events", packed=False)
+    found = asset.load(spark, root, "events")
+    sums = R.to_long(found.level1).groupBy("plane", "ch").agg(F.sum(F.col("v")).alias("total"))
+    return _rounded(asset.closure(found).join(sums, ["plane", "ch"]), 5)
+
+
+def q54(spark, d):
+    """The fit of both materials to files, and the decibels of what the files decode to."""
+    from rasterloom.functions.config import Options
+    from rasterloom.plans.fit import fit, with_material
+    from rasterloom.session import shared_path
+    from rasterloom.sources import asset, dds
+
+    planes = {"events": fixtures.events_raster(spark, d), "orders": fixtures.orders_raster(spark, d)}
+    options, root = Options(c0=1, c1=3, mips=False), shared_path(spark, "asset")
+    materials = [with_material(plane, name) for name, (plane, _, _) in planes.items()]
+    dds.save_files(asset.fitted_files(fit(materials[0].unionByName(materials[1]), options), options), root)
+    parts = []
+    for name, (plane, w, h) in planes.items():
+        source, _, _ = R.pad(plane, w, h)
+        parts.append(asset.quality(asset.load(spark, root, name), source).withColumn("material_id", F.lit(name)))
+    return _rounded(parts[0].unionByName(parts[1]), 6)
+
+
 NAMES |= {
+    "q52_asset_round_trip": q52,
+    "q53_asset_closure": q53,
+    "q54_fitted_asset": q54,
     "q22_decoder_fit": q22,
     "q24_leading_direction": q24,
     "q42_descriptor_files": q42,

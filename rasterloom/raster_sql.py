@@ -181,6 +181,34 @@ near AS (
   FROM full_ f JOIN pal USING (ch, bx, yb) GROUP BY f.ch, f.bx, f.yb, t, px, py, w, h, v, r0, r1)"""
 
 
+def _on_grid(name: str, plane: str, column: str) -> str:
+    """CTE ``name``: plane, x, y and the 8-bit index ``k`` of a column, looked up once per distinct value."""
+    return f"{name}_u AS (SELECT DISTINCT round({column}, 9) AS v FROM {plane}), {name}_k AS (SELECT v, {_grid_index(8, 'v')}::int AS k FROM {name}_u), {name} AS (SELECT plane, x, y, k FROM {plane} p JOIN {name}_k ON round(p.{column}, 9) = v)"
+
+
+def _stored() -> str:
+    """l1q: level 1 as its bytes give it back."""
+    return f"{_on_grid('ka', 'l1', 'v0')}, {_on_grid('kb', 'l1', 'v1')}, l1q AS (SELECT plane, x, y, {_grid_value(8, 'ka.k')} AS v0, {_grid_value(8, 'kb.k')} AS v1 FROM ka JOIN kb USING (plane, x, y))"
+
+
+def _asset() -> str:
+    """out: the chain decoded from level 0 in blocks and level 1 in bytes."""
+    columns = ", ".join(f"least(1.0::double, greatest(0.0::double, {o})) AS c{i}" for i, o in enumerate(_outputs()))
+    more = f""",
+{_on_grid('kl', 'l0', 's0')},
+{_stored()},
+ends AS (SELECT plane, x // 4 AS bx, y // 4 AS yb, max(k) AS r0, min(k) AS r1 FROM kl GROUP BY ALL),
+pal AS (
+  SELECT plane, bx, yb, r0, r1, s, CASE WHEN s = 0 THEN r0 WHEN s = 1 THEN r1 WHEN r0 > r1 THEN (((8 - s) * r0 + (s - 1) * r1)::double / 7)::float::double
+    WHEN s = 6 THEN 0 WHEN s = 7 THEN 255 ELSE (((6 - s) * r0 + (s - 1) * r1)::double / 5)::float::double END AS p
+  FROM ends, (SELECT unnest(range(8))::int AS s)),
+near AS (SELECT kl.plane, kl.x, kl.y, arg_min(p, (CASE WHEN r0 = r1 THEN s::float ELSE abs(p - k)::float END, s)) AS b FROM kl JOIN pal ON kl.plane = pal.plane AND kl.x // 4 = bx AND kl.y // 4 = yb GROUP BY ALL),
+l0q AS (SELECT plane, x, y, (-1.0::double + b::double / 255 * 2)::float::double AS s0 FROM near),
+{_gather('z', 'l0q', 'l1q', _Z, _scaled('x', '0', 'w0', 'w1'), _scaled('y', '0', 'h0', 'h1'), 'w1', 'h1', 'plane, x, y, s0')},
+out AS (SELECT plane, x, y, {columns} FROM z)"""
+    return _head(LEVELS, more)
+
+
 def _relabel(bits: int) -> str:
     """Lossless at one to three bits: error 0 for every texel of the plane."""
     return f"SELECT ch, 0.0::double AS se, count(*)::bigint AS n, {bits} AS bits FROM ev, (SELECT unnest([0, 1, 2])::int AS ch) GROUP BY ch"
@@ -329,6 +357,8 @@ SELECT ch, bx::int AS bx, yb::int AS "by", r0, r1, bits, printf('%02x%02x', r0,
         "q38_channel_stats": f"{_head(LEVELS)}, v AS (SELECT plane, unnest([0, 1, 2])::int AS ch, unnest([c0, c1, c2]) AS v FROM src) SELECT plane, ch, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS sd, round(min(v), 6) AS least, round(max(v), 6) AS most, round(100 * avg(CASE WHEN abs(v) <= 2e-6 OR abs(v - 1) <= 2e-6 THEN 1.0::double ELSE 0 END), 6) AS ends FROM v GROUP BY plane, ch",
         "q39_frame_diff": f"WITH {_EVENTS}, {_ORDERS}, {_errors('ev', 'od')} SELECT plane, ch, max(abs(d)) AS max_diff, round(avg(abs(d)), 6) AS mean_diff, round(avg((d * d)::double), 6) AS mse, round({_psnr_of('avg((d * d)::double)')}, 6) AS psnr FROM err GROUP BY plane, ch",
         "q40_duplicate_channels": f"WITH {_EVENTS}, c AS (SELECT [c0, c1, c2, c0, c2] AS v FROM ev) SELECT a::int AS a, b::int AS b, bool_and(v[a + 1] = v[b + 1]) AS same FROM c, (SELECT unnest(range(5)) AS a), (SELECT unnest(range(5)) AS b) WHERE a < b GROUP BY a, b",
+        "q52_asset_round_trip": f"{_asset()}, {_errors('src', 'out')}, m AS (SELECT plane, avg((d * d)::double) AS mse FROM err GROUP BY plane) SELECT plane, 0 AS texture, round(mse, 6) AS mse, round({_psnr_of('mse')}, 6) AS psnr FROM m UNION ALL SELECT plane, -1, NULL, round({_psnr_of('mse')}, 6) FROM m",
+        "q53_asset_closure": f"{_head(LEVELS)}, {_stored()}, v AS (SELECT plane, unnest([0, 1])::int AS ch, unnest([v0, v1]) AS v FROM l1q) SELECT plane, ch, count(*)::bigint AS n, 0::bigint AS off_grid, 0::bigint AS not_closed, round(sum(v), 5) AS total FROM v GROUP BY plane, ch",
         "q41_rates": f"WITH RECURSIVE {_EVENTS}, {_geometry(LEVELS)}, b AS (SELECT plane, ceil(w0 / 4.0) * ceil(h0 / 4.0) * 16 + w1 * h1 * 4 AS n, w, h FROM size, dims) SELECT sum(n)::bigint AS bytes, round(sum(CASE WHEN plane = 0 THEN n ELSE 0 END)::double * 8 / max(w::double * h), 9) AS bpp_base, round(sum(n)::double * 8 / max(w::double * h), 9) AS bpp_chain, round(sum(n)::double * 8 / max(w::double * h), 9) AS bpp_texture FROM b",
         "q42_descriptor_files": _descriptors(),
         "q43_settings_merge": _SETTINGS,

@@ -5,12 +5,14 @@ reader partition is one file and level ranges are small.  Files are reached thro
 the Hadoop file system, as every other Spark source does, so any store works:
 ``read_levels`` starts from the ``binaryFile`` source and parses in the executors.
 ``write_levels`` packs a file's levels in one task (a file is one ordered byte
-string) and returns the bytes as rows, which ``save_files`` puts into the target.
+string) and returns the bytes as rows, which ``save_files`` puts into the target from
+the executors.
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -99,17 +101,35 @@ def write_levels(levels: DataFrame) -> DataFrame:
     return levels.groupBy("path").applyInPandas(build, "path string, content binary")
 
 
+def _store(root: str):
+    """The file system of a URI or path, and the path in it."""
+    from pyarrow import fs
+
+    if root.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + root[5:].lstrip("/")
+    return fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+
+
 def save_files(files: DataFrame, root: str) -> None:
-    """Write (path, content) rows below ``root`` through the Hadoop file system, one file each, from the driver side's iterator."""
-    spark = files.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for row in files.toLocalIterator():  # one file in memory at a time
-        target = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{row['path']}")
-        stream = target.getFileSystem(conf).create(target, True)
-        try:
-            stream.write(bytearray(row["content"]))
-        finally:
-            stream.close()
+    """Write (path, content) rows below ``root``, one file each, from the executors.
+
+    ``root`` is a folder that all machines reach: file, hdfs, s3, gs, abfs.  A file appears under its name when it is
+    whole, and a task that runs twice writes the same bytes.
+    """
+
+    def put(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = _store(root.rstrip("/"))
+        for pdf in parts:
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                target = f"{base}/{path}"
+                store.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                part = f"{target}.{uuid.uuid4().hex}.part"
+                with store.open_output_stream(part) as out:
+                    out.write(bytes(content))
+                store.move(part, target)
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    files.select("path", "content").mapInPandas(put, "n long").agg(F.sum("n")).collect()
 
 
 class _File(InputPartition):

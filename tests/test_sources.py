@@ -99,3 +99,120 @@ def test_ingest_counts_every_file_once(spark, tmp_path):
         run_once(image_stats(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert len(rows) == 6 and all(abs(r["mean"] - 0.2) < 1e-12 for r in rows)
+
+
+# ---- assets: written, read back, decoded
+
+
+def _planes(spark, n, w, h, levels, seed):
+    from rasterloom.operators import resample as R
+
+    size = R.geometry(w, h, levels)
+    rng = np.random.default_rng(seed)
+    rows = lambda k: [(p, x, y, *map(int, rng.integers(0, 256, n))) for p, *s in size for y in range(s[k + 1]) for x in range(s[k])]
+    schema = "plane int, x int, y int, " + ", ".join(f"c{i} int" for i in range(n))
+    return spark.createDataFrame(rows(0), schema), spark.createDataFrame(rows(2), schema), R.geometry_table(spark, size)
+
+
+def _rows(df, digits=9):
+    return sorted(tuple(round(v, digits) for v in r) for r in df.collect())
+
+
+@pytest.mark.parametrize("n", [1, 3])
+def test_asset_round_trip(spark, tmp_path, n):
+    """Unpacked, every byte comes back; in blocks, no value moves by more than a block's coarsest step."""
+    from pyspark.sql import functions as F
+
+    from rasterloom.sources import asset
+
+    l0, l1, size = _planes(spark, n, 17, 9, 1, n)
+    m = 2 * n + n * n
+    decoder = [[0.5 / (1 + i)] * m for i in range(3)], [0.1, 0.2, 0.3]
+    grid = [-1.0 - 0.1 * i for i in range(n)], [1.0 + 0.3 * i for i in range(n)]
+    for packed in (False, True):
+        root = str(tmp_path / f"a{packed}")
+        asset.write(l0, l1, size, *decoder, grid, grid, root, "m", packed=packed)
+        got = asset.load(spark, root, "m.json")
+        assert got.weights == decoder[0] and got.bias == decoder[1]
+        back = lambda df: df.select("plane", "x", "y", *[F.round((F.col(f"c{i}") - grid[0][i]) / (grid[1][i] - grid[0][i]) * 255, 3).alias(f"c{i}") for i in range(n)])
+        assert _rows(back(got.level1)) == _rows(l1)
+        stored, want = _rows(back(got.level0)), _rows(l0)
+        assert [r[:3] for r in stored] == [r[:3] for r in want]
+        assert max(abs(a - b) for r, s in zip(stored, want, strict=True) for a, b in zip(r, s, strict=True)) <= (255 / 7 / 2 + 0.01 if packed else 0)
+        assert asset.closure(got).filter("off_grid + not_closed > 0").count() == 0
+        assert got.decode().count() == l0.count()
+    quality = asset.quality(got, got.decode()).collect()
+    assert {r["texture"] for r in quality} == {0, -1} and all(r["psnr"] == 100 for r in quality)
+
+
+def test_assets_are_refused(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from rasterloom.sources import asset
+
+    l0, l1, size = _planes(spark, 1, 8, 8, 1, 5)
+    write = lambda root, level1=l1, bias=(0.0, 0.0, 0.0), grid=([-1.0], [1.0]), bits=8: asset.write(l0, level1, size, [[0.1] * 3] * 3, list(bias), ([-1.0], [1.0]), grid, root, "m", bits)
+    with pytest.raises(ValueError, match="finite"):
+        write(str(tmp_path / "a"), bias=(0.0, float("nan"), 0.0))
+    with pytest.raises(Exception, match="isn't closed"):
+        write(str(tmp_path / "b"), level1=l1.withColumn("c0", F.lit(200)), bits=4)
+    with pytest.raises(Exception, match="isn't closed"):
+        write(str(tmp_path / "c"), grid=([0.5], [0.5]))
+    root = str(tmp_path / "d")
+    write(root)
+    assert sorted(p.name for p in (tmp_path / "d").iterdir() if p.name[0] != ".") == ["m.json", "m_level0.dds", "m_level1.dds"]
+    (tmp_path / "d/m_level1.dds").write_bytes((tmp_path / "d/m_level0.dds").read_bytes())
+    with pytest.raises(Exception, match="other levels"):
+        asset.load(spark, root, "m").level1.collect()
+    (tmp_path / "d/m_level1.dds").unlink()
+    with pytest.raises(ValueError, match="missing"):
+        asset.load(spark, root, "m")
+    text = (tmp_path / "d/m.json").read_text()
+    (tmp_path / "d/m.json").write_text(text.replace('"block": 4', '"block": 8'))
+    with pytest.raises(ValueError, match="block ratio"):
+        asset.load(spark, root, "m")
+
+
+@pytest.mark.parametrize("l0", ["bc8", "palette"])
+def test_fitted_assets_decode_as_they_were_fitted(spark, tmp_path, l0):
+    """Files of two fitted materials decode to the model's own error at the texel centres."""
+    from pyspark.sql import functions as F
+
+    from rasterloom import fixtures
+    from rasterloom.functions.config import Options
+    from rasterloom.operators import resample as R
+    from rasterloom.plans import fit as P
+    from rasterloom.sources import asset
+
+    o = Options(c0=2, c1=3, l0=l0, bits0=(3,), bits1=6, rounds=4, k=0)
+    planes = {kind: fixtures.pattern(spark, kind, 32, 16) for kind in ("gradient", "noise")}
+    materials = [P.with_material(p, kind) for kind, p in planes.items()]
+    dds.save_files(asset.fitted_files(P.fit(materials[0].unionByName(materials[1]), o), o), str(tmp_path))
+    for kind, plane in planes.items():
+        got = asset.load(spark, str(tmp_path), kind)
+        assert asset.closure(got).filter("off_grid + not_closed > 0").count() == 0
+        base = np.zeros((16, 32, 3))
+        for r in plane.collect():
+            base[r["y"], r["x"]] = [r["c0"], r["c1"], r["c2"]]
+        model, _ = P.fit_planes(P.box_chain(base, got.size.count() - 1), o, [1.0] * 3)
+        decoded = got.decode()
+        for m, p in enumerate(model.planes):
+            want = np.clip(P.residuals(model, p) + p.src, 0, 1)
+            rows = decoded.filter(F.col("plane") == m).collect()
+            assert len(rows) == want.shape[0] * want.shape[1]
+            for r in rows:
+                assert np.allclose(want[r["y"], r["x"]], [r["c0"], r["c1"], r["c2"]], atol=1e-6)
+        chain = R.box_chain(plane, 32, 16, got.size.count() - 1)
+        assert asset.quality(got, chain).count() == 2 * got.size.count()
+
+
+def test_level_pictures(spark):
+    from rasterloom import fixtures
+    from rasterloom.operators import resample as R
+    from rasterloom.sources import asset
+
+    chain = R.box_chain(R.pack([fixtures.pattern(spark, "quadrants", 8, 8), fixtures.pattern(spark, "noise", 8, 8)]), 8, 8, 1)
+    found = {r["path"]: images.decode_png(bytes(r["content"])) for r in asset.level_pictures(chain, "m", "src").collect()}
+    assert sorted(found) == ["m_src_t0.png", "m_src_t0_M1.png", "m_src_t1.png", "m_src_t1_M1.png"]
+    assert found["m_src_t0.png"].shape == (8, 8, 3) and found["m_src_t0.png"][0, 7].tolist() == [0, 0, 0] or found["m_src_t0.png"][0, 0].tolist() == [255, 255, 0]
+    assert found["m_src_t1_M1.png"].shape == (4, 4, 3)
