@@ -232,6 +232,41 @@ def _projected() -> str:
     return "round(" + " + ".join(["0.0::double", *[f"{e!r}::double * (c{i} - {m!r}::double)" for i, (e, m) in enumerate(zip(DIRECTION, MEAN, strict=True))]]) + ", 12)"
 
 
+def _decoder_fit() -> str:
+    """The weighted normal equations of all sites, eliminated column by column (six unknowns, three right-hand sides)."""
+    phi, targets = ["z0", "z1", "s0", "s0 * z0", "s0 * z1", "1.0::double"], ["t0", "t1", "t2"]
+    n, width = len(phi), len(phi) + len(targets)
+    sums = ", ".join("[" + ", ".join(f"sum(wt * ({a}) * ({b}))" for b in (*phi, *targets)) + "]" for a in phi)
+    trace = " + ".join(f"a[{i}][{i}]" for i in range(1, n + 1))
+    cell = lambda i, j: f"a[{i}][{j}]" + (f" + 1e-9::double * ({trace}) / {n}" if i == j else "")
+    matrix = lambda entry: "[" + ", ".join("[" + ", ".join(entry(i, j) for j in range(1, width + 1)) + "]" for i in range(1, n + 1)) + "] AS a"
+    steps = [f"e0 AS (SELECT {matrix(cell)} FROM sums)"]
+    for k in range(1, n + 1):
+        entry = lambda i, j, k=k: f"a[{k}][{j}] / a[{k}][{k}]" if i == k else f"a[{i}][{j}] - a[{i}][{k}] * a[{k}][{j}] / a[{k}][{k}]"
+        steps.append(f"e{k} AS (SELECT {matrix(entry)} FROM e{k - 1})")
+    solved = lambda i, r: f"round(a[{i}][{n + r + 1}]::float::double, 4)"
+    rows = " UNION ALL ".join(f"SELECT {r} AS output, {', '.join(f'{solved(i + 1, r)} AS w{i}' for i in range(n - 1))}, {solved(n, r)} AS bias FROM e{n}" for r in range(len(targets)))
+    shares = "shares AS (SELECT plane, CASE WHEN plane = 0 THEN 0.5::double ELSE 0.5::double * r / sum(r) OVER () END / ((w0 * h0)::double * 5) AS wt FROM (SELECT *, CASE WHEN plane = 0 THEN 0 ELSE (w0 * h0)::double END AS r FROM size))"
+    return f"{_head(LEVELS, ',' + _sites())}, {shares}, sums AS (SELECT [{sums}] AS a FROM rows_ JOIN shares USING (plane)), {', '.join(steps)} {rows}"
+
+
+def _leading_direction() -> str:
+    """The covariance of the block means squared until only its leading direction is left; every mean projected on it."""
+    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+    name = lambda i, j: f"m{min(i, j)}{max(i, j)}"
+    squared = ", ".join(f"{' + '.join(f'{name(i, k)} * {name(k, j)}' for k in range(3))} AS {name(i, j)}" for i, j in pairs)
+    shared = lambda q: ", ".join(f"{name(i, j)} / ({' + '.join(name(k, k) for k in range(3))})" for i, j in pairs) + f" FROM {q}"
+    largest = [f"WHEN {name(i, i)} = greatest(m00, m11, m22) THEN [{', '.join(f'{name(i, j)} / sqrt({name(i, i)})' for j in range(3))}]" for i in range(3)]
+    start = ", ".join(f"covar_pop(c{i}, c{j}) AS {name(i, j)}" for i, j in pairs)
+    return f"""{_head()},
+cov AS (SELECT {start} FROM means),
+sq(n, {', '.join(name(i, j) for i, j in pairs)}) AS (SELECT 0, {shared('cov')} UNION ALL SELECT n + 1, {shared(f'(SELECT n, {squared} FROM sq WHERE n < 40)')}),
+dir AS (SELECT CASE {' '.join(largest)} END AS e FROM sq WHERE n = 40),
+mu AS (SELECT avg(c0) AS a0, avg(c1) AS a1, avg(c2) AS a2 FROM means),
+p AS (SELECT x, y, {' + '.join(f'e[{i + 1}] * (c{i} - a{i})' for i in range(3))} AS p FROM means, dir, mu)
+SELECT x, y, round(p / (SELECT max(abs(p)) FROM p), 6) AS v FROM p"""
+
+
 def _closed(bits: int) -> str:
     v = "round(2 * v - 1, 9)"
     return f"SELECT plane, ch, count(*)::bigint AS n, 0::bigint AS off_grid, 0::bigint AS not_closed, {bits} AS bits FROM (SELECT plane, {v} AS q, ch FROM (SELECT plane, unnest([0, 1, 2])::int AS ch, unnest([c0, c1, c2]) AS v FROM ev)) GROUP BY plane, ch"
@@ -357,6 +392,8 @@ SELECT ch, bx::int AS bx, yb::int AS "by", r0, r1, bits, printf('%02x%02x', r0,
         "q38_channel_stats": f"{_head(LEVELS)}, v AS (SELECT plane, unnest([0, 1, 2])::int AS ch, unnest([c0, c1, c2]) AS v FROM src) SELECT plane, ch, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS sd, round(min(v), 6) AS least, round(max(v), 6) AS most, round(100 * avg(CASE WHEN abs(v) <= 2e-6 OR abs(v - 1) <= 2e-6 THEN 1.0::double ELSE 0 END), 6) AS ends FROM v GROUP BY plane, ch",
         "q39_frame_diff": f"WITH {_EVENTS}, {_ORDERS}, {_errors('ev', 'od')} SELECT plane, ch, max(abs(d)) AS max_diff, round(avg(abs(d)), 6) AS mean_diff, round(avg((d * d)::double), 6) AS mse, round({_psnr_of('avg((d * d)::double)')}, 6) AS psnr FROM err GROUP BY plane, ch",
         "q40_duplicate_channels": f"WITH {_EVENTS}, c AS (SELECT [c0, c1, c2, c0, c2] AS v FROM ev) SELECT a::int AS a, b::int AS b, bool_and(v[a + 1] = v[b + 1]) AS same FROM c, (SELECT unnest(range(5)) AS a), (SELECT unnest(range(5)) AS b) WHERE a < b GROUP BY a, b",
+        "q22_decoder_fit": _decoder_fit(),
+        "q24_leading_direction": _leading_direction(),
         "q52_asset_round_trip": f"{_asset()}, {_errors('src', 'out')}, m AS (SELECT plane, avg((d * d)::double) AS mse FROM err GROUP BY plane) SELECT plane, 0 AS texture, round(mse, 6) AS mse, round({_psnr_of('mse')}, 6) AS psnr FROM m UNION ALL SELECT plane, -1, NULL, round({_psnr_of('mse')}, 6) FROM m",
         "q53_asset_closure": f"{_head(LEVELS)}, {_stored()}, v AS (SELECT plane, unnest([0, 1])::int AS ch, unnest([v0, v1]) AS v FROM l1q) SELECT plane, ch, count(*)::bigint AS n, 0::bigint AS off_grid, 0::bigint AS not_closed, round(sum(v), 5) AS total FROM v GROUP BY plane, ch",
         "q41_rates": f"WITH RECURSIVE {_EVENTS}, {_geometry(LEVELS)}, b AS (SELECT plane, ceil(w0 / 4.0) * ceil(h0 / 4.0) * 16 + w1 * h1 * 4 AS n, w, h FROM size, dims) SELECT sum(n)::bigint AS bytes, round(sum(CASE WHEN plane = 0 THEN n ELSE 0 END)::double * 8 / max(w::double * h), 9) AS bpp_base, round(sum(n)::double * 8 / max(w::double * h), 9) AS bpp_chain, round(sum(n)::double * 8 / max(w::double * h), 9) AS bpp_texture FROM b",
