@@ -34,8 +34,51 @@ def dimensions(head: bytes) -> tuple[int, int] | None:
     return None
 
 
+# The seven passes of an interlaced PNG as (first x, first y, step x, step y).
+_PASSES = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
+
+
+def _unfiltered(raw: np.ndarray, unit: int) -> np.ndarray:
+    """Rows of a PNG (filter byte, then data) with their filters undone; ``unit`` is a whole pixel's bytes, 1 at least."""
+    out = np.zeros((raw.shape[0], raw.shape[1] - 1), np.uint8)
+    above = np.zeros(out.shape[1], np.uint8)
+    for y, (kind, line) in enumerate(zip(raw[:, 0].tolist(), raw[:, 1:], strict=True)):
+        if kind == 1:  # the left neighbour's value is a running sum
+            width = -(-len(line) // unit)
+            sums = np.cumsum(np.pad(line, (0, width * unit - len(line))).reshape(width, unit), 0, dtype=np.uint64)
+            out[y] = (sums & 255).astype(np.uint8).ravel()[: len(line)]
+        elif kind == 2:
+            out[y] = line + above
+        elif kind in (3, 4):  # each value needs the one before it
+            got, up = line.tolist(), above.tolist()
+            for i in range(len(got)):
+                left, corner = (got[i - unit], up[i - unit]) if i >= unit else (0, 0)
+                if kind == 3:
+                    guess = (left + up[i]) // 2
+                else:
+                    d = (abs(up[i] - corner), abs(left - corner), abs(left + up[i] - 2 * corner))
+                    guess = left if d[0] <= d[1] and d[0] <= d[2] else up[i] if d[1] <= d[2] else corner
+                got[i] = (got[i] + guess) & 255
+            out[y] = got
+        else:
+            out[y] = line
+        above = out[y]
+    return out
+
+
+def _samples(rows: np.ndarray, w: int, per: int, depth: int, grey: bool) -> np.ndarray:
+    """(h, w, per) bytes of unfiltered rows: the top byte of 16 bits, grey of fewer bits stretched."""
+    h = len(rows)
+    if depth == 16:
+        rows = rows.reshape(h, w * per, 2)[:, :, 0]
+    elif depth < 8:
+        bits = np.unpackbits(rows, axis=1).reshape(h, -1, depth)[:, : w * per]
+        rows = bits @ (1 << np.arange(depth - 1, -1, -1)) * (255 // ((1 << depth) - 1) if grey else 1)
+    return rows.reshape(h, w, per).astype(np.uint8)
+
+
 def decode_png(data: bytes) -> np.ndarray:
-    """(h, w, channels) as stored, 8 or 16 bits reduced to the top byte; palettes resolved. Non-interlaced files."""
+    """(h, w, channels) as stored, 8 or 16 bits reduced to the top byte; palettes resolved, interlacing undone."""
     if data[:8] != _PNG:
         raise ValueError("not a PNG")
     at, idat, plte, trns = 8, [], b"", b""
@@ -51,40 +94,17 @@ def decode_png(data: bytes) -> np.ndarray:
             trns = body
         elif kind == b"IDAT":
             idat.append(body)
-    if interlace:
-        raise ValueError("interlaced PNG isn't read here")
     per = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
-    stride, unit = -(-w * per * depth // 8), max(1, per * depth // 8)
-    raw = np.frombuffer(zlib.decompress(b"".join(idat)), np.uint8).reshape(h, stride + 1)
-    out = np.zeros((h, stride), np.uint8)
-    above = np.zeros(stride, np.int64)
-    for y in range(h):
-        kind, line = raw[y, 0], raw[y, 1:].astype(np.int64)
-        if kind == 1 or kind in (3, 4):
-            for i in range(stride):
-                left = line[i - unit] if i >= unit else 0
-                up, corner = above[i], above[i - unit] if i >= unit else 0
-                if kind == 1:
-                    guess = left
-                elif kind == 3:
-                    guess = (left + up) // 2
-                else:
-                    p = left + up - corner
-                    d = (abs(p - left), abs(p - up), abs(p - corner))
-                    guess = left if d[0] <= d[1] and d[0] <= d[2] else up if d[1] <= d[2] else corner
-                line[i] = (line[i] + guess) & 255
-        elif kind == 2:
-            line = (line + above) & 255
-        out[y], above = line, line
-    if depth == 16:
-        samples = out.reshape(h, w * per, 2)[:, :, 0]
-    elif depth == 8:
-        samples = out
-    else:
-        bits = np.unpackbits(out, axis=1).reshape(h, -1, depth)[:, : w * per]
-        samples = bits @ (1 << np.arange(depth - 1, -1, -1))
-        samples = samples * (255 // ((1 << depth) - 1)) if colour == 0 else samples
-    image = samples.reshape(h, w, per).astype(np.uint8)
+    raw, start = np.frombuffer(zlib.decompress(b"".join(idat)), np.uint8), 0
+    image = np.zeros((h, w, per), np.uint8)
+    for x0, y0, dx, dy in _PASSES if interlace else ((0, 0, 1, 1),):
+        pw, ph = -(-(w - x0) // dx), -(-(h - y0) // dy)
+        if pw <= 0 or ph <= 0:
+            continue
+        stride = -(-pw * per * depth // 8) + 1
+        rows = _unfiltered(raw[start : start + ph * stride].reshape(ph, stride), max(1, per * depth // 8))
+        start += ph * stride
+        image[y0::dy, x0::dx] = _samples(rows, pw, per, depth, colour == 0)
     if colour == 3:
         table = np.frombuffer(plte, np.uint8).reshape(-1, 3)
         image, index = table[image[..., 0]], image[..., 0]
@@ -132,7 +152,11 @@ def to_rgb(image: np.ndarray) -> tuple[np.ndarray, bool]:
 
 def sizes(files: DataFrame) -> DataFrame:
     """path, width, height from the headers of a ``binaryFile`` table; nulls for unknown formats."""
-    found = F.udf(lambda head: dimensions(bytes(head)) if head is not None else None, "width int, height int")
+    @F.pandas_udf("width int, height int")
+    def found(heads: pd.Series) -> pd.DataFrame:
+        got = [dimensions(bytes(h)) if h is not None else None for h in heads]
+        return pd.DataFrame([g or (None, None) for g in got], columns=["width", "height"]).astype("Int32")
+
     return files.select("path", found(F.substring("content", 1, 65536)).alias("s")).select("path", "s.width", "s.height")
 
 

@@ -216,3 +216,50 @@ def test_level_pictures(spark):
     assert sorted(found) == ["m_src_t0.png", "m_src_t0_M1.png", "m_src_t1.png", "m_src_t1_M1.png"]
     assert found["m_src_t0.png"].shape == (8, 8, 3) and found["m_src_t0.png"][0, 7].tolist() == [0, 0, 0] or found["m_src_t0.png"][0, 0].tolist() == [255, 255, 0]
     assert found["m_src_t1_M1.png"].shape == (4, 4, 3)
+
+
+def _png(image, depth, colour, kinds, interlace):
+    """A PNG written plainly: filter ``kinds`` in turn, one pass or seven."""
+    import struct
+    import zlib
+
+    h, w, per = image.shape
+    unit, body, turn = max(1, per * depth // 8), b"", 0
+    for x0, y0, dx, dy in images._PASSES if interlace else ((0, 0, 1, 1),):
+        part = image[y0::dy, x0::dx]
+        if not part.size:
+            continue
+        above = [0] * -(-part.shape[1] * per * depth // 8)
+        for row in part:
+            if depth == 16:
+                line = [b for v in row.ravel().tolist() for b in (v, 7)]
+            elif depth == 8:
+                line = row.ravel().tolist()
+            else:
+                bits = "".join(format(v, f"0{depth}b") for v in row.ravel().tolist())
+                line = [int(bits[i : i + 8].ljust(8, "0"), 2) for i in range(0, len(bits), 8)]
+            kind, turn, out = kinds[turn % len(kinds)], turn + 1, []
+            for i, v in enumerate(line):
+                a, b, c = (line[i - unit], above[i], above[i - unit]) if i >= unit else (0, above[i], 0)
+                p = a + b - c
+                paeth = min((a, b, c), key=lambda q: abs(p - q))
+                out.append((v - (0, a, b, (a + b) // 2, paeth)[kind]) & 255)
+            body += bytes([kind, *out])
+            above = line
+    chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + b"\0\0\0\0"
+    return images._PNG + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, depth, colour, 0, 0, interlace)) + chunk(b"IDAT", zlib.compress(body)) + chunk(b"IEND", b"")
+
+
+@pytest.mark.parametrize("interlace", [0, 1])
+@pytest.mark.parametrize(("depth", "colour", "per"), [(8, 2, 3), (8, 6, 4), (8, 0, 1), (16, 2, 3), (8, 4, 2), (4, 0, 1), (1, 0, 1)])
+def test_png_filters_and_passes(interlace, depth, colour, per):
+    rng = np.random.default_rng(depth + per)
+    for w, h in ((13, 11), (1, 1), (3, 9), (8, 2)):
+        image = rng.integers(0, min(256, 1 << depth), (h, w, per))
+        got = images.decode_png(_png(image, depth, colour, (1, 3, 4, 2, 0), interlace))
+        assert got.tolist() == (image * (255 // ((1 << depth) - 1) if depth < 8 else 1)).tolist()
+
+
+def test_sizes_of_files(spark):
+    rows = spark.createDataFrame([("a", bytearray(images.encode_png(np.zeros((5, 7, 3), np.uint8)))), ("b", bytearray(b"no picture")), ("c", None)], "path string, content binary")
+    assert sorted((r["path"], r["width"], r["height"]) for r in images.sizes(rows).collect()) == [("a", 7, 5), ("b", None, None), ("c", None, None)]
