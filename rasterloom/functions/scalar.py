@@ -115,9 +115,10 @@ def clamp_index(i: Column, n: Column | int) -> Column:
     return F.greatest(F.lit(0), F.least(i, (n if isinstance(n, Column) else F.lit(n)) - 1))
 
 
-def features(s: Sequence[Column], c: Sequence[Column]) -> list[Column]:
-    """[c_j][s_i][s_i * c_j], i outside j: the decoder's input."""
-    return [*c, *s, *[a * b for a in s for b in c]]
+def features(s: Sequence[Column], c: Sequence[Column], terms: int = 7) -> list[Column]:
+    """[c_j][s_i][s_i * c_j], i outside j: the decoder's input; ``terms`` keeps groups (1, 2 and 4, added up)."""
+    groups = (list(c), list(s), [a * b for a in s for b in c])
+    return [f for k, group in enumerate(groups) if terms >> k & 1 for f in group]
 
 
 def monomials(s: Sequence[Column]) -> list[Column]:

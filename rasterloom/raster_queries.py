@@ -147,6 +147,32 @@ def q51(spark, d):
     return _rounded(R.trilinear(points, chain, size, ["r", "g", "b"]))
 
 
+def _gradient_points(spark: SparkSession) -> DataFrame:
+    """2,000 places with footprints from none to three texels, round and long."""
+    n = F.col("id")
+    part = lambda c, over: c.cast("double") / over
+    return spark.range(2000).select(n, part(n * 37 % 1000, 1000).alias("u"), part(n * 91 % 997, 997).alias("v"), part(n % 7, 200).alias("dudx"), part(n % 3, 500).alias("dvdx"), part(n % 5, 400).alias("dudy"), part(n % 11, 300).alias("dvdy"))
+
+
+def q55(spark, d):
+    """Points read by their gradients in three modes; the last without product terms and level 1 by its own extent."""
+    from rasterloom.operators.sampling import sample_gradients
+
+    chain, size, _, _ = _base(spark, d, LEVELS)
+    asset, points = (luma_plane(chain), mean_plane(chain, size), size), _gradient_points(spark)
+    linear = [sample_gradients(points, *asset, W, BIAS, mode).withColumn("mode", F.lit(mode)) for mode in ("bilinear", "trilinear")]
+    point = sample_gradients(points, *asset, [row[:3] for row in W], BIAS, "point", level1_scale=1.0, terms=3).withColumn("mode", F.lit("point"))
+    return _rounded(linear[0].unionByName(linear[1]).unionByName(point).select("mode", "id", "c0", "c1", "c2"))
+
+
+def q56(spark, d):
+    """The same points read anisotropically, up to eight probes each."""
+    from rasterloom.operators.sampling import sample_gradients
+
+    chain, size, _, _ = _base(spark, d, LEVELS)
+    return _rounded(sample_gradients(_gradient_points(spark), luma_plane(chain), mean_plane(chain, size), size, W, BIAS, "anisotropic").select("id", "c0", "c1", "c2"))
+
+
 def _rows(spark, d, levels: int, k: int = 4) -> tuple[DataFrame, DataFrame]:
     source, size, _, _ = _base(spark, d, levels)
     return R.site_rows(luma_plane(source), mean_plane(source, size), source, size, k), size
@@ -379,6 +405,8 @@ NAMES = {
     "q49_lineitem_raster": q49,
     "q50_embeddings_box": q50,
     "q51_repeated_points": q51,
+    "q55_gradient_sampling": q55,
+    "q56_anisotropic_sampling": q56,
 }
 
 

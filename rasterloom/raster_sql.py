@@ -96,11 +96,11 @@ def _sites() -> str:
     return both + points + full + ",\n" + _level1("points", keep, "dx", "dy") + ",\nrows_ AS (SELECT * FROM full_ JOIN z USING (plane, x, y, j, dx, dy))"
 
 
-def _outputs(s: str = "s0", z: tuple[str, str] = ("z0", "z1")) -> list[str]:
+def _outputs(s: str = "s0", z: tuple[str, str] = ("z0", "z1"), terms: int = 5) -> list[str]:
     out = []
     for row, b in zip(W, BIAS, strict=True):
-        phi = [z[0], z[1], s, f"{s} * {z[0]}", f"{s} * {z[1]}"]
-        out.append(f"({b!r}::double + " + " + ".join(f"{w!r}::double * {p}" for w, p in zip(row, phi, strict=True)) + ")")
+        phi = [z[0], z[1], s, f"{s} * {z[0]}", f"{s} * {z[1]}"][:terms]
+        out.append(f"({b!r}::double + " + " + ".join(f"{w!r}::double * {p}" for w, p in zip(row[:terms], phi, strict=True)) + ")")
     return out
 
 
@@ -118,6 +118,41 @@ def _decoded(levels: int) -> str:
     return _head(levels, ",\n" + _level1("l0", "plane, x, y, s0") + f",\nout AS (SELECT plane, x, y, {columns} FROM z)")
 
 
+def _by_gradients(name: str, plane: str, columns: dict[str, str], w: str, h: str, scale: float, mode: str) -> str:
+    """CTE ``name``: pts (id, u, v and gradients) with a plane's values where, and of the level that, their gradients say."""
+    most = 8 if mode == "anisotropic" else 1
+    level = "CASE WHEN long_ > 0 THEN log2(long_ / n) ELSE 0 END"
+    level = f"floor({level} + 0.5::double)" if mode in ("point", "bilinear") else level
+    means = ", ".join(f"sum(f * {o}) / any_value(n) AS {o}" for o in columns)
+    kept = "id, i, n, plane, f"
+    if mode == "point":
+        values = ", ".join(f"t.{c} AS {o}" for o, c in columns.items())
+        at = lambda p, n: f"greatest(0, least(floor({p} * {n})::int, {n} - 1))"
+        read = f"{name}_r AS (SELECT p.id, p.i, p.n, p.plane, p.f, {values} FROM {name}_two p JOIN size USING (plane) JOIN {plane} t ON t.plane = p.plane AND t.x = {at('u', w)} AND t.y = {at('v', h)} WHERE f > 0)"
+    else:
+        read = _gather(f"{name}_r", f"{name}_two", plane, columns, f"u * {w} - 0.5::double", f"v * {h} - 0.5::double", w, h, kept)
+    return f"""{name}_g AS (SELECT id, u, v, dudx * {scale!r}::double AS ax, dvdx * {scale!r}::double AS ay, dudy * {scale!r}::double AS bx, dvdy * {scale!r}::double AS b_y, {w}::double AS w_, {h}::double AS h_ FROM pts, (SELECT {w}, {h} FROM size WHERE plane = 0)),
+{name}_l AS (SELECT *, sqrt(ax * w_ * (ax * w_) + ay * h_ * (ay * h_)) AS across, sqrt(bx * w_ * (bx * w_) + b_y * h_ * (b_y * h_)) AS down FROM {name}_g),
+{name}_s AS (SELECT *, greatest(across, down) AS long_, least(across, down) AS short_ FROM {name}_l),
+{name}_n AS (SELECT *, least({most}, CASE WHEN long_ <= short_ THEN 1 WHEN short_ = 0 THEN {most} ELSE ceil(long_ / short_) END)::double AS n FROM {name}_s),
+{name}_p AS (SELECT id, i, n, u + CASE WHEN across >= down THEN ax ELSE bx END * (i / (n + 1) - 0.5::double) AS pu, v + CASE WHEN across >= down THEN ay ELSE b_y END * (i / (n + 1) - 0.5::double) AS pv, u, v, greatest(0, least({level}, {LEVELS}))::double AS lod FROM {name}_n, (SELECT unnest(range(1, {most + 1}))::double AS i) WHERE i <= n),
+{name}_q AS (SELECT id, i, n, {'pu' if most > 1 else 'u'} AS u, {'pv' if most > 1 else 'v'} AS v, lod FROM {name}_p),
+{name}_two AS (SELECT id, i, n, u, v, floor(lod)::int AS plane, 1 - (lod - floor(lod)) AS f FROM {name}_q UNION ALL SELECT id, i, n, u, v, least(floor(lod)::int + 1, {LEVELS}), lod - floor(lod) FROM {name}_q),
+{read},
+{name} AS (SELECT id, {means} FROM {name}_r GROUP BY id)"""
+
+
+def _gradient_sampling(modes: tuple[tuple[str, float, int], ...], named: bool) -> str:
+    """Points by their gradients, decoded: (mode, scale of level 1's gradients, columns of the decoder)."""
+    pts = "pts AS (SELECT id, (id * 37 % 1000)::double / 1000 AS u, (id * 91 % 997)::double / 997 AS v, (id % 7)::double / 200 AS dudx, (id % 3)::double / 500 AS dvdx, (id % 5)::double / 400 AS dudy, (id % 11)::double / 300 AS dvdy FROM (SELECT unnest(range(2000)) AS id))"
+    parts, out = [], []
+    for mode, scale, terms in modes:
+        parts += [_by_gradients(f"{mode}_0", "l0", {"s0": "s0"}, "w0", "h0", 1.0, mode), _by_gradients(f"{mode}_1", "l1", _Z, "w1", "h1", scale, mode)]
+        values = ", ".join(f"round(least(1.0::double, greatest(0.0::double, {o})), 9) AS c{i}" for i, o in enumerate(_outputs(terms=terms)))
+        out.append(f"SELECT {f"'{mode}' AS mode, " if named else ''}id, {values} FROM {mode}_0 JOIN {mode}_1 USING (id)")
+    return f"{_head(LEVELS)},\n{pts},\n" + ",\n".join(parts) + "\n" + " UNION ALL ".join(out)
+
+
 def _kernel(kernel: str, x: str) -> str:
     b, c = (1 / 3, 1 / 3) if kernel == "mitchell" else (0.0, 0.5)
     near = f"(({12 - 9 * b - 6 * c!r}::double * {x} + {-18 + 12 * b + 6 * c!r}::double) * {x} * {x} + {6 - 2 * b!r}::double) / 6"
@@ -363,6 +398,8 @@ two AS (SELECT id, u, v, floor({lod})::int AS plane, 1 - ({lod} - floor({lod}))
 {_gather('r', 'two', 'src', {'r0': 'c0', 'r1': 'c1', 'r2': 'c2'}, 'u * w0 - 0.5::double', 'v * h0 - 0.5::double', 'w0', 'h0', 'id, plane, f')},
 s AS (SELECT id, {own_lod} FROM r GROUP BY id)
 SELECT round(u, 9) AS u, round(v, 9) AS v, round(lod, 9) AS lod, round(r, 9) AS r, round(g, 9) AS g, round(b, 9) AS b FROM s JOIN pts USING (id)""",
+        "q55_gradient_sampling": _gradient_sampling((("bilinear", 4.0, 5), ("trilinear", 4.0, 5), ("point", 1.0, 3)), True),
+        "q56_anisotropic_sampling": _gradient_sampling((("anisotropic", 4.0, 5),), False),
         "q17_objective_sums": f"{_head(0, ',' + _sites())} SELECT j, count(*)::bigint AS n, round(sum(s0), 6) AS sum_s, round(sum(s0 * z0), 6) AS sum_sz, round(sum(z0 * t0), 6) AS sum_zt, round(sum({_error()}), 6) AS se FROM rows_ GROUP BY j",
         "q18_mip_weights": f"WITH RECURSIVE {_EVENTS}, {_geometry(LEVELS)}, m AS ({' UNION ALL '.join(mips(k) for k in kinds)}) SELECT plane, round(share, 12) AS share, round(share / (px::double * 5), 12) AS per_site, kind FROM m",
         "q19_objective": f"""{_head(LEVELS, ',' + _sites())},

@@ -1,4 +1,4 @@
-"""Images as pixel planes: header scans, PNG, BMP and the formats of Spark's image source; PNG and BMP out."""
+"""Images as pixel planes: header scans, PNG, BMP, ``formats`` and those of Spark's image source; PNG and BMP out."""
 
 from __future__ import annotations
 
@@ -11,12 +11,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rasterloom.sources import formats
+
 PIXELS = "path string, y int, x int, c0 double, c1 double, c2 double, alpha_ignored boolean"
 _PNG = b"\x89PNG\r\n\x1a\n"
+STRIP = 1 << 20  # pixels that a reader hands on at once
 
 
 def dimensions(head: bytes) -> tuple[int, int] | None:
-    """Width and height from a PNG, BMP, GIF or JPEG's first bytes, without decoding."""
+    """Width and height from a file's first bytes, without decoding; PNG, BMP, GIF, JPEG and those of ``formats``."""
     if head[:8] == _PNG and len(head) >= 24:
         return struct.unpack(">II", head[16:24])
     if head[:2] == b"BM" and len(head) >= 26:
@@ -31,7 +34,8 @@ def dimensions(head: bytes) -> tuple[int, int] | None:
                 h, w = struct.unpack(">HH", head[at + 5 : at + 9])
                 return w, h
             at += 2 + struct.unpack(">H", head[at + 2 : at + 4])[0]
-    return None
+        return None
+    return formats.dimensions(head)
 
 
 # The seven passes of an interlaced PNG as (first x, first y, step x, step y).
@@ -150,6 +154,23 @@ def to_rgb(image: np.ndarray) -> tuple[np.ndarray, bool]:
     return rgb, alpha
 
 
+def _pixels(name: str, image: np.ndarray) -> Iterator[pd.DataFrame]:
+    """A decoded picture's rows of ``PIXELS``, strip by strip."""
+    rgb, alpha = to_rgb(image)
+    h, w = rgb.shape[:2]
+    step = max(1, STRIP // max(1, w))
+    for top in range(0, h, step):
+        part = rgb[top : top + step]
+        y, x = np.indices(part.shape[:2])
+        flat = part.reshape(-1, 3) / 255.0
+        yield pd.DataFrame({"path": name, "y": top + y.ravel(), "x": x.ravel(), "c0": flat[:, 0], "c1": flat[:, 1], "c2": flat[:, 2], "alpha_ignored": alpha})
+
+
+def decode(data: bytes) -> np.ndarray:
+    """(h, w, channels) bytes of a PNG, a bitmap or a picture of ``formats``."""
+    return decode_png(data) if data[:8] == _PNG else decode_bmp(data) if data[:2] == b"BM" else formats.decode(data)
+
+
 def sizes(files: DataFrame) -> DataFrame:
     """path, width, height from the headers of a ``binaryFile`` table; nulls for unknown formats."""
     @F.pandas_udf("width int, height int")
@@ -160,17 +181,17 @@ def sizes(files: DataFrame) -> DataFrame:
     return files.select("path", found(F.substring("content", 1, 65536)).alias("s")).select("path", "s.width", "s.height")
 
 
-def read(spark: SparkSession, path: str, pattern: str = "*.{png,bmp}") -> DataFrame:
-    """A row per pixel of every PNG and BMP under ``path``: path, y, x, c0, c1, c2 as byte / 255."""
+def read(spark: SparkSession, path: str, pattern: str = "*.{png,bmp,tga,psd,hdr,pic,pgm,ppm,pnm}") -> DataFrame:
+    """A row per pixel of every matching file under ``path``: path, y, x, c0, c1, c2 as byte / 255. Fails on a file that it can't decode."""
 
     def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             for name, content in zip(pdf["path"], pdf["content"], strict=True):
-                data = bytes(content)
-                rgb, alpha = to_rgb(decode_png(data) if data[:8] == _PNG else decode_bmp(data))
-                y, x = np.indices(rgb.shape[:2])
-                flat = rgb.reshape(-1, 3) / 255.0
-                yield pd.DataFrame({"path": name, "y": y.ravel(), "x": x.ravel(), "c0": flat[:, 0], "c1": flat[:, 1], "c2": flat[:, 2], "alpha_ignored": alpha})
+                try:
+                    image = decode(bytes(content))
+                except Exception as e:
+                    raise ValueError(f"{name} can't be decoded: {e}") from e
+                yield from _pixels(name, image)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
     return files.select("path", "content").mapInPandas(parse, PIXELS)
@@ -188,10 +209,7 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
                     raise ValueError(f"{name} can't be decoded")
                 a = np.frombuffer(bytes(data), np.uint8).reshape(int(h), int(wd), int(c))
                 a = a if c == 1 else np.concatenate([a[..., 2::-1], a[..., 3:]], 2)
-                rgb, alpha = to_rgb(a)
-                y, x = np.indices(rgb.shape[:2])
-                flat = rgb.reshape(-1, 3) / 255.0
-                yield pd.DataFrame({"path": name, "y": y.ravel(), "x": x.ravel(), "c0": flat[:, 0], "c1": flat[:, 1], "c2": flat[:, 2], "alpha_ignored": alpha})
+                yield from _pixels(name, a)
 
     return rows.select("origin", "height", w, n, "data").mapInPandas(parse, PIXELS)
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import struct
 
 import numpy as np
 import pytest
@@ -263,3 +264,100 @@ def test_png_filters_and_passes(interlace, depth, colour, per):
 def test_sizes_of_files(spark):
     rows = spark.createDataFrame([("a", bytearray(images.encode_png(np.zeros((5, 7, 3), np.uint8)))), ("b", bytearray(b"no picture")), ("c", None)], "path string, content binary")
     assert sorted((r["path"], r["width"], r["height"]) for r in images.sizes(rows).collect()) == [("a", 7, 5), ("b", None, None), ("c", None, None)]
+
+
+def _runs(row: bytes, unit: int = 1) -> list[tuple[bytes, int]]:
+    """A row as (value, times) of equal neighbours, at most 120 each."""
+    out = []
+    for i in range(0, len(row), unit):
+        value = row[i : i + unit]
+        if out and out[-1][0] == value and out[-1][1] < 120:
+            out[-1] = (value, out[-1][1] + 1)
+        else:
+            out.append((value, 1))
+    return out
+
+
+def _other_formats(rgb: np.ndarray) -> dict[str, bytes]:
+    """One picture in every format that keeps bytes as they are, plain and in runs."""
+    h, w = rgb.shape[:2]
+    bgr = np.ascontiguousarray(rgb[..., ::-1])
+    alpha = np.concatenate([bgr, np.full((h, w, 1), 255, np.uint8)], 2)
+    colours, index = np.unique(bgr.reshape(-1, 3), axis=0, return_inverse=True)
+    index = index.astype(np.uint16 if len(colours) > 256 else np.uint8)
+    tga = lambda kind, bits, flags, n=0: struct.pack("<BBBHHBHHHHBB", 3, int(n > 0), kind, 0, n, 24 if n else 0, 0, 0, w, h, bits, flags) + b"own"
+    psd = struct.pack(">4sH6xHIIHH", b"8BPS", 1, 3, h, w, 8, 3) + struct.pack(">I", 0) + struct.pack(">I4x", 4) + struct.pack(">I", 0)
+    pack = lambda row: b"".join(bytes([(1 - n) & 255]) + v if n > 1 else b"\x00" + v for v, n in _runs(row))
+    planes = [[rgb[y, :, c].tobytes() for y in range(h)] for c in range(3)]
+    packed = [[pack(row) for row in plane] for plane in planes]
+    pic = b"\x53\x80\xf6\x34" + bytes(84) + b"PICT" + struct.pack(">HHfHH", w, h, 1.0, 3, 0)
+    pure = lambda row: b"".join(bytes([n]) + v for v, n in _runs(row, 3))
+    mixed = lambda row: b"".join((bytes([127 + n]) if i % 2 else b"\x80" + struct.pack(">H", n)) + v if n > 1 else b"\x00" + v for i, (v, n) in enumerate(_runs(row, 3)))
+    return {
+        "plain.tga": tga(2, 24, 0) + bgr[::-1].tobytes(),
+        "top.tga": tga(2, 32, 0x28) + alpha.tobytes(),
+        "mirrored.tga": tga(2, 24, 0x30) + np.ascontiguousarray(bgr[:, ::-1]).tobytes(),
+        "packets.tga": tga(10, 24, 0x20) + b"".join(bytes([127 + n]) + v for v, n in _runs(bgr.tobytes(), 3)),
+        "mapped.tga": tga(1, 8 * index.itemsize, 0x20, len(colours)) + colours.tobytes() + index.tobytes(),
+        "plain.psd": psd + b"\0\0" + b"".join(b"".join(p) for p in planes),
+        "packed.psd": psd + b"\0\1" + b"".join(struct.pack(">H", len(r)) for p in packed for r in p) + b"".join(b"".join(p) for p in packed),
+        "plain.pic": pic + bytes([0, 8, 0, 0xE0]) + rgb.tobytes(),
+        "pure.pic": pic + bytes([0, 8, 1, 0xE0]) + b"".join(pure(row.tobytes()) for row in rgb),
+        "mixed.pic": pic + bytes([0, 8, 2, 0xE0]) + b"".join(mixed(row.tobytes()) for row in rgb),
+        "plain.ppm": b"P6\n# said by nobody\n%d %d\n255\n" % (w, h) + rgb.tobytes(),
+        "deep.pnm": b"P6 %d %d 65535\n" % (w, h) + np.stack([rgb, 255 - rgb], 3).tobytes(),
+    }
+
+
+def test_other_formats(spark, tmp_path):
+    rgb = np.zeros((5, 150, 3), np.uint8)
+    rgb[:] = np.random.default_rng(7).integers(0, 256, (5, 50, 3), np.uint8).repeat(3, 1)
+    rgb[2, :, :], rgb[4, ::2, 1] = 9, 77
+    files = _other_formats(rgb)
+    for name, data in files.items():
+        assert images.dimensions(data[:256]) == (150, 5), name
+        assert images.decode(data)[..., :3].tolist() == rgb.tolist(), name
+        (tmp_path / name).write_bytes(data)
+    grey = b"P5 150 5 255\n" + rgb[..., 0].tobytes()
+    assert images.decode(grey)[..., 0].tolist() == rgb[..., 0].tolist()
+    rows = images.read(spark, str(tmp_path)).groupBy("path").agg({"*": "count", "c1": "sum", "x": "max", "y": "max"}).collect()
+    assert len(rows) == len(files)
+    for r in rows:
+        assert (r["count(1)"], r["max(x)"], r["max(y)"]) == (750, 149, 4) and r["sum(c1)"] == pytest.approx(rgb[..., 1].sum() / 255)
+    (tmp_path / "short.ppm").write_bytes(files["plain.ppm"][:-1])
+    with pytest.raises(Exception, match="short.ppm can't be decoded"):
+        images.read(spark, str(tmp_path), "*.ppm").collect()
+    for name, data in files.items():
+        with pytest.raises(Exception):
+            images.decode(data[: len(data) // 2])
+
+
+def test_strips_of_a_picture(monkeypatch):
+    monkeypatch.setattr(images, "STRIP", 16)
+    rgb = np.arange(7 * 5 * 3, dtype=np.uint8).reshape(7, 5, 3)
+    parts = list(images._pixels("a", rgb))
+    assert [len(p) for p in parts] == [15, 15, 5] and [p["y"].max() for p in parts] == [2, 5, 6]
+    assert np.concatenate([p[["c0", "c1", "c2"]].to_numpy() for p in parts]).tolist() == (rgb.reshape(-1, 3) / 255.0).tolist()
+
+
+def test_high_dynamic_range():
+    """Flat lines and lines in runs give the same bytes: x to the power of 1 / 2.2."""
+    rng = np.random.default_rng(3)
+    rgbe = rng.integers(0, 256, (3, 9, 4), np.uint8)
+    rgbe[..., 3] = rng.choice([0, 120, 127, 128, 129, 136, 140], (3, 9))
+    head = b"#?RADIANCE\n# by hand\nFORMAT=32-bit_rle_rgbe\n\n-Y 3 +X 9\n"
+    runs = b"".join(b"\2\2\0\x09" + b"".join(bytes([128 + n]) + v if n > 1 else b"\1" + v for c in range(4) for v, n in _runs(row[:, c].tobytes())) for row in rgbe)
+    want = [[[0 if e == 0 else min(255, int((v * 2.0 ** (int(e) - 136)) ** (1 / 2.2) * 255 + 0.5)) for v in px] for *px, e in row.tolist()] for row in rgbe]
+    assert images.decode(head + runs).tolist() == want
+    rgbe[0, 0, 0] = 1  # not the mark of a line in runs
+    want[0][0][0] = 0 if rgbe[0, 0, 3] == 0 else min(255, int((2.0 ** (int(rgbe[0, 0, 3]) - 136)) ** (1 / 2.2) * 255 + 0.5))
+    assert images.decode(head + rgbe.tobytes()).tolist() == want
+    assert images.dimensions(head) == (9, 3)
+
+
+def test_white_matte_and_five_bits():
+    psd = struct.pack(">4sH6xHIIHH", b"8BPS", 1, 4, 1, 3, 8, 3) + bytes(12) + b"\0\0"
+    got = images.decode(psd + bytes([200, 200, 200, 90, 255, 0, 255, 255, 255, 128, 255, 0]))
+    assert got.tolist() == [[[int(200 / (128 / 255) + 255 * (1 - 255 / 128)), 0, 255, 128], [200, 255, 255, 255], [200, 0, 255, 0]]]
+    tga = struct.pack("<BBBHHBHHHHBB", 0, 0, 2, 0, 0, 0, 0, 0, 2, 1, 16, 0x20) + struct.pack("<HH", 31 << 10 | 5, 16 << 5)
+    assert images.decode(tga).tolist() == [[[255, 0, 5 * 255 // 31], [0, 16 * 255 // 31, 0]]]
