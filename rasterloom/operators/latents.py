@@ -28,6 +28,22 @@ BLOCKS_AT_ONCE = 4096
 KEPT_PIXELS = 1 << 18
 
 
+Rect = tuple[int, int, int, int]  # y, x, height, width
+
+
+@dataclass(frozen=True)
+class Window:
+    """Where a part of a larger plane lies: only ``owned`` texels move, only pixels of ``core`` have sites."""
+
+    whole0: tuple[int, int]
+    whole1: tuple[int, int]
+    at0: tuple[int, int]
+    at1: tuple[int, int]
+    core: Rect
+    owned0: Rect
+    owned1: Rect
+
+
 @dataclass
 class Plane:
     """Both latents and the source of one mip: arrays (h, w, channels)."""
@@ -38,6 +54,7 @@ class Plane:
     k0: np.ndarray | None = None
     k1: np.ndarray | None = None
     blocks: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None  # r0, r1 (by, bx, c) and selectors (by, bx, c, 16)
+    window: Window | None = None
     kept: dict[int, list] = field(default_factory=dict, repr=False)  # sites by k: they depend on the extents and the source alone
 
     @property
@@ -48,6 +65,15 @@ class Plane:
     def size1(self) -> tuple[int, int]:
         return self.v1.shape[0], self.v1.shape[1]
 
+    def owned(self, level0: bool) -> np.ndarray | None:
+        """The texels of a level that may move; None for all of a whole plane."""
+        if self.window is None:
+            return None
+        (y, x, h, w), (oy, ox) = (self.window.owned0, self.window.at0) if level0 else (self.window.owned1, self.window.at1)
+        out = np.zeros(self.size0 if level0 else self.size1, bool)
+        out[y - oy : y - oy + h, x - ox : x - ox + w] = True
+        return out
+
 
 @dataclass
 class Taps:
@@ -66,37 +92,46 @@ class Taps:
         return out
 
 
-def site_offsets(h: int, w: int, k: int, j: int) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets of site j (0: the centre) of every pixel."""
+def site_offsets(h: int, w: int, k: int, j: int, at: tuple[int, int] = (0, 0)) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets of site j (0: the centre) of every pixel of an (h, w) rectangle at ``at``."""
     y, x = np.indices((h, w))
     if j == 0:
         return np.zeros(h * w), np.zeros(h * w)
     ox, oy = OFFSETS[k][j - 1]
     if k == 2:
         return np.full(h * w, ox), np.full(h * w, oy)
-    turns = ((y & 1) * 2 + (x & 1)).ravel()
+    turns = ((y + at[0] & 1) * 2 + (x + at[1] & 1)).ravel()
     return np.choose(turns, [ox, -oy, -ox, oy]), np.choose(turns, [oy, ox, -oy, -ox])
 
 
-def taps(h0: int, w0: int, dx: np.ndarray, dy: np.ndarray, h: int, w: int) -> Taps:
-    """Bilinear taps in an (h, w) plane of the sites of an (h0, w0) plane."""
-    py, px = (a.ravel() for a in np.indices((h0, w0)))
+def taps(h0: int, w0: int, dx: np.ndarray, dy: np.ndarray, h: int, w: int, core: Rect | None = None, at: tuple[int, int] = (0, 0), width: int | None = None) -> Taps:
+    """Bilinear taps in an (h, w) plane of the sites of an (h0, w0) plane.
+
+    Of those in the rectangle ``core`` alone, if it is given; the taps' places are then
+    those in an array that begins at ``at`` of the (h, w) plane and is ``width`` wide.
+    """
+    top, left, ch, cw = core or (0, 0, h0, w0)
+    py, px = (a.ravel() for a in np.indices((ch, cw)))
+    py, px = py + top, px + left
     x = px + dx if w == w0 else (px + 0.5 + dx) * w / w0 - 0.5
     y = py + dy if h == h0 else (py + 0.5 + dy) * h / h0 - 0.5
     x0, y0 = np.floor(x).astype(int), np.floor(y).astype(int)
     fx, fy = x - x0, y - y0
     xs, ys = np.stack([x0, x0 + 1, x0, x0 + 1]), np.stack([y0, y0, y0 + 1, y0 + 1])
     weights = np.stack([(1 - fx) * (1 - fy), fx * (1 - fy), (1 - fx) * fy, fx * fy])
-    xs, ys = np.clip(xs, 0, w - 1).astype(np.int32), np.clip(ys, 0, h - 1).astype(np.int32)
-    return Taps(xs, ys, weights, ys * np.int32(w) + xs)
+    xs, ys = np.clip(xs, 0, w - 1).astype(np.int32) - np.int32(at[1]), np.clip(ys, 0, h - 1).astype(np.int32) - np.int32(at[0])
+    return Taps(xs, ys, weights, ys * np.int32(width or w) + xs)
 
 
 def _made_sites(p: Plane, k: int) -> Iterator[tuple[int, Taps, Taps, np.ndarray]]:
-    (h0, w0), (h1, w1) = p.size0, p.size1
+    (h0, w0), (h1, w1), core, at0, at1 = p.size0, p.size1, None, (0, 0), (0, 0)
+    if p.window is not None:
+        (h0, w0), (h1, w1), core, at0, at1 = p.window.whole0, p.window.whole1, p.window.core, p.window.at0, p.window.at1
+    y, x, h, w = core or (0, 0, h0, w0)
     for j in range(k + 1):
-        dx, dy = site_offsets(h0, w0, k, j)
-        t0 = taps(h0, w0, dx, dy, h0, w0)
-        yield j, t0, taps(h0, w0, dx, dy, h1, w1), t0.read(p.src)
+        dx, dy = site_offsets(h, w, k, j, (y, x))
+        t0 = taps(h0, w0, dx, dy, h0, w0, core, at0, p.size0[1])
+        yield j, t0, taps(h0, w0, dx, dy, h1, w1, core, at1, p.size1[1]), t0.read(p.src)
 
 
 def sites(p: Plane, k: int) -> Iterator[tuple[int, Taps, Taps, np.ndarray]]:
@@ -175,6 +210,18 @@ class Stencil:
         return self.apply(x) - np.einsum("hwij,hwj->hwi", self.blocks[0], x)
 
 
+def _restricted(s: Stencil, owned: np.ndarray) -> Stencil:
+    """The system of the owned texels with all others held; theirs becomes d = 0."""
+    h, w, c = s.gradient.shape
+    s.gradient[~owned] = 0
+    s.blocks[0][~owned] = np.einsum("nii->ni", s.blocks[0][owned]).mean() * np.eye(c)
+    for (dx, dy), blk in zip(STENCIL[1:], s.blocks[1:], strict=True):
+        here = np.s_[0 : h - dy, max(0, -dx) : w - max(0, dx)]
+        there = np.s_[dy:h, max(0, dx) : w - max(0, -dx)]
+        blk[here] *= (owned[here] & owned[there])[..., None, None]
+    return s
+
+
 def assemble(p: Plane, w: np.ndarray, b: np.ndarray, cw: np.ndarray, k: int, level0: bool) -> Stencil:
     c0, c1 = p.v0.shape[2], p.v1.shape[2]
     form = Form.of(w, b, c0, c1, level0)
@@ -206,7 +253,8 @@ def assemble(p: Plane, w: np.ndarray, b: np.ndarray, cw: np.ndarray, k: int, lev
             for i in range(mono.shape[1]):
                 sums[i, :size] += np.bincount(index, scale * mono[:, i], size)
     blocks = np.tensordot(sums, matrices, (0, 0)).reshape(len(STENCIL), h, wd, c, c)
-    return Stencil(blocks, gradient.reshape(h, wd, c))
+    whole, owned = Stencil(blocks, gradient.reshape(h, wd, c)), p.owned(level0)
+    return whole if owned is None else _restricted(whole, owned)
 
 
 @dataclass
@@ -348,6 +396,7 @@ def palette_search(p: Plane, w: np.ndarray, b: np.ndarray, cw: np.ndarray, k: in
                     for i2 in range(c0):
                         a2[:, i, i2] += np.bincount(at[a][use], al * al * (cw * q[:, :, i] * q[:, :, i2]).sum(1), n)
         texels = (np.arange(colour >> 1, h, 2)[:, None] * wd + np.arange(colour & 1, wd, 2)[None, :]).ravel()
+        texels = texels if p.window is None else texels[p.owned(True).ravel()[texels]]
         cur = p.k0.reshape(-1, c0)[texels]
         best = cur.copy()
         energy = lambda x: a0[texels] + 2 * (x * a1[texels]).sum(-1) + np.einsum("ti,tij,tj->t", x, a2[texels], x)

@@ -519,6 +519,23 @@ def q47(spark, d):
     return _rounded(fit_report(materials, Options(c0=1, c1=3)), 6)
 
 
+def q57(spark, d):
+    """Both materials fitted by tiles with halos: the error after every block of two rounds."""
+    from rasterloom.functions.config import Options
+    from rasterloom.plans import tiles as T
+    from rasterloom.plans.fit import with_material
+
+    size, parts = None, ([], [], [])
+    for name, raster in (("events", fixtures.events_raster), ("orders", fixtures.orders_raster)):
+        source, w, h = raster(spark, d)
+        size = size or R.geometry_table(spark, R.geometry(w, h, LEVELS))
+        chain = R.box_chain(source, w, h, LEVELS)
+        for rows, plane in zip(parts, (luma_plane(chain), mean_plane(chain, size), chain), strict=True):
+            rows.append(with_material(plane, name))
+    cut = T.cut(*[a.unionByName(b) for a, b in parts], size)
+    return _rounded(T.rounds(cut, CW, 2, Options(c0=1, c1=2))[2], 5)
+
+
 _DESCRIPTORS = [
     ("good.json", '{"format":"latent-pair","decode":{"width":8,"height":8,"textures_out":1},"textures":[{"file":"a.dds","mip_count":1,"mip_sizes":[[8,8]],"dxgi_format_id":80,"dxgi_format":"BC4"},{"files":["b.dds","sub/c.dds"],"mip_count":1,"mip_sizes":[[2,2]],"dxgi_format_id":28,"dxgi_format":"RGBA8"}],"decoder":{"C0":1,"C1":1,"nin":3,"nout":3,"layers":[{"rows":3,"cols":3,"weights":[1,2,3,4,5,6,7,8,9],"bias":[0,0,0]}]}}'),
     ("bad.json", '{"format":"latent-pair","decode":{"width":8,"height":8,"textures_out":1},"textures":[{"file":"d.dds","mip_count":2,"mip_sizes":[[8,8]],"dxgi_format_id":80,"dxgi_format":"BC4"},{"file":"e.dds","mip_count":1,"mip_sizes":[[2,2]],"dxgi_format_id":28,"dxgi_format":"RGBA8"}],"decoder":{"C0":1,"C1":1,"nin":4,"nout":3,"layers":[{"rows":3,"cols":3,"weights":[1,2,3],"bias":[0,0,0]}]}}'),
@@ -603,6 +620,7 @@ NAMES |= {
     "q45_grid_sweep": q45,
     "q46_block_refine": q46,
     "q47_material_fit": q47,
+    "q57_tiled_rounds": q57,
 }
 
 
