@@ -15,7 +15,7 @@ five owned blocks of H; ``conjugate_gradients`` moves the plane freely,
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 
@@ -597,6 +597,33 @@ def plane_error(p: Plane, w: np.ndarray, b: np.ndarray, cw: np.ndarray, k: int)
     return weighted, centre, fractional
 
 
+# The sequence that picks the probed values, so that every run probes the same ones.
+PROBE_START, PROBE_TIMES, PROBE_PLUS, PROBE_SHIFT = 0x9E3779B97F4A7C15, 6364136223846793005, 1442695040888963407, 16
+
+
+def gradient_probe(p: Plane, w: np.ndarray, b: np.ndarray, cw: np.ndarray, k: int, step: float, samples: int, scale: float) -> float:
+    """The steepest slope of the weighted error in ``samples`` level-1 values, by central differences, times step over scale.
+
+    The error is quadratic in the plane, so at its minimum this is 0 but for rounding
+    and the ridge's pull. Both ends are float32 values, and their real distance counts.
+    """
+    if not (p.v1.size and scale > 0):
+        return 0.0
+    steepest, state, flat = 0.0, PROBE_START, p.v1.reshape(-1)
+    for _ in range(samples):
+        state = (state * PROBE_TIMES + PROBE_PLUS) % (1 << 64)
+        at = (state >> PROBE_SHIFT) % flat.size
+        ends = [float(np.float32(flat[at] + s)) for s in (step, -step)]
+        if ends[0] > ends[1]:
+            errors = []
+            for v in ends:
+                moved = flat.copy()
+                moved[at] = v
+                errors.append(plane_error(replace(p, v1=moved.reshape(p.v1.shape)), w, b, cw, k)[0])
+            steepest = max(steepest, abs(errors[0] - errors[1]) / (ends[0] - ends[1]))
+    return steepest * step / scale
+
+
 def dense_system(s: Stencil, lam: float) -> tuple[np.ndarray, np.ndarray]:
     """The whole stencil as one matrix and right-hand side: for small planes, in tests."""
     h, w, c = s.gradient.shape

@@ -339,10 +339,23 @@ def q40(spark, d):
     return R.duplicate_channels(events.select("plane", "x", "y", "c0", "c1", "c2", F.col("c0").alias("c3"), F.col("c2").alias("c4")))
 
 
+def _files(size: DataFrame, w: int, h: int) -> DataFrame:
+    """The levels of an asset of two block channels and plain bytes."""
+    level = lambda dxgi, a, b: size.select(F.col("plane").alias("level"), F.lit(dxgi).alias("dxgi"), F.col(a).alias("width"), F.col(b).alias("height"), F.lit(w).alias("w"), F.lit(h).alias("h"))
+    return level(83, "w0", "h0").unionByName(level(28, "w1", "h1"))
+
+
 def q41(spark, d):
     _, size, w, h = _base(spark, d, LEVELS)
-    level = lambda dxgi, a, b: size.select(F.col("plane").alias("level"), F.lit(dxgi).alias("dxgi"), F.col(a).alias("width"), F.col(b).alias("height"), F.lit(w).alias("w"), F.lit(h).alias("h"))
-    return _rounded(A.rates(level(83, "w0", "h0").unionByName(level(28, "w1", "h1")), 1), 9)
+    return _rounded(A.rates(_files(size, w, h), 1), 9)
+
+
+def q58(spark, d):
+    """All figures of the fixed planes in one table."""
+    from rasterloom.plans.report import report
+
+    source, size, w, h = _base(spark, d, LEVELS)
+    return _rounded(report(luma_plane(source), mean_plane(source, size), source, size, W, BIAS, CW, _files(size, w, h), (w, h)), 5)
 
 
 def q48(spark, d):
@@ -407,6 +420,7 @@ NAMES = {
     "q51_repeated_points": q51,
     "q55_gradient_sampling": q55,
     "q56_anisotropic_sampling": q56,
+    "q58_report": q58,
 }
 
 

@@ -348,6 +348,19 @@ SELECT t, CASE WHEN f IS NULL AND filter IS NULL AND implied THEN 'box' ELSE coa
 FROM j"""
 
 
+def _report(other: dict[str, str], objective: str) -> str:
+    """The account of a fit out of the SQL of its parts."""
+    parts = [
+        f"SELECT 'psnr' AS name, plane, texture, psnr AS value FROM ({other['q36_psnr']}) WHERE plane = 0 AND texture >= 0",
+        f"SELECT 'mip psnr', plane, -1, psnr FROM ({other['q36_psnr']}) WHERE plane > 0 AND texture = -1",
+        *[f"SELECT 'worst case {c}', plane, -1, {c}::double FROM ({other['q37_worst_case']}) WHERE plane = 0" for c in ("p50", "p90", "p99", "max", "above8")],
+        f"SELECT 'weight', plane, -1, share FROM ({other['q18_mip_weights']}) WHERE kind = 'pixels'",
+        *[f"SELECT '{n}', -1, -1, {v} FROM ({objective})" for n, v in (("e", "e"), ("centre psnr", "-10 * log10(centre_mse)"), ("sampled psnr", "-10 * log10(sampled_mse)"))],
+        *[f"SELECT '{c}', -1, -1, {c}::double FROM ({other['q41_rates']})" for c in ("bytes", "bpp_base", "bpp_chain", "bpp_texture")],
+    ]
+    return f"SELECT name, plane::int AS plane, texture::int AS texture, round(value, 5) AS value FROM ({' UNION ALL '.join(parts)})"
+
+
 def oracle_sql() -> dict[str, str]:
     bytes3 = ", ".join(f"{_byte(f'c{i}')} AS c{i}" for i in range(3))
     linear = lambda c: f"CASE WHEN {c} <= 0.04045 THEN {c} / 12.92::double ELSE pow(({c} + 0.055::double) / 1.055::double, 2.4::double) END"
@@ -370,7 +383,13 @@ def oracle_sql() -> dict[str, str]:
     site_offsets = lambda k, o: f"SELECT x, y, j, {_TURNED_X if k != 2 else 'ox'} AS dx, {_TURNED_Y if k != 2 else 'oy'} AS dy, {k} AS k FROM px, (VALUES (0, 0.0::double, 0.0::double), {o}) o(j, ox, oy)"
     lod = f"greatest(0.0::double, least(lod, {LEVELS}))"
     own_lod = ", ".join(f"sum(f * r{i}) AS {c}" for i, c in enumerate("rgb"))
-    return {
+    objective = lambda digits: f"""{_head(LEVELS, ',' + _sites())},
+sums AS (SELECT plane, sum({_weighted()}) AS weighted, sum(CASE WHEN j = 0 THEN {_error()} ELSE 0 END) AS centre, sum(CASE WHEN j > 0 THEN {_error()} ELSE 0 END) AS fractional FROM rows_ GROUP BY plane),
+m AS ({mips('pixels')})
+SELECT round(sum(share / (px::double * 5) * weighted) / ({sum(CW)!r}::double * sum(share / (px::double * 5) * px * 5)), {digits}) AS e,
+  round(sum(CASE WHEN plane = 0 THEN centre / (px::double * 3) END), {digits}) AS centre_mse, round(sum(CASE WHEN plane = 0 THEN fractional / (px::double * 12) END), {digits}) AS sampled_mse
+FROM sums JOIN m USING (plane)"""
+    out = {
         "q01_events_raster": f"WITH {_EVENTS} SELECT plane, x, y, {bytes3} FROM ev",
         "q02_material_pack": f"WITH {_EVENTS}, {_ORDERS} SELECT e.plane, e.x, e.y, {', '.join(f'{_byte(f"e.c{i}")} AS c{i}, {_byte(f"o.c{i}")} AS c{i + 3}' for i in range(3))} FROM ev e JOIN od o USING (x, y)",
         "q03_channel_insert_long": f"WITH {_EVENTS}, {_ORDERS} SELECT o.plane, o.x, o.y, unnest([0, 1, 2, 3, 4, 5])::int AS ch, unnest([{', '.join(_byte(f'o.c{i % 3}') for i in range(6))}]) AS v FROM ev e JOIN od o USING (x, y)",
@@ -402,12 +421,7 @@ SELECT round(u, 9) AS u, round(v, 9) AS v, round(lod, 9) AS lod, round(r, 9) AS
         "q56_anisotropic_sampling": _gradient_sampling((("anisotropic", 4.0, 5),), False),
         "q17_objective_sums": f"{_head(0, ',' + _sites())} SELECT j, count(*)::bigint AS n, round(sum(s0), 6) AS sum_s, round(sum(s0 * z0), 6) AS sum_sz, round(sum(z0 * t0), 6) AS sum_zt, round(sum({_error()}), 6) AS se FROM rows_ GROUP BY j",
         "q18_mip_weights": f"WITH RECURSIVE {_EVENTS}, {_geometry(LEVELS)}, m AS ({' UNION ALL '.join(mips(k) for k in kinds)}) SELECT plane, round(share, 12) AS share, round(share / (px::double * 5), 12) AS per_site, kind FROM m",
-        "q19_objective": f"""{_head(LEVELS, ',' + _sites())},
-sums AS (SELECT plane, sum({_weighted()}) AS weighted, sum(CASE WHEN j = 0 THEN {_error()} ELSE 0 END) AS centre, sum(CASE WHEN j > 0 THEN {_error()} ELSE 0 END) AS fractional FROM rows_ GROUP BY plane),
-m AS ({mips('pixels')})
-SELECT round(sum(share / (px::double * 5) * weighted) / ({sum(CW)!r}::double * sum(share / (px::double * 5) * px * 5)), 9) AS e,
-  round(sum(CASE WHEN plane = 0 THEN centre / (px::double * 3) END), 9) AS centre_mse, round(sum(CASE WHEN plane = 0 THEN fractional / (px::double * 12) END), 9) AS sampled_mse
-FROM sums JOIN m USING (plane)""",
+        "q19_objective": objective(9),
         "q20_decoder_one_feature": f"{_head(0, ',' + _level1('src', 'plane, x, y, c0, c1, c2'))} SELECT {regr} FROM z",
         "q21_decoder_two_features": f"{_head(0, ',' + _level1('src', 'plane, x, y, c0, c1, c2'))} SELECT {two} FROM z",
         "q23_covariance": f"{_head()} {' UNION ALL '.join(f'SELECT {i} AS i, {j} AS j, round(avg(c{i}), 9) AS mean_i, round(covar_pop(c{i}, c{j}), 9) AS cov FROM means' for i in range(3) for j in range(3))}",
@@ -440,3 +454,5 @@ SELECT ch, bx::int AS bx, yb::int AS "by", r0, r1, bits, printf('%02x%02x', r0,
         "q49_lineitem_raster": "WITH grid AS (SELECT unnest(range(4096)) AS id), cells AS (SELECT (l_partkey % 64)::int AS x, (l_suppkey % 64)::int AS y, (count(*) % 256)::int AS r, (sum(l_quantity)::bigint % 256)::int AS g FROM lineitem GROUP BY ALL) SELECT 0 AS plane, (id % 64)::int AS x, (id // 64)::int AS y, coalesce(r, 0) AS c0, coalesce(g, 0) AS c1 FROM grid LEFT JOIN cells ON cells.x = id % 64 AND cells.y = id // 64",
         "q50_embeddings_box": f"WITH em AS (SELECT unnest(range(64))::int AS x, vec_id::int AS y, greatest(0.0::double, least(1.0::double, 0.5::double + unnest(embedding)::double)) AS c0 FROM embeddings), dims AS (SELECT count(*)::int AS h FROM embeddings), half AS (SELECT x // 2 AS hx, y // 2 AS hy, avg(c0) AS m FROM em, dims WHERE y < h // 2 * 2 GROUP BY ALL), e AS (SELECT x, abs({_byte('c0')} - {_byte('round(m, 9)')}) AS d FROM em JOIN half ON x // 2 = hx AND y // 2 = hy) SELECT (x // 16)::int AS band, max(d) AS max_diff, round(avg((d * d)::double), 6) AS mse, count(*)::bigint AS n FROM e GROUP BY ALL",
     }
+    out["q58_report"] = _report(out, objective(15))
+    return out

@@ -209,3 +209,25 @@ def test_material_fit_takes_whole_rasters(spark, monkeypatch):
     assert counts["events"] == w * h > 128 * w
     assert counts["orders"] == fixtures.orders_raster(spark, str(DATA / "sf0.1"))[0].count() > 128 * w
     assert seen["options"].rounds == Options().rounds
+
+
+def test_sampling_by_gradients(spark, planes):
+    """Repeated rows, rows without gradients and an own lod column; round footprints take one probe."""
+    _, size, level0, level1 = planes
+    data = [(1, 0.31, 0.42, 0.1, 0.0, 0.0, 0.1, 9.0), (1, 0.31, 0.42, 0.1, 0.0, 0.0, 0.1, 9.0), (2, 0.7, 0.2, None, None, None, None, 9.0), (3, 0.5, 0.5, 0.4, 0.0, 0.0, 0.0, 9.0)]
+    points = spark.createDataFrame(data, "id int, u double, v double, dudx double, dvdx double, dudy double, dvdy double, lod double")
+    got = S.sample_gradients(points, level0, level1, size, W, BIAS, "anisotropic").collect()
+    assert sorted(r["id"] for r in got) == [1, 1, 2, 3] and {r["lod"] for r in got} == {9.0}
+    assert {r["id"]: r["__probes"] for r in S.footprints(points, size, most=8).collect()}[3] == 8
+    still = {r["id"]: r for r in S.sample(points.withColumn("lod", F.lit(0.0)), level0, level1, size, W, BIAS, "trilinear").collect()}
+    for mode in ("anisotropic", "trilinear", "bilinear"):
+        two = [r for r in S.sample_gradients(points, level0, level1, size, W, BIAS, mode).collect() if r["id"] == 2]
+        assert [two[0][f"c{i}"] for i in range(3)] == pytest.approx([still[2][f"c{i}"] for i in range(3)])
+    # The mean of the probes along the axis, by hand.
+    at = [(0.5 + 0.4 * (i / 9 - 0.5), 0.5, 0.0, i) for i in range(1, 9)]
+    probes = spark.createDataFrame(at, "u double, v double, lod double, i int")
+    want = [np.mean([r["s0"] for r in S.sample(probes, level0, level1, size, W, BIAS, "trilinear", raw=0).collect()])]
+    three = S.sample_gradients(points.filter("id = 3"), level0, level1, size, W, BIAS, "anisotropic", mips=False, raw=0).first()
+    assert [three["s0"]] == pytest.approx(want)
+    assert S.sample_gradients(points.limit(0), level0, level1, size, W, BIAS, "anisotropic").count() == 0
+    assert "NestedLoopJoin" not in S.sample_gradients(points, level0, level1, size, W, BIAS, "anisotropic")._jdf.queryExecution().executedPlan().toString()

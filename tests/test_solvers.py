@@ -169,3 +169,15 @@ def test_wide_material():
 def test_options_are_checked():
     assert violations(Options(), 1) == []
     assert violations(Options(c0=5, k=3, mip_mix=1.0), 7)
+
+
+def test_probe_is_the_gradient_and_vanishes_at_the_minimum():
+    p, step = plane(), 1e-2
+    slopes = np.abs(2 * L.assemble(p, W, B, CW, 4, False).gradient)
+    found = L.gradient_probe(p, W, B, CW, 4, step, 400, 1.0) / step
+    assert found == pytest.approx(slopes.max(), rel=1e-4)  # enough probes to meet the steepest of 45
+    scale = error(p)
+    for _ in range(3):
+        L.solve(p, W, B, CW, 4, 0.0, False)
+    assert L.gradient_probe(p, W, B, CW, 4, step, 20, scale) < 1e-5
+    assert L.gradient_probe(p, W, B, CW, 4, step, 5, 0.0) == 0.0
