@@ -422,6 +422,14 @@ def trilinear(points: DataFrame, chain: DataFrame, size: DataFrame, names: Seque
     return rows.select(*points.columns, *[(F.col(a) * (lit(1) - part) + F.col(b) * part).alias(n) for a, b, n in zip(low, high, names, strict=True)])
 
 
+def bilinear_of_level(points: DataFrame, chain: DataFrame, size: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``points`` (u, v, lod and any columns) read from the level nearest to their lod, halves upwards: one level, one join."""
+    level = F.least(F.greatest(lit(0), F.floor(F.col("lod") + lit(0.5))), F.lit(float(deepest(size)))).cast("int")
+    at = with_extent(points.select(F.struct(*points.columns).alias("__own"), "u", "v", level.alias("plane")), size, {"__w0": "w0", "__h0": "h0"})
+    read = read_bilinear(at, chain, size, F.col("u") * F.col("__w0") - lit(0.5), F.col("v") * F.col("__h0") - lit(0.5), names, "w0", "h0")
+    return read.select("__own.*", *names)
+
+
 # ---- footprints
 
 

@@ -32,9 +32,9 @@ def _read_level(points: DataFrame, plane: DataFrame, size: DataFrame, names: Seq
     """``points`` with one level's values at (u, v, lod); ``size`` holds that level's extents as w0, h0."""
     if mode == "trilinear":
         return R.trilinear(points, plane, size, names)
-    whole = points.withColumn("__own", F.struct(*points.columns)).withColumn("lod", F.floor(F.col("lod") + F.lit(0.5)).cast("double"))
     if mode == "bilinear":
-        return R.trilinear(whole, plane, size, names).select("__own.*", *names)
+        return R.bilinear_of_level(points, plane, size, names)
+    whole = points.withColumn("__own", F.struct(*points.columns)).withColumn("lod", F.floor(F.col("lod") + F.lit(0.5)))
     level = F.least(F.greatest(F.lit(0), F.col("lod").cast("int")), F.lit(R.deepest(size)))
     at = R.with_extent(whole.withColumn("plane", level), size, {"__w": "w0", "__h": "h0"})
     cell = lambda p, n: F.greatest(F.lit(0), F.least(F.floor(p * F.col(n)).cast("int"), F.col(n) - 1))
