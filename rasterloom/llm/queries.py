@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import chat, decontaminate, language, mixing, neardup, quality, sharding, tokens, topk, toxicity
+from rasterloom.llm import chat, decontaminate, importance, infill, language, mixing, neardup, pii, quality, sharding, tokens, topk, toxicity
 from rasterloom.llm.common import table
 
 SHARDS = 16
@@ -60,6 +60,18 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.round_trip(chat.probe(table(spark, sf_dir, "conversations")))
 
 
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digest(infill.transform(table(spark, sf_dir, "documents")))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
@@ -72,6 +84,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_tokens": op8_tokens,
         "op9_topk": op9_topk,
         "op10_chat": op10_chat,
+        "op11_infill": op11_infill,
+        "op12_importance": op12_importance,
+        "op13_pii": op13_pii,
     }
 
 
@@ -263,6 +278,115 @@ FROM turns GROUP BY conv_id
 """
 
 
+# Lines are told apart by a list of matches, not by positions.
+_OP11_SQL = r"""
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::varchar, 'null')) AS h FROM documents
+),
+cut AS (
+  SELECT *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS u, ('0x' || h[1:8])::bigint AS h1, ('0x' || h[9:16])::bigint AS h2, ('0x' || h[25:32])::bigint AS h4 FROM drawn
+),
+ranked AS (
+  SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM cut
+),
+parts AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1 : b], '') AS m, array_to_string(u[b + 1 : n], '') AS s FROM ranked)
+SELECT doc_id, n::bigint AS n, form, CASE WHEN form <> 'plain' THEN length(p)::bigint END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m)::bigint END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM parts
+"""
+
+
+_OP12_SQL = r"""
+WITH RECURSIVE crc(i, k, v) AS (
+  SELECT i, 0, i::bigint FROM range(256) t(i)
+  UNION ALL
+  SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(3988292384::bigint, v >> 1) ELSE v >> 1 END FROM crc WHERE k < 8
+),
+crc_table AS (SELECT list(v ORDER BY i) AS c FROM crc WHERE k = 8),
+texts AS (
+  SELECT row_number() OVER () AS r, doc_id, true AS own, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL
+  SELECT NULL, NULL, false, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark
+),
+bags AS (SELECT r, own, word, count(*) AS n FROM (SELECT r, own, unnest(w) AS word FROM texts) GROUP BY ALL),
+buckets AS (
+  SELECT word, xor(4294967295::bigint, list_reduce(list_transform(regexp_extract_all(hex(encode(word)), '..'), lambda h: ('0x' || h)::bigint),
+      lambda a, b: xor(a >> 8, c[(xor(a, b) & 255) + 1]), 4294967295::bigint)) % 10000 AS bucket
+  FROM (SELECT DISTINCT word FROM bags), crc_table
+),
+counted AS (SELECT bucket, coalesce(sum(n) FILTER (own), 0)::double AS s, coalesce(sum(n) FILTER (NOT own), 0)::double AS t FROM bags JOIN buckets USING (word) GROUP BY bucket),
+gains AS (
+  SELECT bucket, floor(1000.0::double * ln((t + 1) * ((SELECT coalesce(sum(s), 0) FROM counted) + 10000) / ((s + 1) * ((SELECT coalesce(sum(t), 0) FROM counted) + 10000))))::bigint AS gain FROM counted
+),
+weights AS (SELECT r, sum(n * gain)::bigint AS weight FROM bags JOIN buckets USING (word) JOIN gains USING (bucket) WHERE own GROUP BY r),
+scored AS (
+  SELECT doc_id, len(w)::bigint AS n_features, coalesce(weight, 0)::bigint AS weight,
+    coalesce(weight, 0)::bigint + floor(-1000.0::double * ln(-ln((('0x' || sha256('2024:' || coalesce(doc_id::varchar, 'null'))[1:8])::bigint + 0.5::double) / 4294967296.0::double)))::bigint AS score
+  FROM texts LEFT JOIN weights USING (r) WHERE own
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS k, count(*) OVER (PARTITION BY n_features >= 20) AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND k <= 10 * n // 100 THEN k END AS rank FROM ranked
+"""
+
+
+def _op13_sql() -> str:
+    word = r"[A-Za-z\x{80}-\x{10FFFF}]+"
+    bases = (
+        r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+        r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+        r"[0-9](?:[\x20-]?[0-9])+",
+        r"\+[0-9][\x20().0-9-]+[0-9]",
+    )
+    cut = " UNION ALL ".join(f"SELECT r, doc_id, {k} AS kind, regexp_extract_all(t, '{p}') AS m, string_split_regex(t, '{p}') AS p FROM docs" for k, p in enumerate(bases))
+    c = pii.CONTEXT
+    side = lambda name, value, at: f"SELECT r, kind, i, '{name}' AS side, entity, context, {value} AS x, {at} AS base, regexp_extract_all({value}, '{word}') AS w, string_split_regex({value}, '{word}') AS p FROM spans"
+    told = lambda n_te, n_t: f"log2({n_te}::double / {n_t} / (n_e / n_all)) / log2(n_all / n_e)"
+    return rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+cut AS ({cut}),
+found AS (SELECT r, kind, generate_subscripts(m, 1) AS i, unnest(m) AS v, unnest(p[1 : len(m)]) AS a, unnest(p[2 :]) AS b FROM cut WHERE len(m) > 0),
+placed AS (SELECT *, sum(length(a) + length(v)) OVER (PARTITION BY r, kind ORDER BY i)::bigint AS e, regexp_replace(v, '[^0-9]', '', 'g') AS d FROM found),
+spans AS (
+  SELECT r, kind, i, e - length(v) AS s, e, right(a, {c + 1}) AS l, left(b, {c + 1}) AS n, hash(right(a, {c + 1}) || chr(0) || left(b, {c + 1})) AS context,
+    kind || ':' || CASE kind WHEN 0 THEN lower(v) WHEN 1 THEN v ELSE d END AS entity
+  FROM placed
+  WHERE CASE kind WHEN 0 THEN true
+    WHEN 1 THEN len(list_filter(string_split(v, '.'), lambda x: x::hugeint > 255)) = 0
+    WHEN 2 THEN length(d) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length(d) + 1), lambda j: CASE WHEN (length(d) - j) % 2 = 0 THEN d[j]::int ELSE d[j]::int * 2 - CASE WHEN d[j]::int > 4 THEN 9 ELSE 0 END END)) % 10 = 0
+    ELSE length(d) BETWEEN 10 AND 15 END
+),
+sides AS ({side('l', 'l', 's - length(l)')} UNION ALL {side('n', 'n', 'e')}),
+told AS (SELECT *, generate_subscripts(w, 1) AS j, unnest(w) AS word, unnest(p[1 : len(w)]) AS gap FROM sides WHERE len(w) > 0),
+words AS (SELECT *, sum(length(gap) + length(word)) OVER (PARTITION BY r, kind, i, side ORDER BY j)::bigint AS upto FROM told),
+positions AS (
+  SELECT r, entity, base + upto - length(word) AS s, any_value(lower(word)) AS term, any_value(length(word)) AS n, min(context) AS context
+  FROM words WHERE length(x) <= {c} OR CASE side WHEN 'l' THEN upto > length(word) ELSE upto <= {c} END GROUP BY ALL
+),
+terms AS (SELECT lower(word) AS term, count(*) AS n_t FROM (SELECT unnest(regexp_extract_all(t, '{word}')) AS word FROM docs) GROUP BY 1),
+pairs AS (SELECT entity, term, left(term, {pii.HEAD}) AS head, count(*) AS n_te, count(DISTINCT context) AS contexts FROM positions GROUP BY ALL),
+entities AS (SELECT entity, sum(n_te)::double AS n_e, (SELECT sum(n_t)::double FROM terms) AS n_all FROM pairs GROUP BY ALL),
+risky AS (
+  SELECT entity, term FROM pairs JOIN terms USING (term) JOIN entities USING (entity)
+  WHERE contexts >= {pii.SUPPORT} AND n_all > n_e AND {told('n_te', 'n_t')} >= {pii.THRESHOLD}
+),
+revealing AS (SELECT DISTINCT r, s, s + n AS e FROM positions JOIN risky USING (entity, term)),
+every AS (
+  SELECT r, kind, s, e FROM spans
+  UNION ALL
+  SELECT r, 4, s, e FROM revealing x WHERE NOT EXISTS (SELECT 1 FROM spans b WHERE b.r = x.r AND b.s < x.e AND b.e > x.s)
+),
+listed AS (
+  SELECT r, string_agg(x, ',' ORDER BY s, kind) AS spans, string_agg(x, ',' ORDER BY s, kind) FILTER (kind < 4) AS base,
+    {', '.join(f"count(*) FILTER (kind = {k}) AS n_{pii.KINDS[k]}" for k in range(4))}
+  FROM (SELECT *, {list(pii.KINDS)}[kind + 1] || ':' || s || ':' || e AS x FROM every) GROUP BY r
+)
+SELECT doc_id, {', '.join(f"coalesce(n_{pii.KINDS[k]}, 0)::bigint AS n_{pii.KINDS[k]}" for k in range(4))}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN listed USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_sharding": _op1_sql(),
@@ -271,4 +395,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_neardup": _OP5_SQL,
         "op9_topk": _OP9_SQL,
         "op10_chat": _op10_sql(),
+        "op11_infill": _OP11_SQL,
+        "op12_importance": _OP12_SQL,
+        "op13_pii": _op13_sql(),
     }
