@@ -341,7 +341,7 @@ def _op13_sql() -> str:
     )
     cut = " UNION ALL ".join(f"SELECT r, doc_id, {k} AS kind, regexp_extract_all(t, '{p}') AS m, string_split_regex(t, '{p}') AS p FROM docs" for k, p in enumerate(bases))
     c = pii.CONTEXT
-    side = lambda name, value, at: f"SELECT r, kind, i, '{name}' AS side, entity, context, {value} AS x, {at} AS base, regexp_extract_all({value}, '{word}') AS w, string_split_regex({value}, '{word}') AS p FROM spans"
+    side = lambda name, value, at: f"SELECT r, kind, i, '{name}' AS side, entity, {value} AS x, {at} AS base, regexp_extract_all({value}, '{word}') AS w, string_split_regex({value}, '{word}') AS p FROM spans"
     told = lambda n_te, n_t: f"log2({n_te}::double / {n_t} / (n_e / n_all)) / log2(n_all / n_e)"
     return rf"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
@@ -349,8 +349,7 @@ cut AS ({cut}),
 found AS (SELECT r, kind, generate_subscripts(m, 1) AS i, unnest(m) AS v, unnest(p[1 : len(m)]) AS a, unnest(p[2 :]) AS b FROM cut WHERE len(m) > 0),
 placed AS (SELECT *, sum(length(a) + length(v)) OVER (PARTITION BY r, kind ORDER BY i)::bigint AS e, regexp_replace(v, '[^0-9]', '', 'g') AS d FROM found),
 spans AS (
-  SELECT r, kind, i, e - length(v) AS s, e, right(a, {c + 1}) AS l, left(b, {c + 1}) AS n, hash(right(a, {c + 1}) || chr(0) || left(b, {c + 1})) AS context,
-    kind || ':' || CASE kind WHEN 0 THEN lower(v) WHEN 1 THEN v ELSE d END AS entity
+  SELECT r, kind, i, e - length(v) AS s, e, right(a, {c + 1}) AS l, left(b, {c + 1}) AS n, kind || ':' || CASE kind WHEN 0 THEN lower(v) WHEN 1 THEN v ELSE d END AS entity
   FROM placed
   WHERE CASE kind WHEN 0 THEN true
     WHEN 1 THEN len(list_filter(string_split(v, '.'), lambda x: x::hugeint > 255)) = 0
@@ -360,10 +359,11 @@ spans AS (
 sides AS ({side('l', 'l', 's - length(l)')} UNION ALL {side('n', 'n', 'e')}),
 told AS (SELECT *, generate_subscripts(w, 1) AS j, unnest(w) AS word, unnest(p[1 : len(w)]) AS gap FROM sides WHERE len(w) > 0),
 words AS (SELECT *, sum(length(gap) + length(word)) OVER (PARTITION BY r, kind, i, side ORDER BY j)::bigint AS upto FROM told),
-positions AS (
-  SELECT r, entity, base + upto - length(word) AS s, any_value(lower(word)) AS term, any_value(length(word)) AS n, min(context) AS context
-  FROM words WHERE length(x) <= {c} OR CASE side WHEN 'l' THEN upto > length(word) ELSE upto <= {c} END GROUP BY ALL
+inside AS (
+  SELECT *, min(md5(lower(word))) OVER (PARTITION BY r, kind, i) AS context
+  FROM words WHERE length(x) <= {c} OR CASE side WHEN 'l' THEN upto > length(word) ELSE upto <= {c} END
 ),
+positions AS (SELECT r, entity, base + upto - length(word) AS s, any_value(lower(word)) AS term, any_value(length(word)) AS n, min(context) AS context FROM inside GROUP BY ALL),
 terms AS (SELECT lower(word) AS term, count(*) AS n_t FROM (SELECT unnest(regexp_extract_all(t, '{word}')) AS word FROM docs) GROUP BY 1),
 pairs AS (SELECT entity, term, left(term, {pii.HEAD}) AS head, count(*) AS n_te, count(DISTINCT context) AS contexts FROM positions GROUP BY ALL),
 entities AS (SELECT entity, sum(n_te)::double AS n_e, (SELECT sum(n_t)::double FROM terms) AS n_all FROM pairs GROUP BY ALL),
