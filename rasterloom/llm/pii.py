@@ -10,8 +10,8 @@ gives them away, so the corpus itself tells how much a word reveals:
 * p(e|t) is the share of a term's occurrences, counted over the whole corpus, that lie in
   windows of e, and PMI(e; t) = log2(p(e|t) / p(e)) is what t tells about e.
 * A term *discloses* e if PMI(e; t) >= THRESHOLD * IC(e), and if at least SUPPORT different
-  contexts of e hold it.  Contexts are told apart by the least hash of their words, so that
-  copies of a passage, and near copies but for the chance of a change in that word, are one.
+  contexts of e hold it.  Contexts are told apart by the least and the largest hash of their words,
+  so that copies of a passage, and near copies but for the chance of a change in these two words, are one.
 
 A disclosing term is *generalised* to its first HEAD letters if the class of words that
 begin so doesn't disclose e in turn, else *removed*; only where it lies in a window of
@@ -158,8 +158,9 @@ def windows(spans: DataFrame) -> DataFrame:
     right = F.filter(_words(F.col("right")), lambda w: (w["at"] + F.length(w["word"]) <= CONTEXT) | (F.length("right") <= CONTEXT))
     moved = lambda words, by, octets: F.transform(words, lambda w: F.struct(w["word"].alias("word"), (by + w["at"]).alias("at"), (octets + w["bytes_at"]).alias("bytes_at")))
     every = F.concat(moved(left, F.col("start") - F.length("left"), F.col("byte_start") - F.octet_length("left")), moved(right, F.col("end"), F.col("byte_end")))
-    least = F.array_min(F.transform("every", lambda w: F.md5(F.lower(w["word"]).cast("binary"))))
-    rows = spans.withColumn("every", every).select("row", "doc_id", "entity", least.alias("context"), F.explode("every").alias("w"))
+    hashes = F.transform("every", lambda w: F.md5(F.lower(w["word"]).cast("binary")))
+    ends = F.concat(F.array_min("hashes"), F.array_max("hashes"))
+    rows = spans.withColumn("every", every).withColumn("hashes", hashes).select("row", "doc_id", "entity", ends.alias("context"), F.explode("every").alias("w"))
     rows = rows.select("row", "doc_id", "entity", "context", F.lower(F.col("w")["word"]).alias("term"), F.col("w")["word"].alias("word"), F.col("w")["at"].alias("start"), F.col("w")["bytes_at"].alias("byte_start"))
     once = rows.groupBy("row", "entity", "start").agg(*[F.first(c).alias(c) for c in ("doc_id", "term", "word", "byte_start")], F.min("context").alias("context"))
     return once.withColumns({"end": F.col("start") + F.length("word"), "byte_end": F.col("byte_start") + F.octet_length("word")}).drop("word")

@@ -360,7 +360,7 @@ sides AS ({side('l', 'l', 's - length(l)')} UNION ALL {side('n', 'n', 'e')}),
 told AS (SELECT *, generate_subscripts(w, 1) AS j, unnest(w) AS word, unnest(p[1 : len(w)]) AS gap FROM sides WHERE len(w) > 0),
 words AS (SELECT *, sum(length(gap) + length(word)) OVER (PARTITION BY r, kind, i, side ORDER BY j)::bigint AS upto FROM told),
 inside AS (
-  SELECT *, min(md5(lower(word))) OVER (PARTITION BY r, kind, i) AS context
+  SELECT *, min(md5(lower(word))) OVER (PARTITION BY r, kind, i) || max(md5(lower(word))) OVER (PARTITION BY r, kind, i) AS context
   FROM words WHERE length(x) <= {c} OR CASE side WHEN 'l' THEN upto > length(word) ELSE upto <= {c} END
 ),
 positions AS (SELECT r, entity, base + upto - length(word) AS s, any_value(lower(word)) AS term, any_value(length(word)) AS n, min(context) AS context FROM inside GROUP BY ALL),
