@@ -269,6 +269,6 @@ def test_sanitised_texts(spark):
     assert "<EMAIL>" in got[0] and "Zorblatt" not in got[0] and "@" not in got[0]
     assert "write to" in got[0] and got[len(texts) - 2] == "<CARD> <PHONE>é"
     assert got[len(texts) - 1] == "x <PHONE> y"
-    assert "Zorblatt far away" in got[texts.index(next(t for t in texts if t and "far away" in t))]
+    assert got[texts.index(next(t for t in texts if t and "far away" in t))].startswith("<EMAIL> ;  far away")
     none = spark.createDataFrame([], "doc_id long, text string, row string")
     assert pii.sanitise(none).count() == 0
