@@ -205,6 +205,10 @@ class Stencil:
             y[there] += np.einsum("hwji,hwj->hwi", blk[here], x[here])
         return y
 
+    def change(self, d: np.ndarray) -> float:
+        """What moves by d do to the weighted error."""
+        return float((2 * self.gradient * d + d * self.apply(d)).sum())
+
     def neighbours(self, x: np.ndarray) -> np.ndarray:
         """H x without each texel's own block."""
         return self.apply(x) - np.einsum("hwij,hwj->hwi", self.blocks[0], x)
@@ -223,6 +227,13 @@ def _restricted(s: Stencil, owned: np.ndarray) -> Stencil:
 
 
 def assemble(p: Plane, w: np.ndarray, b: np.ndarray, cw: np.ndarray, k: int, level0: bool) -> Stencil:
+    """The system of a level, of its owned texels if the plane is a window."""
+    whole, owned = assemble_all(p, w, b, cw, k, level0), p.owned(level0)
+    return whole if owned is None else _restricted(whole, owned)
+
+
+def assemble_all(p: Plane, w: np.ndarray, b: np.ndarray, cw: np.ndarray, k: int, level0: bool) -> Stencil:
+    """All that the sites of a plane or window give; a window's outermost texels lack what lies beyond it."""
     c0, c1 = p.v0.shape[2], p.v1.shape[2]
     form = Form.of(w, b, c0, c1, level0)
     own_plane, c = (p.v0, c0) if level0 else (p.v1, c1)
@@ -253,8 +264,7 @@ def assemble(p: Plane, w: np.ndarray, b: np.ndarray, cw: np.ndarray, k: int, lev
             for i in range(mono.shape[1]):
                 sums[i, :size] += np.bincount(index, scale * mono[:, i], size)
     blocks = np.tensordot(sums, matrices, (0, 0)).reshape(len(STENCIL), h, wd, c, c)
-    whole, owned = Stencil(blocks, gradient.reshape(h, wd, c)), p.owned(level0)
-    return whole if owned is None else _restricted(whole, owned)
+    return Stencil(blocks, gradient.reshape(h, wd, c))
 
 
 @dataclass
@@ -262,14 +272,19 @@ class Report:
     iterations: int = 0
     residual: float = 0.0
     moved: int = 0
+    delta_e: float = 0.0
     delta2: float = 0.0
     lo: list[float] = field(default_factory=list)
     hi: list[float] = field(default_factory=list)
 
 
 def conjugate_gradients(s: Stencil, ridge: float) -> tuple[np.ndarray, Report]:
-    """(H + ridge * mean diagonal) d = -g, preconditioned by each texel's own block."""
-    lam = ridge * s.mean_diagonal
+    """(H + ridge * mean diagonal) d = -g."""
+    return conjugated(s, ridge * s.mean_diagonal)
+
+
+def conjugated(s: Stencil, lam: float) -> tuple[np.ndarray, Report]:
+    """(H + lam) d = -g, preconditioned by each texel's own block."""
     c = s.gradient.shape[2]
     own = s.blocks[0] + lam * np.eye(c)
     singular = ~(np.abs(np.linalg.det(own)) > 0)
@@ -320,7 +335,9 @@ def grid_index(lo: np.ndarray, hi: np.ndarray, bits: int, v: np.ndarray) -> np.n
 
 def solve(p: Plane, w: np.ndarray, b: np.ndarray, cw: np.ndarray, k: int, ridge: float, level0: bool) -> Report:
     """The continuous block step of one level."""
-    d, report = conjugate_gradients(assemble(p, w, b, cw, k, level0), ridge)
+    s = assemble(p, w, b, cw, k, level0)
+    d, report = conjugate_gradients(s, ridge)
+    report.delta_e = s.change(d)
     moved = ((p.v0 if level0 else p.v1) + d).astype(np.float32).astype(float)
     if level0:
         p.v0 = moved
@@ -354,6 +371,7 @@ def grid_sweep(p: Plane, w: np.ndarray, b: np.ndarray, cw: np.ndarray, k: int, r
                 index[at + (q,)] = new
                 value[at + (q,)] = np.where(use, grid_value(lo[q], hi[q], bits, new), value[at][..., q])
                 d[at + (q,)] = value[at + (q,)] - prev[at + (q,)]
+    report.delta_e = s.change(d)
     if level0:
         p.v0, p.k0 = value, index
     else:
@@ -498,15 +516,18 @@ def refine_blocks(p: Plane, w: np.ndarray, b: np.ndarray, cw: np.ndarray, k: int
     return reports
 
 
-def _refine_colour(p: Plane, s: Stencil, prev: np.ndarray, r0: np.ndarray, r1: np.ndarray, sel: np.ndarray, by: np.ndarray, bx: np.ndarray, lo: np.ndarray, hi: np.ndarray, report: RefineReport) -> None:
-    h, wd, c = p.v0.shape
+def _refine_colour(p: Plane, s: Stencil, prev: np.ndarray, r0: np.ndarray, r1: np.ndarray, sel: np.ndarray, by: np.ndarray, bx: np.ndarray, lo: np.ndarray, hi: np.ndarray, report: RefineReport, within: Rect | None = None) -> None:
+    """``within`` is the rectangle of the plane whose blocks these are; what lies around it is held."""
+    c = p.v0.shape[2]
+    oy, ox, h, wd = within or (0, 0, *p.v0.shape[:2])
     n = len(by)
     if not n:
         return
     t = np.arange(16)
     ty, tx = by[:, None] * 4 + t // 4, bx[:, None] * 4 + t % 4
     inside = (ty < h) & (tx < wd)
-    cy, cx = np.minimum(ty, h - 1), np.minimum(tx, wd - 1)
+    ty, tx = ty + oy, tx + ox
+    cy, cx = np.minimum(ty, oy + h - 1), np.minimum(tx, ox + wd - 1)
     # Dense quadratic of every block: A2 over its sixteen texels, A1 from everything outside it.
     a2 = np.zeros((n, 16, c, 16, c))
     for a in range(16):
@@ -582,6 +603,17 @@ def _refine_colour(p: Plane, s: Stencil, prev: np.ndarray, r0: np.ndarray, r1: n
     p.v0[ty[inside], tx[inside]] = (base + d)[inside]
 
 
+def refine_window(p: Plane, s: Stencil, prev: np.ndarray, within: Rect, first: tuple[int, int], colour: int, lo: np.ndarray, hi: np.ndarray) -> RefineReport:
+    """The blocks of one colour of a part of a plane, whose first block is number ``first`` of the whole plane's."""
+    report = RefineReport()
+    r0, r1, sel = p.blocks
+    ys, xs = (np.arange(((colour >> turn & 1) - f) % 2, n, 2) for turn, f, n in ((1, first[0], r0.shape[0]), (0, first[1], r0.shape[1])))
+    by, bx = (g.ravel() for g in np.meshgrid(ys, xs, indexing="ij"))
+    for at in range(0, len(by), BLOCKS_AT_ONCE):
+        _refine_colour(p, s, prev, r0, r1, sel, by[at : at + BLOCKS_AT_ONCE], bx[at : at + BLOCKS_AT_ONCE], lo, hi, report, within)
+    return report
+
+
 def plane_error(p: Plane, w: np.ndarray, b: np.ndarray, cw: np.ndarray, k: int) -> tuple[float, float, float]:
     """Weighted error over all sites, plain error over centre and over fractional sites."""
     weighted = centre = fractional = 0.0

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,7 @@ from rasterloom.operators import latents as L
 from rasterloom.operators import resample as R
 from rasterloom.plans.fit import per_site_weights
 from rasterloom.schema import channels
-from rasterloom.session import shared_path
+from rasterloom.session import stored
 
 EDGE = 128
 #: Pixels around a tile whose sites may reach its texels: under 8 are needed at a quarter of the extent a side.
@@ -36,8 +37,9 @@ HALO = 16
 LEAST = 32  # a tile's neighbours alone hold its halo
 _EXTENT = "h0 int, w0 int, h1 int, w1 int"
 TILE = f"material_id string, plane int, ty int, tx int, {_EXTENT}, v0 binary, v1 binary, src binary"
-_PIECE = f"material_id string, plane int, ty int, tx int, {_EXTENT}, w binary, b binary, r0 array<int>, r1 array<int>, v0 binary, v1 binary, src binary"
-DECODER = "material_id string, w binary, b binary"
+_PIECE = f"material_id string, plane int, ty int, tx int, {_EXTENT}, w binary, b binary, g binary, r0 array<int>, r1 array<int>, v0 binary, v1 binary, src binary"
+#: A material's decoder, its grids if any (float64: lo and hi of level 0, lo and hi of level 1) and the error before and after it was found.
+DECODER = "material_id string, w binary, b binary, g binary, before double, after double"
 _KEYS = ["material_id", "plane", "ty", "tx"]
 
 
@@ -144,9 +146,7 @@ def _names(schema: str) -> list[str]:
 
 
 def _written(df: DataFrame) -> DataFrame:
-    path = shared_path(df.sparkSession, "tiles")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return stored(df, "tiles")
 
 
 def _pieces(tiles: DataFrame, decoders: DataFrame | None, edge: int, turn: int | None) -> DataFrame:
@@ -165,12 +165,12 @@ def _pieces(tiles: DataFrame, decoders: DataFrame | None, edge: int, turn: int |
                             continue
                         far0, far1 = grid.reach(ty, tx)
                         r0, r1 = _meet(own0, far0), _meet(own1, far1)
-                        out.append((r.material_id, r.plane, ty, tx, r.h0, r.w0, r.h1, r.w1, r.w, r.b, list(r0), list(r1), _bytes(_part(v0, own0, r0)), _bytes(_part(v1, own1, r1)), _bytes(_part(src, own0, r0))))
+                        out.append((r.material_id, r.plane, ty, tx, r.h0, r.w0, r.h1, r.w1, r.w, r.b, r.g, list(r0), list(r1), _bytes(_part(v0, own0, r0)), _bytes(_part(v1, own1, r1)), _bytes(_part(src, own0, r0))))
                 yield pd.DataFrame(out, columns=_names(_PIECE))
 
-    empty = F.lit(b"")
-    both = tiles.join(decoders, "material_id") if decoders is not None else tiles.withColumns({"w": empty, "b": empty})
-    return both.select(*_names(TILE), "w", "b").mapInPandas(give, _PIECE)
+    given = {n: F.col(n) if decoders is not None and n in decoders.columns else F.lit(b"") for n in ("w", "b", "g")}
+    both = tiles.select(*_names(TILE)).join(decoders, "material_id") if decoders is not None else tiles
+    return both.select(*_names(TILE), *[c.alias(n) for n, c in given.items()]).mapInPandas(give, _PIECE)
 
 
 def _assembled(pdf: pd.DataFrame, edge: int, summing: bool) -> tuple[L.Plane, Grid, int, int]:
@@ -196,32 +196,58 @@ def _decoder_of(pdf: pd.DataFrame, nout: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def decoders(tiles: DataFrame, cw: Sequence[float], options: Options | None = None, previous: DataFrame | None = None, edge: int = EDGE) -> DataFrame:
-    """Every material's best decoder (``DECODER``), no worse than its previous one: Gram matrices of tiles, summed in their order."""
+    """Every material's best decoder (``DECODER``), no worse than its previous one.
+
+    A tile gives the products of its features and targets; a task adds those of its tiles up before they are
+    summed by entry, so what meets in a material's group is one matrix per plane however many tiles it has.
+    The same sums give the error of the previous decoder (null without one) and of the new one.
+    """
     o, weights, kept = options or Options(), np.asarray(cw, float), previous is not None
-    schema = "material_id string, plane int, ty int, tx int, pixels long, gram binary, w binary, b binary"
+    nout = len(weights)
+    schema = "material_id string, plane int, pixels long, gram binary, w binary, b binary, g binary"
 
     def gram(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, grid, ty, tx = _assembled(pdf, edge, True)
-        g = 0.0
+        p, grid, _, _ = _assembled(pdf, edge, True)
+        total = 0.0
         for _, t0, t1, target in L.sites(p, o.k):
-            phi = np.concatenate([D.phi_matrix(t0.read(p.v0), t1.read(p.v1)), np.ones((len(target), 1))], 1)
-            g = g + phi.T @ np.concatenate([phi, target], 1)
+            row = np.concatenate([D.phi_matrix(t0.read(p.v0), t1.read(p.v1)), np.ones((len(target), 1)), target], 1)
+            total = total + row.T @ row
         key = pdf.iloc[0]
-        return pd.DataFrame([(key["material_id"], int(key["plane"]), ty, tx, grid.h0 * grid.w0, _bytes(g, "<f8"), key["w"], key["b"])], columns=_names(schema))
+        return pd.DataFrame([(key["material_id"], int(key["plane"]), grid.h0 * grid.w0, _bytes(total, "<f8"), key["w"], key["b"], key["g"])], columns=_names(schema))
+
+    def partial(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, list] = {}
+        for pdf in parts:
+            for r in pdf.itertuples(index=False):
+                g = np.frombuffer(r.gram, "<f8")
+                mine = held.setdefault((r.material_id, r.plane), [r, np.zeros(len(g))])
+                mine[1] += g
+        for r, g in held.values():
+            rest = [None] * (len(g) - 1)  # the bytes go with the first entry alone
+            yield pd.DataFrame({"material_id": r.material_id, "plane": r.plane, "pixels": r.pixels, "at": np.arange(len(g), dtype=np.int32), "v": g, "w": [r.w, *rest], "b": [r.b, *rest], "g": [r.g, *rest]})
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["plane", "ty", "tx"])
         pixels = pdf.groupby("plane")["pixels"].first()
         omega = dict(zip(pixels.index, per_site_weights(pixels, o.mip_weight, o.mip_mix, o.k), strict=True))
-        n = int((-len(weights) + (len(weights) ** 2 + len(pdf["gram"].iloc[0]) / 2) ** 0.5) / 2 + 0.5)
-        total = sum(omega[p] * np.frombuffer(g, "<f8").reshape(n, -1) for p, g in zip(pdf["plane"], pdf["gram"], strict=True))
+        v = pdf["v"] * pdf["plane"].map(omega)
+        total = v.groupby(pdf["at"]).sum().sort_index().to_numpy()
+        total = total.reshape(round(len(total) ** 0.5), -1)
+        n = len(total) - nout
         sites = sum(omega[p] * c * (1 + o.k) for p, c in pixels.items())
-        old = D.Decoder(*_decoder_of(pdf, len(weights))) if kept else None
-        got = D.solve(total[:, :n], total[:, n:], weights, sites, old)
-        return pd.DataFrame([(pdf["material_id"].iloc[0], _bytes(got.w, "<f8"), _bytes(got.b, "<f8"))], columns=_names(DECODER))
+        norm = weights.sum() * sites
+
+        def error(d: D.Decoder) -> float:
+            x = np.concatenate([d.w.T.astype(float), d.b[None].astype(float), -np.eye(nout)])
+            return float(weights @ np.einsum("ic,ij,jc->c", x, total, x)) / norm if norm > 0 else 0.0
 
-    grams = _pieces(tiles, previous, edge, None).groupBy(*_KEYS).applyInPandas(gram, schema)
-    return _written(grams.groupBy("material_id").applyInPandas(best, DECODER))
+        named = pdf[pdf["at"] == 0]  # the bytes come with one entry of every matrix
+        old = D.Decoder(*_decoder_of(named, nout)) if kept else None
+        got = D.solve(total[:n, :n], total[:n, n:], weights, sites, old)
+        return pd.DataFrame([(pdf["material_id"].iloc[0], _bytes(got.w, "<f8"), _bytes(got.b, "<f8"), named["g"].iloc[0], error(old) if kept else None, error(got))], columns=_names(DECODER))
+
+    grams = _pieces(tiles, previous, edge, None).groupBy(*_KEYS).applyInPandas(gram, schema).mapInPandas(partial, "material_id string, plane int, pixels long, at int, v double, w binary, b binary, g binary")
+    summed = grams.groupBy("material_id", "plane", "at").agg(F.first("pixels").alias("pixels"), F.sum("v").alias("v"), *[F.first(n, ignorenulls=True).alias(n) for n in ("w", "b", "g")])
+    return _written(summed.groupBy("material_id").applyInPandas(best, DECODER))
 
 
 def errors(tiles: DataFrame, found: DataFrame, cw: Sequence[float], options: Options | None = None, edge: int = EDGE) -> DataFrame:
@@ -243,27 +269,42 @@ def errors(tiles: DataFrame, found: DataFrame, cw: Sequence[float], options: Opt
     return each.groupBy("material_id").applyInPandas(mean, "material_id string, error double")
 
 
-Action = Callable[[L.Plane, np.ndarray, np.ndarray], object]
+#: What is done to a plane under a decoder (w, b) and the material's grids; gives the error's change and how many values moved.
+Action = Callable[[L.Plane, np.ndarray, np.ndarray, np.ndarray], tuple[float, int]]
+STEPPED = f"{TILE}, delta_e double, moved long"
 
 
 def solving(level0: bool, cw: Sequence[float], options: Options | None = None) -> Action:
     """The continuous step of a level."""
     o, weights = options or Options(), np.asarray(cw, float)
-    return lambda p, w, b: L.solve(p, w, b, weights, o.k, o.ridge, level0)
 
+    def run(p: L.Plane, w: np.ndarray, b: np.ndarray, _: np.ndarray) -> tuple[float, int]:
+        report = L.solve(p, w, b, weights, o.k, o.ridge, level0)
+        return report.delta_e, report.iterations
 
-def sweeping(level0: bool, cw: Sequence[float], lo: Sequence[float], hi: Sequence[float], bits: int, options: Options | None = None) -> Action:
-    """Sweeps of a level over a grid; values off the grid are snapped to it first."""
-    o, weights, ends = options or Options(), np.asarray(cw, float), (np.asarray(lo, float), np.asarray(hi, float))
+    return run
 
-    def run(p: L.Plane, w: np.ndarray, b: np.ndarray) -> None:
-        own, (low, high) = p.v0 if level0 else p.v1, ends
+
+def grids_of(g: np.ndarray, c0: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """lo and hi of level 0, lo and hi of level 1."""
+    c1 = len(g) // 2 - c0
+    return g[:c0], g[c0 : 2 * c0], g[2 * c0 : 2 * c0 + c1], g[2 * c0 + c1 :]
+
+
+def sweeping(level0: bool, cw: Sequence[float], lo: Sequence[float] | None, hi: Sequence[float] | None, bits: int, options: Options | None = None) -> Action:
+    """Sweeps of a level over a grid (without ends, over each material's own); values off the grid are snapped to it first."""
+    o, weights = options or Options(), np.asarray(cw, float)
+
+    def run(p: L.Plane, w: np.ndarray, b: np.ndarray, g: np.ndarray) -> tuple[float, int]:
+        own = p.v0 if level0 else p.v1
+        low, high = (np.asarray(lo, float), np.asarray(hi, float)) if lo is not None else grids_of(g, p.v0.shape[2])[:2] if level0 else grids_of(g, p.v0.shape[2])[2:]
         index = L.grid_index(low, high, bits, own)
         if level0:
             p.k0, p.v0 = index, L.grid_value(low, high, bits, index)
         else:
             p.k1, p.v1 = index, L.grid_value(low, high, bits, index)
-        L.grid_sweep(p, w, b, weights, o.k, o.ridge, level0, low, high, bits, o.q1_sweeps)
+        report = L.grid_sweep(p, w, b, weights, o.k, o.ridge, level0, low, high, bits, o.q1_sweeps)
+        return report.delta_e, report.moved
 
     return run
 
@@ -272,29 +313,42 @@ def searching(cw: Sequence[float], palettes: Sequence[Sequence[float]], options:
     """The exact search of level 0 over palettes; values off them are snapped to the nearest first."""
     o, weights, tables = options or Options(), np.asarray(cw, float), [np.asarray(t, float) for t in palettes]
 
-    def run(p: L.Plane, w: np.ndarray, b: np.ndarray) -> None:
+    def run(p: L.Plane, w: np.ndarray, b: np.ndarray, _: np.ndarray) -> tuple[float, int]:
         p.k0 = np.stack([np.abs(p.v0[..., c, None] - t).argmin(-1) for c, t in enumerate(tables)], 2)
         p.v0 = np.stack([t[p.k0[..., c]] for c, t in enumerate(tables)], 2)
-        L.palette_search(p, w, b, weights, o.k, tables, o.sweeps)
+        before = L.plane_error(p, w, b, weights, o.k)[0]
+        moved = sum(L.palette_search(p, w, b, weights, o.k, tables, o.sweeps))
+        return L.plane_error(p, w, b, weights, o.k)[0] - before, moved
 
     return run
 
 
-def step(tiles: DataFrame, found: DataFrame, action: Action, edge: int = EDGE) -> DataFrame:
-    """``tiles`` after ``action`` on every one of them, a colour at a time."""
+def colours(sizes: Sequence[tuple[int, int]], edge: int = EDGE) -> list[int]:
+    """The colours that tiles of planes of these (h0, w0) have at all: one if every plane is a single tile."""
+    out = set()
+    for h0, w0 in sizes:
+        ny, nx = Grid(h0, w0, 1, 1, edge).counts
+        out |= {2 * (y % 2) + x % 2 for y in range(min(2, ny)) for x in range(min(2, nx))}
+    return sorted(out)
+
+
+def step(tiles: DataFrame, found: DataFrame, action: Action, edge: int = EDGE, turns: Sequence[int] = range(4)) -> DataFrame:
+    """``tiles`` (``STEPPED``: with the change of the plane's weighted error, and values moved) after ``action`` on every one of them, a colour at a time."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         p, grid, ty, tx = _assembled(pdf, edge, False)
-        action(p, *_decoder_of(pdf, p.src.shape[2]))
+        delta, moved = action(p, *_decoder_of(pdf, p.src.shape[2]), np.frombuffer(pdf["g"].iloc[0] or b"", "<f8"))
         (far0, far1), (own0, own1), key = grid.reach(ty, tx), grid.own(ty, tx), pdf.iloc[0]
         own = [_bytes(_part(a, far, rect)) for a, far, rect in ((p.v0, far0, own0), (p.v1, far1, own1), (p.src, far0, own0))]
-        return pd.DataFrame([(key["material_id"], int(key["plane"]), ty, tx, grid.h0, grid.w0, grid.h1, grid.w1, *own)], columns=_names(TILE))
-
-    state = {c: tiles.filter(colour() == c) for c in range(4)}
-    for c in range(4):
-        whole = state[0].unionByName(state[1]).unionByName(state[2]).unionByName(state[3])
-        state[c] = _written(_pieces(whole, found, edge, c).groupBy(*_KEYS).applyInPandas(run, TILE))
-    return state[0].unionByName(state[1]).unionByName(state[2]).unionByName(state[3])
+        return pd.DataFrame([(key["material_id"], int(key["plane"]), ty, tx, grid.h0, grid.w0, grid.h1, grid.w1, *own, delta, moved)], columns=_names(STEPPED))
+
+    state = {c: tiles.filter(colour() == c).select(*_names(TILE)) for c in turns}
+    stepped = {}
+    for c in turns:
+        whole = reduce(DataFrame.unionByName, state.values())
+        stepped[c] = _written(_pieces(whole, found, edge, c).groupBy(*_KEYS).applyInPandas(run, STEPPED))
+        state[c] = stepped[c].select(*_names(TILE))
+    return reduce(DataFrame.unionByName, stepped.values())
 
 
 def planes(tiles: DataFrame, level0: bool, n: int, edge: int = EDGE) -> DataFrame:
