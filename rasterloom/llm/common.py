@@ -59,18 +59,6 @@ def arrow_rows(spark: SparkSession, rows: int | None) -> Iterator[None]:
 TEXT_ROWS = 1024
 
 
-def text_batches(spark: SparkSession) -> None:
-    """From now on this session's Arrow batches have TEXT_ROWS rows at most.
-
-    Only for filters of whole documents, whose plans the caller runs later and which must not be
-    written twice; results don't depend on it, a worker's memory does.  Digests are staged instead.
-    """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > TEXT_ROWS:
-        spark.conf.set(key, str(TEXT_ROWS))
-
-
 def slices(batch: pa.RecordBatch, rows: int, size: int) -> Iterator[pa.RecordBatch]:
     """Slices of at most ``rows`` rows and about ``size`` bytes of text (one row at least)."""
     lengths = pc.fill_null(pc.binary_length(batch.column("text").cast(pa.binary())), 0).to_numpy(zero_copy_only=False)
@@ -112,9 +100,31 @@ def stage(df: DataFrame, name: str, rows: int | None = None, tasks: int | None =
         (df if tasks is None else df.coalesce(tasks)).write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
+    if _SCOPES:
+        _SCOPES[-1].append(out)
     return out
 
 
+#: Tables staged inside ``scratch``, of the innermost one last.
+_SCOPES: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Deletes, at its end, all tables staged inside but those that the caller appends to the list it gives."""
+    kept: list[DataFrame] = []
+    _SCOPES.append([])
+    try:
+        yield kept
+    finally:
+        paths = {staged_path(k) for k in kept}
+        for df in _SCOPES.pop():
+            if staged_path(df) not in paths:
+                drop(df)
+        if _SCOPES:
+            _SCOPES[-1].extend(kept)
+
+
 def staged_path(df: DataFrame) -> str | None:
     return getattr(df, "_staged_path", None)
 

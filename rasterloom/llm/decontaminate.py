@@ -1,7 +1,7 @@
 """Benchmark decontamination with suffix arrays of the training text.
 
-Every task builds suffix arrays over the words of its shard of documents, a few
-million words at a time, and binary-searches every suffix of every benchmark item
+Every task builds suffix arrays over the words of its shard of documents, up to a
+million words (and 1,024 documents) at a time, and binary-searches every suffix of every benchmark item
 in them: first for the window that counts as contamination (ten words, or the
 whole of a shorter item), then word by word further while anything matches, which
 gives the longest verbatim match and its place: for every document (the longest run of
@@ -15,8 +15,8 @@ and no comparison goes past a 0 or a document's end.  Suffixes are ordered by
 their first four words and then by prefix doubling within the ties, up to the
 longest item.
 
-The benchmark is a stated query set: it is sent in blocks of ``BLOCK_BYTES`` of
-text, so what is broadcast stays bounded however long it grows; with more than one
+The benchmark is a stated query set: it is sent in blocks of ``BLOCK_WORDS`` words, one
+at a time, so what the driver holds and broadcasts stays bounded however long it grows; with more than one
 block the hit ranges of a document are united by a join on (doc_id, text hash).
 
 Defined cases: words are runs of ASCII letters (lower-cased), digits and all
@@ -29,6 +29,7 @@ matches the first place counts; repeated documents are judged one by one; an emp
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
@@ -38,13 +39,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import TEXT_ROWS, stage, text_batches, tidy
+from rasterloom.llm.common import TEXT_ROWS, drop, slices, stage, tidy
 
 WINDOW = 10
-#: Benchmark text that is sent to the tasks at once.
-BLOCK_BYTES = 32 << 20
-#: Words of one suffix array.
-ARRAY_WORDS = 1 << 20
+#: Benchmark words that are sent to the tasks at once: some 44 bytes each, as their arrays and vocabulary take.
+BLOCK_WORDS = 1 << 20
+#: Words of one suffix array, at most but for a longer document, and the bytes of text that are cut at once (TEXT_ROWS documents end it too).
+ARRAY_WORDS, ARRAY_BYTES = 1 << 20, 8 << 20
 
 # Word bytes keep their (lower-cased) value, all others become a space.
 _TABLE = bytes((b + 32 if 65 <= b <= 90 else b) if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -230,8 +231,8 @@ class Shard:
 
 
 def _shards(batches: Iterator[pa.RecordBatch], bench: Benchmark) -> Iterator[tuple[pa.RecordBatch, Shard]]:
-    """Batches cut to about ARRAY_WORDS words, with their arrays searched."""
-    for batch in batches:
+    """Batches cut to about ARRAY_WORDS words (and TEXT_ROWS rows), with their arrays searched."""
+    for batch in (piece for whole in batches for piece in slices(whole, TEXT_ROWS, ARRAY_BYTES)):
         texts, at, begin, words = batch.column("text").cast(pa.binary()), 0, 0, 0
         held: list[list[bytes]] = []
         for at in range(batch.num_rows):
@@ -245,16 +246,20 @@ def _shards(batches: Iterator[pa.RecordBatch], bench: Benchmark) -> Iterator[tup
             yield batch.slice(begin, len(held)), Shard.of(held, bench)
 
 
-def blocks(benchmark: DataFrame, window: int = WINDOW) -> list[Benchmark]:
-    """The benchmark in blocks of BLOCK_BYTES of text; one item is never cut."""
-    out, held, size = [], [], 0
+def blocks(benchmark: DataFrame, window: int = WINDOW) -> Iterator[Benchmark]:
+    """The benchmark in blocks of BLOCK_WORDS words, one at a time; one item is never cut. At least one, if empty."""
+    held: list[tuple[str, bytes | None]] = []
+    size, given = 0, False
     for row in benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text")).orderBy("item_id", "text").toLocalIterator():
-        held.append((row["item_id"] or "", bytes(row["text"]) if row["text"] is not None else None))
-        size += len(row["text"] or b"")
-        if size >= BLOCK_BYTES:
-            out.append(Benchmark.of(held, window))
-            held, size = [], 0
-    return [*out, Benchmark.of(held, window)] if held or not out else out
+        text = bytes(row["text"]) if row["text"] is not None else None
+        more = len(words_of(text))
+        if held and size + more > BLOCK_WORDS:
+            yield Benchmark.of(held, window)
+            held, size, given = [], 0, True
+        held.append((row["item_id"] or "", text))
+        size += more
+    if held or not given:
+        yield Benchmark.of(held, window)
 
 
 _MATCHES = "n_words long, n_hit long, longest long, longest_at long, spans array<array<long>>, items array<string>"
@@ -282,11 +287,14 @@ def annotate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     rows = documents.select("doc_id", "text")
     parts = blocks(benchmark, window)
     kind = dict(rows.dtypes)["doc_id"]
-    if len(parts) == 1:
-        return stage(rows.mapInArrow(tidy(_annotate(parts[0], ["doc_id"])), f"doc_id {kind}, {_MATCHES}"), "decontaminate", rows=TEXT_ROWS)
+    first, second = next(parts), next(parts, None)
+    if second is None:
+        return stage(rows.mapInArrow(tidy(_annotate(first, ["doc_id"])), f"doc_id {kind}, {_MATCHES}"), "decontaminate", rows=TEXT_ROWS)
+    several = itertools.chain([first, second], parts)
+    del first, second
     keyed = rows.withColumn("h", F.xxhash64("text"))
     hit = None
-    for b in parts:  # one pass each, staged, so the plan doesn't grow with the benchmark
+    for b in several:  # one pass each, staged, so the plan doesn't grow with the benchmark
         found = stage(keyed.mapInArrow(tidy(_annotate(b, ["doc_id", "h"])), f"doc_id {kind}, h long, {_MATCHES}").filter("n_hit > 0").drop("n_words"), "decontaminate-block", rows=TEXT_ROWS)
         hit = found if hit is None else hit.unionByName(found)
     # Equal rows are found once for each copy in each block; a copy is enough.
@@ -347,9 +355,13 @@ def remove(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
 
     One pass per block of the benchmark: a document that any block hits is gone.
     """
-    text_batches(documents.sparkSession)
-    out = documents
-    for bench in blocks(benchmark, window):
+    out, before = documents, None
+    for n, bench in enumerate(blocks(benchmark, window)):
+        if n:  # what is left after a block is written, so the plan holds one block
+            left = stage(out, "decontaminate-left")
+            if before is not None:
+                drop(before)
+            out = before = left
         out = out.mapInArrow(tidy(_clean(bench)), documents.schema)
     return out
 

@@ -34,6 +34,7 @@ documents are labelled one by one; a null doc_id is in no sample and not held ou
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -43,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import TEXT_ROWS, arrow_rows, held_out_remainder, sampled, slices, stage, text_batches, tidy
+from rasterloom.llm.common import TEXT_ROWS, arrow_rows, held_out_remainder, sampled, slices, stage, tidy
 
 #: Documents that a model is fitted on, at most.
 SAMPLE = 3000
@@ -64,6 +65,9 @@ TEXTS_AT_ONCE, WORDS_AT_ONCE = 256, 200_000
 
 # Letters, and letter-like numbers, superscripts and fractions, which are taken out of the few words that have any.
 _WORD = re.compile(r"[^\W\d_]+")
+# Combining marks (vowel signs, tones) and joiners belong to the letters before them.
+_MARKS = "[" + re.escape("".join(c for c in map(chr, range(128, 0x110000)) if unicodedata.category(c)[0] == "M") + "\u200c\u200d") + "]"
+_MARK, _MARKED = re.compile(_MARKS), re.compile(rf"(?:[^\W\d_]+{_MARKS}*)+")
 _FIGURE = re.compile("[" + re.escape("".join(c for c in map(chr, range(128, 0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())) + "]")
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -73,7 +77,8 @@ def letters(text: str | bytes | None) -> list[str]:
         return []
     if isinstance(text, bytes):
         text = text.decode("utf-8", "replace")
-    words = _WORD.findall(text.lower())
+    text = text.lower()
+    words = (_WORD if text.isascii() or not _MARK.search(text) else _MARKED).findall(text)
     joined = "".join(words)
     if not joined:
         return []
@@ -351,7 +356,6 @@ def identify(documents: DataFrame) -> DataFrame:
 def label_words(documents: DataFrame) -> DataFrame:
     """Every document's words in order, each with its most likely language and posterior."""
     model = fit(documents)
-    text_batches(documents.sparkSession)
     rows = documents.select("doc_id", "text")
     kind = dict(rows.dtypes)["doc_id"]
 

@@ -52,7 +52,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import drop, join_hot, stage, tidy
+from rasterloom.llm.common import drop, join_hot, scratch, stage, tidy
 
 SHINGLE = 5
 VALUES = 128
@@ -61,16 +61,16 @@ MIN_DEPTH, DEPTH, CROWD = 2, 4, 8
 TREES = VALUES // DEPTH
 #: Rows of a sorted partition that are looked at together.
 RUN_ROWS = 1 << 18
-#: Sets of up to SMALL shingles are compared in full where members of a region meet; of larger ones the BUCKETS counts.
-SMALL, BUCKETS = 512, 2048
+#: Sets of up to SMALL shingles are compared in full where members of a region meet; larger ones by half of every hash.
+SMALL = 512
 #: A key that holds more than this part of all rows is joined by broadcast: fewer keys than that.
 HOT_KEYS = 4096
 #: Rows that one task writes, at least, where there are more partitions.
 TASK_ROWS = 5000
 #: Trees whose regions are searched before those of all trees.
 FIRST_TREES = 4
-#: Members of a region that meet in one task unit.
-MEET = 128
+#: Members of a region that meet in one task unit, at most, and the bytes of their sets that are aimed at.
+MEET, MEET_BYTES = 128, 16 << 20
 #: Edges that one task contracts, at most.
 EDGES = 100_000
 #: Rows in a Python worker's batch: texts, pairs of whole sets, members with small sets.
@@ -224,10 +224,9 @@ def _pair(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def bucket_counts(own: np.ndarray) -> bytes | None:
-    """Shingles in each hash bucket, a byte each; None if a bucket holds more than a byte can say."""
-    counts = np.bincount((own >> np.uint64(53)).astype(np.int64), minlength=BUCKETS)
-    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+def low_halves(own: np.ndarray) -> bytes:
+    """The distinct low halves of a set's hashes: all of it but for the chance of two hashes with one half."""
+    return np.unique(own.astype(np.uint32)).tobytes()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,17 +235,17 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(batch.num_rows):
             own = shingles(texts[i].as_py())
             # A partner of a set beyond SMALL has 0.75 of its size at least.
-            counts = bucket_counts(own) if 4 * len(own) > 3 * SMALL else None
+            low = low_halves(own) if 4 * len(own) > 3 * SMALL else None
             small = own.tobytes() if len(own) <= SMALL else None
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, 1), *(pa.array([x], t) for x, t in ((len(own), pa.int64()), (own.tobytes(), pa.binary()), (small, pa.binary()), (counts, pa.binary())))], names=["id", "n", "own", "small", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, 1), *(pa.array([x], t) for x, t in ((len(own), pa.int64()), (own.tobytes(), pa.binary()), (small, pa.binary()), (low, pa.binary())))], names=["id", "n", "own", "small", "low"])
 
 
 def full_sets(documents: DataFrame, ids: DataFrame, tasks: int) -> DataFrame:
-    """The shingle sets of the documents in ``ids``: whole (own), whole if small, and counts by bucket if not."""
+    """The shingle sets of the documents in ``ids``: whole (own), whole if small, and by low halves if not."""
     wanted = ids.select(F.col("rid").alias("doc_id")).distinct()
     few = wanted.limit(SENT_IDS + 1).count() <= SENT_IDS
     rows = documents.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
-    return stage(rows.mapInArrow(tidy(_sets), "id long, n long, own binary, small binary, counts binary"), "neardup-sets", rows=TEXT_ROWS, tasks=tasks)
+    return stage(rows.mapInArrow(tidy(_sets), "id long, n long, own binary, small binary, low binary"), "neardup-sets", rows=TEXT_ROWS, tasks=tasks)
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,9 +290,9 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("id"), F.col("v").alias("root"))
 
 
-def _common(small: list[bytes], other: list[bytes]) -> np.ndarray:
+def _common(small: list[bytes], other: list[bytes], kind: type = np.uint64) -> np.ndarray:
     """Sizes of all intersections of two lists of sets, as a product of incidence matrices."""
-    sets = [np.frombuffer(x, np.uint64) for x in (*small, *other)]
+    sets = [np.frombuffer(x, kind) for x in (*small, *other)]
     values, column = np.unique(np.concatenate(sets), return_inverse=True)
     row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     shared = np.bincount(column, minlength=len(values)) > 1
@@ -309,27 +308,16 @@ def _common(small: list[bytes], other: list[bytes]) -> np.ndarray:
     return total.astype(np.int64)
 
 
-def _most_common(left: list[bytes | None], right: list[bytes | None], nl: np.ndarray, nr: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Upper bounds of the intersections of pairs (i, j): common minima of the counts; without counts, of the sizes."""
-    blank = bytes(BUCKETS)
-    a, b = (np.frombuffer(b"".join(x or blank for x in side), np.uint8).reshape(len(side), BUCKETS) for side in (left, right))
-    known = np.array([x is not None for x in left])[i] & np.array([x is not None for x in right])[j]
-    out = np.minimum(nl[i], nr[j])
-    for at in np.array_split(np.flatnonzero(known), max(1, len(i) // 512)):
-        out[at] = np.minimum(a[i[at]], b[j[at]]).sum(1, dtype=np.uint32)
-    return out
-
-
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by unit: within a unit, every asking row against every other of another component.
 
-    Gives (a, b, sure): links of small sets, and pairs of larger ones to be confirmed.
+    Gives (a, b, sure): links of small sets, and pairs of larger ones that are links unless halves of hashes collide.
     """
 
     def pairs(rows: pa.Table) -> np.ndarray:
         asks = rows.column("asks").to_numpy()
         rid, comp, n = (rows.column(c).to_numpy() for c in ("rid", "comp", "n"))
-        small, counts = (rows.column(c).to_pylist() for c in ("small", "counts"))
+        small, low = (rows.column(c).to_pylist() for c in ("small", "low"))
         found = []
         for sure in (True, False):
             has = n <= SMALL if sure else 4 * n > 3 * SMALL
@@ -344,13 +332,13 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             if sure:
                 common = _common([small[i] for i in q], [small[i] for i in c])
-                good &= 100 * common >= 75 * (nq + nc - common)
-                i, j = np.nonzero(good)
             else:
-                i, j = np.nonzero(good)
-                most = _most_common([counts[x] for x in q], [counts[x] for x in c], n[q], n[c], i, j)
-                possible = 100 * most >= 75 * (n[q[i]] + n[c[j]] - most)
-                i, j = i[possible], j[possible]
+                # Elements with one half count once: a set's own missing ones may all be common.
+                held = [np.array([len(low[i]) // 4 for i in side]) for side in (q, c)]
+                common = _common([low[i] for i in q], [low[i] for i in c], np.uint32)
+                common = np.minimum(common + np.minimum(nq - held[0][:, None], nc - held[1][None, :]), np.minimum(nq, nc))
+            good &= 100 * common >= 75 * (nq + nc - common)
+            i, j = np.nonzero(good)
             found.append(np.stack([rid[q[i]], rid[c[j]], np.full(len(i), sure)], 1))
         return np.concatenate(found) if found else np.zeros((0, 3), np.int64)
 
@@ -376,16 +364,19 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def open_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, tasks: int) -> DataFrame:
     """(a, b, sure): links, and pairs still to be confirmed, across the components of a region."""
     named = members.select(*REGION, "rid").distinct().join(labels, F.col("rid") == F.col("id"), "left").select(*REGION, "rid", F.coalesce("root", "rid").alias("comp"))
-    named = stage(named, "neardup-members", tasks=tasks)
-    parts = named.groupBy(*REGION, "comp").agg(F.count(F.lit(1)).alias("c"))
+    named = stage(named.join(sets.select(F.col("id").alias("rid"), "n"), "rid"), "neardup-members", tasks=tasks)
+    size = F.when(F.col("n") > SMALL, F.col("n") * 4).otherwise(F.col("n") * 8)
+    parts = named.groupBy(*REGION, "comp").agg(F.count(F.lit(1)).alias("c"), F.sum(size).alias("bytes"))
     # Regions of two were decided by their neighbours.
-    whole = parts.groupBy(*REGION).agg(F.sum("c").alias("total"), F.max(F.struct("c", "comp")).alias("big"), F.count(F.lit(1)).alias("comps")).filter("comps > 1 and total > 2")
-    blocks = lambda c: F.ceil(c / F.lit(float(MEET))).cast("int")
+    whole = parts.groupBy(*REGION).agg(F.sum("c").alias("total"), F.sum("bytes").alias("bytes"), F.max(F.struct("c", "comp")).alias("big"), F.count(F.lit(1)).alias("comps")).filter("comps > 1 and total > 2")
+    # Fewer members meet at once where they are long.
+    meet = F.greatest(F.lit(4.0), F.least(F.lit(float(MEET)), F.lit(float(MEET_BYTES)) * F.col("total") / (2 * F.col("bytes"))))
+    blocks = lambda c: F.ceil(c / meet).cast("int")
     plan = stage(whole.select(*REGION, "total", F.col("big.comp").alias("big"), blocks(F.col("total")).alias("all_blocks"), blocks(F.col("total") - F.col("big.c")).alias("rest_blocks")), "neardup-plan", tasks=tasks)
-    rows = join_hot(named, plan, REGION, F.col("total") > named.count() / HOT_KEYS).join(sets.select(F.col("id").alias("rid"), "n", "small", "counts"), "rid")
+    rows = join_hot(named, plan, REGION, F.col("total") > named.count() / HOT_KEYS).join(sets.select(F.col("id").alias("rid"), "small", "low"), "rid")
     block = lambda salt, n: F.pmod(F.xxhash64("rid", F.lit(salt)), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    carried = [*REGION, "rid", "comp", "n", "small", "counts"]
+    carried = [*REGION, "rid", "comp", "n", "small", "low"]
     asking = rows.filter("comp <> big").select(*carried, F.lit(True).alias("asks"), block(1, F.col("rest_blocks")).alias("j"), every(F.col("all_blocks")).alias("i"))
     answering = rows.select(*carried, F.lit(False).alias("asks"), block(2, F.col("all_blocks")).alias("i"), every(F.col("rest_blocks")).alias("j"))
     unit = [*REGION, "i", "j"]
@@ -448,14 +439,30 @@ def group(documents: DataFrame) -> DataFrame:
 
 
 def remove(documents: DataFrame) -> DataFrame:
-    """One document of every group, all columns kept; rows with one doc_id count as one."""
-    grouped = stage(group(documents), "neardup-groups")
-    gone = grouped.filter(~F.col("kept")).select("doc_id").distinct()
-    kept = documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
-    twice = grouped.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    twice = stage(twice, "neardup-repeated")
-    if twice.isEmpty():
-        return kept
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    one = kept.join(twice, "doc_id", "left_semi").withColumn("__nth", F.row_number().over(first)).filter("__nth = 1").select(*documents.columns)
-    return kept.join(twice, "doc_id", "left_anti").select(*documents.columns).unionByName(one)
+    """One row of every group of similar texts, all columns kept.
+
+    Rows are judged by their texts: of rows that share a doc_id, or have none, those with different texts are
+    different documents here, and of rows with one text one stays. Rows without words all stay.
+    """
+    spark, columns = documents.sparkSession, documents.columns
+    repeated = stage(documents.groupBy("doc_id").count().filter("count > 1 or doc_id is null").select("doc_id"), "neardup-repeated")
+    n = repeated.limit(SENT_IDS + 1).count()
+    own = F.col("doc_id").cast("long")
+    if n:
+        known = repeated.filter("doc_id is not null").select("doc_id", F.lit(True).alias("__again"))
+        marked = documents.join(F.broadcast(known) if n <= SENT_IDS else known, "doc_id", "left").select(*columns, F.coalesce("__again", F.col("doc_id").isNull()).alias("__again"))
+        # Ids of their own by what they hold; two seeds leave no likely clash with given ids or each other.
+        marked = marked.withColumn("__id", F.when(F.col("__again"), F.xxhash64(F.lit("row"), "doc_id", "text")).otherwise(own))
+    else:
+        marked = documents.withColumns({"__again": F.lit(False), "__id": own})
+    with scratch(spark) as kept_tables:
+        grouped = stage(group(marked.select(F.col("__id").alias("doc_id"), "text")), "neardup-groups")
+        kept_tables.append(grouped)
+    gone = grouped.filter(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct()
+    kept = marked.join(gone, "__id", "left_anti")
+    if not n:
+        return kept.select(*columns)
+    # Equal rows are one node: one row of each stays, found by partial aggregation; those without words are alike to nothing.
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    again = kept.filter(F.col("__again") & worded).dropDuplicates(["__id"])
+    return kept.filter(~(F.col("__again") & worded)).select(*columns).unionByName(again.select(*columns))

@@ -53,7 +53,7 @@ def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0).withColumn("score", topk.as_long(F.col("score")))
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

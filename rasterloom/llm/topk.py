@@ -28,12 +28,15 @@ length than the query is no candidate of it); rows that share a query's id are
 that query's own rows and no candidates of it, and of several query rows with
 one id the first in vector order asks; ties go to the smaller id and repeated
 candidate rows count one by one; an empty table, or one without queries, gives
-an empty result.
+an empty result.  Vectors of any finite size are ranked by their exact whole-number products
+(Python integers where doubles don't hold them); a score beyond 38 digits counts as one of 38
+nines, and ``as_long`` ends at a long's ends, so ranks may differ where such scores look equal.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -56,12 +59,22 @@ SCALE = 256.0
 #: Result rows of a file.
 RESULT_ROWS = 10_000
 
-_FOUND = "query_id long, vec_id long, score long"
+LARGEST = float(np.finfo(float).max)
+#: Scores are whole numbers of 38 digits; beyond them they end there.
+MOST_SCORE = 10**38 - 1
+
+_FOUND = "query_id long, vec_id long, score decimal(38,0)"
 
 
 def quantise(embedding: Column) -> Column:
-    """floor(256 * x) of every component, as doubles that hold integers."""
-    return F.transform(embedding, lambda x: F.floor(x.cast("double") * F.lit(SCALE)).cast("double"))
+    """floor(256 * x) of every component, as doubles that hold integers; beyond the largest double, that one."""
+
+    def whole(x: Column) -> Column:
+        y = F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), x.cast("double") * F.lit(SCALE)))
+        # From 2 ** 53 on every double is an integer, and floor would end at a long's ends.
+        return F.when(F.abs(y) < F.lit(EXACT), F.floor(y).cast("double")).otherwise(y)
+
+    return F.transform(embedding, whole)
 
 
 def _usable(column: str) -> Column:
@@ -104,7 +117,8 @@ class _Best:
         rows = [(int(query_ids[q]), i, s) for q, (scores, ids) in enumerate(self.kept) for s, i in zip(scores, ids, strict=True)]
         if rows:
             q, i, s = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.int64())], names=["query_id", "vec_id", "score"])
+            sent = [Decimal(max(-MOST_SCORE, min(MOST_SCORE, x))) for x in s]
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(sent, pa.decimal128(38, 0))], names=["query_id", "vec_id", "score"])
 
 
 def gather(partial: list[np.ndarray], own: np.ndarray, k: int) -> np.ndarray:
@@ -161,7 +175,8 @@ def _node(query_ids: np.ndarray, queries: np.ndarray, cutoffs: np.ndarray | None
             if rows.shape[1] != d:
                 continue
             # Squares as well, for the lengths.
-            exact = max(largest, float(np.abs(rows).max(initial=0.0))) ** 2 * max(d, 1) < EXACT
+            peak = max(largest, float(np.abs(rows).max(initial=0.0)))
+            exact = peak * peak * max(d, 1) < EXACT
             own = query_ids[:, None] == ids[None, :]
             if exact and cutoffs is not None:
                 q, r, total, _ = collect(queries, rows, cuts, cutoffs, own)
@@ -199,7 +214,7 @@ def _search_block(vectors: DataFrame, query_ids: np.ndarray, queries: np.ndarray
 
 
 def search(embeddings: DataFrame, is_query: Column, k: int = 5, lists: int = LISTS) -> DataFrame:
-    """query_id, rank, vec_id and score of the k best rows of every query."""
+    """query_id, rank, vec_id and score (decimal(38,0)) of the k best rows of every query."""
     usable = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter(F.col("vec_id").isNotNull() & _usable("embedding"))
     vectors = usable.select("vec_id", quantise(F.col("embedding")).alias("v"))
     first = Window.partitionBy("vec_id").orderBy("v")
@@ -207,7 +222,7 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 5, lists: int = LIS
     spark = embeddings.sparkSession
     tasks = -(-QUERY_BLOCK * k // RESULT_ROWS)
     paths = [staged_path(_search_block(vectors, query_ids, queries, k, lists, tasks)) for query_ids, queries in _query_blocks(asked)]
-    schema = "query_id long, rank int, vec_id long, score long"
+    schema = "query_id long, rank int, vec_id long, score decimal(38,0)"
     return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
@@ -227,3 +242,8 @@ def _query_blocks(asked: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def _packed(block: list[tuple[int, list[float]]]) -> tuple[np.ndarray, np.ndarray]:
     return np.array([x[0] for x in block], np.int64), np.array([x[1] for x in block], float).reshape(len(block), -1)
+
+
+def as_long(score: Column) -> Column:
+    """A score as a long; one beyond 64 bits is the long's end."""
+    return F.greatest(F.lit(Decimal(-(2**63))), F.least(F.lit(Decimal(2**63 - 1)), score)).cast("long")

@@ -99,8 +99,8 @@ def test_decontamination(spark, documents, benchmark, nothing, monkeypatch):
     want = Counter((d, *brute_hits(t)) for d, t, *_ in ROWS)
     columns = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest", "longest_at")
     assert table(decontaminate.digest(decontaminate.annotate(documents, benchmark)), *columns) == want
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 40)
-    assert len(decontaminate.blocks(benchmark)) > 1
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 8)
+    assert len(list(decontaminate.blocks(benchmark))) > 1
     assert table(decontaminate.digest(decontaminate.annotate(documents, benchmark)), *columns) == want
     clean = decontaminate.remove(documents, benchmark)
     assert clean.columns == documents.columns
@@ -251,6 +251,19 @@ def test_near_duplicates(spark, documents, nothing):
     assert ids.count(None) == 2
 
 
+def test_rows_are_removed_by_their_texts(spark):
+    """One doc_id, or none, on several texts: different ones stay, equal and similar ones are a group."""
+    one, other, third = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    near = one.replace("a39", "z")
+    rows = [(1, one, "p"), (1, other, "q"), (1, other, "r"), (2, near, "s"), (None, third, "t"), (None, third, "t"), (None, None, "u"), (None, None, "u"), (3, "", "v"), (3, "", "v"), (4, None, "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __again string").repartition(3).withColumnRenamed("__again", "again")
+    left = neardup.remove(df)
+    assert left.columns == df.columns
+    got = Counter((r["doc_id"], r["text"]) for r in left.collect())
+    assert sum(got[x] for x in ((1, one), (2, near))) == 1
+    assert got[1, other] == 1 and got[None, third] == 1 and got[None, None] == 2 and got[3, ""] == 2 and got[4, None] == 1
+
+
 def test_crowded_regions(spark, monkeypatch):
     """Copies around originals that differ from each other too much, in blocks smaller than the crowd."""
     rnd = random.Random(4)
@@ -313,18 +326,36 @@ def test_no_pair_of_full_depth_is_lost_where_a_task_cuts(spark, monkeypatch, cut
             assert any(a[2] in x and b[2] in x for x in regions.values())
 
 
-def test_bucket_counts_bound_the_intersection():
+def test_low_halves_bound_the_intersection():
+    """Where halves of hashes collide, within a set or between two, no link is lost."""
     rng = np.random.default_rng(5)
-    pool = np.unique(rng.integers(0, 2**63, 6000, dtype=np.uint64) * np.uint64(2))
-    sets = [np.sort(rng.choice(pool, n, replace=False)) for n in (400, 900, 3000, 5000)]
-    counts = [neardup.bucket_counts(x) for x in sets]
-    assert neardup.bucket_counts(np.arange(300, dtype=np.uint64)) is None
-    i, j = (x.ravel() for x in np.indices((4, 4)))
-    n = np.array([len(x) for x in sets])
-    bound = neardup._most_common(counts, [*counts[:3], None], n, n, i, j)
-    for a, b, most in zip(i, j, bound, strict=True):
-        assert len(np.intersect1d(sets[a], sets[b])) <= most <= min(n[a], n[b])
-        assert a != b or most == n[a]
+    pool = np.unique(rng.integers(0, 2**63, 900, dtype=np.uint64))
+    pool = np.concatenate([pool, pool[:200] ^ np.uint64(1 << 50)])  # 200 halves stand for two hashes each
+    sets = [np.sort(rng.choice(pool, n, replace=False)) for n in (700, 800, 1000, 1090)]
+    low = [neardup.low_halves(x) for x in sets]
+    common = neardup._common(low, low, np.uint32)
+    for i, j in itertools.product(range(4), repeat=2):
+        missing = min(len(sets[i]) - len(low[i]) // 4, len(sets[j]) - len(low[j]) // 4)
+        assert len(np.intersect1d(sets[i], sets[j])) <= common[i, j] + missing
+
+
+def test_long_texts_of_a_region_send_links_alone(spark):
+    """300 long texts, half alike: they meet in regions, but no pair of them leaves."""
+    rnd = random.Random(8)
+    base = [f"b{i}" for i in range(6000)]
+    items = []
+    for k in range(300):
+        words = base[:]
+        at = rnd.randrange(2900)
+        words[at : at + 2000] = [f"o{k}x{i}" for i in range(2000)]
+        items.append((k, " ".join(words)))
+    items.append((300, items[0][1] + " more words"))
+    df = spark.createDataFrame(items, "doc_id long, text string").repartition(8)
+    sets = neardup.full_sets(df, df.select(F.col("doc_id").alias("rid")), 8)
+    one = df.select(F.lit(0).alias("tree"), F.lit(2).alias("depth"), F.lit(0).cast("long").alias("prefix"), F.col("doc_id").alias("rid"))
+    labels = spark.createDataFrame([], "id long, root long")
+    pairs = [(r["a"], r["b"], r["sure"]) for r in neardup.open_pairs(one, labels, sets, 8).collect()]
+    assert pairs == [(0, 300, False)]
 
 
 def test_chains_contract(spark):
@@ -436,6 +467,31 @@ def test_search(spark, monkeypatch, block):
     assert topk.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_search_among_huge_components(spark):
+    """Products beyond 64 bits, of whatever finite doubles: exact ranks, scores as far as 38 digits."""
+    rng = np.random.default_rng(6)
+    vectors = [(i, (rng.normal(size=3) * 10.0 ** rng.integers(0, 16)).tolist()) for i in range(120)]
+    vectors += [(200, [1e12, 1e12, 0.0]), (201, [1e16, -1e16, 1.0]), (250, [1e16, 1e16, 1e16]), (251, [2.0**53, 1.0, 2.0**50])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(3)
+
+    def brute(vectors):
+        whole = [(i, [math.floor(256 * x) for x in v]) for i, v in vectors]
+        out = []
+        for q, x in whole:
+            if q % 50 == 0:
+                found = sorted((-sum(a * b for a, b in zip(x, v, strict=True)), i) for i, v in whole if i != q)[:5]
+                out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found)]
+        return Counter(out)
+
+    got = topk.search(df, F.col("vec_id") % 50 == 0)
+    assert Counter((r["query_id"], r["rank"], r["vec_id"], int(r["score"])) for r in got.collect()) == brute(vectors)
+    longs = got.select(topk.as_long(F.col("score")).alias("s"), "score").collect()
+    assert all(r["s"] == max(-(2**63), min(2**63 - 1, int(r["score"]))) for r in longs) and any(abs(int(r["score"])) >= 2**63 for r in longs)
+    extreme = spark.createDataFrame([(0, [1e308, -1.0]), (1, [1e308, 0.0]), (2, [-1e308, 0.0]), (3, [1e300, 0.0])], "vec_id long, embedding array<double>")
+    ranked = [(r["vec_id"], int(r["score"])) for r in topk.search(extreme, F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert ranked == [(1, topk.MOST_SCORE), (3, topk.MOST_SCORE), (2, -topk.MOST_SCORE)]
+
+
 def test_the_cutoff_leaves_entries_unscored():
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(20, 64))
@@ -489,6 +545,8 @@ def test_conversations(spark):
         want = (len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(), len(learned), hashlib.sha256(learned.encode()).hexdigest(), len(chat.render(turns)[0]))
         assert tuple(got[conv])[1:] == want
     assert len(got) == 6
+    assert [r["conv_id"] for r in chat.round_trip(chat.probe(df.limit(0))).collect()] == [-1]
+    assert chat.round_trip(df.limit(0)).count() == 0
 
 
 def test_reply_trees(spark):

@@ -193,3 +193,26 @@ def test_neighbours_are_exact():
         near = sorted(range(40), key=lambda i: (-row[i], i))[: quality.NEIGHBOURS]
         weight = np.maximum(0, row[near]) ** quality.POWER
         assert score == pytest.approx(float((weight * y[near]).sum() / weight.sum()))
+
+
+def test_words_keep_their_marks():
+    assert language.letters("हिन्दी में 3 किताबें।") == ["हिन्दी", "में", "किताबें"]
+    assert language.letters("தமிழ் மொழி") == ["தமிழ்", "மொழி"]
+    assert language.letters("ที่นี่ กำลัง") == ["ที่นี่", "กำลัง"]
+    assert language.letters("café ́ ẍy می‌خواهم") == ["café", "ẍy", "می‌خواهم"]
+    assert language.letters("́ ‍ 12") == []
+    long = "กำลั" * 60
+    assert "".join(language.letters(long)) == long and all(len(w.encode()) <= language.WIDTH for w in language.letters(long))
+
+
+def test_every_word_gets_a_label(spark):
+    hindi = ["यह एक छोटी कहानी है", "हम घर में बैठे हैं", "पानी बहुत ठंडा है", "वह किताब पढ़ती है"] * 8
+    english = ["this is a short story", "we are sitting in the house", "the water is very cold", "she reads the book"] * 8
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([(t, "hi") for t in hindi] + [(t, "en") for t in english])]
+    rows += [(1000, "वह किताब है the water is cold", None), (1001, None, None), (1002, "12 !", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = {r["doc_id"]: r["words"] for r in language.label_words(df).collect()}
+    assert len(got) == len(rows) and got[1001] == [] and got[1002] == []
+    mixed = got[1000]
+    assert [w["word"] for w in mixed] == language.letters(rows[-3][1])
+    assert [w["lang"] for w in mixed] == ["hi"] * 3 + ["en"] * 4 and all(0.5 <= w["p"] <= 1 for w in mixed)
