@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rasterloom.llm import decontaminate, mixing, neardup, tokens, toxicity
-from rasterloom.llm.common import stage, table
+from rasterloom.llm.common import drop, scratch, stage, table
 from rasterloom.llm.queries import tokenizer_path
 
 
@@ -65,5 +65,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, apply in STAGES[:-1]:
-        docs = stage(apply(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        # What a stage wrote, its input included, goes once the next one's input is written.
+        with scratch(spark) as kept:
+            before, docs = docs, stage(apply(spark, docs, sf_dir), name)
+            kept.append(docs)
+        drop(before)
+    tokens_read = STAGES[-1][1](spark, docs, sf_dir)
+    drop(docs)
+    return tokens_read
