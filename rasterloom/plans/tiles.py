@@ -348,7 +348,10 @@ def step(tiles: DataFrame, found: DataFrame, action: Action, edge: int = EDGE, t
         whole = reduce(DataFrame.unionByName, state.values())
         stepped[c] = _written(_pieces(whole, found, edge, c).groupBy(*_KEYS).applyInPandas(run, STEPPED))
         state[c] = stepped[c].select(*_names(TILE))
-    return reduce(DataFrame.unionByName, stepped.values())
+    out = reduce(DataFrame.unionByName, stepped.values())
+    if len(stepped) > 1:
+        out._stored_parts = tuple(stepped.values())
+    return out
 
 
 def planes(tiles: DataFrame, level0: bool, n: int, edge: int = EDGE) -> DataFrame:

@@ -42,6 +42,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def forget(*tables: DataFrame | None) -> None:
     """Delete stored tables that no later plan reads; others are left alone."""
     for df in tables:
+        forget(*getattr(df, "_stored_parts", ()))
         path = getattr(df, "_stored_path", None)
         if path is not None:
             jpath = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
