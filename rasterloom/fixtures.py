@@ -32,9 +32,9 @@ def events_raster(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int, int
 
 
 def orders_raster(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int, int]:
-    """A second texture of the same size."""
-    h = table(spark, sf_dir, "events").count() // WIDTH
-    orders = table(spark, sf_dir, "orders").filter(F.col("o_orderkey") < h * WIDTH)
+    """A second texture as wide; all orders, what is left of the last row as 0."""
+    orders = table(spark, sf_dir, "orders")
+    h = -(-orders.count() // WIDTH)
     rows = orders.select(
         F.lit(0).alias("plane"),
         (F.col("o_orderkey") % WIDTH).cast("int").alias("x"),
@@ -43,7 +43,37 @@ def orders_raster(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int, int
         _byte(F.dayofyear("o_orderdate") % 256).alias("c1"),
         _byte(F.substring("o_orderpriority", 1, 1).cast("int") * 51).alias("c2"),
     )
-    return rows, WIDTH, h
+    return filled(rows, WIDTH, h), WIDTH, h
+
+
+def filled(plane: DataFrame, w: int, h: int) -> DataFrame:
+    """``plane`` on all of w x h, holes as 0."""
+    grid = plane.sparkSession.range(w * h).select(F.lit(0).alias("plane"), (F.col("id") % w).cast("int").alias("x"), F.floor(F.col("id") / w).cast("int").alias("y"))
+    own = [c for c in plane.columns if c not in ("plane", "x", "y")]
+    return grid.join(plane, ["plane", "x", "y"], "left").select("plane", "x", "y", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in own])
+
+
+def both_rasters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int, int]:
+    """Both textures on the higher one's extent, holes as 0."""
+    events, w, he = events_raster(spark, sf_dir)
+    orders, _, ho = orders_raster(spark, sf_dir)
+    h = max(he, ho)
+    return filled(events, w, h) if he < h else events, filled(orders, w, h) if ho < h else orders, w, h
+
+
+def customers_raster(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int, int]:
+    """A small texture, 20 wide: balance, nation and segment."""
+    rows = table(spark, sf_dir, "customer")
+    w, h = 20, -(-rows.count() // 20)
+    plane = rows.select(
+        F.lit(0).alias("plane"),
+        (F.col("c_custkey") % w).cast("int").alias("x"),
+        F.floor(F.col("c_custkey") / w).cast("int").alias("y"),
+        _byte(F.greatest(F.lit(0), F.least(F.lit(255), F.floor((F.col("c_acctbal") + 1000) / 44)))).alias("c0"),
+        _byte(F.col("c_nationkey") * 10).alias("c1"),
+        _byte(F.length("c_mktsegment") * 20).alias("c2"),
+    )
+    return filled(plane, w, h), w, h
 
 
 def embeddings_raster(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int, int]:

@@ -85,6 +85,37 @@ def decode(blocks: DataFrame, w: int, h: int, keys: Sequence[str] = (*KEYS, "ch"
     return texels.filter((F.col("x") < w) & (F.col("y") < h))
 
 
+def decode_exact(packed: DataFrame, column: str, w: int, h: int, keys: Sequence[str] = (*KEYS, "ch")) -> DataFrame:
+    """Texels (keys, x, y, num, den) of eight-byte blocks by another way than ``decode``: the value is num / den, in whole numbers.
+
+    The 48 bits are one number, selectors are its shifts, and an entry is the sum of both ends with whole weights
+    over their total (7, 5, or 1 for the ends themselves and the two fixed entries of the shorter palette).
+    """
+    byte = lambda i: F.conv(F.hex(F.substring(F.col(column), i, 1)), 16, 10).cast("long")
+    bits = F.lit(0).cast("long")
+    for i in range(6):
+        bits = bits + F.shiftleft(byte(3 + i), 8 * i)
+    rows = packed.select(*keys, "bx", "by", byte(1).alias("a"), byte(2).alias("b"), bits.alias("bits"))
+    rows = rows.select("*", F.posexplode(F.array(*[F.shiftright(F.col("bits"), 3 * t).bitwiseAND(F.lit(7)) for t in range(BLOCK * BLOCK)])).alias("t", "s"))
+    a, b, s = F.col("a"), F.col("b"), F.col("s")
+    long_ = a > b
+    num = F.when(s == 0, a).when(s == 1, b).when(long_, (8 - s) * a + (s - 1) * b).when(s == 6, F.lit(0)).when(s == 7, F.lit(255)).otherwise((6 - s) * a + (s - 1) * b)
+    den = F.when(s <= 1, F.lit(1)).when(long_, F.lit(7)).when(s >= 6, F.lit(1)).otherwise(F.lit(5))
+    x, y = F.col("bx") * BLOCK + F.pmod(F.col("t"), F.lit(BLOCK)), F.col("by") * BLOCK + F.floor(F.col("t") / BLOCK).cast("int")
+    return rows.select(*keys, x.alias("x"), y.alias("y"), num.cast("long").alias("num"), den.cast("long").alias("den")).filter((F.col("x") < w) & (F.col("y") < h))
+
+
+def decoders_agree(packed: DataFrame, column: str, w: int, h: int, keys: Sequence[str] = (*KEYS, "ch")) -> DataFrame:
+    """Per key: texels, how many both decoders give differently as float32, the largest difference, texels that one lacks, and the sum of all exact values in 1/35."""
+    at = [*keys, "x", "y"]
+    both = decode(unpack(packed, column), w, h, keys).withColumnRenamed("v", "__v").join(decode_exact(packed, column, w, h, keys), at, "full")
+    exact = (F.col("num").cast("double") / F.col("den").cast("double")).cast("float")
+    apart = F.abs(F.col("__v").cast("double") - exact.cast("double"))
+    return both.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(apart != 0).alias("differ"), F.max(apart).alias("worst"), F.count_if(F.col("__v").isNull() | F.col("num").isNull()).alias("lacking"), F.sum(F.col("num") * (F.lit(35) / F.col("den")).cast("long")).alias("total35")
+    )
+
+
 def packing_error(blocks: DataFrame, texels: DataFrame, w: int, h: int, bits: int, keys: Sequence[str] = (*KEYS, "ch")) -> DataFrame:
     """Squared byte error of decoded blocks against exact indices, texels inside the plane only."""
     exact = F.col("v").cast("double") * lit(255) / lit((1 << bits) - 1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.functions.scalar import affine, byte_value, clamp01, features, renormalised
@@ -71,6 +71,32 @@ def sample(points: DataFrame, level0: DataFrame, level1: DataFrame, size: DataFr
 GRADIENTS = ("dudx", "dvdx", "dudy", "dvdy")
 
 
+def quad_gradients(pixels: DataFrame, fine: bool = False, keys: Sequence[str] = ()) -> DataFrame:
+    """``pixels`` (keys, px, py, u, v and any columns) with their ``GRADIENTS``: differences within quads of 2 x 2 pixels.
+
+    A quad is the four pixels of equal halves of px and py, as a rasteriser shades them. Coarse gradients are the
+    quad's upper row's and left column's for all four, fine ones each pixel's own row's and column's. Where a pixel
+    of a difference is missing, at the edge of what was drawn, the quad's other row or column gives it; without
+    that it is 0. One shuffle by quad; rows at one pixel share its gradients (of the largest u and v there).
+    """
+    if set(GRADIENTS) & set(pixels.columns):
+        raise ValueError("the pixels have gradients already")
+    odd = lambda c: F.pmod(F.col(c), F.lit(2))
+    half = lambda c: F.floor(F.col(c) / 2)
+    quad = Window.partitionBy(*keys, half("px"), half("py"))
+    lane = lambda c, i: F.max(F.when((odd("px") == i % 2) & (odd("py") == i // 2), F.col(c))).over(quad)
+    held = pixels.withColumns({f"__{c}{i}": lane(c, i) for c in ("u", "v") for i in range(4)})
+    across = lambda c, y: F.col(f"__{c}{2 * y + 1}") - F.col(f"__{c}{2 * y}")
+    down = lambda c, x: F.col(f"__{c}{2 + x}") - F.col(f"__{c}{x}")
+
+    def pick(one: Column, other: Column, at: Column) -> Column:
+        own = F.when(at == 1, F.coalesce(other, one)).otherwise(F.coalesce(one, other)) if fine else F.coalesce(one, other)
+        return F.coalesce(own, F.lit(0.0))
+
+    found = {f"d{c}dx": pick(across(c, 0), across(c, 1), odd("py")) for c in ("u", "v")} | {f"d{c}dy": pick(down(c, 0), down(c, 1), odd("px")) for c in ("u", "v")}
+    return held.select(*pixels.columns, *[g.alias(n) for n, g in found.items()])
+
+
 def footprints(points: DataFrame, size: DataFrame, scale: float = 1.0, most: int = 1) -> DataFrame:
     """``points`` with what a pixel's gradients cover in a texture: __lod, __probes and the longer axis __du, __dv.
 

@@ -59,11 +59,11 @@ def q01(spark, d):
 
 
 def q02(spark, d):
-    return _as_bytes(R.pack([fixtures.events_raster(spark, d)[0], fixtures.orders_raster(spark, d)[0]]))
+    return _as_bytes(R.pack(fixtures.both_rasters(spark, d)[:2]))
 
 
 def q03(spark, d):
-    packed = R.pack([fixtures.events_raster(spark, d)[0], fixtures.orders_raster(spark, d)[0]])
+    packed = R.pack(fixtures.both_rasters(spark, d)[:2])
     swapped = R.insert(packed, 0, R.extract(packed, 1))
     return R.to_long(swapped).select("plane", "x", "y", "ch", S.to_byte(F.col("v")).alias("v"))
 
@@ -331,7 +331,7 @@ def q38(spark, d):
 
 
 def q39(spark, d):
-    return _rounded(A.frame_diff(fixtures.events_raster(spark, d)[0], fixtures.orders_raster(spark, d)[0]), 6)
+    return _rounded(A.frame_diff(*fixtures.both_rasters(spark, d)[:2]), 6)
 
 
 def q40(spark, d):
@@ -478,17 +478,6 @@ def _plane_step(spark, d, step, schema: str) -> DataFrame:
 _STEP = "step string, error double, moved long"
 
 
-def q44(spark, d):
-    def step(L, np, p, w, b, cw):  # noqa: N803
-        import pandas as pd
-
-        before = L.plane_error(p, w, b, cw, 4)[0]
-        report = L.solve(p, w, b, cw, 4, 1e-4, False)
-        return pd.DataFrame([("before", before, 0), ("after", L.plane_error(p, w, b, cw, 4)[0], 0), ("converged", float(report.residual < 1e-6), 0)], columns=["step", "error", "moved"])
-
-    return _rounded(_plane_step(spark, d, step, _STEP), 3)
-
-
 def q45(spark, d):
     def step(L, np, p, w, b, cw):  # noqa: N803
         import pandas as pd
@@ -505,24 +494,6 @@ def q45(spark, d):
     return _rounded(_plane_step(spark, d, step, _STEP), 3)
 
 
-def q46(spark, d):
-    def step(L, np, p, w, b, cw):  # noqa: N803
-        import pandas as pd
-
-        lo, hi = np.full(1, -1.0), np.full(1, 1.0)
-        p.k0 = L.grid_index(lo, hi, 8, p.v0)
-        p.v0 = L.grid_value(lo, hi, 8, p.k0)
-        rows = [("indices", L.plane_error(p, w, b, cw, 4)[0], 0)]
-        p.blocks = L.seed_blocks(p.k0)
-        p.v0 = L.block_values(p.blocks, *p.size0, lo, hi)
-        rows.append(("packed", L.plane_error(p, w, b, cw, 4)[0], 0))
-        moved = sum(r.improved for r in L.refine_blocks(p, w, b, cw, 4, lo, hi, 4))
-        rows.append(("refined", L.plane_error(p, w, b, cw, 4)[0], moved))
-        return pd.DataFrame(rows, columns=["step", "error", "moved"])
-
-    return _rounded(_plane_step(spark, d, step, _STEP), 3)
-
-
 def q47(spark, d):
     from rasterloom.functions.config import Options
     from rasterloom.plans.fit import fit_report, with_material
@@ -539,10 +510,9 @@ def q57(spark, d):
     from rasterloom.plans import tiles as T
     from rasterloom.plans.fit import with_material
 
-    size, parts = None, ([], [], [])
-    for name, raster in (("events", fixtures.events_raster), ("orders", fixtures.orders_raster)):
-        source, w, h = raster(spark, d)
-        size = size or R.geometry_table(spark, R.geometry(w, h, LEVELS))
+    events, orders, w, h = fixtures.both_rasters(spark, d)
+    size, parts = R.geometry_table(spark, R.geometry(w, h, LEVELS)), ([], [], [])
+    for name, source in (("events", events), ("orders", orders)):
         chain = R.box_chain(source, w, h, LEVELS)
         for rows, plane in zip(parts, (luma_plane(chain), mean_plane(chain, size), chain), strict=True):
             rows.append(with_material(plane, name))
@@ -630,13 +600,13 @@ NAMES |= {
     "q24_leading_direction": q24,
     "q42_descriptor_files": q42,
     "q43_settings_merge": q43,
-    "q44_level1_solve": q44,
     "q45_grid_sweep": q45,
-    "q46_block_refine": q46,
     "q47_material_fit": q47,
     "q57_tiled_rounds": q57,
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(NAMES)
+    from rasterloom import fit_queries
+
+    return NAMES | fit_queries.NAMES

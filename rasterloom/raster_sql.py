@@ -13,7 +13,14 @@ dims AS (SELECT 100 AS w, ((SELECT count(*) FROM events) // 100)::int AS h)"""
 _ORDERS = """od AS (
   SELECT 0 AS plane, (o_orderkey % 100)::int AS x, (o_orderkey // 100)::int AS y,
     floor(o_totalprice / 2000)::int / 255.0::double AS c0, (dayofyear(o_orderdate) % 256)::int / 255.0::double AS c1, (substr(o_orderpriority, 1, 1)::int * 51) / 255.0::double AS c2
-  FROM orders WHERE o_orderkey < (SELECT w * h FROM dims))"""
+  FROM orders)"""
+
+# Both textures on the higher one's extent, holes as 0.
+_BOTH = f"""{_EVENTS},
+{_ORDERS},
+grid AS (SELECT 0 AS plane, (id % 100)::int AS x, (id // 100)::int AS y FROM (SELECT unnest(range(100 * greatest((SELECT h FROM dims), ((SELECT count(*) FROM orders) + 99) // 100))) AS id)),
+evf AS (SELECT g.plane, g.x, g.y, coalesce(c0, 0) AS c0, coalesce(c1, 0) AS c1, coalesce(c2, 0) AS c2 FROM grid g LEFT JOIN ev USING (x, y)),
+odf AS (SELECT g.plane, g.x, g.y, coalesce(c0, 0) AS c0, coalesce(c1, 0) AS c1, coalesce(c2, 0) AS c2 FROM grid g LEFT JOIN od USING (x, y))"""
 
 
 def _byte(c: str) -> str:
@@ -53,8 +60,8 @@ l1 AS (SELECT plane, x, y, 2 * c0 - 1 AS v0, 2 * c1 - 1 AS v1 FROM means),
 l0 AS (SELECT plane, x, y, 2 * (0.299::double * c0 + 0.587::double * c1 + 0.114::double * c2) - 1 AS s0 FROM src)"""
 
 
-def _head(levels: int = 0, more: str = "") -> str:
-    return f"WITH RECURSIVE {_EVENTS},\n{_geometry(levels)},\n{_chain(levels)},\n{_MEANS}{more}"
+def _head(levels: int = 0, more: str = "", base: str = _EVENTS) -> str:
+    return f"WITH RECURSIVE {base},\n{_geometry(levels)},\n{_chain(levels)},\n{_MEANS}{more}"
 
 
 def _gather(name: str, points: str, plane: str, columns: dict[str, str], px: str, py: str, w: str, h: str, keep: str) -> str:
@@ -78,8 +85,8 @@ def _scaled(p: str, d: str, n0: str, n: str) -> str:
 _Z = {"z0": "v0", "z1": "v1"}
 
 
-def _level1(points: str, keep: str = "plane, x, y", dx: str = "0", dy: str = "0", name: str = "z") -> str:
-    return _gather(name, points, "l1", _Z, _scaled("x", dx, "w0", "w1"), _scaled("y", dy, "h0", "h1"), "w1", "h1", keep)
+def _level1(points: str, keep: str = "plane, x, y", dx: str = "0", dy: str = "0", name: str = "z", plane: str = "l1") -> str:
+    return _gather(name, points, plane, _Z, _scaled("x", dx, "w0", "w1"), _scaled("y", dy, "h0", "h1"), "w1", "h1", keep)
 
 
 _OFFSETS = "(VALUES (0, 0.0::double, 0.0::double), (1, -0.375::double, -0.125::double), (2, -0.125::double, 0.375::double), (3, 0.125::double, -0.375::double), (4, 0.375::double, 0.125::double)) o(j, ox, oy)"
@@ -87,13 +94,13 @@ _TURNED_X = "CASE (y % 2) * 2 + x % 2 WHEN 0 THEN ox WHEN 1 THEN -oy WHEN 2 THEN
 _TURNED_Y = "CASE (y % 2) * 2 + x % 2 WHEN 0 THEN oy WHEN 1 THEN ox WHEN 2 THEN -oy ELSE -ox END"
 
 
-def _sites() -> str:
+def _sites(l0: str = "l0", src: str = "src", l1: str = "l1") -> str:
     """rows: every site (K = 4) with s0, t0 to t2, z0, z1."""
     keep = "plane, x, y, j, dx, dy"
-    both = "both_ AS (SELECT s.plane, s.x, s.y, s0, c0, c1, c2 FROM l0 s JOIN src USING (plane, x, y)),\n"
-    points = f"points AS (SELECT plane, x, y, j, {_TURNED_X} AS dx, {_TURNED_Y} AS dy FROM src, {_OFFSETS}),\n"
+    both = f"both_ AS (SELECT s.plane, s.x, s.y, s0, c0, c1, c2 FROM {l0} s JOIN {src} USING (plane, x, y)),\n"
+    points = f"points AS (SELECT plane, x, y, j, {_TURNED_X} AS dx, {_TURNED_Y} AS dy FROM {src}, {_OFFSETS}),\n"
     full = _gather("full_", "points", "both_", {"s0": "s0", "t0": "c0", "t1": "c1", "t2": "c2"}, "x + dx", "y + dy", "w0", "h0", keep)
-    return both + points + full + ",\n" + _level1("points", keep, "dx", "dy") + ",\nrows_ AS (SELECT * FROM full_ JOIN z USING (plane, x, y, j, dx, dy))"
+    return both + points + full + ",\n" + _level1("points", keep, "dx", "dy", plane=l1) + ",\nrows_ AS (SELECT * FROM full_ JOIN z USING (plane, x, y, j, dx, dy))"
 
 
 def _outputs(s: str = "s0", z: tuple[str, str] = ("z0", "z1"), terms: int = 5) -> list[str]:
@@ -391,8 +398,8 @@ SELECT round(sum(share / (px::double * 5) * weighted) / ({sum(CW)!r}::double * s
 FROM sums JOIN m USING (plane)"""
     out = {
         "q01_events_raster": f"WITH {_EVENTS} SELECT plane, x, y, {bytes3} FROM ev",
-        "q02_material_pack": f"WITH {_EVENTS}, {_ORDERS} SELECT e.plane, e.x, e.y, {', '.join(f'{_byte(f"e.c{i}")} AS c{i}, {_byte(f"o.c{i}")} AS c{i + 3}' for i in range(3))} FROM ev e JOIN od o USING (x, y)",
-        "q03_channel_insert_long": f"WITH {_EVENTS}, {_ORDERS} SELECT o.plane, o.x, o.y, unnest([0, 1, 2, 3, 4, 5])::int AS ch, unnest([{', '.join(_byte(f'o.c{i % 3}') for i in range(6))}]) AS v FROM ev e JOIN od o USING (x, y)",
+        "q02_material_pack": f"WITH {_BOTH} SELECT e.plane, e.x, e.y, {', '.join(f'{_byte(f"e.c{i}")} AS c{i}, {_byte(f"o.c{i}")} AS c{i + 3}' for i in range(3))} FROM evf e JOIN odf o USING (x, y)",
+        "q03_channel_insert_long": f"WITH {_BOTH} SELECT o.plane, o.x, o.y, unnest([0, 1, 2, 3, 4, 5])::int AS ch, unnest([{', '.join(_byte(f'o.c{i % 3}') for i in range(6))}]) AS v FROM evf e JOIN odf o USING (x, y)",
         "q04_pad": f"WITH {_EVENTS}, grid AS (SELECT px, py, least(px, w - 1) AS x, least(py, h - 1) AS y FROM dims, (SELECT unnest(range((SELECT (w + 3) // 4 * 4 FROM dims)))::int AS px), (SELECT unnest(range((SELECT (h + 3) // 4 * 4 FROM dims)))::int AS py)) SELECT plane, px AS x, py AS y, {bytes3} FROM grid JOIN ev USING (x, y)",
         "q05_plane_geometry": f"WITH RECURSIVE {_EVENTS}, {_geometry(None)} SELECT * FROM size",
         "q06_box_sums": f"WITH {_EVENTS} SELECT (x // 2)::int AS x, (y // 2)::int AS y, {', '.join(f'sum({_byte(f"c{i}")})::int AS sum{i}' for i in range(3))} FROM ev, dims WHERE x < w // 2 * 2 AND y < h // 2 * 2 GROUP BY x // 2, y // 2",
@@ -441,7 +448,7 @@ SELECT ch, bx::int AS bx, yb::int AS "by", r0, r1, bits, printf('%02x%02x', r0,
         "q36_psnr": f"{_decoded(LEVELS)}, {_errors('src', 'out')}, m AS (SELECT plane, avg((d * d)::double) AS mse FROM err GROUP BY plane) SELECT plane, 0 AS texture, round(mse, 6) AS mse, round({_psnr_of('mse')}, 6) AS psnr FROM m UNION ALL SELECT plane, -1, NULL, round({_psnr_of('mse')}, 6) FROM m",
         "q37_worst_case": f"{_decoded(LEVELS)}, {_errors('src', 'out')}, pk AS (SELECT plane, x, y, max(abs(d)) AS peak FROM err GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY plane ORDER BY peak) AS upto, count(*) OVER (PARTITION BY plane) AS total FROM pk) SELECT plane, {_rank(0.5, 'peak')} AS p50, {_rank(0.9, 'peak')} AS p90, {_rank(0.99, 'peak')} AS p99, max(peak) AS max, round(100 * avg(CASE WHEN peak > 8 THEN 1.0::double ELSE 0 END), 6) AS above8 FROM r GROUP BY plane",
         "q38_channel_stats": f"{_head(LEVELS)}, v AS (SELECT plane, unnest([0, 1, 2])::int AS ch, unnest([c0, c1, c2]) AS v FROM src) SELECT plane, ch, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS sd, round(min(v), 6) AS least, round(max(v), 6) AS most, round(100 * avg(CASE WHEN abs(v) <= 2e-6 OR abs(v - 1) <= 2e-6 THEN 1.0::double ELSE 0 END), 6) AS ends FROM v GROUP BY plane, ch",
-        "q39_frame_diff": f"WITH {_EVENTS}, {_ORDERS}, {_errors('ev', 'od')} SELECT plane, ch, max(abs(d)) AS max_diff, round(avg(abs(d)), 6) AS mean_diff, round(avg((d * d)::double), 6) AS mse, round({_psnr_of('avg((d * d)::double)')}, 6) AS psnr FROM err GROUP BY plane, ch",
+        "q39_frame_diff": f"WITH {_BOTH}, {_errors('evf', 'odf')} SELECT plane, ch, max(abs(d)) AS max_diff, round(avg(abs(d)), 6) AS mean_diff, round(avg((d * d)::double), 6) AS mse, round({_psnr_of('avg((d * d)::double)')}, 6) AS psnr FROM err GROUP BY plane, ch",
         "q40_duplicate_channels": f"WITH {_EVENTS}, c AS (SELECT [c0, c1, c2, c0, c2] AS v FROM ev) SELECT a::int AS a, b::int AS b, bool_and(v[a + 1] = v[b + 1]) AS same FROM c, (SELECT unnest(range(5)) AS a), (SELECT unnest(range(5)) AS b) WHERE a < b GROUP BY a, b",
         "q22_decoder_fit": _decoder_fit(),
         "q24_leading_direction": _leading_direction(),
@@ -455,4 +462,6 @@ SELECT ch, bx::int AS bx, yb::int AS "by", r0, r1, bits, printf('%02x%02x', r0,
         "q50_embeddings_box": f"WITH em AS (SELECT unnest(range(64))::int AS x, vec_id::int AS y, greatest(0.0::double, least(1.0::double, 0.5::double + unnest(embedding)::double)) AS c0 FROM embeddings), dims AS (SELECT count(*)::int AS h FROM embeddings), half AS (SELECT x // 2 AS hx, y // 2 AS hy, avg(c0) AS m FROM em, dims WHERE y < h // 2 * 2 GROUP BY ALL), e AS (SELECT x, abs({_byte('c0')} - {_byte('round(m, 9)')}) AS d FROM em JOIN half ON x // 2 = hx AND y // 2 = hy) SELECT (x // 16)::int AS band, max(d) AS max_diff, round(avg((d * d)::double), 6) AS mse, count(*)::bigint AS n FROM e GROUP BY ALL",
     }
     out["q58_report"] = _report(out, objective(15))
-    return out
+    from rasterloom import fit_queries
+
+    return out | fit_queries.oracle_sql()
