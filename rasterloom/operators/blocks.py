@@ -24,8 +24,13 @@ def gather(texels: DataFrame, w: int, h: int, keys: Sequence[str] = (*KEYS, "ch"
     full = expand(texels, w, h, -(-w // BLOCK) * BLOCK, -(-h // BLOCK) * BLOCK)
     x, y = F.col("x"), F.col("y")
     cell = [*keys, F.floor(x / BLOCK).cast("int").alias("bx"), F.floor(y / BLOCK).cast("int").alias("by")]
-    at = (F.pmod(y, F.lit(BLOCK)) * BLOCK + F.pmod(x, F.lit(BLOCK))).alias("t")
-    return full.groupBy(*cell).agg(F.transform(F.sort_array(F.collect_list(F.struct(at, F.col("v").alias("v")))), lambda s: s["v"]).alias("v"))
+    return full.groupBy(*cell).agg(sixteen(x, y, F.col("v")).alias("v"))
+
+
+def sixteen(x: Column, y: Column, v: Column) -> Column:
+    """A block's values in order as an array: one aggregate for every place, so partial sums are flat rows."""
+    at = F.pmod(y, F.lit(BLOCK)) * BLOCK + F.pmod(x, F.lit(BLOCK))
+    return F.array(*[F.max(F.when(at == t, v)) for t in range(BLOCK * BLOCK)])
 
 
 def selector(palette: Column, target: Column) -> Column:

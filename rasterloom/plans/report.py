@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions.scalar import mse_to_db
 from rasterloom.operators import aggregate as A
-from rasterloom.operators import resample as R
 from rasterloom.operators.sampling import decode
+from rasterloom.operators.sites import tiled_site_rows
 
 
 def _listed(df: DataFrame, values: dict[str, Column], plane: Column | None = None, texture: Column | None = None) -> DataFrame:
@@ -34,7 +34,7 @@ def report(level0: DataFrame, level1: DataFrame, source: DataFrame, size: DataFr
     errors = A.byte_errors(source, decode(level0, level1, size, weights, bias)).filter((F.col("plane") > 0) | ((F.col("x") < w) & (F.col("y") < h)))
     by, plane = A.psnr(errors), F.col("plane")
     shares = A.mip_weights(size, kind, mix, k)
-    sums = A.objective_sums(A.squared_errors(R.site_rows(level0, level1, source, size, k), weights, bias, cw))
+    sums = A.objective_sums(A.squared_errors(tiled_site_rows(level0, level1, source, size, k), weights, bias, cw))
     sites = {"e": F.col("e"), "centre psnr": mse_to_db(F.col("centre_mse"))} | ({"sampled psnr": mse_to_db(F.col("sampled_mse"))} if k else {})
     parts = [
         _listed(by.filter("plane = 0"), {"psnr": F.col("psnr")}, plane, F.col("texture")),

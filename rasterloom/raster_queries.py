@@ -16,6 +16,7 @@ from rasterloom.functions import scalar as S
 from rasterloom.operators import aggregate as A
 from rasterloom.operators import blocks as B
 from rasterloom.operators import resample as R
+from rasterloom.operators.sites import tiled_site_rows
 from rasterloom.schema import channels
 
 LEVELS = 3
@@ -175,7 +176,7 @@ def q56(spark, d):
 
 def _rows(spark, d, levels: int, k: int = 4) -> tuple[DataFrame, DataFrame]:
     source, size, _, _ = _base(spark, d, levels)
-    return R.site_rows(luma_plane(source), mean_plane(source, size), source, size, k), size
+    return tiled_site_rows(luma_plane(source), mean_plane(source, size), source, size, k), size
 
 
 def q17(spark, d):

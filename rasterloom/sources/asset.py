@@ -85,9 +85,8 @@ def gather_levels(indices: DataFrame, size: DataFrame) -> DataFrame:
         last = F.when(F.col(c) == n - 1, F.sequence(n - 1, (F.ceil(n / lit(BLOCK)) * BLOCK - 1).cast("int"))).otherwise(F.array(F.col(c)))
         sized = sized.withColumn(c, F.explode(last))
     x, y = F.col("x"), F.col("y")
-    at = (F.pmod(y, F.lit(BLOCK)) * BLOCK + F.pmod(x, F.lit(BLOCK))).alias("t")
     own = ["plane", "ch", F.floor(x / BLOCK).cast("int").alias("bx"), F.floor(y / BLOCK).cast("int").alias("by")]
-    return sized.groupBy(*own).agg(F.transform(F.sort_array(F.collect_list(F.struct(at, F.col("v").alias("v")))), lambda s: s["v"]).alias("v"))
+    return sized.groupBy(*own).agg(B.sixteen(x, y, F.col("v")).alias("v"))
 
 
 def closed_bytes(indices: DataFrame, lo: Sequence[float], hi: Sequence[float], bits: int) -> DataFrame:

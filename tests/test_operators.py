@@ -231,3 +231,30 @@ def test_sampling_by_gradients(spark, planes):
     assert [three["s0"]] == pytest.approx(want)
     assert S.sample_gradients(points.limit(0), level0, level1, size, W, BIAS, "anisotropic").count() == 0
     assert "NestedLoopJoin" not in S.sample_gradients(points, level0, level1, size, W, BIAS, "anisotropic")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sites_by_tile_are_those_of_windows(spark):
+    """Two materials and levels, tiles of 8 pixels, holes in both tables, level 1 of any extent."""
+    from rasterloom.operators.sites import tiled_site_rows
+
+    keys = ["material", "plane"]
+    size, tables = [], ([], [], [])
+    for m, (plane, w, h, w1, h1) in enumerate(((0, 21, 19, 5, 4), (1, 10, 9, 2, 2), (0, 33, 7, 33, 7))):
+        rng = np.random.default_rng(m)
+        name = "a" if m < 2 else "b"
+        size.append((name, plane, w, h, w1, h1))
+        for rows, n, (a, b), hole in zip(tables, (1, 3, 2), ((w, h), (w, h), (w1, h1)), (False, False, False), strict=True):
+            rows += [(name, plane, x, y, *map(float, rng.random(n))) for y in range(b) for x in range(a) if not hole]
+    kind = "material string, plane int, x int, y int, "
+    level0, source, level1 = (spark.createDataFrame(rows, kind + ", ".join(f"c{i} double" for i in range(n))) for rows, n in zip(tables, (1, 3, 2), strict=True))
+    size = spark.createDataFrame(size, "material string, plane int, w0 int, h0 int, w1 int, h1 int")
+    for k in (0, 1, 2, 4):
+        want, got = (f(level0, level1, source, size, k, keys) for f in (R.site_rows, lambda *a: tiled_site_rows(*a, edge=8)))
+        assert set(want.columns) == set(got.columns)
+        at = [*keys, "x", "y", "j"]
+        both = want.join(got.withColumnsRenamed({c: f"_{c}" for c in got.columns if c not in at}), at, "full")
+        apart = [F.abs(F.col(c) - F.col(f"_{c}")) for c in want.columns if c not in at]
+        worst = both.agg(F.max(F.greatest(*apart)).alias("worst"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("s0").isNull() | F.col("_s0").isNull()).alias("lacking")).first()
+        assert worst["worst"] < 1e-12 and worst["lacking"] == 0 and worst["n"] == got.count() == (k + 1) * (21 * 19 + 10 * 9 + 33 * 7)
+    fewer = tiled_site_rows(level0.filter("x <> 3"), level1, source.filter("y <> 2"), size, 1, keys, 8)
+    assert fewer.filter("x = 3 or y = 2").count() == 0 and fewer.filter("j = 0").count() == level0.filter("x <> 3 and y <> 2").count()
