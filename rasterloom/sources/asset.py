@@ -1,8 +1,8 @@
 """Assets as files: both latents' level chains and the descriptor, written from planes or fits, read back as planes.
 
-Writing and reading are projections and two ordered aggregations (texels to rows, rows
-to levels); a level is one byte string, as the container wants it.  Reading cuts a level
-into rows of texels or blocks first and spreads those, so no task decodes a whole level.
+Writing is one ordered aggregation (texels or blocks to rows) and a stream of those rows per file; reading
+starts from ranges of a file (``dds.read_slabs``) and is projections from there on, so no task
+ever holds a level.
 """
 
 from __future__ import annotations
@@ -55,27 +55,28 @@ def _joined(pieces: Column) -> Column:
     return F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(pieces)), lambda p: p["hex"]), ""))
 
 
-def _levels(rows: DataFrame, size: DataFrame, path: str, dxgi: int, w: str, h: str) -> DataFrame:
-    """Container levels of ``rows`` (plane, y, hex: one row of texels or blocks each)."""
-    whole = rows.groupBy("plane").agg(_joined(F.struct("y", "hex")).alias("bytes"))
-    sized = R.with_extent(whole, size, {"width": w, "height": h})
-    return sized.select(F.lit(path).alias("path"), F.col("plane").alias("level"), "width", "height", F.lit(dxgi).alias("dxgi"), F.lit(FORMATS[dxgi][2]).alias("channels"), "bytes")
+def _slab_rows(rows: DataFrame, size: DataFrame, path: str, dxgi: int, w: str, h: str) -> DataFrame:
+    """Container slabs (``dds.SLAB``) of ``rows`` (plane, y, bytes: one row of texels or blocks each)."""
+    sized = R.with_extent(rows, size, {"width": w, "height": h})
+    levels = R.deepest(size) + 1
+    told = [F.lit(path).alias("path"), F.col("plane").alias("level"), "width", "height", F.lit(dxgi).alias("dxgi"), F.lit(FORMATS[dxgi][2]).alias("channels"), F.lit(levels).alias("levels")]
+    return sized.select(*told, F.col("y").alias("row"), F.lit(1).alias("rows"), "bytes")
 
 
 def plain_levels(stored: DataFrame, size: DataFrame, path: str, w: str = "w1", h: str = "h1") -> DataFrame:
-    """Levels of one to four byte channels a texel; a stored channel that isn't used holds 255."""
+    """Slabs of one to four byte channels a texel; a stored channel that isn't used holds 255."""
     own = channels(stored)
     dxgi = PLAIN[len(own)]
     texel = F.concat(*[F.lpad(F.hex(F.col(c).cast("long")), 2, "0") for c in own], *[F.lit("FF")] * (FORMATS[dxgi][2] - len(own)))
-    rows = stored.select("plane", "x", "y", texel.alias("hex")).groupBy("plane", "y").agg(F.hex(_joined(F.struct("x", "hex"))).alias("hex"))
-    return _levels(rows, size, path, dxgi, w, h)
+    rows = stored.select("plane", "x", "y", texel.alias("hex")).groupBy("plane", "y").agg(_joined(F.struct("x", "hex")).alias("bytes"))
+    return _slab_rows(rows, size, path, dxgi, w, h)
 
 
 def block_levels(blocks: DataFrame, size: DataFrame, path: str, n: int) -> DataFrame:
-    """Levels of ``n`` (one or two) channels of encoded blocks (plane, ch, bx, by, r0, r1, sel), the channels of a block side by side."""
+    """Slabs of ``n`` (one or two) channels of encoded blocks (plane, ch, bx, by, r0, r1, sel), the channels of a block side by side."""
     packed = B.pack(blocks, "__b").select("plane", "bx", F.col("by").alias("y"), "ch", F.hex("__b").alias("hex"))
-    rows = packed.groupBy("plane", "y").agg(F.hex(_joined(F.struct("bx", "ch", "hex"))).alias("hex"))
-    return _levels(rows, size, path, BLOCKED[n], "w0", "h0")
+    rows = packed.groupBy("plane", "y").agg(_joined(F.struct("bx", "ch", "hex")).alias("bytes"))
+    return _slab_rows(rows, size, path, BLOCKED[n], "w0", "h0")
 
 
 def gather_levels(indices: DataFrame, size: DataFrame) -> DataFrame:
@@ -144,33 +145,30 @@ def write(level0: DataFrame, level1: DataFrame, size: DataFrame, weights: Sequen
     levels = second
     for one in first:
         levels = levels.unionByName(one)
-    dds.save_files(dds.write_levels(levels), root)
+    dds.save_slabs(levels, root)
     spark = level0.sparkSession
     dds.save_files(spark.createDataFrame([(f"{name}.json", bytearray(text.encode()))], _FILE), root)
 
 
-def _slabs(levels: DataFrame) -> DataFrame:
-    """A row per row of texels or blocks of every level: path, plane, dxgi, y, slab; spread over the cluster."""
-    block = F.col("dxgi").isin(*BLOCK_FORMATS)
-    per = F.col("channels") * F.when(block, 8).otherwise(1)
-    stride = (F.when(block, F.ceil(F.col("width") / lit(BLOCK))).otherwise(F.col("width")) * per).cast("int")
-    count = F.when(block, F.ceil(F.col("height") / lit(BLOCK))).otherwise(F.col("height")).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(i.alias("y"), F.substring(F.col("bytes"), i * stride + 1, stride).alias("slab")))
-    rows = levels.select(F.col("level").alias("plane"), "width", "height", F.explode(parts).alias("p"))
-    return rows.select("plane", "width", "height", "p.y", "p.slab").repartition("plane", "y")
+def _lines(slabs: DataFrame) -> DataFrame:
+    """A row per row of texels or blocks of every slab: plane, width, height, y, slab; where the slab was read."""
+    stride = (F.octet_length("bytes") / F.col("rows")).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda i: F.struct((F.col("row") + i).alias("y"), F.substring(F.col("bytes"), i * stride + 1, stride).alias("slab")))
+    rows = slabs.select(F.col("level").alias("plane"), "width", "height", F.explode(parts).alias("p"))
+    return rows.select("plane", "width", "height", "p.y", "p.slab")
 
 
 def _byte(piece: Column, at: int) -> Column:
     return F.conv(F.hex(F.substring(piece, at, 1)), 16, 10).cast("int")
 
 
-def texels(levels: DataFrame, dxgi: int) -> DataFrame:
-    """Byte values (plane, x, y, c0, ...) of one file's levels, all of the format ``dxgi``; no shuffle after the rows are spread."""
+def texels(slabs: DataFrame, dxgi: int) -> DataFrame:
+    """Byte values (plane, x, y, c0, ...) of one file's slabs, all of the format ``dxgi``; without a shuffle."""
     stored, block = FORMATS[dxgi][2], dxgi in BLOCK_FORMATS
     unit = stored * 8 if block else stored
     piece = lambda i: F.substring(F.col("slab"), i * unit + 1, F.lit(unit))
     count = (F.octet_length("slab") / unit).cast("int")
-    cut = _slabs(levels).select("plane", "width", "height", "y", F.posexplode(F.transform(F.sequence(F.lit(0), count - 1), piece)).alias("x", "piece"))
+    cut = _lines(slabs).select("plane", "width", "height", "y", F.posexplode(F.transform(F.sequence(F.lit(0), count - 1), piece)).alias("x", "piece"))
     if not block:
         return cut.select("plane", "x", "y", *[_byte(F.col("piece"), 1 + c).cast("double").alias(f"c{c}") for c in range(stored)])
     rows = cut
@@ -190,11 +188,11 @@ def _read_latent(spark: SparkSession, root: str, latent: dict) -> DataFrame:
     used, out, have = latent["channels_used"], None, 0
     expected = F.array(*[F.array(*[F.lit(int(v)) for v in s]) for s in latent["mip_sizes"]])
     for file in files:
-        levels = dds.read_levels(spark, f"{root.rstrip('/')}/{file}")
-        head = levels.select("dxgi").first()["dxgi"]
-        same = (F.col("level") < latent["mip_count"]) & (F.array("width", "height") == F.element_at(expected, F.col("level") + 1))
+        slabs = dds.read_slabs(spark, f"{root.rstrip('/')}/{file}")
+        head = dds.read_slabs(spark, f"{root.rstrip('/')}/{file}", levels=[0], rows=(0, 1)).select("dxgi").first()["dxgi"]
+        same = (F.col("levels") == latent["mip_count"]) & (F.array("width", "height") == F.element_at(expected, F.col("level") + 1))
         # In a projection, not a filter: a reader's own filter on the level must not be folded into the check.
-        checked = levels.withColumn("bytes", F.when(same, F.col("bytes")).otherwise(F.raise_error(F.lit(f"{file} has other levels than its descriptor says")).cast("binary")))
+        checked = slabs.withColumn("bytes", F.when(same, F.col("bytes")).otherwise(F.raise_error(F.lit(f"{file} has other levels than its descriptor says")).cast("binary")))
         own = texels(checked, head)
         n = min(FORMATS[head][2], used - have)
         own = own.select("plane", "x", "y", *[F.col(f"c{i}").alias(f"c{have + i}") for i in range(n)])
