@@ -65,20 +65,32 @@ TEXTS_AT_ONCE, WORDS_AT_ONCE = 256, 200_000
 
 # Letters, and letter-like numbers, superscripts and fractions, which are taken out of the few words that have any.
 _WORD = re.compile(r"[^\W\d_]+")
-# Combining marks (vowel signs, tones) and joiners belong to the letters before them.
-_MARKS = "[" + re.escape("".join(c for c in map(chr, range(128, 0x110000)) if unicodedata.category(c)[0] == "M") + "\u200c\u200d") + "]"
-_MARK, _MARKED = re.compile(_MARKS), re.compile(rf"(?:[^\W\d_]+{_MARKS}*)+")
+# Combining marks (vowel signs, tones) and joiners belong to the letters before them; none comes before U+0300.
+# Two classes, as one within the first 65,536 characters is a table and one beyond is searched range by range.
+_MARKS, _FAR_MARKS = ("[" + re.escape("".join(c for c in map(chr, range(*span)) if unicodedata.category(c)[0] == "M") + more) + "]" for span, more in (((128, 0x10000), "\u200c\u200d"), ((0x10000, 0x110000), "")))
+_LATER, _FAR = re.compile("[\u0300-\U0010ffff]"), re.compile("[\U00010000-\U0010ffff]")
+_MARK, _FAR_MARK = re.compile(_MARKS), re.compile(_FAR_MARKS)
+_MARKED, _FAR_MARKED = re.compile(rf"(?:[^\W\d_]+{_MARKS}*)+"), re.compile(rf"(?:[^\W\d_]+(?:{_MARKS}|{_FAR_MARKS})*)+")
 _FIGURE = re.compile("[" + re.escape("".join(c for c in map(chr, range(128, 0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())) + "]")
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
+def _pattern(text: str) -> re.Pattern[str]:
+    """The pattern of words, with marks only where the text has some."""
+    if text.isascii() or not _LATER.search(text):
+        return _WORD
+    if _FAR.search(text) and _FAR_MARK.search(text):
+        return _FAR_MARKED
+    return _MARKED if _MARK.search(text) else _WORD
+
+
 def letters(text: str | bytes | None) -> list[str]:
     if text is None:
         return []
     if isinstance(text, bytes):
         text = text.decode("utf-8", "replace")
     text = text.lower()
-    words = (_WORD if text.isascii() or not _MARK.search(text) else _MARKED).findall(text)
+    words = _pattern(text).findall(text)
     joined = "".join(words)
     if not joined:
         return []

@@ -201,6 +201,7 @@ def test_words_keep_their_marks():
     assert language.letters("ที่นี่ กำลัง") == ["ที่นี่", "กำลัง"]
     assert language.letters("café ́ ẍy می‌خواهم") == ["café", "ẍy", "می‌خواهم"]
     assert language.letters("́ ‍ 12") == []
+    assert language.letters("\U00011013\U0001103a\U00011022 x\U0001d165y") == ["\U00011013\U0001103a\U00011022", "x\U0001d165y"]
     long = "กำลั" * 60
     assert "".join(language.letters(long)) == long and all(len(w.encode()) <= language.WIDTH for w in language.letters(long))
 
