@@ -6,7 +6,7 @@ file (the first bytes of containers and pictures, all of a descriptor) and never
 one: what can't be read is a row with its reason, the quarantine, and the others go on.
 
 Defined cases: of equal versions the larger (size, digest) of a name wins, and a file beats a tombstone; names keep their
-folders; an empty file is damaged; a descriptor that names a file which is missing, damaged
+folders; Spark's binary source leaves empty files out, so they aren't in a snapshot (and are damaged if named); a descriptor that names a file which is missing, damaged
 or a path is listed with that; an empty folder gives empty tables.
 """
 

@@ -14,12 +14,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from rasterloom.sources.images import decode_bmp, decode_png, to_rgb
+from rasterloom.sources.images import decode, to_rgb
 
 STATS = "path string, modificationTime timestamp, width int, height int, channel int, mean double, least double, most double"
 
 
-def image_stats(spark: SparkSession, folder: str, pattern: str = "*.{png,bmp}") -> DataFrame:
+def image_stats(spark: SparkSession, folder: str, pattern: str = "*.{png,bmp,tga,psd,hdr,pic,pgm,ppm,pnm}") -> DataFrame:
     """A streaming row per channel of every arriving image."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", pattern).load(folder)
@@ -29,7 +29,7 @@ def image_stats(spark: SparkSession, folder: str, pattern: str = "*.{png,bmp}")
             rows = []
             for path, stamp, content in zip(pdf["path"], pdf["modificationTime"], pdf["content"], strict=True):
                 data = bytes(content)
-                rgb = to_rgb(decode_png(data) if data[:4] == b"\x89PNG" else decode_bmp(data))[0] / 255.0
+                rgb = to_rgb(decode(data))[0] / 255.0
                 rows += [(path, stamp, rgb.shape[1], rgb.shape[0], c, float(np.mean(rgb[..., c])), float(rgb[..., c].min()), float(rgb[..., c].max())) for c in range(3)]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in STATS.split(", ")])
 
