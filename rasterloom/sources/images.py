@@ -197,6 +197,28 @@ def read(spark: SparkSession, path: str, pattern: str = "*.{png,bmp,tga,psd,hdr,
     return files.select("path", "content").mapInPandas(parse, PIXELS)
 
 
+def read_checked(spark: SparkSession, path: str, pattern: str = "*.{png,bmp,tga,psd,hdr,pic,pgm,ppm,pnm}") -> tuple[DataFrame, DataFrame]:
+    """The pixels of the files that can be decoded, and (path, reason) of the others; each is a scan of its own."""
+
+    def parse(wanted: bool):
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in parts:
+                for name, content in zip(pdf["path"], pdf["content"], strict=True):
+                    try:
+                        image = decode(bytes(content))
+                    except Exception as e:  # whatever a damaged file does to a decoder, it is a row
+                        if not wanted:
+                            yield pd.DataFrame({"path": [name], "reason": [str(e) or type(e).__name__]})
+                        continue
+                    if wanted:
+                        yield from _pixels(name, image)
+
+        return run
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
+    return files.mapInPandas(parse(True), PIXELS), files.mapInPandas(parse(False), "path string, reason string")
+
+
 def read_any(spark: SparkSession, path: str) -> DataFrame:
     """The same rows through Spark's image source (JPEG, GIF and more), whose bytes are BGR and bottom-free. Fails on a file that it can't decode."""
     rows = spark.read.format("image").option("dropInvalid", "false").load(path).select("image.*")

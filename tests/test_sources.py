@@ -50,6 +50,15 @@ def test_undecodable_images_fail(spark, tmp_path):
         images.read_any(spark, str(tmp_path)).collect()
 
 
+def test_undecodable_images_can_be_rows(spark, tmp_path):
+    rgb = np.zeros((2, 3, 3), np.uint8)
+    for name, data in (("a.png", images.encode_png(rgb)), ("b.png", images.encode_png(rgb)[:-9]), ("c.tga", b"not a picture"), ("d.bmp", images.encode_bmp(rgb))):
+        (tmp_path / name).write_bytes(data)
+    pixels, failed = images.read_checked(spark, str(tmp_path))
+    assert pixels.count() == 12 and {r["path"][-5:] for r in pixels.collect()} == {"a.png", "d.bmp"}
+    assert sorted(r["path"][-5:] for r in failed.collect()) == ["b.png", "c.tga"] and all(r["reason"] for r in failed.collect())
+
+
 def test_materials_are_strict(spark, tmp_path):
     assert material.parse_text('[{"file": "a.png", "srgb": true}]')[1] is None
     for text in ('[{"file": "a", "file": "b"}]', '[{"file": "a", "colour": 1}]', "[]", "{", '[{"file": "a", "srgb": 1}]', '[{"srgb": true}]', '[{"file": "a", "normal_map": true, "srgb": true}]', '[{"file": "a", "filter": "cubic"}]'):
