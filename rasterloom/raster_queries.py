@@ -454,47 +454,6 @@ def q24(spark, d):
     return _rounded(projected.crossJoin(peak).select("x", "y", (F.col("p") / F.col("peak")).alias("v")), 6)
 
 
-def _plane_step(spark, d, step, schema: str) -> DataFrame:
-    """``step`` on the events raster's planes, packed as one group."""
-    import pandas as pd
-
-    from rasterloom.plans.fit import to_array
-
-    source, size, w, h = _base(spark, d)
-    l0, l1 = luma_plane(source), mean_plane(source, size)
-    tagged = lambda df, name, n: df.select(F.lit(name).alias("part"), "x", "y", *[F.col(f"c{i}") if i < n else F.lit(0.0).alias(f"c{i}") for i in range(3)])
-    rows = tagged(source, "src", 3).unionByName(tagged(l0, "l0", 1)).unionByName(tagged(l1, "l1", 2))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        from rasterloom.operators import latents as L
-
-        part = lambda name, n: to_array(pdf[pdf["part"] == name], [f"c{i}" for i in range(n)])
-        return step(L, np, L.Plane(part("l0", 1), part("l1", 2), part("src", 3)), np.array(W), np.array(BIAS), np.array(CW))
-
-    return rows.withColumn("plane", F.lit(0)).groupBy("plane").applyInPandas(run, schema)
-
-
-_STEP = "step string, error double, moved long"
-
-
-def q45(spark, d):
-    def step(L, np, p, w, b, cw):  # noqa: N803
-        import pandas as pd
-
-        lo, hi = np.full(2, -1.0), np.full(2, 1.0)
-        p.k1 = L.grid_index(lo, hi, 6, p.v1)
-        p.v1 = L.grid_value(lo, hi, 6, p.k1)
-        rows = [("snapped", L.plane_error(p, w, b, cw, 4)[0], 0)]
-        for sweep in range(3):
-            moved = L.grid_sweep(p, w, b, cw, 4, 1e-4, False, lo, hi, 6, 1).moved
-            rows.append((f"sweep{sweep}", L.plane_error(p, w, b, cw, 4)[0], moved))
-        return pd.DataFrame(rows, columns=["step", "error", "moved"])
-
-    return _rounded(_plane_step(spark, d, step, _STEP), 3)
-
-
 def q47(spark, d):
     from rasterloom.functions.config import Options
     from rasterloom.plans.fit import fit_report, with_material
@@ -601,7 +560,6 @@ NAMES |= {
     "q24_leading_direction": q24,
     "q42_descriptor_files": q42,
     "q43_settings_merge": q43,
-    "q45_grid_sweep": q45,
     "q47_material_fit": q47,
     "q57_tiled_rounds": q57,
 }
