@@ -566,6 +566,6 @@ NAMES |= {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from rasterloom import fit_queries, setting_queries
+    from rasterloom import fit_queries, picture_queries, setting_queries
 
-    return NAMES | fit_queries.NAMES | setting_queries.NAMES
+    return NAMES | fit_queries.NAMES | setting_queries.NAMES | picture_queries.NAMES

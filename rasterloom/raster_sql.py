@@ -462,6 +462,6 @@ SELECT ch, bx::int AS bx, yb::int AS "by", r0, r1, bits, printf('%02x%02x', r0,
         "q50_embeddings_box": f"WITH em AS (SELECT unnest(range(64))::int AS x, vec_id::int AS y, greatest(0.0::double, least(1.0::double, 0.5::double + unnest(embedding)::double)) AS c0 FROM embeddings), dims AS (SELECT count(*)::int AS h FROM embeddings), half AS (SELECT x // 2 AS hx, y // 2 AS hy, avg(c0) AS m FROM em, dims WHERE y < h // 2 * 2 GROUP BY ALL), e AS (SELECT x, abs({_byte('c0')} - {_byte('round(m, 9)')}) AS d FROM em JOIN half ON x // 2 = hx AND y // 2 = hy) SELECT (x // 16)::int AS band, max(d) AS max_diff, round(avg((d * d)::double), 6) AS mse, count(*)::bigint AS n FROM e GROUP BY ALL",
     }
     out["q58_report"] = _report(out, objective(15))
-    from rasterloom import fit_queries, setting_queries
+    from rasterloom import fit_queries, picture_queries, setting_queries
 
-    return out | fit_queries.oracle_sql() | setting_queries.oracle_sql()
+    return out | fit_queries.oracle_sql() | setting_queries.oracle_sql() | picture_queries.oracle_sql()
