@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,7 +105,84 @@ def q68(spark: SparkSession, d: str) -> DataFrame:
     return merged.join(broken, "t", "left")
 
 
-NAMES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"q66_part_scalars": q66, "q67_order_texts": q67, "q68_part_settings": q68}
+def q75(spark: SparkSession, d: str) -> DataFrame:
+    """A material's text for every nation, as it should be and broken in four ways; those that are right are read from files as well."""
+    from rasterloom.session import shared_path
+    from rasterloom.sources import dds, material
+
+    customers = fixtures.table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    forms = [
+        '[{"file": "n%s.png", "weight": %s, "srgb": true}]',
+        '[{"file": "n%s.png", "wieght": %s}]',
+        '[{"file": "n%s.png", "weight": 1, "weight": %s}]',
+        '[{"file": "n%s.png", "weight": "%s"}]',
+        '[{"file": "n%s.png", "weight": %s, "normal_map": true, "srgb": true}]',
+        '[{"file": "n%s.png"}, {"file": "/all/%s.png", "filter": "mitchell", "edge": "wrap"}]',
+    ]
+    text = F.format_string(forms[0], "k", "n")
+    for i, form in enumerate(forms[1:], 1):
+        text = F.when(F.col("k") % 6 == i, F.format_string(form, "k", "n")).otherwise(text)
+    texts = customers.select("k", text.alias("text")).withColumn("m", material.parse(F.col("text")))
+    told = texts.select("k", F.col("m.error").alias("error"), F.coalesce(F.size("m.textures"), F.lit(0)).alias("textures"))
+    told = told.withColumn("textures", F.greatest(F.lit(0), F.col("textures")))
+    root = shared_path(spark, "materials")
+    good = texts.filter("m.error is null")
+    dds.save_files(good.select(F.format_string("n%s.json", "k").alias("path"), F.encode("text", "UTF-8").alias("content")), root)
+    read = material.read(spark, f"{root}/*.json").select(F.regexp_extract("material_id", r"n(\d+)\.json$", 1).cast("int").alias("k"), "t", "file", "filter", "edge", "srgb", "weight", S.base_name(F.col("source")).alias("base"), F.col("source").startswith("/all/").alias("absolute"))
+    return told.join(read, "k", "left").filter(F.col("t").isNull() | (F.col("t") == F.col("textures") - 1)).drop("t")
+
+
+def q76(spark: SparkSession, d: str) -> DataFrame:
+    """A descriptor for every nation, some broken, some not one: found, judged, summed up, and its files resolved."""
+    from rasterloom.session import shared_path
+    from rasterloom.sources import dds, descriptor
+
+    customers = fixtures.table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+
+    def text_of(k: int, n: int) -> str:
+        w, h = 8 * (1 + n % 8), 8 * (1 + k % 5)
+
+        def latent(i: int, dxgi: int, a: int, b: int) -> dict:
+            return {"file": f"n{k}_{i}.dds", "mip_count": 2, "mip_sizes": [[a, b], [a // 2, b // 2]], "dxgi_format_id": dxgi, "dxgi_format": f"F{dxgi}", "dequantise": {"lo": [-1.0], "hi": [1.0]}}
+
+        value = json.loads(descriptor.build(w, h, 1, 1, 1, [[1.0, 2.0, 3.0]] * 3, [0.0] * 3, [latent(0, 80, w, h), latent(1, 61, w // 4, h // 4)]))
+        if k % 4 == 1:
+            value["decoder"]["nin"] = 4
+        if k % 4 == 2:
+            value["textures"][1]["mip_count"] = 1
+        return json.dumps({"hello": k} if k % 7 == 3 else value)
+
+    def build(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            yield pd.DataFrame([(f"n{k}.json", text_of(int(k), int(n)).encode()) for k, n in zip(pdf["k"], pdf["n"], strict=True)], columns=["path", "content"])
+
+    root = shared_path(spark, "descriptors")
+    dds.save_files(customers.mapInPandas(build, "path string, content binary"), root)
+    found = descriptor.find(descriptor.read(spark, root))
+    files = customers.filter("k % 3 > 0").select(F.explode(F.array(*[F.format_string(f"n%s_{i}.dds", "k") for i in (0, 1)])).alias("file"))
+    states = descriptor.resolve(descriptor.named_files(found), files).groupBy("name").agg(F.count_if(F.col("state") == "have").alias("have"), F.count_if(F.col("state") == "missing").alias("missing"))
+    wrong = descriptor.violations(found).groupBy("name").agg(F.array_join(F.sort_array(F.collect_list("error")), "; ").alias("errors"))
+    rows = descriptor.summary(found).join(states, "name").join(wrong, "name", "left")
+    return rows.withColumn("prefix", descriptor.prefix_of(F.col("name")))
+
+
+NAMES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "q66_part_scalars": q66,
+    "q67_order_texts": q67,
+    "q68_part_settings": q68,
+    "q75_nation_materials": q75,
+    "q76_nation_descriptors": q76,
+}
+
+_MATERIALS = """WITH c AS (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1)
+SELECT k, CASE k % 6 WHEN 1 THEN 'texture 0: unknown key ''wieght''' WHEN 2 THEN 'key ''weight'' is given twice' WHEN 3 THEN 'texture 0: ''weight'' has the wrong kind of value' WHEN 4 THEN 'texture 0: a normal map isn''t srgb' END AS error,
+  CASE k % 6 WHEN 0 THEN 1 WHEN 5 THEN 2 ELSE 0 END AS textures, CASE k % 6 WHEN 0 THEN 'n' || k || '.png' WHEN 5 THEN '/all/' || n || '.png' END AS file,
+  CASE WHEN k % 6 = 5 THEN 'mitchell' END AS filter, CASE WHEN k % 6 = 5 THEN 'wrap' END AS edge, CASE WHEN k % 6 = 0 THEN true END AS srgb, CASE WHEN k % 6 = 0 THEN n::double END AS weight,
+  CASE k % 6 WHEN 0 THEN 'n' || k || '.png' WHEN 5 THEN n || '.png' END AS base, CASE k % 6 WHEN 0 THEN false WHEN 5 THEN true END AS absolute FROM c"""
+_DESCRIPTORS = """WITH c AS (SELECT c_nationkey AS k, 8 * (1 + count(*) % 8) AS w, 8 * (1 + c_nationkey % 5) AS h FROM customer GROUP BY 1)
+SELECT 'n' || k || '.json' AS name, w::int AS width, h::int AS height, 1 AS textures, 'F80' AS level0, ((w // 4) * (h // 4) * 8 + ((w // 2 + 3) // 4) * ((h // 2 + 3) // 4) * 8 + (w // 4) * (h // 4) + (w // 8) * (h // 8))::bigint AS bytes,
+  CASE WHEN k % 3 > 0 THEN 2 ELSE 0 END::bigint AS have, CASE WHEN k % 3 > 0 THEN 0 ELSE 2 END::bigint AS missing,
+  CASE k % 4 WHEN 1 THEN 'as many weights as nin times nout; nin is C1 + C0 + C0 * C1' WHEN 2 THEN 'a size for every mip; equal mip counts' END AS errors, 'n' || k AS prefix FROM c WHERE k % 7 <> 3"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -119,6 +198,8 @@ def oracle_sql() -> dict[str, str]:
     pair = "'^(-?[0-9]+)x(-?[0-9]+)$'"
     part = lambda i: f"CASE WHEN regexp_matches(text, {pair}) THEN regexp_extract(text, {pair}, {i})::int END"
     return {
+        "q75_nation_materials": _MATERIALS,
+        "q76_nation_descriptors": _DESCRIPTORS,
         "q66_part_scalars": f"""WITH p AS (SELECT p_partkey AS k, (p_partkey * 7 % 256)::int AS r0, (p_partkey * 13 % 256)::int AS r1, (p_partkey % 8)::int AS s, {listed(DXGI)}[p_partkey % 6 + 1] AS dxgi, {listed(PATHS)}[p_partkey % 5 + 1] AS path, p_partkey % 16 + 1 AS side, (p_partkey % 97 + 1) AS w, (p_partkey % 61 + 1) AS h FROM part)
 SELECT k, round(CASE WHEN greatest(r0, r1) > 0 THEN abs(r0 - r1)::double / greatest(r0, r1) ELSE 0 END, 9) AS relative, greatest(0, least(k % 200 - 100, 49))::int AS clamped,
   round(CASE s WHEN 0 THEN 1.0::double WHEN 1 THEN 0 ELSE (8 - s)::double / 7 END, 9) AS weight8, (-1.5::double + r0::double / 255 * 2.75)::float::double AS byte_value,

@@ -109,7 +109,7 @@ def examine(spark: SparkSession, root: str, names: DataFrame) -> DataFrame:
 
     binary = names.filter("lower(name) not like '%.json'").select("name", "size").mapInPandas(run, EXAMINED)
     texts = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(root, wholetext=True)
-    texts = texts.select(_below(F.input_file_name(), root).alias("name"), F.col("value").alias("text")).join(names.select("name"), "name", "left_semi")
+    texts = texts.select(_below(F.col("_metadata.file_path"), root).alias("name"), F.col("value").alias("text")).join(names.select("name"), "name", "left_semi")
     parsed = texts.select("name", descriptor.parse(F.col("text")).alias("d"), descriptor.is_descriptor(F.col("text")).alias("is"))
     wrong = descriptor.violations(parsed.filter("is")).groupBy("name").agg(F.array_join(F.sort_array(F.collect_list("error")), "; ").alias("broken"))
     told = parsed.join(wrong, "name", "left")

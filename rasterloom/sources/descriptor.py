@@ -95,7 +95,7 @@ def summary(parsed: DataFrame) -> DataFrame:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(name, text) of the JSON files of a folder."""
     files = spark.read.text(path, wholetext=True, pathGlobFilter="*.json")
-    return files.select(base_name(F.input_file_name()).alias("name"), F.col("value").alias("text"))
+    return files.select(base_name(F.col("_metadata.file_path")).alias("name"), F.col("value").alias("text"))
 
 
 def prefix_of(name: Column, ending: str = "") -> Column:

@@ -64,7 +64,7 @@ def parse(text: Column) -> Column:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """material_id (the file), t, the settings, and ``source``: the texture's path resolved against the file's folder."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("material_id"), parse(F.col("value")).alias("m"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("material_id"), parse(F.col("value")).alias("m"))
     ok = files.filter(F.assert_true(F.col("m.error").isNull(), F.concat(F.col("material_id"), F.lit(": "), F.col("m.error"))).isNull())
     rows = ok.select("material_id", F.posexplode("m.textures").alias("t", "s")).select("material_id", "t", "s.*")
     folder = F.regexp_replace("material_id", r"[^/]*$", "")
