@@ -352,7 +352,7 @@ spans AS (
   SELECT r, kind, i, e - length(v) AS s, e, right(a, {c + 1}) AS l, left(b, {c + 1}) AS n, kind || ':' || CASE kind WHEN 0 THEN lower(v) WHEN 1 THEN v ELSE d END AS entity
   FROM placed
   WHERE CASE kind WHEN 0 THEN true
-    WHEN 1 THEN len(list_filter(string_split(v, '.'), lambda x: x::hugeint > 255)) = 0
+    WHEN 1 THEN len(list_filter(string_split(v, '.'), lambda x: CASE WHEN length(ltrim(x, '0')) > 3 THEN true ELSE ('0' || ltrim(x, '0'))::int > 255 END)) = 0
     WHEN 2 THEN length(d) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length(d) + 1), lambda j: CASE WHEN (length(d) - j) % 2 = 0 THEN d[j]::int ELSE d[j]::int * 2 - CASE WHEN d[j]::int > 4 THEN 9 ELSE 0 END END)) % 10 = 0
     ELSE length(d) BETWEEN 10 AND 15 END
 ),
