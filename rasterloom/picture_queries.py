@@ -17,6 +17,7 @@ from rasterloom.sources import asset, dds, images
 
 SHRUNK = 2
 DIVISOR = 0.75
+CROPPED = (64, 200)
 
 
 def _seen(spark: SparkSession, root: str) -> DataFrame:
@@ -85,6 +86,21 @@ def q74(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(summary(told.withColumn("difference", F.col("max_diff"))), 6)
 
 
+def q77(spark: SparkSession, d: str) -> DataFrame:
+    """Both rasters' pictures cropped and expanded to one size, the first as grey, and read back through the material file."""
+    from rasterloom.sources import crop, material
+
+    root, out = shared_path(spark, "originals"), shared_path(spark, "cropped")
+    events, orders, _, _ = fixtures.both_rasters(spark, d)
+    named = [_as_bytes(df).withColumn("path", F.lit(f"{name}.png")) for name, df in (("events", events), ("orders", orders))]
+    dds.save_files(images.encode(named[0].unionByName(named[1])), root)
+    told = crop.crop_set(spark, [f"{root}/{n}.png" for n in ("events", "orders")], *CROPPED, out, "c", "center", (3, -2), "set.json", gray_first=True)
+    sums = [F.sum(F.round(F.col(f"c{i}") * 255).cast("long")).alias(f"s{i}") for i in range(3)]
+    read = images.read(spark, out).groupBy(S.base_name(F.col("path")).alias("file")).agg(F.count(F.lit(1)).alias("pixels"), *sums, F.sum(F.round(F.col("c0") * 255).cast("long") * (F.col("x") + 3 * F.col("y"))).alias("placed"))
+    listed = material.read(spark, f"{out}/*.json").select("t", "file", "filter", "weight")
+    return told.join(read, "file").join(listed, "file")
+
+
 NAMES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q69_pictures": q69,
     "q70_level_pictures": q70,
@@ -92,6 +108,7 @@ NAMES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q72_level1_movement": q72,
     "q73_residual_seed": q73,
     "q74_frame_checks": q74,
+    "q77_crop_set": q77,
 }
 
 
@@ -111,7 +128,14 @@ def oracle_sql() -> dict[str, str]:
         box = box.replace(f"(greatest(1, {n} // 2)::double / {n})) AS d, w, h", f"(greatest(1, {n} // 2)::double / {n})) AS d, greatest(1, {n} // 2)::double / {n} AS s, w, h")
     other = {"near": ", ".join(f"least(1.0::double, c{i} + {i / 255.0!r}::double) AS c{i}" for i in range(3)), "grey": "c0, c0 AS c1, c0 AS c2"}
     frames = " UNION ALL ".join([*[f"SELECT '{name}' AS name, plane, x, y, {c} FROM evf" for name, c in other.items()], "SELECT 'orders', plane, x, y, c0, c1, c2 FROM odf"])
+    cw, ch = CROPPED
+    axis = lambda n, to, off: f"CASE WHEN {n} <= {to} THEN 0 ELSE greatest(0, least({n} - {to}, ({n} - {to}) // 2 + {off})) END"
     return {
+        "q77_crop_set": f"""WITH {_BOTH}, a AS (SELECT 1 AS n, x, y, {bytes_('')} FROM evf UNION ALL SELECT 2, x, y, {bytes_('')} FROM odf),
+g AS (SELECT max(x) + 1 AS w, max(y) + 1 AS h FROM evf),
+spot AS (SELECT px, py, {axis('w', cw, 3)} + least(px, least(w, {cw}) - 1) AS x, {axis('h', ch, -2)} + least(py, least(h, {ch}) - 1) AS y FROM g, (SELECT unnest(range({cw})) AS px), (SELECT unnest(range({ch})) AS py)),
+c AS (SELECT n, px AS x, py AS y, CASE n WHEN 1 THEN (19595 * b0 + 38470 * b1 + 7471 * b2 + 32768) >> 16 ELSE b0 END AS b0, CASE n WHEN 1 THEN (19595 * b0 + 38470 * b1 + 7471 * b2 + 32768) >> 16 ELSE b1 END AS b1, CASE n WHEN 1 THEN (19595 * b0 + 38470 * b1 + 7471 * b2 + 32768) >> 16 ELSE b2 END AS b2 FROM spot JOIN a USING (x, y))
+SELECT n, 'c' || n || '.png' AS file, any_value(g.w) AS source_width, any_value(g.h) AS source_height, CASE n WHEN 1 THEN 1 ELSE 3 END AS channels, {cw} AS width, {ch} AS height, count(*)::bigint AS pixels, {sums}, sum(b0 * (x + 3 * y))::bigint AS placed, n - 1 AS t, 'mitchell' AS filter, 1.0::double AS weight FROM c, g GROUP BY n""",
         "q69_pictures": f"WITH {_BOTH}, a AS (SELECT 'events' AS n, x, y, {bytes_('')} FROM evf UNION ALL SELECT 'orders', x, y, {bytes_('')} FROM odf) SELECT n || k AS name, {seen} FROM a, (VALUES ('.png'), ('.bmp')) f(k) GROUP BY n, k",
         "q70_level_pictures": f"{_head(3)}, a AS (SELECT plane, x, y, {bytes_('')} FROM src) SELECT 'p_src' || CASE WHEN plane > 0 THEN '_M' || plane ELSE '' END || '.png' AS name, {seen} FROM a GROUP BY plane",
         "q71_box_resize": box,

@@ -118,12 +118,12 @@ def decode_png(data: bytes) -> np.ndarray:
     return image
 
 
-def encode_png(rgb: np.ndarray) -> bytes:
-    """An 8-bit RGB picture."""
-    h, w = rgb.shape[:2]
-    raw = np.concatenate([np.zeros((h, 1), np.uint8), rgb.astype(np.uint8).reshape(h, w * 3)], 1).tobytes()
+def encode_png(image: np.ndarray) -> bytes:
+    """An 8-bit picture of (h, w, channels): grey, grey and alpha, RGB, or RGB and alpha."""
+    h, w, n = image.shape
+    raw = np.concatenate([np.zeros((h, 1), np.uint8), image.astype(np.uint8).reshape(h, w * n)], 1).tobytes()
     chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
-    return _PNG + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw, 6)) + chunk(b"IEND", b"")
+    return _PNG + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, {1: 0, 2: 4, 3: 2, 4: 6}[n], 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw, 6)) + chunk(b"IEND", b"")
 
 
 def decode_bmp(data: bytes) -> np.ndarray:
