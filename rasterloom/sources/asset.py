@@ -308,3 +308,78 @@ def fitted_files(fitted: DataFrame, options: Options | None = None) -> DataFrame
         return pd.DataFrame(files, columns=["path", "content"])
 
     return fitted.groupBy("material_id").applyInPandas(build, _FILE)
+
+
+def encoded_slabs(encoded, sizes: Sequence[tuple[int, int, int, int, int]], options: Options, edge: int) -> DataFrame:
+    """Container slabs (``dds.SLAB``) of tiles that ``plans.encode`` gave: every tile's part of a row, put together by row.
+
+    A level-1 value that isn't on its grid, or an index that isn't closed, fails.
+    """
+    from rasterloom.operators import latents as L
+    from rasterloom.plans import packing as Q
+    from rasterloom.plans import tiles as T
+
+    c0, c1, bits1, bits0, packed = options.c0, options.c1, options.bits1, list(options.palette_bits), options.l0 == "bc8"
+    counts = [level0_file_channels(c0, i) for i in range(level0_files(c0))]
+    stored1, mips = FORMATS[PLAIN[c1]][2], len(sizes)
+    schema = "path string, level int, width int, height int, dxgi int, channels int, row int, tx int, bytes binary"
+
+    def plain(k: np.ndarray, bits: Sequence[int], stored: int) -> np.ndarray:
+        own = np.stack([L.replicate(k[..., c], bits[c]) for c in range(k.shape[2])], 2)
+        return np.concatenate([own, np.full((*k.shape[:2], stored - k.shape[2]), 255)], 2).astype(np.uint8)
+
+    def rows_of(r) -> list[tuple]:
+        own0, own1 = T.Grid(r.h0, r.w0, r.h1, r.w1, edge).own(r.ty, r.tx)
+        lo1, hi1 = np.asarray(r.lo1, float), np.asarray(r.hi1, float)
+        v1 = T._array(r.v1, own1)
+        k1 = L.grid_index(lo1, hi1, bits1, v1)
+        if not (L.grid_value(lo1, hi1, bits1, k1) == v1).all():
+            raise ValueError(f"{r.material_id}: a level-1 value isn't on its grid")
+        out, name = [], r.material_id
+        data = plain(k1, [bits1] * c1, stored1)
+        out += [(f"{name}_level1.dds", r.plane, r.w1, r.h1, PLAIN[c1], stored1, own1[0] + y, r.tx, data[y].tobytes()) for y in range(own1[2])]
+        if packed:
+            r0, r1, sel = Q._blocks_of(r, own0, c0)
+            for i, file in enumerate(_level0_names(name, c0)):
+                part = slice(sum(counts[:i]), sum(counts[: i + 1]))
+                dxgi = BLOCKED[counts[i]]
+                out += [(file, r.plane, r.w0, r.h0, dxgi, FORMATS[dxgi][2], own0[0] // BLOCK + y, r.tx, _block_bytes(r0[y : y + 1, :, part], r1[y : y + 1, :, part], sel[y : y + 1, :, part])) for y in range(len(r0))]
+        else:
+            v0, stored0 = T._array(r.v0, own0), FORMATS[PLAIN[c0]][2]
+            tables = [L.grid_value(np.array(-1.0), np.array(1.0), b, np.arange(1 << b)) for b in bits0]
+            k0 = np.stack([np.abs(v0[..., c, None] - t).argmin(-1) for c, t in enumerate(tables)], 2)
+            data = plain(k0, bits0, stored0)
+            out += [(f"{name}_level0.dds", r.plane, r.w0, r.h0, PLAIN[c0], stored0, own0[0] + y, r.tx, data[y].tobytes()) for y in range(own0[2])]
+        return out
+
+    def work(parts):
+        for pdf in parts:
+            for r in pdf.itertuples(index=False):
+                yield pd.DataFrame(rows_of(r), columns=[c.split()[0] for c in schema.split(", ")])
+
+    pieces = encoded.tiles.join(encoded.grids, "material_id").mapInPandas(work, schema).withColumn("hex", F.hex("bytes"))
+    rows = pieces.groupBy("path", "level", "row").agg(*[F.first(c).alias(c) for c in ("width", "height", "dxgi", "channels")], _joined(F.struct("tx", "hex")).alias("bytes"))
+    return rows.select("path", "level", "width", "height", "dxgi", "channels", F.lit(mips).alias("levels"), "row", F.lit(1).alias("rows"), "bytes")
+
+
+def write_encoded(encoded, sizes: Sequence[tuple[int, int, int, int, int]], root: str, options: Options | None = None, edge: int = 128) -> None:
+    """The assets of all materials that ``plans.encode`` gave, by slabs: containers first, descriptors last.
+
+    The driver sees a row per material: its decoder and its grids.
+    """
+    o = options or Options()
+    dds.save_slabs(encoded_slabs(encoded, sizes, o, edge), root)
+    packed = o.l0 == "bc8"
+    counts = [level0_file_channels(o.c0, i) for i in range(level0_files(o.c0))]
+    sizes0, sizes1 = [s[1:3] for s in sorted(sizes)], [s[3:5] for s in sorted(sizes)]
+    texts = []
+    for r in encoded.models.select("material_id", "w", "b").join(encoded.grids, "material_id").toLocalIterator():
+        bias = np.frombuffer(bytes(r["b"]), "<f8")
+        weights = np.frombuffer(bytes(r["w"]), "<f8").reshape(len(bias), -1)
+        names = _level0_names(r["material_id"], o.c0) if packed else [f"{r['material_id']}_level0.dds"]
+        dxgi0 = [BLOCKED[n] for n in counts] if packed else [PLAIN[o.c0]]
+        first = _entry(names, 0, sizes0, dxgi0, o.c0, r["lo0"], r["hi0"], [8] * o.c0 if packed else list(o.palette_bits))
+        second = _entry([f"{r['material_id']}_level1.dds"], 1, sizes1, [PLAIN[o.c1]], o.c1, r["lo1"], r["hi1"], [o.bits1] * o.c1)
+        text = descriptor.build(*sizes0[0], len(bias) // 3, o.c0, o.c1, weights.tolist(), bias.tolist(), [first, second])
+        texts.append((f"{r['material_id']}.json", bytearray(text.encode())))
+    dds.save_files(encoded.tiles.sparkSession.createDataFrame(texts, _FILE), root)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tests.test_tiles import rows
 
 from rasterloom.functions.config import Options
@@ -30,7 +31,7 @@ def sizes_of(a: np.ndarray, o: Options):
 
 
 @pytest.mark.parametrize(("options", "edge"), [(Options(c0=1, c1=2, rounds=3, bc_refine=2, bc_outer=1, mip_min=16), 128), (Options(c0=1, c1=2, l0="palette", bits0=(2,), rounds=2, q1_start=1, init="pca", mips=False), 128)])
-def test_one_tile_is_the_whole_plane(spark, options, edge):
+def test_one_tile_is_the_whole_plane(spark, tmp_path, options, edge):
     """Planes of a single tile go through the same steps as in one task."""
     a = picture(68, 100, 1)
     chain, sizes = E.chain_of(rows(spark, a).drop("material_id"), 100, 68, "m", options)
@@ -45,9 +46,25 @@ def test_one_tile_is_the_whole_plane(spark, options, edge):
     assert min(mine.values()) == pytest.approx(min(theirs.values()), rel=0.02)
     final = T.errors(got.tiles.select(*T._names(T.TILE)), got.models, [1.0] * 3, options, edge).first()["error"]
     assert final == pytest.approx(m.error(), rel=0.02)
+    check_files(spark, got, sizes, options, edge, f"file:{tmp_path}/one")
 
 
-def test_materials_of_many_tiles(spark):
+def check_files(spark, got, sizes, o, edge, root):
+    """What the files of an encode give back is what its tiles hold."""
+    from rasterloom.sources import asset
+
+    asset.write_encoded(got, sizes, root, o, edge)
+    for name in {r["material_id"] for r in got.models.collect()}:
+        found = asset.load(spark, root, name)
+        for level0, plane, n in ((True, found.level0, o.c0), (False, found.level1, o.c1)):
+            mine = T.planes(got.tiles.filter(f"material_id = '{name}'"), level0, n, edge).drop("material_id")
+            both = mine.join(plane.withColumnsRenamed({f"c{i}": f"d{i}" for i in range(n)}), ["plane", "x", "y"], "full")
+            worst = both.agg(*[F.max(F.abs(F.col(f"c{i}") - F.col(f"d{i}"))).alias(f"w{i}") for i in range(n)], F.count_if(F.col("c0").isNull() | F.col("d0").isNull()).alias("lacking")).first()
+            assert worst["lacking"] == 0 and all(worst[f"w{i}"] < 1e-6 for i in range(n))
+        assert asset.closure(found).filter("off_grid > 0 or not_closed > 0").count() == 0
+
+
+def test_materials_of_many_tiles(spark, tmp_path):
     """Two materials that settle at different rounds; the tiles' fit ends near the whole planes'."""
     o = Options(c0=1, c1=2, rounds=6, tol=2e-3, q1_start=1, bc_refine=1, bc_outer=1, mips=False)
     flat = np.full((64, 96, 3), 0.25)
@@ -68,6 +85,7 @@ def test_materials_of_many_tiles(spark):
         assert n == 0 or all(b <= a * (1 + 1e-6) for a, b in zip(e, e[1:])) or part["block"].iloc[0] != "a"
     last = report[report["round"] == report["round"].max()].set_index(["material_id", "block"])["error"]
     assert last["busy", "refit"] <= last["busy", "pack"] * (1 + 1e-6)
+    check_files(spark, got, sizes, o, 32, f"file:{tmp_path}/many")
     grids = {r["material_id"]: r for r in got.grids.collect()}
     for name in ("busy", "flat"):
         v1 = T.planes(got.tiles.filter(f"material_id = '{name}'"), False, 2, 32).toPandas()
