@@ -171,3 +171,71 @@ def options_from(values: dict) -> Options:
         raise ValueError(f"unknown options: {', '.join(sorted(unknown))}")
     return Options(**{k: tuple(v) if isinstance(v, list) else v for k, v in values.items()})
 
+
+
+def _flag(name: str) -> str:
+    return "--" + name.replace("_", "-")
+
+
+def parse_options(argv: Sequence[str]) -> tuple[Options, list[str], dict[str, str]]:
+    """Options, inputs and what else was asked (out, name, tiles, png, quiet) from a command line; ValueError says what is wrong.
+
+    Every option of ``Options`` is a flag of its name; lists are commas between numbers, colour weights triples in a row.
+    """
+    given: dict[str, object] = {}
+    other: dict[str, str] = {}
+    inputs: list[str] = []
+    known = {_flag(f.name): f for f in fields(Options)}
+    defaults = Options()
+    words = list(argv)
+    while words:
+        word = words.pop(0)
+        if word in ("--tiles", "--png", "--quiet"):
+            other[word[2:]] = "yes"
+        elif word in ("-o", "--out", "--name") or word in known:
+            if not words:
+                raise ValueError(f"{word} needs a value")
+            text = words.pop(0)
+            if word not in known:
+                other["out" if word == "-o" else word[2:]] = text
+                continue
+            name, now = known[word].name, getattr(defaults, known[word].name)
+            try:
+                if isinstance(now, bool):
+                    given[name] = {"0": False, "1": True}[text]
+                elif isinstance(now, (int, float)):
+                    given[name] = type(now)(text)
+                elif isinstance(now, str):
+                    given[name] = text
+                else:
+                    numbers = tuple((int if name == "bits0" else float)(x) for x in text.split(","))
+                    if name == "rgb_weights":
+                        if len(numbers) % 3:
+                            raise ValueError
+                        numbers = tuple(numbers[i : i + 3] for i in range(0, len(numbers), 3))
+                    given[name] = numbers
+            except (ValueError, KeyError) as e:
+                raise ValueError(f"{text!r} is no value of {word}") from e
+        elif word.startswith("-"):
+            raise ValueError(f"unknown option {word}")
+        else:
+            inputs.append(word)
+    if not inputs:
+        raise ValueError("no pictures and no material are given")
+    return Options(**given), inputs, other
+
+
+def same_file(a: str, b: str) -> bool:
+    """Whether two paths are one: separators, dots and letters' case aside where the system takes them for equal."""
+    import os
+
+    plain = lambda p: os.path.normcase(os.path.abspath(p.removeprefix("file:")))
+    return plain(a) == plain(b)
+
+
+def banner(o: Options, textures: int, width: int, height: int) -> str:
+    """What is about to be fitted, in a few lines."""
+    layout = layout_text(o.c0) if o.l0 == "bc8" else f"palettes of {', '.join(map(str, o.palette_bits))} bits"
+    changed = [f"{_flag(f.name)} {getattr(o, f.name)}" for f in fields(Options) if getattr(o, f.name) != f.default]
+    lines = [f"{textures} texture{'s' * (textures > 1)} of {width} x {height}", f"level 0: {layout}; level 1: {o.c1} channels of {o.bits1} bits, a quarter a side", f"{o.rounds} rounds{' with mips' if o.mips else ''}"]
+    return "\n".join([*lines, *(["options: " + " ".join(changed)] if changed else [])])
