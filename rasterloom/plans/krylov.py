@@ -187,9 +187,16 @@ class Solution:
 def solve(tiles: DataFrame, found: DataFrame, level0: bool, cw: Sequence[float], options: Options | None = None, edge: int = T.EDGE, tolerance: float = TOLERANCE, most: int = MAX_ITERATIONS) -> Solution:
     """The continuous block step of a level over all planes of all materials at once."""
     o = options or Options()
-    spark = tiles.sparkSession
     rows, table = _bucketed(systems(tiles, found, level0, cw, o, edge), "krylov_rows")
-    lam = stored(rows.groupBy(*_PLANE).agg((F.lit(float(o.ridge)) * F.sum("trace") / F.sum("values")).alias("lam")), "krylov-lam")
+    try:
+        return _solved(tiles, rows, level0, float(o.ridge), edge, tolerance, most)
+    finally:
+        tiles.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
+        forget(rows)
+
+
+def _solved(tiles: DataFrame, rows: DataFrame, level0: bool, ridge: float, edge: int, tolerance: float, most: int) -> Solution:
+    lam = stored(rows.groupBy(*_PLANE).agg((F.lit(ridge) * F.sum("trace") / F.sum("values")).alias("lam")), "krylov-lam")
     keys = T._KEYS
     state: DataFrame | None = None
     lengths: DataFrame | None = None
@@ -221,8 +228,7 @@ def solve(tiles: DataFrame, found: DataFrame, level0: bool, cw: Sequence[float],
     moved = stored(_moved(tiles.join(corrections, keys), level0, edge), "tiles")
     corrections = rows.select(*keys, "h0", "w0", "h1", "w1").join(corrections, keys)
     corrections = stored(corrections, "krylov-x")
-    spark.sql(f"DROP TABLE {table}")
-    forget(rows, lam, state, lengths, *done)
+    forget(lam, state, lengths, *done)
     return Solution(moved, corrections, report)
 
 

@@ -113,8 +113,16 @@ def refine(packed: DataFrame, found: DataFrame, grids: DataFrame, cw: Sequence[f
 
     Materials in which a pass improves nothing are left as they are from then on.
     """
-    spark, keys = packed.sparkSession, T._KEYS
     rows, table = K._bucketed(K.systems(packed.select(*T._names(T.TILE)), found, True, cw, options, edge), "packing_rows")
+    try:
+        return _refined(packed, rows, grids, passes, edge)
+    finally:
+        packed.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
+        forget(rows)
+
+
+def _refined(packed: DataFrame, rows: DataFrame, grids: DataFrame, passes: int, edge: int) -> tuple[DataFrame, DataFrame]:
+    keys = T._KEYS
     fixed = packed.select(*keys, "v0").join(grids, "material_id")
     extents = packed.select(*keys, "h0", "w0", "h1", "w1")
     zero = F.lit(0).cast("long")
@@ -161,8 +169,7 @@ def refine(packed: DataFrame, found: DataFrame, grids: DataFrame, cw: Sequence[f
 
     kept = packed.drop("r0", "r1", "sel").join(last.drop("d", "improved", "blocks", "delta_e"), keys).join(grids, "material_id")
     out = stored(kept.mapInPandas(decoded, PACKED), "packed")
-    spark.sql(f"DROP TABLE {table}")
-    forget(rows, *done)
+    forget(*done)
     return out, reduce(DataFrame.unionByName, told).select("material_id", "pass", "improved", "blocks", "delta_e")
 
 
