@@ -229,12 +229,15 @@ def axis_weights(n: int, out: int, kernel: str, edge: str = "clamp") -> list[tup
 
 
 def resize(plane: DataFrame, w: int, h: int, ow: int, oh: int, kernel: str = "mitchell", edge: str = "clamp", keys: Sequence[str] = KEYS) -> DataFrame:
-    """Separable resize by weight-table joins, x then y. A table has a few rows per texel of one axis (at most 16,384 texels)."""
+    """Separable resize by weight-table joins, x then y. A table has a few rows per texel of one axis.
+
+    Sums lose their last digits (beyond 12), so that one that lies halfway is rounded alike whatever the order it was summed in.
+    """
     spark, own = plane.sparkSession, channels(plane)
     wx = spark.createDataFrame(axis_weights(w, ow, kernel, edge), "ox int, x int, wx double")
     wy = spark.createDataFrame(axis_weights(h, oh, kernel, edge), "oy int, y int, wy double")
     across = plane.join(F.broadcast(wx), "x").groupBy(*keys, "ox", "y").agg(*[F.sum(F.col(c) * F.col("wx")).alias(c) for c in own])
-    down = across.join(F.broadcast(wy), "y").groupBy(*keys, "ox", "oy").agg(*[F.sum(F.col(c) * F.col("wy")).alias(c) for c in own])
+    down = across.join(F.broadcast(wy), "y").groupBy(*keys, "ox", "oy").agg(*[F.round(F.sum(F.col(c) * F.col("wy")), 12).alias(c) for c in own])
     return down.select(*keys, F.col("ox").alias("x"), F.col("oy").alias("y"), *own)
 
 

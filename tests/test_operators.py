@@ -258,3 +258,11 @@ def test_sites_by_tile_are_those_of_windows(spark):
         assert worst["worst"] < 1e-12 and worst["lacking"] == 0 and worst["n"] == got.count() == (k + 1) * (21 * 19 + 10 * 9 + 33 * 7)
     fewer = tiled_site_rows(level0.filter("x <> 3"), level1, source.filter("y <> 2"), size, 1, keys, 8)
     assert fewer.filter("x = 3 or y = 2").count() == 0 and fewer.filter("j = 0").count() == level0.filter("x <> 3 and y <> 2").count()
+
+
+@pytest.mark.skipif(not (DATA / "sf0.01").exists(), reason="test tables are missing")
+def test_resize_gives_halfway_values_exactly(spark):
+    """A texel of q09 lies halfway between two roundings: what its sum ends in must not depend on the order of its terms."""
+    plane, w, h = fixtures.events_raster(spark, str(DATA / "sf0.01"))
+    got = R.resize(plane, w, h, w // 2, h // 2, "catmullrom", "wrap").filter("x = 28 and y = 33").first()["c0"]
+    assert got == 0.2015625
