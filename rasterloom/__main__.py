@@ -69,7 +69,7 @@ def main(argv: Sequence[str], spark: SparkSession | None = None) -> int:
         source = pad(plane, w, h)[0]
     found = asset.load(spark, root, name)
     if "png" in other:
-        dds.save_files(asset.level_pictures(found.decode(), name, "recon"), root)
+        images.save(asset.level_pixels(found.decode(), name, "recon"), root)
     if "quiet" not in other:
         for r in asset.quality(found, source).filter("texture >= 0").orderBy("plane", "texture").collect():  # a row per level and texture
             print(f"level {r['plane']}, texture {r['texture']}: {r['psnr']:.2f} dB")

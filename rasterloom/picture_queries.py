@@ -12,8 +12,8 @@ from rasterloom.functions import scalar as S
 from rasterloom.operators import aggregate as A
 from rasterloom.operators import resample as R
 from rasterloom.raster_queries import BIAS, DIRECTION, MEAN, W, _as_bytes, _base, _rounded, luma_plane, mean_plane
-from rasterloom.session import shared_path
-from rasterloom.sources import asset, dds, images
+from rasterloom.session import forget, shared_path, stored
+from rasterloom.sources import asset, images
 
 SHRUNK = 2
 DIVISOR = 0.75
@@ -25,18 +25,22 @@ def _seen(spark: SparkSession, root: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{png,bmp}").load(root)
     base = lambda c: S.base_name(F.col(c)).alias("name")
     sized = images.sizes(files).select(base("path"), "width", "height")
-    sums = [F.sum(F.round(F.col(f"c{i}") * 255).cast("long")).alias(f"s{i}") for i in range(3)]
-    read = images.read(spark, root).groupBy(base("path")).agg(F.count(F.lit(1)).alias("pixels"), *sums, F.sum(F.round(F.col("c0") * 255).cast("long") * (F.col("x") + 3 * F.col("y"))).alias("placed"))
-    return sized.join(read, "name")
+    byte = lambda c: F.floor(F.col(c) * 255 + 0.5)
+    sums = [F.sum(byte(f"c{i}")).alias(f"s{i}") for i in range(3)]
+    read = images.read(spark, root).groupBy("path").agg(F.count(F.lit(1)).alias("pixels"), *sums, F.sum(byte("c0") * (F.col("x") + 3 * F.col("y"))).alias("placed"))
+    return sized.join(read.withColumn("path", base("path")).withColumnRenamed("path", "name"), "name")
 
 
 def q69(spark: SparkSession, d: str) -> DataFrame:
     """Both whole rasters as a PNG and a bitmap each, written, scanned and read back."""
     root = shared_path(spark, "pictures")
     events, orders, _, _ = fixtures.both_rasters(spark, d)
-    for kind in ("png", "bmp"):
-        named = [_as_bytes(df).withColumn("path", F.lit(f"{name}.{kind}")) for name, df in (("events", events), ("orders", orders))]
-        dds.save_files(images.encode(named[0].unionByName(named[1]), kind), root)
+    named = [_as_bytes(df).withColumn("name", F.lit(name)) for name, df in (("events", events), ("orders", orders))]
+    pixels = stored(named[0].unionByName(named[1]), "pixels")
+    pictures = [pixels.withColumn("path", F.concat("name", F.lit(f".{kind}"))) for kind in ("png", "bmp")]
+    for kind, own in zip(("png", "bmp"), pictures, strict=True):
+        images.save(own, root, kind, keep=False)
+    forget(pixels)
     return _seen(spark, root)
 
 
@@ -44,7 +48,7 @@ def q70(spark: SparkSession, d: str) -> DataFrame:
     """A PNG of every level of the source chain, read back."""
     root = shared_path(spark, "levels")
     chain, _, _, _ = _base(spark, d, 3)
-    dds.save_files(asset.level_pictures(chain, "p", "src"), root)
+    images.save(asset.level_pixels(chain, "p", "src"), root)
     return _seen(spark, root)
 
 
@@ -93,7 +97,7 @@ def q77(spark: SparkSession, d: str) -> DataFrame:
     root, out = shared_path(spark, "originals"), shared_path(spark, "cropped")
     events, orders, _, _ = fixtures.both_rasters(spark, d)
     named = [_as_bytes(df).withColumn("path", F.lit(f"{name}.png")) for name, df in (("events", events), ("orders", orders))]
-    dds.save_files(images.encode(named[0].unionByName(named[1])), root)
+    images.save(named[0].unionByName(named[1]), root)
     told = crop.crop_set(spark, [f"{root}/{n}.png" for n in ("events", "orders")], *CROPPED, out, "c", "center", (3, -2), "set.json", gray_first=True)
     sums = [F.sum(F.round(F.col(f"c{i}") * 255).cast("long")).alias(f"s{i}") for i in range(3)]
     read = images.read(spark, out).groupBy(S.base_name(F.col("path")).alias("file")).agg(F.count(F.lit(1)).alias("pixels"), *sums, F.sum(F.round(F.col("c0") * 255).cast("long") * (F.col("x") + 3 * F.col("y"))).alias("placed"))

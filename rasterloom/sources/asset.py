@@ -249,14 +249,19 @@ def closure(asset: Asset) -> DataFrame:
     return out
 
 
-def level_pictures(planes: DataFrame, prefix: str, kind: str) -> DataFrame:
-    """(path, content) of a PNG per level and texture of ``planes`` (channels in [0, 1]); ``kind`` is recon or src."""
+def level_pixels(planes: DataFrame, prefix: str, kind: str) -> DataFrame:
+    """A picture per level and texture of ``planes`` (channels in [0, 1]) as ``images.save`` takes it; ``kind`` is recon or src."""
     n = len(channels(planes)) // 3
     out = None
     for t in range(n):
         own = planes.select(level_image_name(F.lit(prefix), kind, n, F.lit(t), F.col("plane")).alias("path"), "x", "y", *[to_byte(F.col(f"c{3 * t + i}")).alias(f"c{i}") for i in range(3)])
         out = own if out is None else out.unionByName(own)
-    return images.encode(out)
+    return out
+
+
+def level_pictures(planes: DataFrame, prefix: str, kind: str) -> DataFrame:
+    """(path, content) of their PNGs, a picture whole in one row."""
+    return images.encode(level_pixels(planes, prefix, kind))
 
 
 def _block_bytes(r0: np.ndarray, r1: np.ndarray, sel: np.ndarray) -> bytes:

@@ -425,3 +425,45 @@ def test_damaged_files_are_named(spark, tmp_path):
     (tmp_path / "bad.dds").write_bytes(files["a.dds"][:-1])
     with pytest.raises(Exception, match="bad.dds: length is"):
         dds.read_slabs(spark, f"file:{tmp_path}").count()
+
+
+@pytest.mark.parametrize("kind", ["png", "bmp"])
+def test_pictures_in_runs(spark, tmp_path, monkeypatch, kind):
+    """Runs of three rows, one of them without a pixel, are the file of the whole picture; readers hold a strip of it."""
+    rgb = np.random.default_rng(3).integers(0, 256, (17, 5, 3)).astype(np.uint8)
+    rgb[5:12] = 0
+    rows = [("d/p." + kind, x, y, *map(int, rgb[y, x])) for y in range(17) for x in range(5) if not 5 <= y < 12]
+    planes = spark.createDataFrame(rows, "path string, x int, y int, c0 int, c1 int, c2 int")
+    images.save(planes.repartition(3), f"file:{tmp_path}", kind, pixels=17)
+    data = (tmp_path / f"d/p.{kind}").read_bytes()
+    assert images.decode(data).tolist() == rgb.tolist() and list(tmp_path.glob("d/*")) == [tmp_path / f"d/p.{kind}"]
+    read = images.read(spark, str(tmp_path / "d")).collect()
+    assert len(read) == 85 and all(round(r["c2"] * 255) == rgb[r["y"], r["x"], 2] for r in read)
+    monkeypatch.setattr(images, "STRIP", 40)
+    parts = list(images.strips(str(tmp_path / f"d/p.{kind}")))
+    assert max(len(p) for p in parts) <= 9 and np.concatenate(parts).tolist() == rgb.tolist()
+    images.save(planes, f"file:{tmp_path}/whole", kind)
+    assert (tmp_path / f"whole/d/p.{kind}").read_bytes() == (images.encode_png if kind == "png" else images.encode_bmp)(rgb)
+
+
+def test_cut_streams(spark, tmp_path, monkeypatch):
+    """A crop keeps the rows that it needs, also of strips that begin or end beside them."""
+    from rasterloom.sources import crop
+
+    rgb = np.random.default_rng(4).integers(0, 256, (30, 6, 3)).astype(np.uint8)
+    monkeypatch.setattr(images, "STRIP", 40)
+    for name, data in (("a.png", images.encode_png(rgb)), ("a.bmp", images.encode_bmp(rgb))):
+        (tmp_path / name).write_bytes(data)
+        for size in ((4, 9), (9, 40), (6, 30)):
+            got, told = crop.cropped(str(tmp_path / name), *size, "center", (1, -2))
+            assert told == (6, 30) and got.tolist() == crop.fitted(rgb, *size, "center", (1, -2)).tolist()
+
+
+def test_containers_beyond_a_cards_extent(spark, tmp_path):
+    """An asset's file may be higher than a texture can be; only a strict reader refuses it."""
+    data = dds.pack(4, 20000, 61, [bytes(i % 251 for i in range(80000))])
+    (tmp_path / "a.dds").write_bytes(data)
+    rows = dds.read_slabs(spark, str(tmp_path / "a.dds"), slab_bytes=30000).orderBy("row").collect()
+    assert len(rows) == 3 and b"".join(bytes(r["bytes"]) for r in rows) == data[dds.HEADER :]
+    with pytest.raises(ValueError, match="out of range"):
+        dds.parse_header(data[: dds.HEADER], strict=True)
