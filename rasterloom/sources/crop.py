@@ -2,7 +2,7 @@
 
 A picture keeps its kind: grey, grey and alpha, RGB, RGB and alpha; palettes become RGB (with alpha if they have
 any), fewer than 8 bits of grey are stretched to 8, 16 bits keep the high byte. At most six pictures make
-a material, each is decoded, cut and encoded whole in a task of its own.
+a material, each in a task of its own, which holds no more of a PNG or a bitmap than it keeps; other formats are decoded whole.
 """
 
 from __future__ import annotations
@@ -38,6 +38,22 @@ def fitted(image: np.ndarray, width: int, height: int, anchor: str = "center", o
     return np.pad(image[y0 : y0 + nh, x0 : x0 + nw], [(0, height - nh), (0, width - nw), (0, 0)], mode="edge")
 
 
+def cropped(path: str, width: int, height: int, anchor: str, offset: tuple[int, int]) -> tuple[np.ndarray, tuple[int, int]]:
+    """``fitted`` of a picture's file, and the picture's width and height; of a stream only the rows that are kept are held."""
+    store, at = dds._store(path)
+    with store.open_input_file(at) as f:
+        size = images.dimensions(f.read(65536))
+    if size is None:
+        raise ValueError("not a picture that is known")
+    (x0, nw), (y0, nh) = fit_axis(size[0], width, anchor, offset[0]), fit_axis(size[1], height, anchor, offset[1])
+    kept, top = [], 0
+    for part in images.strips(path):
+        a, b = max(0, y0 - top), max(0, y0 + nh - top)
+        kept.append(part[a:b, x0 : x0 + nw].copy())
+        top += len(part)
+    return np.pad(np.concatenate(kept), [(0, height - nh), (0, width - nw), (0, 0)], mode="edge"), size
+
+
 def crop_set(spark: SparkSession, paths: Sequence[str], width: int, height: int, root: str, prefix: str = "t", anchor: str = "center", offset: tuple[int, int] = (0, 0), material: str | None = None, gray: bool = False, gray_first: bool = False) -> DataFrame:
     """Writes <prefix>1.png and so on below ``root`` (and the material's JSON as ``material``); what was done, a row per picture."""
     if not 1 <= len(paths) <= MAX_TEXTURES:
@@ -49,15 +65,12 @@ def crop_set(spark: SparkSession, paths: Sequence[str], width: int, height: int,
         for pdf in parts:
             rows = []
             for n, path in zip(pdf["n"], pdf["path"], strict=True):
-                store, at = dds._store(path)
-                with store.open_input_file(at) as f:
-                    data = f.read()
                 try:
-                    image = images.decode(data)
+                    image, (w, h) = cropped(path, width, height, anchor, offset)
                 except Exception as e:
                     raise ValueError(f"{path} can't be decoded: {e}") from e
                 kept = to_grey(image) if gray or (gray_first and n == 1) else image
-                rows.append((n, f"{prefix}{n}.png", images.encode_png(fitted(kept, width, height, anchor, offset)), image.shape[1], image.shape[0], kept.shape[2]))
+                rows.append((n, f"{prefix}{n}.png", images.encode_png(kept), w, h, kept.shape[2]))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in _CUT.split(", ")])
 
     given = spark.createDataFrame([(i, p) for i, p in enumerate(paths, 1)], "n int, path string").repartition(len(paths), "n")
