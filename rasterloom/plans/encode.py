@@ -101,7 +101,7 @@ def gathered(tiles: DataFrame, models: DataFrame | None, edge: int, each: Callab
                 held[name] = both.groupby(["material_id", "plane", "pixels", "name", "at"], as_index=False)["v"].agg(how[name])
         yield from held.values()
 
-    rows = T._pieces(tiles, models, edge, None).groupBy(*T._KEYS).applyInPandas(per_tile, schema).mapInPandas(partial, schema)
+    rows = T._met(T._pieces(tiles, models, edge, None)).applyInPandas(per_tile, schema).mapInPandas(partial, schema)
     kind = F.col("name")
     combined = reduce(lambda a, b: a.when(b[0], b[1]), [(kind == n, {"sum": F.sum, "max": F.max, "min": F.min}[h]("v")) for n, h in how.items()], F)
     return rows.groupBy("material_id", "plane", "name", "at").agg(F.first("pixels").alias("pixels"), combined.alias("v"))
@@ -159,7 +159,7 @@ def init_level1(tiles: DataFrame, options: Options, nout: int, edge: int = T.EDG
         v0, src = (T._part(a, (*tile[0].window.at0, *a.shape[:2]), own0) for a in (tile[0].v0, tile[0].src))
         return pd.DataFrame([(r["material_id"], int(r["plane"]), tile[2], tile[3], *[int(r[c]) for c in ("h0", "w0", "h1", "w1")], T._bytes(v0), T._bytes(own), T._bytes(src))], columns=_TILE)
 
-    meant = T._written(T._pieces(tiles, None, edge, None).groupBy(*T._KEYS).applyInPandas(means_of, T.TILE))
+    meant = T._written(T._met(T._pieces(tiles, None, edge, None)).applyInPandas(means_of, T.TILE))
     schema = "material_id string, use array<double>, mean array<double>, scale array<double>"
 
     def stats(t: Tile, *_: object) -> dict[str, np.ndarray]:
@@ -287,7 +287,7 @@ def seeded(tiles: DataFrame, models: DataFrame, c: int, options: Options, palett
             yield pd.DataFrame({"material_id": pdf["material_id"], "g": [T._bytes(np.stack([np.asarray(e), np.asarray(m)]), "<f8") for e, m in zip(pdf["e"], pdf["mu"], strict=True)]})
 
     directed = models.drop("g").join(found.mapInPandas(blob, "material_id string, g binary"), "material_id")
-    projected = T._written(T._pieces(tiles, directed, edge, None).groupBy(*T._KEYS).applyInPandas(project, T.TILE))
+    projected = T._written(T._met(T._pieces(tiles, directed, edge, None)).applyInPandas(project, T.TILE))
     values = T.planes(projected, True, o.c0, edge).select("material_id", F.abs(F.col(f"c{c}")).alias("v"))
     peak = values.groupBy("material_id").agg(F.max("v").alias("peak"))
     if blocks:
@@ -517,5 +517,6 @@ def chain_of(plane: DataFrame, w: int, h: int, name: str, options: Options) -> t
     from rasterloom.functions.scalar import mip_count
 
     padded, w, h = T.R.pad(plane, w, h)
+    padded = stored(padded, "encode-base")  # every level reads it
     levels = mip_count(w, h, options.mip_min) if options.mips else 0
     return P.with_material(T.R.box_chain(padded, w, h, levels), name), T.R.geometry(w, h, levels)

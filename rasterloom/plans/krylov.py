@@ -97,7 +97,7 @@ def systems(tiles: DataFrame, found: DataFrame, level0: bool, cw: Sequence[float
             columns=T._names(_SYSTEM),
         )
 
-    return T._pieces(tiles, found, edge, None).groupBy(*T._KEYS).applyInPandas(build, _SYSTEM)
+    return T._met(T._pieces(tiles, found, edge, None)).applyInPandas(build, _SYSTEM)
 
 
 def _bucketed(df: DataFrame, name: str) -> tuple[DataFrame, str]:

@@ -20,7 +20,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from rasterloom.functions.config import Options
@@ -34,6 +34,7 @@ from rasterloom.session import stored
 EDGE = 128
 #: Pixels around a tile whose sites may reach its texels: under 8 are needed at a quarter of the extent a side.
 HALO = 16
+DEALT = 4  # tasks a core that a step's tiles are dealt over
 LEAST = 32  # a tile's neighbours alone hold its halo
 _EXTENT = "h0 int, w0 int, h1 int, w1 int"
 TILE = f"material_id string, plane int, ty int, tx int, {_EXTENT}, v0 binary, v1 binary, src binary"
@@ -173,6 +174,14 @@ def _pieces(tiles: DataFrame, decoders: DataFrame | None, edge: int, turn: int |
     return both.select(*_names(TILE), *[c.alias(n) for n, c in given.items()]).mapInPandas(give, _PIECE)
 
 
+def _met(pieces: DataFrame) -> GroupedData:
+    """Pieces by the tile they are for, dealt over all cores.
+
+    A tile is little data and much work: by their bytes alone, adaptive execution puts a step's tiles into a few tasks.
+    """
+    return pieces.repartition(DEALT * pieces.sparkSession.sparkContext.defaultParallelism, *_KEYS).groupBy(*_KEYS)
+
+
 def _assembled(pdf: pd.DataFrame, edge: int, summing: bool) -> tuple[L.Plane, Grid, int, int]:
     """A tile with its surroundings as one plane; for sums only its own pixels have sites."""
     key = pdf.iloc[0]
@@ -245,7 +254,7 @@ def decoders(tiles: DataFrame, cw: Sequence[float], options: Options | None = No
         got = D.solve(total[:n, :n], total[:n, n:], weights, sites, old)
         return pd.DataFrame([(pdf["material_id"].iloc[0], _bytes(got.w, "<f8"), _bytes(got.b, "<f8"), named["g"].iloc[0], error(old) if kept else None, error(got))], columns=_names(DECODER))
 
-    grams = _pieces(tiles, previous, edge, None).groupBy(*_KEYS).applyInPandas(gram, schema).mapInPandas(partial, "material_id string, plane int, pixels long, at int, v double, w binary, b binary, g binary")
+    grams = _met(_pieces(tiles, previous, edge, None)).applyInPandas(gram, schema).mapInPandas(partial, "material_id string, plane int, pixels long, at int, v double, w binary, b binary, g binary")
     summed = grams.groupBy("material_id", "plane", "at").agg(F.first("pixels").alias("pixels"), F.sum("v").alias("v"), *[F.first(n, ignorenulls=True).alias(n) for n in ("w", "b", "g")])
     return _written(summed.groupBy("material_id").applyInPandas(best, DECODER))
 
@@ -265,7 +274,7 @@ def errors(tiles: DataFrame, found: DataFrame, cw: Sequence[float], options: Opt
         e = float(np.dot(omega, sums["e"]) / (weights.sum() * np.dot(omega, sums["pixels"] * (1 + o.k))))
         return pd.DataFrame([(pdf["material_id"].iloc[0], e)], columns=["material_id", "error"])
 
-    each = _pieces(tiles, found, edge, None).groupBy(*_KEYS).applyInPandas(own, "material_id string, plane int, ty int, tx int, pixels long, e double")
+    each = _met(_pieces(tiles, found, edge, None)).applyInPandas(own, "material_id string, plane int, ty int, tx int, pixels long, e double")
     return each.groupBy("material_id").applyInPandas(mean, "material_id string, error double")
 
 
@@ -346,7 +355,7 @@ def step(tiles: DataFrame, found: DataFrame, action: Action, edge: int = EDGE, t
     stepped = {}
     for c in turns:
         whole = reduce(DataFrame.unionByName, state.values())
-        stepped[c] = _written(_pieces(whole, found, edge, c).groupBy(*_KEYS).applyInPandas(run, STEPPED))
+        stepped[c] = _written(_met(_pieces(whole, found, edge, c)).applyInPandas(run, STEPPED))
         state[c] = stepped[c].select(*_names(TILE))
     out = reduce(DataFrame.unionByName, stepped.values())
     if len(stepped) > 1:
@@ -371,12 +380,13 @@ def planes(tiles: DataFrame, level0: bool, n: int, edge: int = EDGE) -> DataFram
 def rounds(tiles: DataFrame, cw: Sequence[float], n: int, options: Options | None = None, level1: Action | None = None, level0: Action | None = None, edge: int = EDGE) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``n`` rounds of decoder, level 1 and level 0: the tiles, the decoders and (material_id, round, block, error)."""
     level1, level0 = level1 or solving(False, cw, options), level0 or solving(True, cw, options)
+    turns = colours([(r["h0"], r["w0"]) for r in tiles.select("h0", "w0").distinct().collect()], edge)  # a row per level
     found, report = None, []
     for r in range(1, n + 1):
         found = decoders(tiles, cw, options, found, edge)
         report.append(errors(tiles, found, cw, options, edge).select("material_id", F.lit(r).alias("round"), F.lit("a").alias("block"), "error"))
         for block, action in (("b", level1), ("c", level0)):
-            tiles = step(tiles, found, action, edge)
+            tiles = step(tiles, found, action, edge, turns)
             report.append(errors(tiles, found, cw, options, edge).select("material_id", F.lit(r).alias("round"), F.lit(block).alias("block"), "error"))
     out = report[0]
     for one in report[1:]:

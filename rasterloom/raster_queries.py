@@ -469,14 +469,21 @@ def q57(spark, d):
     from rasterloom.functions.config import Options
     from rasterloom.plans import tiles as T
     from rasterloom.plans.fit import with_material
+    from rasterloom.session import forget, stored
 
     events, orders, w, h = fixtures.both_rasters(spark, d)
     size, parts = R.geometry_table(spark, R.geometry(w, h, LEVELS)), ([], [], [])
+    chains = []
     for name, source in (("events", events), ("orders", orders)):
-        chain = R.box_chain(source, w, h, LEVELS)
+        # Every level reads the base, and every part of a tile the chain: both are made once.
+        base = stored(source, "base")
+        chain = stored(R.box_chain(base, w, h, LEVELS), "chain")
+        forget(base)
+        chains.append(chain)
         for rows, plane in zip(parts, (luma_plane(chain), mean_plane(chain, size), chain), strict=True):
             rows.append(with_material(plane, name))
     cut = T.cut(*[a.unionByName(b) for a, b in parts], size)
+    forget(*chains)
     return _rounded(T.rounds(cut, CW, 2, Options(c0=1, c1=2))[2], 5)
 
 

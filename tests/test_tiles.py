@@ -104,3 +104,17 @@ def test_sweeps_and_palettes_stay_on_their_values(case):
     more = T.step(searched, found, T.sweeping(False, CW, lo, hi, 6, O), EDGE)
     assert T.errors(more, found, CW, O, EDGE).first()["error"] <= T.errors(searched, found, CW, O, EDGE).first()["error"] + 1e-9
     assert first > 0
+
+
+def test_a_steps_tiles_are_dealt_over_all_cores(spark):
+    """Little data for adaptive execution, but work for every core: a step's groups must not be put into a few tasks."""
+    rows = spark.createDataFrame([("m", 0, ty, 0) for ty in range(64)], "material_id string, plane int, ty int, tx int")
+    from pyspark.sql import functions as F
+
+    def where(pdf):
+        from pyspark import TaskContext
+
+        return pdf.assign(task=TaskContext.get().partitionId())[["ty", "task"]]
+
+    found = T._met(rows).applyInPandas(where, "ty int, task int").agg(F.countDistinct("task")).first()[0]
+    assert found > spark.sparkContext.defaultParallelism
