@@ -52,12 +52,10 @@ def seed(tiles: DataFrame, grids: DataFrame, edge: int = T.EDGE) -> DataFrame:
 
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            out = []
             for r in pdf.itertuples(index=False):
                 own, (lo, hi) = T.Grid(r.h0, r.w0, r.h1, r.w1, edge).own(r.ty, r.tx)[0], (np.asarray(r.lo, float), np.asarray(r.hi, float))
                 blocks = L.seed_blocks(L.grid_index(lo, hi, 8, T._array(r.v0, own)))
-                out.append((*r[: len(T._names(T.TILE)) - 3], T._bytes(L.block_values(blocks, own[2], own[3], lo, hi)), r.v1, r.src, *_bytes_of(blocks)))
-            yield pd.DataFrame(out, columns=T._names(PACKED))
+                yield pd.DataFrame([(*r[: len(T._names(T.TILE)) - 3], T._bytes(L.block_values(blocks, own[2], own[3], lo, hi)), r.v1, r.src, *_bytes_of(blocks))], columns=T._names(PACKED))
 
     return stored(tiles.select(*T._names(T.TILE)).join(grids, "material_id").mapInPandas(work, PACKED), "packed")
 
@@ -67,14 +65,13 @@ def _give(rows: DataFrame, edge: int) -> DataFrame:
 
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            out = []
             for r in pdf.itertuples(index=False):
-                tile = K._Tile(r, edge, True)
+                out, tile = [], K._Tile(r, edge, True)
                 d = K._vector(r.d, tile.own)
                 for ty, tx, part in tile.neighbours():
                     out.append((r.material_id, r.plane, ty, tx, list(part), T._bytes(T._part(d, tile.own, part), "<f8"), None, None, None))
                 out.append((r.material_id, r.plane, r.ty, r.tx, list(tile.own), r.d, r.r0, r.r1, r.sel))
-            yield pd.DataFrame(out, columns=T._names(_PIECE))
+                yield pd.DataFrame(out, columns=T._names(_PIECE))
 
     return rows.mapInPandas(work, _PIECE)
 
@@ -84,7 +81,6 @@ def _turn(rows: DataFrame, colour: int, edge: int) -> DataFrame:
 
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            out = []
             for r in pdf.itertuples(index=False):
                 tile = K._Tile(r, edge, True)
                 own, ring = tile.own, tile.ring
@@ -102,8 +98,7 @@ def _turn(rows: DataFrame, colour: int, edge: int) -> DataFrame:
                 # Moves of the ring are exact differences, so that what is held stays held.
                 report = L.refine_window(p, L.Stencil(rows_, gradient), prev, within, (own[0] // 4, own[1] // 4), colour, np.asarray(r.lo, float), np.asarray(r.hi, float))
                 d = T._part(p.v0, ring, own) - T._part(prev, ring, own)
-                out.append((r.material_id, r.plane, r.ty, r.tx, T._bytes(d, "<f8"), *_bytes_of(p.blocks), report.improved, report.blocks, report.delta_e))
-            yield pd.DataFrame(out, columns=T._names(_STATE))
+                yield pd.DataFrame([(r.material_id, r.plane, r.ty, r.tx, T._bytes(d, "<f8"), *_bytes_of(p.blocks), report.improved, report.blocks, report.delta_e)], columns=T._names(_STATE))
 
     return rows.mapInPandas(work, _STATE)
 
