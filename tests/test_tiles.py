@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 
@@ -11,6 +13,8 @@ from rasterloom.operators import resample as R
 from rasterloom.plans import fit as P
 from rasterloom.plans import tiles as T
 
+DATA = Path("/root/testdata/sf0.001")
+
 H, WD, EDGE = 72, 100, 32
 CW = [1.0, 0.5, 2.0]
 O = Options(c0=1, c1=2, k=4)
@@ -118,3 +122,12 @@ def test_a_steps_tiles_are_dealt_over_all_cores(spark):
 
     found = T._met(rows).applyInPandas(where, "ty int, task int").agg(F.countDistinct("task")).first()[0]
     assert found > spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="test tables are missing")
+def test_blocks_are_encoded_once_for_all_readers(spark):
+    """q62 reads the raster once more per number of bits, for the indices; its three readers of blocks read what is stored."""
+    from rasterloom import fit_queries
+
+    plan = fit_queries.NAMES["q62_block_decoders"](spark, str(DATA))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [event_id") == 4
