@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
+from functools import cached_property
 
 import numpy as np
 
@@ -42,6 +43,8 @@ class Window:
     core: Rect
     owned0: Rect
     owned1: Rect
+    told0: Rect | None = None  # whose changes are told, if not those of all owned texels
+    told1: Rect | None = None
 
 
 @dataclass
@@ -75,6 +78,15 @@ class Plane:
         return out
 
 
+    def told(self, level0: bool) -> tuple[slice, slice]:
+        """The texels of a level whose changes are told."""
+        rect = None if self.window is None else self.window.told0 if level0 else self.window.told1
+        if rect is None:
+            return np.s_[:, :]
+        (y, x, h, w), (oy, ox) = rect, self.window.at0 if level0 else self.window.at1
+        return np.s_[y - oy : y - oy + h, x - ox : x - ox + w]
+
+
 @dataclass
 class Taps:
     """Corner texels (x, y as (4, n)) and weights (4, n) of n sites; duplicates are left apart and add up."""
@@ -94,44 +106,55 @@ class Taps:
 
 def site_offsets(h: int, w: int, k: int, j: int, at: tuple[int, int] = (0, 0)) -> tuple[np.ndarray, np.ndarray]:
     """Offsets of site j (0: the centre) of every pixel of an (h, w) rectangle at ``at``."""
+    dx, dy = _turned_offsets(k, j)
     y, x = np.indices((h, w))
+    y, x = (y + at[0] & 1).ravel(), (x + at[1] & 1).ravel()
+    return dx[y, x], dy[y, x]
+
+
+def _turned_offsets(k: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets of site j of a pixel by the parities of its row and column."""
     if j == 0:
-        return np.zeros(h * w), np.zeros(h * w)
+        return np.zeros((2, 2)), np.zeros((2, 2))
     ox, oy = OFFSETS[k][j - 1]
     if k == 2:
-        return np.full(h * w, ox), np.full(h * w, oy)
-    turns = ((y + at[0] & 1) * 2 + (x + at[1] & 1)).ravel()
-    return np.choose(turns, [ox, -oy, -ox, oy]), np.choose(turns, [oy, ox, -oy, -ox])
+        return np.full((2, 2), ox), np.full((2, 2), oy)
+    return np.array([[ox, -oy], [-ox, oy]]), np.array([[oy, ox], [-oy, -ox]])
 
 
-def taps(h0: int, w0: int, dx: np.ndarray, dy: np.ndarray, h: int, w: int, core: Rect | None = None, at: tuple[int, int] = (0, 0), width: int | None = None) -> Taps:
-    """Bilinear taps in an (h, w) plane of the sites of an (h0, w0) plane.
+def taps(h0: int, w0: int, k: int, j: int, h: int, w: int, core: Rect | None = None, at: tuple[int, int] = (0, 0), width: int | None = None) -> Taps:
+    """Bilinear taps in an (h, w) plane of site j of every pixel of an (h0, w0) plane.
 
     Of those in the rectangle ``core`` alone, if it is given; the taps' places are then
-    those in an array that begins at ``at`` of the (h, w) plane and is ``width`` wide.
+    those in an array that begins at ``at`` of the (h, w) plane and is ``width`` wide. A column's taps
+    depend on the parity of the row alone, and a row's on that of the column: what is computed is two tables each.
     """
     top, left, ch, cw = core or (0, 0, h0, w0)
-    py, px = (a.ravel() for a in np.indices((ch, cw)))
-    py, px = py + top, px + left
-    x = px + dx if w == w0 else (px + 0.5 + dx) * w / w0 - 0.5
-    y = py + dy if h == h0 else (py + 0.5 + dy) * h / h0 - 0.5
-    x0, y0 = np.floor(x).astype(int), np.floor(y).astype(int)
-    fx, fy = x - x0, y - y0
-    xs, ys = np.stack([x0, x0 + 1, x0, x0 + 1]), np.stack([y0, y0, y0 + 1, y0 + 1])
-    weights = np.stack([(1 - fx) * (1 - fy), fx * (1 - fy), (1 - fx) * fy, fx * fy])
-    xs, ys = np.clip(xs, 0, w - 1).astype(np.int32) - np.int32(at[1]), np.clip(ys, 0, h - 1).astype(np.int32) - np.int32(at[0])
-    return Taps(xs, ys, weights, ys * np.int32(width or w) + xs)
+    dx, dy = _turned_offsets(k, j)
+
+    def table(first: int, n: int, n0: int, size: int, offsets: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        p = np.arange(first, first + n)
+        d = offsets[:, p & 1]
+        v = p + d if size == n0 else (p + 0.5 + d) * size / n0 - 0.5
+        low = np.floor(v).astype(int)
+        near, far = (np.clip(low + i, 0, size - 1).astype(np.int32) - np.int32(start) for i in (0, 1))
+        return v - low, near, far
+
+    fx, x0, x1 = (t[np.arange(top, top + ch) & 1].ravel() for t in table(left, cw, w0, w, dx, at[1]))
+    fy, y0, y1 = (t[np.arange(left, left + cw) & 1].T.ravel() for t in table(top, ch, h0, h, dy.T, at[0]))
+    gx, gy = 1 - fx, 1 - fy
+    weights = np.stack([gx * gy, fx * gy, gx * fy, fx * fy])
+    r0, r1 = y0 * np.int32(width or w), y1 * np.int32(width or w)
+    return Taps(np.stack([x0, x1, x0, x1]), np.stack([y0, y0, y1, y1]), weights, np.stack([r0 + x0, r0 + x1, r1 + x0, r1 + x1]))
 
 
 def _made_sites(p: Plane, k: int) -> Iterator[tuple[int, Taps, Taps, np.ndarray]]:
     (h0, w0), (h1, w1), core, at0, at1 = p.size0, p.size1, None, (0, 0), (0, 0)
     if p.window is not None:
         (h0, w0), (h1, w1), core, at0, at1 = p.window.whole0, p.window.whole1, p.window.core, p.window.at0, p.window.at1
-    y, x, h, w = core or (0, 0, h0, w0)
     for j in range(k + 1):
-        dx, dy = site_offsets(h, w, k, j, (y, x))
-        t0 = taps(h0, w0, dx, dy, h0, w0, core, at0, p.size0[1])
-        yield j, t0, taps(h0, w0, dx, dy, h1, w1, core, at1, p.size1[1]), t0.read(p.src)
+        t0 = taps(h0, w0, k, j, h0, w0, core, at0, p.size0[1])
+        yield j, t0, taps(h0, w0, k, j, h1, w1, core, at1, p.size1[1]), t0.read(p.src)
 
 
 def sites(p: Plane, k: int) -> Iterator[tuple[int, Taps, Taps, np.ndarray]]:
@@ -184,6 +207,14 @@ class Form:
         return np.stack(out)
 
 
+def times(blocks: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Blocks (C, C, h, w) times x (C, h, w), texel by texel."""
+    out = blocks[:, 0] * x[0]
+    for q in range(1, len(x)):
+        out += blocks[:, q] * x[q]
+    return out
+
+
 @dataclass
 class Stencil:
     """blocks (5, h, w, C, C): the owned directions of H; gradient (h, w, C)."""
@@ -195,23 +226,49 @@ class Stencil:
     def mean_diagonal(self) -> float:
         return float(np.einsum("hwii->hwi", self.blocks[0]).mean())
 
-    def apply(self, x: np.ndarray) -> np.ndarray:
-        y = np.einsum("hwij,hwj->hwi", self.blocks[0], x)
-        h, w = x.shape[:2]
-        for (dx, dy), blk in zip(STENCIL[1:], self.blocks[1:], strict=True):
+    @cached_property
+    def _parts(self) -> np.ndarray:
+        """The blocks as (5, C, C, h, w): entries of a block are few, so loops go over them and arrays over texels."""
+        return np.ascontiguousarray(np.moveaxis(self.blocks, (3, 4), (1, 2)))
+
+    def _applied(self, x: np.ndarray) -> np.ndarray:
+        """H x of (C, h, w)."""
+        parts, (c, h, w) = self._parts, x.shape
+        y = times(parts[0], x)
+        for (dx, dy), blk in zip(STENCIL[1:], parts[1:], strict=True):
             here = np.s_[0 : h - dy, max(0, -dx) : w - max(0, dx)]
             there = np.s_[dy:h, max(0, dx) : w - max(0, -dx)]
-            y[here] += np.einsum("hwij,hwj->hwi", blk[here], x[there])
-            y[there] += np.einsum("hwji,hwj->hwi", blk[here], x[here])
+            for i in range(c):
+                for q in range(c):
+                    y[(i, *here)] += blk[(i, q, *here)] * x[(q, *there)]
+                    y[(i, *there)] += blk[(q, i, *here)] * x[(q, *here)]
         return y
 
-    def change(self, d: np.ndarray) -> float:
-        """What moves by d do to the weighted error."""
-        return float((2 * self.gradient * d + d * self.apply(d)).sum())
+    def apply(self, x: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(np.moveaxis(self._applied(np.ascontiguousarray(np.moveaxis(x, 2, 0))), 0, 2))
+
+    def change(self, d: np.ndarray, told: tuple[slice, slice] = np.s_[:, :]) -> float:
+        """What moves by d do to the weighted error; the share of the texels ``told``, so that shares of tiles add up."""
+        return float((d * (2 * self.gradient + self.apply(d)))[told].sum())
+
+    def coloured(self, x: np.ndarray, colour: int) -> np.ndarray:
+        """(C, h, w) of the texels of a colour: H x without each one's own block. ``x`` is (C, h + 2, w + 2) with a rim of 0."""
+        c, h, w = x.shape[0], x.shape[1] - 2, x.shape[2] - 2
+        y, z = colour >> 1, colour & 1
+        out = np.zeros((c, len(range(y, h, 2)), len(range(z, w, 2))))
+        for (dx, dy), blk in zip(STENCIL[1:], self._rimmed[1:], strict=True):
+            mine = np.s_[y + 1 : h + 1 : 2, z + 1 : w + 1 : 2]
+            after = np.s_[y + 1 + dy : h + 1 + dy : 2, z + 1 + dx : w + 1 + dx : 2]
+            before = np.s_[y + 1 - dy : h + 1 - dy : 2, z + 1 - dx : w + 1 - dx : 2]
+            for i in range(c):
+                for q in range(c):
+                    out[i] += blk[(i, q, *mine)] * x[(q, *after)]
+                    out[i] += blk[(q, i, *before)] * x[(q, *before)]
+        return out
 
-    def neighbours(self, x: np.ndarray) -> np.ndarray:
-        """H x without each texel's own block."""
-        return self.apply(x) - np.einsum("hwij,hwj->hwi", self.blocks[0], x)
+    @cached_property
+    def _rimmed(self) -> np.ndarray:
+        return np.pad(self._parts, [(0, 0)] * 3 + [(1, 1)] * 2)
 
 
 def _restricted(s: Stencil, owned: np.ndarray) -> Stencil:
@@ -238,32 +295,58 @@ def assemble_all(p: Plane, w: np.ndarray, b: np.ndarray, cw: np.ndarray, k: int,
     form = Form.of(w, b, c0, c1, level0)
     own_plane, c = (p.v0, c0) if level0 else (p.v1, c1)
     h, wd = own_plane.shape[:2]
-    matrices = form.matrices(cw)
-    sums = np.zeros((len(matrices), len(STENCIL) * h * wd))
-    gradient = np.zeros((h * wd, c))
+    # A block is summed as its own entries or as monomials of the other level, whichever are fewer.
+    entries = [(a, e) for a in range(c) for e in range(a, c)]
+    others = c1 if level0 else c0
+    direct = len(entries) <= 1 + others + others * (others + 1) // 2
+    matrices = None if direct else form.matrices(cw)
+    n = h * wd
+    sums = np.zeros((len(entries) if direct else len(matrices), len(STENCIL), n))
+    gradient = np.zeros((c, n))
     for j, t0, t1, target in sites(p, k):
         own, other = (t0, t1.read(p.v1)) if level0 else (t1, t0.read(p.v0))
         slope = form.slope(other)
-        residual = form.constant(other) + np.einsum("nrq,nq->nr", slope, own.read(own_plane)) - target
-        pull = np.einsum("nrq,nr->nq", slope, cw * residual)
-        mono = form.monomials(other)
+        residual = form.constant(other) - target
+        at_own = own.read(own_plane)
+        for q in range(c):
+            residual += slope[:, :, q] * at_own[:, q, None]
+        residual *= cw
+        pull = [(slope[:, :, q] * residual).sum(1) for q in range(c)]
+        if direct:
+            weighted = slope * np.asarray(cw)[:, None]
+            terms = [(weighted[:, :, a] * slope[:, :, e]).sum(1) for a, e in entries]
+        else:
+            terms = list(np.ascontiguousarray(form.monomials(other).T))
         corners = range(1) if level0 and j == 0 else range(4)  # the centre site is one texel
+        at = own.at.astype(np.intp)
         for a in corners:
             for q in range(c):
-                gradient[:, q] += np.bincount(own.at[a], own.w[a] * pull[:, q], h * wd)
+                gradient[q] += np.bincount(at[a], own.w[a] * pull[q], n)
         for a, e in _PAIRS if len(corners) == 4 else _PAIRS[:1]:
             scale = own.w[a] * own.w[e]
             if a == e:
-                index = own.at[a]
-                size = h * wd
-            else:
-                step = 3 * (own.y[e] - own.y[a]) + own.x[e] - own.x[a] + 1
-                scale = scale * _TIMES[step]  # at an edge both corners may be one texel, and count either way
-                index = _SLOT[step] * (h * wd) + np.where(step == 0, own.at[e], own.at[a])
-                size = len(STENCIL) * h * wd
-            for i in range(mono.shape[1]):
-                sums[i, :size] += np.bincount(index, scale * mono[:, i], size)
-    blocks = np.tensordot(sums, matrices, (0, 0)).reshape(len(STENCIL), h, wd, c, c)
+                for i, term in enumerate(terms):
+                    sums[i, 0] += np.bincount(at[a], scale * term, n)
+                continue
+            step = 3 * (own.y[e] - own.y[a]) + own.x[e] - own.x[a] + 1
+            usual = 3 * (e // 2 - a // 2) + e % 2 - a % 2 + 1
+            apart = np.flatnonzero(step != usual)  # at an edge both corners may be one texel, and count either way
+            rare = scale[apart] * _TIMES[step[apart]]
+            scale[apart] = 0
+            slot, place = _SLOT[usual], at[e] if usual == 0 else at[a]
+            where = _SLOT[step[apart]] * n + np.where(step[apart] == 0, at[e][apart], at[a][apart])
+            for i, term in enumerate(terms):
+                sums[i, slot] += np.bincount(place, scale * term, n)
+                if len(apart):
+                    np.add.at(sums[i].reshape(-1), where, rare * term[apart])
+    if direct:
+        blocks = np.empty((len(STENCIL), n, c, c))
+        for i, (a, e) in enumerate(entries):
+            blocks[..., a, e] = blocks[..., e, a] = sums[i]
+        blocks = blocks.reshape(len(STENCIL), h, wd, c, c)
+    else:
+        blocks = np.tensordot(sums, matrices, (0, 0)).reshape(len(STENCIL), h, wd, c, c)
+    gradient = np.ascontiguousarray(gradient.T)
     return Stencil(blocks, gradient.reshape(h, wd, c))
 
 
@@ -290,25 +373,28 @@ def conjugated(s: Stencil, lam: float) -> tuple[np.ndarray, Report]:
     singular = ~(np.abs(np.linalg.det(own)) > 0)
     own[singular] = np.eye(c)
     inverse = np.linalg.inv(own).astype(np.float32).astype(float)
-    x, r = np.zeros_like(s.gradient), -s.gradient
-    z = np.einsum("hwij,hwj->hwi", inverse, r)
-    d, rz, start = z.copy(), float((r * z).sum()), float((r * r).sum())
+    first = lambda a: np.ascontiguousarray(np.moveaxis(a, 2, 0))
+    inverse = np.ascontiguousarray(np.moveaxis(inverse, (2, 3), (0, 1)))
+    r = -first(s.gradient)
+    x = np.zeros_like(r)
+    z = times(inverse, r)
+    d, rz, start = z.copy(), float(np.vdot(r, z)), float(np.vdot(r, r))
     report = Report()
     for it in range(MAX_ITERATIONS if start > 0 else 0):
-        ad = s.apply(d) + lam * d
-        curve = float((d * ad).sum())
+        ad = s._applied(d) + lam * d
+        curve = float(np.vdot(d, ad))
         if curve == 0:
             break
         alpha = rz / curve
         x += alpha * d
         r -= alpha * ad
-        z = np.einsum("hwij,hwj->hwi", inverse, r)
-        rz, old = float((r * z).sum()), rz
+        z = times(inverse, r)
+        rz, old = float(np.vdot(r, z)), rz
         d = z + (rz / old if old else 0.0) * d
-        report.iterations, report.residual = it + 1, (float((r * r).sum()) / start) ** 0.5
+        report.iterations, report.residual = it + 1, (float(np.vdot(r, r)) / start) ** 0.5
         if (it + 1) % PROBE == 0 and report.residual < TOLERANCE:
             break
-    return x, report
+    return np.ascontiguousarray(np.moveaxis(x, 0, 2)), report
 
 
 def replicate(k: np.ndarray, bits: int) -> np.ndarray:
@@ -333,11 +419,21 @@ def grid_index(lo: np.ndarray, hi: np.ndarray, bits: int, v: np.ndarray) -> np.n
     return np.where(hi > lo, np.take_along_axis(near, best[None], 0)[0], 0)
 
 
+def _nearest(table: np.ndarray, lo: float, hi: float, v: np.ndarray) -> np.ndarray:
+    """``grid_index`` by a table of one channel's values."""
+    n = len(table) - 1
+    best = np.floor(np.clip((v - lo) / (hi - lo) * n, 0, n) + 0.5).astype(np.int64)
+    low, high = np.maximum(best - 1, 0), np.minimum(best + 1, n)
+    off, below, above = (np.abs(v - table[i]) for i in (best, low, high))
+    best = np.where(below <= off, low, best)
+    return np.where(above < np.minimum(below, off), high, best)
+
+
 def solve(p: Plane, w: np.ndarray, b: np.ndarray, cw: np.ndarray, k: int, ridge: float, level0: bool) -> Report:
     """The continuous block step of one level."""
     s = assemble(p, w, b, cw, k, level0)
     d, report = conjugate_gradients(s, ridge)
-    report.delta_e = s.change(d)
+    report.delta_e = s.change(d, p.told(level0))
     moved = ((p.v0 if level0 else p.v1) + d).astype(np.float32).astype(float)
     if level0:
         p.v0 = moved
@@ -352,26 +448,37 @@ def grid_sweep(p: Plane, w: np.ndarray, b: np.ndarray, cw: np.ndarray, k: int, r
     """Four-colour Gauss-Seidel on a frozen grid: every value takes its exact best grid point."""
     s = assemble(p, w, b, cw, k, level0)
     lam = ridge * s.mean_diagonal
-    prev = (p.v0 if level0 else p.v1).copy()
-    value, index = prev.copy(), (p.k0 if level0 else p.k1).copy()
-    d = np.zeros_like(prev)
+    prev = np.ascontiguousarray(np.moveaxis(p.v0 if level0 else p.v1, 2, 0))
+    index = np.ascontiguousarray(np.moveaxis(p.k0 if level0 else p.k1, 2, 0))
+    value, gradient = prev.copy(), np.ascontiguousarray(np.moveaxis(s.gradient, 2, 0))
+    c, h, wd = prev.shape
+    rimmed = np.zeros((c, h + 2, wd + 2))
+    d = rimmed[:, 1:-1, 1:-1]
+    told = np.zeros((h, wd), bool)
+    told[p.told(level0)] = True
+    own_blocks = s._parts[0]
+    tables = [grid_value(lo[q], hi[q], bits, np.arange(1 << bits)) for q in range(c)]
     report = Report()
     for _ in range(sweeps):
         for colour in range(4):
             at = np.s_[colour >> 1 :: 2, colour & 1 :: 2]
-            around = s.neighbours(d)[at]
-            own = s.blocks[0][at]
-            for q in range(prev.shape[2]):
-                a = own[..., q, q] + lam
-                rest = around[..., q] + sum(own[..., q, j] * d[at][..., j] for j in range(prev.shape[2]) if j != q)
-                use = (a > 0) & (hi[q] > lo[q])
-                want = prev[at][..., q] - (s.gradient[at][..., q] + rest) / np.where(a > 0, a, 1.0)
-                new = np.where(use, grid_index(lo[q], hi[q], bits, want.astype(np.float32).astype(float)), index[at][..., q])
-                report.moved += int((new != index[at][..., q]).sum())
-                index[at + (q,)] = new
-                value[at + (q,)] = np.where(use, grid_value(lo[q], hi[q], bits, new), value[at][..., q])
-                d[at + (q,)] = value[at + (q,)] - prev[at + (q,)]
-    report.delta_e = s.change(d)
+            around = s.coloured(rimmed, colour)
+            counted = told[at]
+            for q in range(c):
+                if not hi[q] > lo[q]:
+                    continue
+                here = (q, *at)
+                a = own_blocks[(q, q, *at)] + lam
+                rest = around[q] + sum(own_blocks[(q, j, *at)] * d[(j, *at)] for j in range(c) if j != q)
+                use = a > 0
+                want = prev[here] - (gradient[here] + rest) / np.where(use, a, 1.0)
+                new = np.where(use, _nearest(tables[q], lo[q], hi[q], want.astype(np.float32).astype(float)), index[here])
+                report.moved += int(((new != index[here]) & counted).sum())
+                index[here] = new
+                value[here] = np.where(use, tables[q][new], value[here])
+                d[here] = value[here] - prev[here]
+    d, value, index = (np.ascontiguousarray(np.moveaxis(a, 0, 2)) for a in (d, value, index))
+    report.delta_e = s.change(d, p.told(level0))
     if level0:
         p.v0, p.k0 = value, index
     else:

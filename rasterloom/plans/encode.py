@@ -35,6 +35,8 @@ from rasterloom.schema import channels
 from rasterloom.session import forget, stored
 
 _TILE = T._names(T.TILE)
+#: Steps take their neighbours' moves with them (``tiles.reach_of``), so tiles are larger than those of single steps.
+EDGE = 256
 REPORT = "material_id string, round int, block string, error double, moved long"
 
 
@@ -354,9 +356,16 @@ class _Fit:
 
         self.models = T._written(both.mapInPandas(pack, T.DECODER))
 
-    def step(self, n: int, block: str, action: T.Action) -> None:
+    def stepped(self, tiles: DataFrame, models: DataFrame, level0: bool, frozen: bool) -> DataFrame:
+        """Tiles after a level's step: all at once, but for the search of palettes."""
+        if level0 and not self.blocks:
+            return T.step(tiles, models, self.level0(frozen), self.edge, self.turns)
+        action = self.level0(frozen) if level0 else self.level1(frozen)
+        return T.step(tiles, models, action, self.edge, halo=T.reach_of(level0, self.o, frozen), k=self.o.k if level0 else None)
+
+    def step(self, n: int, block: str, level0: bool, frozen: bool) -> None:
         """A level's step, and the errors its own changes give."""
-        old, self.tiles = self.tiles, T.step(self.tiles, self.models, action, self.edge, self.turns)
+        old, self.tiles = self.tiles, self.stepped(self.tiles, self.models, level0, frozen)
         change = self.norm(self.tiles).collect()  # a row per material
         for r in change:
             self.errors[r["material_id"]] += r["change"]
@@ -385,32 +394,43 @@ class _Fit:
         return grid0, grid1
 
 
-def _changes(sizes: Sequence[tuple[int, int]], cw: Sequence[float], o: Options) -> Callable[[DataFrame], DataFrame]:
+def _changes(tiles: DataFrame, cw: Sequence[float], o: Options) -> Callable[[DataFrame], DataFrame]:
     """What a step's tiles say of the material's error: (material_id, change, moved)."""
-    pixels = [h * w for h, w in sizes]
-    omega = P.per_site_weights(pixels, o.mip_weight, o.mip_mix, o.k)
-    norm = float(sum(cw)) * float(np.dot(omega, np.array(pixels) * (1 + o.k)))
-    weight = F.element_at(F.array(*[F.lit(float(w) / norm if norm > 0 else 0.0) for w in omega]), F.col("plane") + 1)
-    return lambda tiles: tiles.groupBy("material_id").agg(F.sum(F.col("delta_e") * weight).alias("change"), F.sum("moved").alias("moved"))
+
+    def weigh(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("plane")
+        omega = P.per_site_weights(pdf["pixels"], o.mip_weight, o.mip_mix, o.k)
+        norm = float(sum(cw)) * float(np.dot(omega, pdf["pixels"] * (1 + o.k)))
+        return pdf[["material_id", "plane"]].assign(weight=omega / norm if norm > 0 else 0.0)
+
+    pixels = tiles.select("material_id", "plane", (F.col("h0").cast("long") * F.col("w0")).alias("pixels")).distinct()
+    weights = stored(pixels.groupBy("material_id").applyInPandas(weigh, "material_id string, plane int, weight double"), "encode-weights")
+    return lambda tiles: tiles.select("material_id", "plane", "delta_e", "moved").join(weights, ["material_id", "plane"]).groupBy("material_id").agg(F.sum(F.col("delta_e") * F.col("weight")).alias("change"), F.sum("moved").alias("moved"))
 
 
-def encode(source: DataFrame, sizes: Sequence[tuple[int, int, int, int, int]], cw: Sequence[float], options: Options | None = None, edge: int = T.EDGE) -> Encoded:
+def encode(source: DataFrame, sizes: Sequence[tuple[int, int, int, int, int]], cw: Sequence[float], options: Options | None = None, edge: int = EDGE) -> Encoded:
     """Materials fitted and packed tile by tile.
 
     ``source`` is their padded chain (material_id, plane, x, y, c0 ..), ``sizes`` its (plane, w0, h0, w1, h1), planes from 0 on:
     every material of a call has them all.
     """
+    return encode_chains([(source, sizes)], cw, options, edge)
+
+
+def encode_chains(chains: Sequence[tuple[DataFrame, Sequence[tuple[int, int, int, int, int]]]], cw: Sequence[float], options: Options | None = None, edge: int = EDGE) -> Encoded:
+    """The same of materials of several extents: chains of those of one extent, and its sizes."""
     o = options or Options()
-    nout = len(channels(source))
+    nout = len(channels(chains[0][0]))
     bad = violations(o, nout // 3)
     if bad:
         raise ValueError("; ".join(bad))
     if edge % 4 or edge < T.LEAST:
         raise ValueError(f"tiles of {edge} pixels are narrower than {T.LEAST} or end within blocks")
-    spark = source.sparkSession
-    size = T.R.geometry_table(spark, list(sizes))
-    extents = [(h0, w0) for _, w0, h0, _, _ in sorted(sizes)]
-    m = _Fit(start(source, size, o, edge), cw, o, edge, T.colours(extents, edge), _changes(extents, cw, o))
+    spark = chains[0][0].sparkSession
+    begun = [start(source, T.R.geometry_table(spark, list(sizes)), o, edge) for source, sizes in chains]
+    extents = [(h0, w0) for _, sizes in chains for _, w0, h0, _, _ in sizes]
+    begun = reduce(DataFrame.unionByName, begun)
+    m = _Fit(begun, cw, o, edge, T.colours(extents, edge), _changes(begun, cw, o))
     if not m.blocks:
         tables, names = m.palettes, m.tiles.select("material_id").distinct()
         m.tiles = changed(m.tiles, names, edge, lambda v0, v1, src, r: (np.stack([t[np.abs(v0[..., c, None] - t).argmin(-1)] for c, t in enumerate(tables)], 2), v1))
@@ -422,7 +442,7 @@ def encode(source: DataFrame, sizes: Sequence[tuple[int, int, int, int, int]], c
             m.tiles = seeded(m.tiles, m.models, c, o, m.palettes, edge)
             m.decode(0, f"seed{c}")
             if not m.blocks:
-                m.step(0, f"search{c}", m.level0(False))
+                m.step(0, f"search{c}", True, False)
                 m.decode(0, f"seed{c}")
     done: list[tuple[DataFrame, DataFrame]] = []
     grids: tuple[DataFrame | None, DataFrame] | None = None
@@ -433,9 +453,9 @@ def encode(source: DataFrame, sizes: Sequence[tuple[int, int, int, int, int]], c
         m.decode(n, "a")
         if n > o.q1_start - 1 and grids is None:
             grids = m.freeze(n)
-        m.step(n, "b", m.level1(grids is not None))
+        m.step(n, "b", False, grids is not None)
         moved = {r[0]: r[4] for r in m.rows if r[1] == n and r[2] == "b"}
-        m.step(n, "c", m.level0(grids is not None))
+        m.step(n, "c", True, grids is not None)
         over = []
         for r in [r for r in m.rows if r[1] == n and r[2] == "c"]:
             drop = (began[r[0]] - r[3]) / began[r[0]] if began[r[0]] > 0 else 0.0
@@ -448,7 +468,7 @@ def encode(source: DataFrame, sizes: Sequence[tuple[int, int, int, int, int]], c
             m.errors = {k: v for k, v in m.errors.items() if k not in over}
             if not m.errors:
                 break
-            m.tiles = stored(m.tiles.select(*_TILE).join(names, "material_id", "left_anti"), "tiles")
+            m.tiles = stored(m.tiles.join(names, "material_id", "left_anti"), "tiles")
             m.models = stored(m.models.join(names, "material_id", "left_anti"), "tiles")
     if done:
         left = bool(m.errors)
@@ -461,8 +481,8 @@ def encode(source: DataFrame, sizes: Sequence[tuple[int, int, int, int, int]], c
     last += 1
     if grids is None:
         grids = m.freeze(last)
-    m.step(last, "b", m.level1(True))
-    m.step(last, "c", m.level0(True))
+    m.step(last, "b", False, True)
+    m.step(last, "c", True, True)
     m.decode(last, "a")
     grid0, grid1 = grids
     if m.blocks:
@@ -478,8 +498,7 @@ def _pack(m: _Fit, grid0: DataFrame, n: int) -> None:
     spark = m.tiles.sparkSession
 
     def packed(tiles: DataFrame, models: DataFrame, seed: bool, passes: int) -> DataFrame:
-        made = Q.seed(tiles, grid0, m.edge) if seed else tiles
-        return Q.refine(made, models, grid0, m.cw, o, passes, m.edge)[0] if passes else made
+        return Q.packed(tiles, models, m.cw, o, passes, m.edge) if seed else Q.refine(tiles, models, grid0, m.cw, o, passes, m.edge)[0]
 
     def errors(tiles: DataFrame, models: DataFrame) -> dict[str, float]:
         return {r["material_id"]: r["error"] for r in T.errors(tiles.select(*_TILE), models, m.cw, o, m.edge).collect()}
@@ -495,7 +514,7 @@ def _pack(m: _Fit, grid0: DataFrame, n: int) -> None:
         mine = spark.createDataFrame([(x,) for x in sorted(active)], "material_id string")
         tiles = versions.latest.join(mine, "material_id")
         models = T.decoders(tiles.select(*_TILE), m.cw, o, m.models, m.edge)
-        stepped = T.step(tiles, models, m.level0(True), m.edge, m.turns)
+        stepped = m.stepped(tiles, models, True, True)
         again = packed(stepped, models, True, o.bc_refine)
         found = errors(again, models)
         active = {k for k, e in found.items() if e < m.errors[k]}

@@ -8,14 +8,15 @@ Gram matrices, one per tile, never from rows.
 
 No task holds more than its tiles one at a time, and the driver holds nothing of them.
 Each colour's new tiles are written to the shared folder, so a lost executor costs one
-colour of a step. Grids are given, not found here: ``operators.aggregate`` finds them
+colour of a step. With a halo as wide as a step's moves reach (``step`` with ``halo``) no turns are
+needed: every tile works out its neighbours' moves as well and keeps its own. Grids are given, not found here: ``operators.aggregate`` finds them
 over ``planes``, and ``operators.blocks`` packs those.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
@@ -53,6 +54,7 @@ class Grid:
     h1: int
     w1: int
     edge: int
+    halo: int = HALO
 
     @property
     def counts(self) -> tuple[int, int]:
@@ -71,11 +73,19 @@ class Grid:
     def reach(self, ty: int, tx: int) -> tuple[L.Rect, L.Rect]:
         """The same with all that the sites near its texels read."""
         (y, x, h, w), _ = self.own(ty, tx)
-        a, b, c, d = max(0, y - HALO), min(self.h0, y + h + HALO), max(0, x - HALO), min(self.w0, x + w + HALO)
-        e, f = max(0, a * self.h1 // self.h0 - 2), min(self.h1, -(-b * self.h1 // self.h0) + 2)
-        g, i = max(0, c * self.w1 // self.w0 - 2), min(self.w1, -(-d * self.w1 // self.w0) + 2)
+        a, b, c, d = max(0, y - self.halo), min(self.h0, y + h + self.halo), max(0, x - self.halo), min(self.w0, x + w + self.halo)
+        e, f = max(0, (a * self.h1 // self.h0 - 2) & ~1), min(self.h1, -(-b * self.h1 // self.h0) + 2)  # even, as colours are of the plane
+        g, i = max(0, (c * self.w1 // self.w0 - 2) & ~1), min(self.w1, -(-d * self.w1 // self.w0) + 2)
         return (a, c, b - a, d - c), (e, g, f - e, i - g)
 
+    def inner(self, ty: int, tx: int) -> tuple[L.Rect, L.Rect]:
+        """The texels of ``reach`` of which all sites are there: all but a rim where the plane goes on."""
+        out = []
+        for (y, x, h, w), n, m, rim in zip(self.reach(ty, tx), (self.h0, self.h1), (self.w0, self.w1), (2, 5), strict=True):
+            a, b, c, d = y + rim * (y > 0), y + h - rim * (y + h < n), x + rim * (x > 0), x + w - rim * (x + w < m)
+            out.append((a, c, b - a, d - c))
+        return out[0], out[1]
+
     def core(self, ty: int, tx: int) -> L.Rect:
         """The pixels whose sites lie wholly within ``reach``."""
         (y, x, h, w), _ = self.reach(ty, tx)
@@ -150,24 +160,28 @@ def _written(df: DataFrame) -> DataFrame:
     return stored(df, "tiles")
 
 
-def _pieces(tiles: DataFrame, decoders: DataFrame | None, edge: int, turn: int | None) -> DataFrame:
-    """What every tile gives to itself and its neighbours (of colour ``turn``, if it is given)."""
+def _pieces(tiles: DataFrame, decoders: DataFrame | None, edge: int, turn: int | None, halo: int = HALO) -> DataFrame:
+    """What every tile gives to itself and those within ``halo`` (of colour ``turn``, if it is given), a tile's pieces at a time."""
+    far = -(-halo // edge)
 
     def give(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             for r in pdf.itertuples(index=False):
-                grid = Grid(r.h0, r.w0, r.h1, r.w1, edge)
+                grid = Grid(r.h0, r.w0, r.h1, r.w1, edge, halo)
                 own0, own1 = grid.own(r.ty, r.tx)
                 v0, v1, src = _array(r.v0, own0), _array(r.v1, own1), _array(r.src, own0)
                 out = []
-                for ty in range(max(0, r.ty - 1), min(grid.counts[0], r.ty + 2)):
-                    for tx in range(max(0, r.tx - 1), min(grid.counts[1], r.tx + 2)):
+                for ty in range(max(0, r.ty - far), min(grid.counts[0], r.ty + far + 1)):
+                    for tx in range(max(0, r.tx - far), min(grid.counts[1], r.tx + far + 1)):
                         if turn is not None and (ty % 2) * 2 + tx % 2 != turn:
                             continue
                         far0, far1 = grid.reach(ty, tx)
                         r0, r1 = _meet(own0, far0), _meet(own1, far1)
+                        if not r0[2] * r0[3] + r1[2] * r1[3]:
+                            continue
                         out.append((r.material_id, r.plane, ty, tx, r.h0, r.w0, r.h1, r.w1, r.w, r.b, r.g, list(r0), list(r1), _bytes(_part(v0, own0, r0)), _bytes(_part(v1, own1, r1)), _bytes(_part(src, own0, r0))))
-                yield pd.DataFrame(out, columns=_names(_PIECE))
+                if out:
+                    yield pd.DataFrame(out, columns=_names(_PIECE))
 
     given = {n: F.col(n) if decoders is not None and n in decoders.columns else F.lit(b"") for n in ("w", "b", "g")}
     both = tiles.select(*_names(TILE)).join(decoders, "material_id") if decoders is not None else tiles
@@ -182,11 +196,11 @@ def _met(pieces: DataFrame) -> GroupedData:
     return pieces.repartition(DEALT * pieces.sparkSession.sparkContext.defaultParallelism, *_KEYS).groupBy(*_KEYS)
 
 
-def _assembled(pdf: pd.DataFrame, edge: int, summing: bool) -> tuple[L.Plane, Grid, int, int]:
-    """A tile with its surroundings as one plane; for sums only its own pixels have sites."""
+def _assembled(pdf: pd.DataFrame, edge: int, summing: bool, halo: int = HALO, wide: bool = False) -> tuple[L.Plane, Grid, int, int]:
+    """A tile with its surroundings as one plane; for sums only its own pixels have sites, and if it is ``wide`` all its texels move."""
     key = pdf.iloc[0]
     ty, tx = int(key["ty"]), int(key["tx"])
-    grid = Grid(*[int(key[n]) for n in ("h0", "w0", "h1", "w1")], edge)
+    grid = Grid(*[int(key[n]) for n in ("h0", "w0", "h1", "w1")], edge, halo)
     far0, far1 = grid.reach(ty, tx)
     arrays: dict[str, np.ndarray] = {}
     for r0, r1, v0, v1, src in zip(pdf["r0"], pdf["r1"], pdf["v0"], pdf["v1"], pdf["src"], strict=True):
@@ -196,7 +210,8 @@ def _assembled(pdf: pd.DataFrame, edge: int, summing: bool) -> tuple[L.Plane, Gr
                 whole = arrays.setdefault(name, np.zeros((far[2], far[3], a.shape[2])))
                 _part(whole, far, rect)[:] = a
     own0, own1 = grid.own(ty, tx)
-    window = L.Window((grid.h0, grid.w0), (grid.h1, grid.w1), far0[:2], far1[:2], own0 if summing else grid.core(ty, tx), own0, own1)
+    moving = (*grid.inner(ty, tx), own0, own1) if wide else (own0, own1)
+    window = L.Window((grid.h0, grid.w0), (grid.h1, grid.w1), far0[:2], far1[:2], own0 if summing else grid.core(ty, tx), *moving)
     return L.Plane(arrays["v0"], arrays["v1"], arrays["src"], window=window), grid, ty, tx
 
 
@@ -204,12 +219,22 @@ def _decoder_of(pdf: pd.DataFrame, nout: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(pdf["w"].iloc[0], "<f8").reshape(nout, -1), np.frombuffer(pdf["b"].iloc[0], "<f8")
 
 
+def _gram(p: L.Plane, k: int) -> np.ndarray:
+    """The products of features, 1 and targets over a plane's sites."""
+    total = 0.0
+    for _, t0, t1, target in L.sites(p, k):
+        row = np.concatenate([D.phi_matrix(t0.read(p.v0), t1.read(p.v1)), np.ones((len(target), 1)), target], 1)
+        total = total + row.T @ row
+    return total
+
+
 def decoders(tiles: DataFrame, cw: Sequence[float], options: Options | None = None, previous: DataFrame | None = None, edge: int = EDGE) -> DataFrame:
     """Every material's best decoder (``DECODER``), no worse than its previous one.
 
     A tile gives the products of its features and targets; a task adds those of its tiles up before they are
     summed by entry, so what meets in a material's group is one matrix per plane however many tiles it has.
-    The same sums give the error of the previous decoder (null without one) and of the new one.
+    The same sums give the error of the previous decoder (null without one) and of the new one. Tiles that a
+    step left with their products (``gram``) aren't read again.
     """
     o, weights, kept = options or Options(), np.asarray(cw, float), previous is not None
     nout = len(weights)
@@ -217,12 +242,8 @@ def decoders(tiles: DataFrame, cw: Sequence[float], options: Options | None = No
 
     def gram(pdf: pd.DataFrame) -> pd.DataFrame:
         p, grid, _, _ = _assembled(pdf, edge, True)
-        total = 0.0
-        for _, t0, t1, target in L.sites(p, o.k):
-            row = np.concatenate([D.phi_matrix(t0.read(p.v0), t1.read(p.v1)), np.ones((len(target), 1)), target], 1)
-            total = total + row.T @ row
         key = pdf.iloc[0]
-        return pd.DataFrame([(key["material_id"], int(key["plane"]), grid.h0 * grid.w0, _bytes(total, "<f8"), key["w"], key["b"], key["g"])], columns=_names(schema))
+        return pd.DataFrame([(key["material_id"], int(key["plane"]), grid.h0 * grid.w0, _bytes(_gram(p, o.k), "<f8"), key["w"], key["b"], key["g"])], columns=_names(schema))
 
     def partial(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple, list] = {}
@@ -254,7 +275,11 @@ def decoders(tiles: DataFrame, cw: Sequence[float], options: Options | None = No
         got = D.solve(total[:n, :n], total[:n, n:], weights, sites, old)
         return pd.DataFrame([(pdf["material_id"].iloc[0], _bytes(got.w, "<f8"), _bytes(got.b, "<f8"), named["g"].iloc[0], error(old) if kept else None, error(got))], columns=_names(DECODER))
 
-    grams = _met(_pieces(tiles, previous, edge, None)).applyInPandas(gram, schema).mapInPandas(partial, "material_id string, plane int, pixels long, at int, v double, w binary, b binary, g binary")
+    if "gram" in tiles.columns and kept:
+        each = tiles.join(previous.select("material_id", "w", "b", "g"), "material_id").select("material_id", "plane", (F.col("h0").cast("long") * F.col("w0")).alias("pixels"), "gram", "w", "b", "g")
+    else:
+        each = _met(_pieces(tiles, previous, edge, None)).applyInPandas(gram, schema)
+    grams = each.mapInPandas(partial, "material_id string, plane int, pixels long, at int, v double, w binary, b binary, g binary")
     summed = grams.groupBy("material_id", "plane", "at").agg(F.first("pixels").alias("pixels"), F.sum("v").alias("v"), *[F.first(n, ignorenulls=True).alias(n) for n in ("w", "b", "g")])
     return _written(summed.groupBy("material_id").applyInPandas(best, DECODER))
 
@@ -341,16 +366,34 @@ def colours(sizes: Sequence[tuple[int, int]], edge: int = EDGE) -> list[int]:
     return sorted(out)
 
 
-def step(tiles: DataFrame, found: DataFrame, action: Action, edge: int = EDGE, turns: Sequence[int] = range(4)) -> DataFrame:
-    """``tiles`` (``STEPPED``: with the change of the plane's weighted error, and values moved) after ``action`` on every one of them, a colour at a time."""
+#: How far (in texels of its level) a continuous step's moves reach: beyond, they have faded to its own tolerance.
+FADED = 32
+
+
+def reach_of(level0: bool, options: Options, frozen: bool) -> int:
+    """The halo in pixels with which a tile's step (sweeps, if ``frozen``) is that of the whole plane: a colour's moves reach one texel on."""
+    texels = 4 * options.q1_sweeps + 4 if frozen else FADED
+    return -(-texels // 8) * 8 if level0 else -(-texels * 9 // 16) * 8  # up to 4.5 pixels a texel
+
+
+def step(tiles: DataFrame, found: DataFrame, action: Action, edge: int = EDGE, turns: Sequence[int] = range(4), halo: int | None = None, k: int | None = None) -> DataFrame:
+    """``tiles`` (``STEPPED``: with the change of the plane's weighted error, and values moved) after ``action`` on every one of them.
+
+    A colour at a time; or all at once with a ``halo`` as wide as the action's moves reach, each tile then keeping its own part. With
+    ``k`` such tiles have their decoder's products too (``gram``).
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, grid, ty, tx = _assembled(pdf, edge, False)
+        p, grid, ty, tx = _assembled(pdf, edge, False, halo or HALO, halo is not None)
         delta, moved = action(p, *_decoder_of(pdf, p.src.shape[2]), np.frombuffer(pdf["g"].iloc[0] or b"", "<f8"))
         (far0, far1), (own0, own1), key = grid.reach(ty, tx), grid.own(ty, tx), pdf.iloc[0]
         own = [_bytes(_part(a, far, rect)) for a, far, rect in ((p.v0, far0, own0), (p.v1, far1, own1), (p.src, far0, own0))]
-        return pd.DataFrame([(key["material_id"], int(key["plane"]), ty, tx, grid.h0, grid.w0, grid.h1, grid.w1, *own, delta, moved)], columns=_names(STEPPED))
+        more = [] if k is None else [_bytes(_gram(replace(p, window=replace(p.window, core=own0), kept={}), k), "<f8")]
+        return pd.DataFrame([(key["material_id"], int(key["plane"]), ty, tx, grid.h0, grid.w0, grid.h1, grid.w1, *own, delta, moved, *more)], columns=_names(schema))
 
+    schema = STEPPED if k is None else f"{STEPPED}, gram binary"
+    if halo is not None:
+        return _written(_met(_pieces(tiles.select(*_names(TILE)), found, edge, None, halo)).applyInPandas(run, schema))
     state = {c: tiles.filter(colour() == c).select(*_names(TILE)) for c in turns}
     stepped = {}
     for c in turns:

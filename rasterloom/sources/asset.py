@@ -367,7 +367,7 @@ def encoded_slabs(encoded, sizes: Sequence[tuple[int, int, int, int, int]], opti
     return rows.select("path", "level", "width", "height", "dxgi", "channels", F.lit(mips).alias("levels"), "row", F.lit(1).alias("rows"), "bytes")
 
 
-def write_encoded(encoded, sizes: Sequence[tuple[int, int, int, int, int]], root: str, options: Options | None = None, edge: int = 128) -> None:
+def write_encoded(encoded, sizes: Sequence[tuple[int, int, int, int, int]], root: str, options: Options | None = None, edge: int = 256) -> None:
     """The assets of all materials that ``plans.encode`` gave, by slabs: containers first, descriptors last.
 
     The driver sees a row per material: its decoder and its grids.

@@ -131,3 +131,62 @@ def test_blocks_are_encoded_once_for_all_readers(spark):
 
     plan = fit_queries.NAMES["q62_block_decoders"](spark, str(DATA))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [event_id") == 4
+
+
+@pytest.mark.parametrize("level0", [False, True])
+def test_wide_halos_give_the_whole_planes_sweep(case, level0):
+    """One job instead of one a colour of tiles, and every texel is that of the sweep of the whole plane."""
+    tiles, m, tables = case
+    found = T.decoders(tiles, CW, O, edge=EDGE)
+    w, b = T._decoder_of(found.toPandas(), 3)
+    o = Options(c0=1, c1=2, k=4, ridge=0.0, q1_sweeps=2)
+    n = 1 if level0 else 2
+    lo, hi = np.full(n, -1.0), np.full(n, 1.0)
+    got = T.step(tiles, found, T.sweeping(level0, CW, lo, hi, 6, o), EDGE, halo=T.reach_of(level0, o, True), k=4)
+    moved, delta = 0, 0.0
+    for mine, v0, v1, src in zip(arrays(T.planes(got, level0, n, EDGE), n), *(arrays(t, c) for t, c in zip(tables, (1, 2, 3), strict=True)), strict=True):
+        p = L.Plane(v0, v1, src)
+        index = L.grid_index(lo, hi, 6, v0 if level0 else v1)
+        if level0:
+            p.k0, p.v0 = index, L.grid_value(lo, hi, 6, index)
+        else:
+            p.k1, p.v1 = index, L.grid_value(lo, hi, 6, index)
+        report = L.grid_sweep(p, w, b, np.array(CW), 4, 0.0, level0, lo, hi, 6, 2)
+        moved, delta = moved + report.moved, delta + report.delta_e
+        assert (mine == (p.v0 if level0 else p.v1)).all()
+    told = got.toPandas()
+    assert told["moved"].sum() == moved and told["delta_e"].sum() == pytest.approx(delta, rel=1e-9)
+    quick, slow = (T.decoders(t, CW, O, found, EDGE).toPandas() for t in (got, got.drop("gram")))
+    for one, other in zip(T._decoder_of(quick, 3), T._decoder_of(slow, 3), strict=True):
+        assert one == pytest.approx(other, abs=1e-6)
+    assert quick["after"][0] == pytest.approx(slow["after"][0], rel=1e-9)
+
+
+@pytest.mark.parametrize("level0", [False, True])
+def test_wide_halos_give_the_whole_planes_solution(case, level0):
+    tiles, m, _ = case
+    found = T.decoders(tiles, CW, O, edge=EDGE)
+    o = Options(c0=1, c1=2, k=4, ridge=0.0)
+    got = T.step(tiles, found, T.solving(level0, CW, o), EDGE, halo=T.reach_of(level0, o, False))
+    w, b = m.weights()
+    n = 1 if level0 else 2
+    for mine, p in zip(arrays(T.planes(got, level0, n, EDGE), n), m.planes, strict=True):
+        whole = L.Plane(p.v0.copy(), p.v1.copy(), p.src)
+        L.solve(whole, w, b, m.cw, 4, 0.0, level0)
+        assert np.abs(mine - (whole.v0 if level0 else whole.v1)).max() < 1e-4
+
+
+def test_packing_at_once_is_packing_by_turns(spark, case):
+    from rasterloom.plans import packing as Q
+
+    tiles, _, _ = case
+    found = T.decoders(tiles, CW, O, edge=EDGE)
+    lo, hi = [-1.5], [1.25]
+    grids = spark.createDataFrame([("m", lo, hi)], Q.GRIDS)
+    want = Q.refine(Q.seed(tiles, grids, EDGE), found, grids, CW, O, 2, EDGE)[0].orderBy(*T._KEYS).toPandas()
+    blob = T._bytes(np.array(lo + hi + [-1.0, -1.0, 1.0, 1.0]), "<f8")
+    from pyspark.sql import functions as F
+
+    got = Q.packed(tiles, found.withColumn("g", F.lit(bytearray(blob))), CW, O, 2, EDGE).orderBy(*T._KEYS).toPandas()
+    for name in T._names(Q.PACKED):
+        assert got[name].tolist() == want[name].tolist(), name
