@@ -15,7 +15,7 @@ after a level's step it is what the step's own quadratic says, tile by tile.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
@@ -539,3 +539,18 @@ def chain_of(plane: DataFrame, w: int, h: int, name: str, options: Options) -> t
     padded = stored(padded, "encode-base")  # every level reads it
     levels = mip_count(w, h, options.mip_min) if options.mips else 0
     return P.with_material(T.R.box_chain(padded, w, h, levels), name), T.R.geometry(w, h, levels)
+
+
+def chains_of(materials: DataFrame, extents: dict[tuple[int, int], list[str]], options: Options) -> list[tuple[DataFrame, list[tuple[int, int, int, int, int]]]]:
+    """Chains and sizes as ``encode_chains`` takes them, of materials by their extent (w, h); levels that are given are taken as they are."""
+    out = []
+    for (w, h), names in extents.items():
+        for name in names:
+            mine = materials.filter(F.col("material_id") == name).drop("material_id")
+            given = sorted((r["plane"], r["w"], r["h"]) for r in mine.filter("plane > 0").groupBy("plane").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h")).collect())  # a row per level
+            chain, sizes = chain_of(mine.filter("plane = 0"), w, h, name, replace(options, mips=options.mips and not given))
+            if given:
+                sizes = [sizes[0], *((p, gw, gh, *low[3:]) for (p, gw, gh), low in zip(given, T.R.geometry(*sizes[0][1:3], len(given))[1:], strict=True))]
+                chain = chain.unionByName(P.with_material(mine.filter("plane > 0"), name))
+            out.append((chain, sizes))
+    return out

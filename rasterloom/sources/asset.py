@@ -388,3 +388,22 @@ def write_encoded(encoded, sizes: Sequence[tuple[int, int, int, int, int]], root
         text = descriptor.build(*sizes0[0], len(bias) // 3, o.c0, o.c1, weights.tolist(), bias.tolist(), [first, second])
         texts.append((f"{r['material_id']}.json", bytearray(text.encode())))
     dds.save_files(encoded.tiles.sparkSession.createDataFrame(texts, _FILE), root)
+
+
+def write_fitted(materials: DataFrame, root: str, options: Options | None = None, most: int | None = None) -> None:
+    """Materials (material_id, plane, x, y, channels) fitted and written as assets: a task each up to ``most`` pixels, larger ones by tiles and slabs."""
+    from rasterloom.plans import encode as E
+    from rasterloom.plans import fit as P
+
+    o = options or Options()
+    _, cw = P._checked(materials, o)
+    small, large = P.parted(materials, P.GROUP_PIXELS if most is None else most)
+    if small is not None:
+        dds.save_files(fitted_files(P.fit(small, o), o), root)
+    if large:
+        chains = E.chains_of(materials, large, o)
+        got = E.encode_chains(chains, cw, o)
+        names = [n for part in large.values() for n in part]
+        for name, (_, sizes) in zip(names, chains, strict=True):
+            mine = E.Encoded(*[df.filter(F.col("material_id") == name) for df in (got.tiles, got.models, got.report, got.grids)])
+            write_encoded(mine, sizes, root, o, E.EDGE)

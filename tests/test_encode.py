@@ -93,3 +93,29 @@ def test_materials_of_many_tiles(spark, tmp_path):
             lo, hi = grids[name]["lo1"][c], grids[name]["hi1"][c]
             v = v1[f"c{c}"].to_numpy()
             assert (np.abs((v - lo) / (hi - lo) * 255 - np.round((v - lo) / (hi - lo) * 255)) < 1e-3).all()
+
+
+def test_large_materials_go_by_tiles(spark, tmp_path):
+    """A material beyond what a task holds is fitted and written without a group of its pixels, beside one that is not; both as in one task."""
+    from rasterloom.sources import asset
+
+    o = Options(c0=1, c1=2, rounds=4, bc_refine=1, bc_outer=1, mips=False)
+    big, little = picture(68, 52, 3), picture(12, 8, 4)
+    both = rows(spark, big, name="big").unionByName(rows(spark, little, name="little"))
+    report = P.fit_report(both, o, most=1000)
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInPandas") == 1 and "LEFT ANTI" in plan.upper().replace("LEFTANTI", "LEFT ANTI")
+    got = {}
+    for r in report.collect():
+        got.setdefault(r["material_id"], []).append((r["round"], r["block"], r["error"]))
+    for name, a in (("big", big), ("little", little)):
+        want = {(n, block): e for n, block, e, _ in whole(a, o)[1]}
+        assert {k[:2] for k in got[name]} & set(want) >= {(1, "a"), (1, "b"), (1, "c"), (3, "freeze"), (4, "c")}
+        for n, block, e in got[name]:
+            if (n, block) in want:
+                assert e == pytest.approx(want[n, block], rel=1e-2), (name, n, block)
+    root = f"file:{tmp_path}/fitted"
+    asset.write_fitted(both, root, o, most=1000)
+    for name, a in (("big", big), ("little", little)):
+        told = asset.quality(asset.load(spark, root, name), rows(spark, a).drop("material_id")).filter("texture = 0").first()
+        assert told["psnr"] > 15
