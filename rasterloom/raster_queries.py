@@ -544,14 +544,14 @@ def q53(spark, d):
 def q54(spark, d):
     """The fit of both materials to files, and the decibels of what the files decode to."""
     from rasterloom.functions.config import Options
-    from rasterloom.plans.fit import fit, with_material
+    from rasterloom.plans.fit import with_material
     from rasterloom.session import shared_path
-    from rasterloom.sources import asset, dds
+    from rasterloom.sources import asset
 
     planes = {"events": fixtures.events_raster(spark, d), "orders": fixtures.orders_raster(spark, d)}
     options, root = Options(c0=1, c1=3, mips=False), shared_path(spark, "asset")
     materials = [with_material(plane, name) for name, (plane, _, _) in planes.items()]
-    dds.save_files(asset.fitted_files(fit(materials[0].unionByName(materials[1]), options), options), root)
+    asset.write_fitted(materials[0].unionByName(materials[1]), root, options)
     parts = []
     for name, (plane, w, h) in planes.items():
         source, _, _ = R.pad(plane, w, h)
