@@ -143,7 +143,6 @@ def _multiply(rows: DataFrame, level0: bool, edge: int) -> DataFrame:
 
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            out = []
             for r in pdf.itertuples(index=False):
                 tile = _Tile(r, edge, level0)
                 blocks = _system_of(r, tile)
@@ -154,8 +153,7 @@ def _multiply(rows: DataFrame, level0: bool, edge: int) -> DataFrame:
                 u = T._part(whole, tile.ring, tile.own)
                 w = T._part(L.Stencil(blocks, whole).apply(whole), tile.ring, tile.own) + r.lam * u
                 res = _vector(r.r, tile.own)
-                out.append((r.material_id, r.plane, r.ty, r.tx, r.x, r.r, r.p, r.s, T._bytes(u, "<f8"), T._bytes(w, "<f8"), float((res * u).sum()), float((w * u).sum()), float((res * res).sum())))
-            yield pd.DataFrame(out, columns=T._names(_STATE))
+                yield pd.DataFrame([(r.material_id, r.plane, r.ty, r.tx, r.x, r.r, r.p, r.s, T._bytes(u, "<f8"), T._bytes(w, "<f8"), float((res * u).sum()), float((w * u).sum()), float((res * res).sum()))], columns=T._names(_STATE))
 
     return rows.mapInPandas(work, _STATE)
 

@@ -21,6 +21,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
@@ -136,22 +137,32 @@ def cut(level0: DataFrame, level1: DataFrame, source: DataFrame, size: DataFrame
         own = channels(t)
         rows.append(at.select(*_KEYS, "h0", "w0", "h1", "w1", F.lit(part).alias("part"), "x", "y", *[(F.coalesce(F.col(own[i]), F.lit(0.0)) if i < len(own) else F.lit(0.0)).cast("float").alias(f"c{i}") for i in range(max(widths))]))
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        key = pdf.iloc[0]
-        ty, tx, extent = int(key["ty"]), int(key["tx"]), [int(key[n]) for n in ("h0", "w0", "h1", "w1")]
-        own = Grid(*extent, edge).own(ty, tx)
-        out = []
+    def build(key: tuple, table: pa.Table) -> pa.Table:
+        extent = [table[n][0].as_py() for n in ("h0", "w0", "h1", "w1")]
+        own = Grid(*extent, edge).own(key[2].as_py(), key[3].as_py())
+        parts, out = table["part"].to_numpy(), []
         for part, rect in enumerate((own[0], own[1], own[0])):
-            mine = pdf[pdf["part"] == part]
-            a = np.zeros((rect[2], rect[3], widths[part]), np.float32)
-            a[mine["y"].to_numpy() - rect[0], mine["x"].to_numpy() - rect[1]] = mine[[f"c{i}" for i in range(widths[part])]].to_numpy(np.float32)
-            out.append(_bytes(a))
-        return pd.DataFrame([(key["material_id"], int(key["plane"]), ty, tx, *extent, *out)], columns=_names(TILE))
+            out.append(_bytes(dense(table.filter(pa.array(parts == part)), rect, [f"c{i}" for i in range(widths[part])])))
+        return as_row([*(k.as_py() for k in key), *extent, *out], TILE)
 
-    whole = rows[0].unionByName(rows[1]).unionByName(rows[2]).groupBy(*_KEYS).applyInPandas(build, TILE)
+    whole = rows[0].unionByName(rows[1]).unionByName(rows[2]).groupBy(*_KEYS).applyInArrow(build, TILE)
     return _written(whole)
 
 
+def dense(table: pa.Table, rect: L.Rect, names: Sequence[str]) -> np.ndarray:
+    """Rows (x, y and ``names``) as the array of a rectangle, holes as 0. A tile's texels are many rows: none becomes Python objects."""
+    out = np.zeros((rect[2], rect[3], len(names)), np.float32)
+    y, x = table["y"].to_numpy() - rect[0], table["x"].to_numpy() - rect[1]
+    for i, name in enumerate(names):
+        out[y, x, i] = table[name].to_numpy()
+    return out
+
+
+def as_row(values: Sequence, schema: str) -> pa.Table:
+    kinds = {"string": pa.string(), "int": pa.int32(), "binary": pa.binary()}
+    return pa.table({field.split()[0]: pa.array([v], kinds[field.split()[1]]) for v, field in zip(values, schema.split(", "), strict=True)})
+
+
 def _names(schema: str) -> list[str]:
     return [field.split()[0] for field in schema.split(", ")]
 

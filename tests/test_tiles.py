@@ -190,3 +190,17 @@ def test_packing_at_once_is_packing_by_turns(spark, case):
     got = Q.packed(tiles, found.withColumn("g", F.lit(bytearray(blob))), CW, O, 2, EDGE).orderBy(*T._KEYS).toPandas()
     for name in T._names(Q.PACKED):
         assert got[name].tolist() == want[name].tolist(), name
+
+
+@pytest.mark.parametrize("level0", [False, True])
+def test_small_blocks_are_summed_directly(monkeypatch, level0):
+    """A block of few entries needs no monomials of the other level, of which there are more."""
+    rng = np.random.default_rng(2)
+    p = L.Plane(rng.normal(size=(24, 20, 1)), rng.normal(size=(6, 5, 2)), rng.random((24, 20, 3)))
+    w, b = rng.normal(size=(3, 5)), rng.random(3)
+    before = L.plane_error(p, w, b, np.array(CW), 4)[0]
+    monkeypatch.setattr(L.Form, "matrices", None)
+    s = L.assemble(p, w, b, np.array(CW), 4, level0)
+    d = rng.normal(size=s.gradient.shape)
+    moved = L.Plane(p.v0 + d, p.v1, p.src) if level0 else L.Plane(p.v0, p.v1 + d, p.src)
+    assert before + s.change(d) == pytest.approx(L.plane_error(moved, w, b, np.array(CW), 4)[0], rel=1e-10)
