@@ -20,6 +20,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,18 +61,16 @@ def start(source: DataFrame, size: DataFrame, options: Options, edge: int = T.ED
     at = {name: F.least(F.floor(F.col(p) / edge).cast("int"), F.greatest(F.lit(1), F.floor(F.col(n0) / edge).cast("int")) - 1) for name, p, n0 in (("ty", "y", "h0"), ("tx", "x", "w0"))}
     rows = rows.withColumns(at).select(*T._KEYS, "h0", "w0", "h1", "w1", "x", "y", *[F.coalesce(F.col(c), F.lit(0.0)).cast("float").alias(c) for c in own])
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.iloc[0]
-        extent = [int(r[n]) for n in ("h0", "w0", "h1", "w1")]
-        own0, own1 = T.Grid(*extent, edge).own(int(r["ty"]), int(r["tx"]))
-        src = np.zeros((own0[2], own0[3], len(own)), np.float32)
-        src[pdf["y"].to_numpy() - own0[0], pdf["x"].to_numpy() - own0[1]] = pdf[own].to_numpy(np.float32)
+    def build(key: tuple, table: pa.Table) -> pa.Table:
+        extent = [table[n][0].as_py() for n in ("h0", "w0", "h1", "w1")]
+        own0, own1 = T.Grid(*extent, edge).own(key[2].as_py(), key[3].as_py())
+        src = T.dense(table, own0, own)
         v0, v1 = np.zeros((own0[2], own0[3], options.c0)), np.zeros((own1[2], own1[3], options.c1))
         if options.init0 == "luma":
             v0[..., 0] = 2 * (src[..., :3].astype(float) @ np.array(P.LUMA)) - 1
-        return pd.DataFrame([(r["material_id"], int(r["plane"]), int(r["ty"]), int(r["tx"]), *extent, T._bytes(v0), T._bytes(v1), T._bytes(src))], columns=_TILE)
+        return T.as_row([*(k.as_py() for k in key), *extent, T._bytes(v0), T._bytes(v1), T._bytes(src)], T.TILE)
 
-    return T._written(rows.groupBy(*T._KEYS).applyInPandas(build, T.TILE))
+    return T._written(rows.groupBy(*T._KEYS).applyInArrow(build, T.TILE))
 
 
 # ---- a row per material from all of its tiles, and back
@@ -121,12 +120,10 @@ def changed(tiles: DataFrame, values: DataFrame, edge: int, change: Callable[[np
 
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            out = []
-            for _, r in pdf.iterrows():
+            for _, r in pdf.iterrows():  # a tile at a time: a batch holds as many as a task reads
                 own0, own1 = T.Grid(r["h0"], r["w0"], r["h1"], r["w1"], edge).own(r["ty"], r["tx"])
                 v0, v1 = change(T._array(r["v0"], own0), T._array(r["v1"], own1), T._array(r["src"], own0), r)
-                out.append((*[r[n] for n in _TILE[:8]], T._bytes(v0), T._bytes(v1), r["src"]))
-            yield pd.DataFrame(out, columns=_TILE)
+                yield pd.DataFrame([(*[r[n] for n in _TILE[:8]], T._bytes(v0), T._bytes(v1), r["src"])], columns=_TILE)
 
     return T._written(tiles.select(*_TILE).join(values, "material_id").select(*_TILE, *[n for n in names if n != "material_id"]).mapInPandas(work, T.TILE))
 

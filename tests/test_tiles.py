@@ -204,3 +204,18 @@ def test_small_blocks_are_summed_directly(monkeypatch, level0):
     d = rng.normal(size=s.gradient.shape)
     moved = L.Plane(p.v0 + d, p.v1, p.src) if level0 else L.Plane(p.v0, p.v1 + d, p.src)
     assert before + s.change(d) == pytest.approx(L.plane_error(moved, w, b, np.array(CW), 4)[0], rel=1e-10)
+
+
+def test_changed_tiles_are_handed_on_one_at_a_time(spark, case, monkeypatch):
+    """A batch has as many tiles as a task reads; what is made of them must not be held together."""
+    from pyspark.sql import functions as F
+
+    from rasterloom.plans import encode as E
+
+    tiles, _, _ = case
+    held = []
+    monkeypatch.setattr(type(tiles), "mapInPandas", lambda self, work, schema: held.append(work) or self)
+    monkeypatch.setattr(T, "_written", lambda df: df)
+    E.changed(tiles, tiles.select("material_id").distinct(), EDGE, lambda v0, v1, src, r: (v0, v1))
+    batch = tiles.select(*T._names(T.TILE)).filter(F.col("plane") == 0).toPandas()
+    assert [len(part) for part in held[0](iter([batch]))] == [1] * len(batch) and len(batch) > 1
