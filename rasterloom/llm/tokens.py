@@ -24,6 +24,7 @@ empty table.
 
 from __future__ import annotations
 
+import codecs
 import json
 import re
 import zlib
@@ -42,11 +43,12 @@ END_ID = 0
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2000
-#: Bytes of a piece that the sorted store holds.
-WIDE = 16
-#: Pieces a worker remembers at most (50 bytes each), and those of them that wait to be sorted in (350 bytes each).
-CACHE_PIECES, LATE_PIECES = 600_000, 20_000
-#: Pieces beyond WIDE bytes that a worker remembers at most, and the longest of them.
+#: Bytes and ids of a piece that the store holds at most, and its places (35 bytes each, 51 if an id needs more than two).
+WIDE, MANY = 16, 8
+PLACES = 1 << 20
+#: Pieces that are asked of the model at once.
+LATE_PIECES = 20_000
+#: Pieces that the store can't hold and a worker remembers at most, and the longest of them.
 LONG_PIECES, LONG_BYTES = 20_000, 256
 #: Text that is cut and looked up at once.
 BATCH_BYTES = 1 << 18
@@ -72,58 +74,47 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class Store:
-    """ids by piece of up to WIDE bytes: sorted arrays of some 50 bytes an entry, and a small dict of what came last.
+    """ids by piece of up to WIDE bytes and MANY ids: a fixed number of places in arrays.
 
-    An entry is found by a mixed 64-bit key and holds the piece's bytes themselves (two words): a piece
-    that shares its key with another is told apart, and one that is hidden behind another is asked for again.
+    A mixed 64-bit key gives a piece two places, and a place holds its piece's bytes themselves (two
+    words), so pieces that meet there are told apart.  A new piece takes a free place, else one whose piece
+    wasn't met since the last that asked for its place, else none: what recurs stays, however many pass.
     """
 
-    def __init__(self) -> None:
-        self.keys, self.a, self.b = (np.zeros(0, np.uint64) for _ in range(3))
-        self.first = np.zeros(1, np.int64)
-        self.pool = np.zeros(0, "<u4")
-        self.late: dict[bytes, tuple[int, int, int, bytes]] = {}
-
-    def take(self, keys: np.ndarray, a: np.ndarray, b: np.ndarray, piece: Callable[[int], bytes], ask: Callable[[bytes], bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of distinct pieces one after another, and their numbers; ``piece`` gives the bytes of a position, ``ask`` the ids of new bytes."""
-        pos = np.searchsorted(self.keys, keys)
-        known = np.zeros(len(keys), bool)
-        inside = np.flatnonzero(pos < len(self.keys))
-        at = pos[inside]
-        known[inside] = (self.keys[at] == keys[inside]) & (self.a[at] == a[inside]) & (self.b[at] == b[inside])
-        n = np.zeros(len(keys), np.int64)
-        begin = self.first[pos[known]]
-        n[known] = self.first[pos[known] + 1] - begin
-        other = np.flatnonzero(~known)
-        found = []
-        for j in other.tolist():
-            text = piece(j)
-            entry = self.late.get(text)
-            if entry is None:
-                entry = self.late[text] = (int(keys[j]), int(a[j]), int(b[j]), ask(text))
-            found.append(entry[3])
-        n[other] = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        ends = np.cumsum(n)
-        out = np.empty(int(ends[-1]) if len(ends) else 0, "<u4")
-        out[_ranges(ends[known] - n[known], n[known])] = self.pool[_ranges(begin, n[known])]
-        out[_ranges(ends[other] - n[other], n[other])] = np.frombuffer(b"".join(found), "<u4")
-        if len(self.late) > LATE_PIECES:
-            self._settle()
-        return out, n
-
-    def _settle(self) -> None:
-        late = list(self.late.values())
-        self.late = {}
-        keys, a, b = (np.fromiter((x[i] for x in late), np.uint64, len(late)) for i in range(3))
-        n = np.fromiter((len(x[3]) for x in late), np.int64, len(late)) // 4
-        pool = np.frombuffer(b"".join(x[3] for x in late), "<u4")
-        if len(self.keys) + len(keys) <= CACHE_PIECES:  # else the store starts anew with the late ones
-            keys, a, b = np.concatenate([self.keys, keys]), np.concatenate([self.a, a]), np.concatenate([self.b, b])
-            n, pool = np.concatenate([np.diff(self.first), n]), np.concatenate([self.pool, pool])
-        order = np.argsort(keys)
-        begin = (np.cumsum(n) - n)[order]
-        self.keys, self.a, self.b, self.pool = keys[order], a[order], b[order], pool[_ranges(begin, n[order])]
-        self.first = np.concatenate([np.zeros(1, np.int64), np.cumsum(n[order])])
+    def __init__(self, id_type: type[np.unsignedinteger]) -> None:
+        self.a, self.b = (np.zeros(PLACES, np.uint64) for _ in range(2))
+        self.n, self.met = np.zeros(PLACES, np.uint8), np.zeros(PLACES, bool)
+        self.ids = np.zeros((PLACES, MANY), id_type)
+
+    @staticmethod
+    def _places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (keys % np.uint64(PLACES)).astype(np.int64), ((keys >> np.uint64(32)) % np.uint64(PLACES)).astype(np.int64)
+
+    def find(self, keys: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The place of every piece, -1 if it has none."""
+        place, second = self._places(keys)
+        other = np.flatnonzero((self.a[place] != a) | (self.b[place] != b))
+        second = second[other]
+        place[other] = np.where((self.a[second] == a[other]) & (self.b[second] == b[other]), second, -1)
+        self.met[place[place >= 0]] = True
+        return place
+
+    def take(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces at these places one after another, and their numbers."""
+        n = self.n[place].astype(np.int64)
+        return self.ids.reshape(-1)[_ranges(place * MANY, n)], n
+
+    def keep(self, keys: np.ndarray, a: np.ndarray, b: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+        """Distinct new pieces and their ids, as ``take`` gives them."""
+        rows = np.zeros((len(keys), MANY), self.ids.dtype)
+        rows[np.arange(MANY) < n[:, None]] = ids
+        one, two = self._places(keys)
+        full = (self.n[one] > 0) & (self.n[two] > 0)
+        place = np.where(full & self.met[one] & self.met[two], -1, np.where((self.n[one] == 0) | (full & ~self.met[one]), one, two))
+        at, which = np.unique(place, return_index=True)
+        at, which = at[at >= 0], which[at >= 0]
+        self.met[one[full]] = self.met[two[full]] = False
+        self.a[at], self.b[at], self.n[at], self.met[at], self.ids[at] = a[which], b[which], n[which], False, rows[which]
 
 
 def _ranges(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -136,8 +127,8 @@ class Encoder:
     """ids of texts as little-endian 32-bit bytes; one per worker process.
 
     Plain texts go through ``_plain``: a batch is one byte array, the pattern's cuts
-    are found from character classes, pieces are told apart by their bytes (two words
-    of 8 for most), and only distinct pieces are looked up - or asked of the model.
+    are found from character classes, pieces are looked up by their bytes (two words of
+    8 for most), and of those that the store lacks each distinct one is asked of the model.
     """
 
     def __init__(self, path: str) -> None:
@@ -152,8 +143,8 @@ class Encoder:
         self.by_piece = config["normalizer"] is None and config["model"]["type"] == "BPE" and not config["model"].get("dropout") and splitter.get("type") == "ByteLevel" and splitter["use_regex"] and not splitter["add_prefix_space"]
         letters = byte_alphabet()
         self.tokenize = self.tokenizer.model.tokenize
-        self.alphabet = {b: "".join(letters[x] for x in chr(b).encode()) for b in range(256)}
-        self.store = Store()
+        self.alphabet = "\0" + "".join(letters[b] for b in range(1, 256))
+        self.store = Store(np.uint16 if max(self.tokenizer.get_vocab().values()) < 1 << 16 else np.uint32)
         self.long: dict[bytes, bytes] = {}
         specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, specials)) or r"(?!)")
@@ -161,13 +152,26 @@ class Encoder:
     def library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def piece(self, piece: bytes) -> bytes:
-        """The model's ids of one piece of Latin-1 characters, without the library's bookkeeping for whole texts."""
-        if piece.isascii() and piece[-1] > 32:  # at most one blank, in front
-            text = self.alphabet[32] + piece[1:].decode() if piece[0] == 32 else piece.decode()
-        else:
-            text = piece.decode("latin-1").translate(self.alphabet)
-        return array("I", [t.id for t in self.tokenize(text)]).tobytes()
+    def model(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The model's ids of pieces of Latin-1 characters one after another, and their numbers, without the library's bookkeeping for whole texts."""
+        ids, n = array("I"), []
+        for at in range(0, len(pieces), LATE_PIECES):
+            some = pieces[at : at + LATE_PIECES]
+            written = codecs.charmap_decode(b"\0".join(some).decode("latin-1").encode(), "strict", self.alphabet)[0].split("\0")
+            for piece, text in zip(some, written, strict=True):
+                known = self.long.get(piece)
+                if known is not None:
+                    ids.frombytes(known)
+                    n.append(len(known) // 4)
+                    continue
+                own = [t.id for t in self.tokenize(text)]
+                ids.extend(own)
+                n.append(len(own))
+                if (len(piece) > WIDE or len(own) > MANY) and len(piece) <= LONG_BYTES:
+                    if len(self.long) >= LONG_PIECES:
+                        self.long.clear()
+                    self.long[piece] = array("I", own).tobytes()
+        return np.array(ids, "<u4"), np.array(n, np.int64)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
@@ -226,46 +230,31 @@ class Encoder:
         start, length, text = start[real], length[real], np.cumsum(~real)[real]
         first, second = _words_at(data, start, length)
         code = _mixed(first, second)
-        short = length <= WIDE
-        distinct, at, inverse = np.unique(code[short], return_index=True, return_inverse=True)
-        at = np.flatnonzero(short)[at]
-        which = np.zeros(len(start), np.int64)
-        which[short] = inverse
-        # A piece that isn't its key's first one, byte by byte, goes the way of long ones: by its own bytes.
-        if len(at):
-            short &= (first == first[at][which]) & (second == second[at][which])
-        rest: dict[bytes, int] = {}
-        for j in np.flatnonzero(~short).tolist():
-            begin = int(start[j])
-            which[j] = len(at) + rest.setdefault(data[begin : begin + int(length[j])], len(rest))
-
-        def piece(j: int) -> bytes:
-            begin = int(start[at[j]])
-            return data[begin : begin + int(length[at[j]])]
-
-        pool, n = self.store.take(distinct, first[at], second[at], piece, self.piece)
-        if rest:
-            others = [self._long(x) for x in rest]
-            pool, n = np.concatenate([pool, np.frombuffer(b"".join(others), "<u4")]), np.concatenate([n, np.fromiter(map(len, others), np.int64, len(others)) // 4])
+        place = self.store.find(code, first, second)
+        place[length > WIDE] = -1
+        held = place >= 0
+        lost = np.flatnonzero(~held)
+        new: dict[bytes, int] = {}
+        begin = start[lost]
+        which = np.array([new.setdefault(data[i:j], len(new)) for i, j in zip(begin.tolist(), (begin + length[lost]).tolist(), strict=True)], np.int64)
+        pool, n = self.model(list(new))
         opens = np.cumsum(n) - n
-        many = n[which]
-        ends = np.cumsum(many)
-        flat = pool[_ranges(opens[which], many)].tobytes()
+        old, many = self.store.take(place[held])
+        numbers = np.empty(len(start), np.int64)
+        numbers[held], numbers[lost] = many, n[which]
+        ends = np.cumsum(numbers)
+        known = np.repeat(held, numbers)
+        out = np.empty(len(known), "<u4")
+        out[known], out[~known] = old, pool[_ranges(opens[which], n[which])]
+        flat = out.tobytes()
+        first_of = lost[np.unique(which, return_index=True)[1]]
+        fits = (length[first_of] <= WIDE) & (n <= MANY)
+        at = first_of[fits]
+        self.store.keep(code[at], first[at], second[at], pool[np.repeat(fits, n)], n[fits])
         # The last piece of every text gives its end.
         upto = np.concatenate([np.zeros(1, np.int64), ends])[np.searchsorted(text, np.arange(len(texts) + 1))] * 4
         return [flat[a:b] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
 
-    def _long(self, piece: bytes) -> bytes:
-        """The ids of a piece beyond WIDE bytes, kept by its bytes; very long ones aren't kept."""
-        ids = self.long.get(piece)
-        if ids is None:
-            ids = self.piece(piece)
-            if len(piece) <= LONG_BYTES:
-                if len(self.long) >= LONG_PIECES:
-                    self.long.clear()
-                self.long[piece] = ids
-        return ids
-
 
 # The lowest 0 .. 8 bytes of a word.
 _LOW = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)

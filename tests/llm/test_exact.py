@@ -441,6 +441,18 @@ def test_colliding_keys_are_told_apart(monkeypatch):
         assert encoder(texts) == encoder.library(texts)
 
 
+def test_recurring_pieces_are_asked_once(monkeypatch):
+    monkeypatch.setattr(tokens, "PLACES", 1 << 14, raising=False)
+    encoder = tokens.Encoder(tokenizer_path())
+    asked, tokenize = Counter(), encoder.tokenize
+    encoder.tokenize = lambda text: (asked.update([text]), tokenize(text))[1]
+    words = ["".join(w) for w in itertools.product("abcdefg", repeat=3)]
+    for at in range(0, 640_000, 20_000):  # far more pieces that don't recur than a worker remembers
+        encoder([" " + " ".join([*words, *map(str, range(10**6 + at, 10**6 + at + 20_000))])])
+    again = [n for text, n in asked.items() if text[1:] in words]
+    assert len(again) == len(words) and sum(again) <= 1.1 * len(words)
+
+
 # ---- search
 
 
