@@ -102,3 +102,14 @@ def test_one_fit_however_its_rows_are_dealt(spark):
     told = compare_models(one, seven).collect()
     assert {r["part"] for r in told} >= {"weights", "bias", "level0", "level1", "r0", "r1", "sel"}
     assert all(r["same"] and r["flips"] == 0 and r["worst_ulps"] == 0 and r["equal"] == r["n"] > 0 for r in told)
+
+
+def test_decoded_texels_are_not_broadcast(spark):
+    """Blocks are stored in a few bytes, so the texels they decode to look small to the planner: none of them goes through the driver."""
+    import re
+
+    import __spark_entry__ as e
+
+    df = e.queries()["q62_block_decoders"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Broadcast\w*Join \[[^\]]*\bx#", plan) and len(re.findall(r"SortMergeJoin \[[^\]]*\bx#", plan)) == 8
