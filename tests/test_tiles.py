@@ -219,3 +219,50 @@ def test_changed_tiles_are_handed_on_one_at_a_time(spark, case, monkeypatch):
     E.changed(tiles, tiles.select("material_id").distinct(), EDGE, lambda v0, v1, src, r: (v0, v1))
     batch = tiles.select(*T._names(T.TILE)).filter(F.col("plane") == 0).toPandas()
     assert [len(part) for part in held[0](iter([batch]))] == [1] * len(batch) and len(batch) > 1
+
+
+def test_halos_are_little_of_a_steps_work():
+    """Narrow tiles of a long plane in groups: every tile in one, none too large, and what they read is hardly more than the plane."""
+    for extent, edge, halo in (((5000, 100, 1250, 25), 64, 144), ((3000, 2100, 750, 525), 64, 32), ((72, 100, 18, 25), 32, 144), ((31, 8, 7, 2), 32, 16)):
+        g, seen0, seen1, read, held = T.Groups(*extent, edge, halo), np.zeros(extent[:2], int), np.zeros(extent[2:], int), 0, []
+        for gy in range(g.counts[0]):
+            for gx in range(g.counts[1]):
+                far, parts = g.reach(gy, gx)[0], [g.single.own(*t) for t in g.members(gy, gx)]
+                read += far[2] * far[3]
+                assert far[2] * far[3] <= 1.3 * T.GROUPED and all(g.holder(*t) == (gy, gx) for t in g.members(gy, gx))
+                held += g.members(gy, gx)
+                for own in parts:
+                    for seen, (y, x, h, w) in zip((seen0, seen1), own, strict=True):
+                        seen[y : y + h, x : x + w] += 1
+                assert sum(h * w for (_, _, h, w), _ in parts) == np.prod(g.own(gy, gx)[0][2:]) and sum(h * w for _, (_, _, h, w) in parts) == np.prod(g.own(gy, gx)[1][2:])
+        assert (seen0 == 1).all() and (seen1 == 1).all() and len(held) == len(set(held)) == np.prod(g.tiles)
+        assert read <= 1.5 * extent[0] * extent[1]
+
+
+def test_a_step_is_the_same_in_any_groups(spark, case):
+    """Tile by tile, in several groups and in one: the same texels, changes, moves and sums for the decoder."""
+    from pyspark.sql import functions as F
+
+    from rasterloom.plans import packing as Q
+
+    tiles, _, _ = case
+    found = T.decoders(tiles, CW, O, edge=EDGE)
+    o, lo, hi = Options(c0=1, c1=2, k=4, ridge=0.0, q1_sweeps=1), np.full(1, -1.0), np.full(1, 1.0)
+    halo = T.reach_of(True, o, True)
+    blob = T._bytes(np.array([-1.5, 1.25, -1.0, -1.0, 1.0, 1.0]), "<f8")
+    assert T.Groups(H, WD, H // 4, WD // 4, EDGE, halo, 6000).counts == (1, 2) and T.Groups(H, WD, H // 4, WD // 4, EDGE, halo).counts == (1, 1)
+    steps, packs, sums = [], [], []
+    for most in (1, 6000, T.GROUPED):
+        got = T.step(tiles, found, T.sweeping(True, CW, lo, hi, 6, o), EDGE, halo=halo, k=4, most=most)
+        steps.append(got.orderBy(*T._KEYS).toPandas())
+        sums.append(T.decoders(got, CW, O, found, EDGE).toPandas())
+        packs.append(Q.packed(tiles, found.withColumn("g", F.lit(bytearray(blob))), CW, O, 1, EDGE, most).orderBy(*T._KEYS).toPandas())
+    for step, pack, told in zip(steps[1:], packs[1:], sums[1:], strict=True):
+        assert len(step) == len(pack) == 7
+        for name in T._names(T.TILE):
+            assert step[name].tolist() == steps[0][name].tolist(), name
+        for name in T._names(Q.PACKED):
+            assert pack[name].tolist() == packs[0][name].tolist(), name
+        assert step["moved"].sum() == steps[0]["moved"].sum() > 0 and step["delta_e"].sum() == pytest.approx(steps[0]["delta_e"].sum(), rel=1e-9)
+        assert told["after"][0] == pytest.approx(sums[0]["after"][0], rel=1e-9)
+    assert [int(s["gram"].notna().sum()) for s in steps] == [7, 3, 2]
