@@ -266,3 +266,21 @@ def test_a_step_is_the_same_in_any_groups(spark, case):
         assert step["moved"].sum() == steps[0]["moved"].sum() > 0 and step["delta_e"].sum() == pytest.approx(steps[0]["delta_e"].sum(), rel=1e-9)
         assert told["after"][0] == pytest.approx(sums[0]["after"][0], rel=1e-9)
     assert [int(s["gram"].notna().sum()) for s in steps] == [7, 3, 2]
+
+
+@pytest.mark.parametrize("level0", [False, True])
+def test_sites_are_read_channel_by_channel(monkeypatch, level0):
+    """A step's system and the decoder's products come from arrays over sites, one channel after another; no table of sites is kept for them."""
+    rng = np.random.default_rng(5)
+    p = L.Plane(rng.normal(size=(24, 20, 2)), rng.normal(size=(6, 5, 3)), rng.random((24, 20, 3)), kept=None)
+    w, b, cw = rng.normal(size=(3, 11)), rng.random(3), np.array(CW)
+    before = L.plane_error(p, w, b, cw, 4)[0]
+    table = [np.concatenate([T.D.phi_matrix(t0.read(p.v0), t1.read(p.v1)), np.ones((len(t), 1)), t], 1) for _, t0, t1, t in L.sites(p, 4)]
+    for holder, name in ((L.Form, "slope"), (L.Form, "constant"), (T.D, "phi_matrix")):
+        with monkeypatch.context() as without:
+            without.setattr(holder, name, None)
+            s, gram = L.assemble(p, w, b, cw, 4, level0), T._gram(p, 4)
+    assert p.kept is None and gram == pytest.approx(sum(t.T @ t for t in table), rel=1e-12)
+    d = rng.normal(size=s.gradient.shape)
+    moved = L.Plane(p.v0 + d, p.v1, p.src) if level0 else L.Plane(p.v0, p.v1 + d, p.src)
+    assert before + s.change(d) == pytest.approx(L.plane_error(moved, w, b, cw, 4)[0], rel=1e-10)
